@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from convlake.llm import mixing, packing, secrets, sharding, urlfilter
+from convlake.llm import mixing, packing, quality, secrets, sharding, urlfilter
 from convlake.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +19,7 @@ def _on(name: str, f: Callable[[DataFrame], DataFrame]) -> Query:
 QUERIES: dict[str, Query] = {
     "op1_sharding": _on("documents", sharding.op1_sharding),
     "op2_packing": _on("documents", packing.op2_packing),
+    "op3_quality": lambda spark, sf_dir: quality.op3_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
     "op5_mixing": _on("documents", mixing.op5_mixing),
     "op7_secret_scan": _on("documents", secrets.op7_secret_scan),
     "op10_url_filter": _on("pages", urlfilter.op10_url_filter),
