@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from convlake.llm import mixing, packing, quality, secrets, sharding, urlfilter
+from convlake.llm import mixing, neardup, packing, quality, secrets, sharding, urlfilter
 from convlake.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,7 @@ QUERIES: dict[str, Query] = {
     "op2_packing": _on("documents", packing.op2_packing),
     "op3_quality": lambda spark, sf_dir: quality.op3_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
     "op5_mixing": _on("documents", mixing.op5_mixing),
+    "op6_near_duplicates": _on("documents", neardup.op6_near_duplicates),
     "op7_secret_scan": _on("documents", secrets.op7_secret_scan),
     "op10_url_filter": _on("pages", urlfilter.op10_url_filter),
 }
