@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from convlake.llm import ann, mixing, neardup, packing, quality, secret_scan, sharding, urlfilter
+from convlake.llm import ann, mixing, neardup, packing, quality, secret_scan, sharding, toxicity, urlfilter
 from convlake.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,7 @@ QUERIES: dict[str, Query] = {
     "op5_mixing": _on("documents", mixing.op5_mixing),
     "op6_near_duplicates": _on("documents", neardup.op6_near_duplicates),
     "op7_secret_scan": _on("documents", secret_scan.op7_secret_scan),
+    "op8_toxicity": lambda spark, sf_dir: toxicity.op8_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
     "op9_neighbours": _on("embeddings", ann.op9_neighbours),
     "op10_url_filter": _on("pages", urlfilter.op10_url_filter),
 }
