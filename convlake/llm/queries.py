@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from convlake.llm import ann, mixing, neardup, packing, quality, secret_scan, sharding, toxicity, urlfilter
+from convlake.llm import ann, mixing, neardup, packing, quality, secret_scan, sharding, toxicity, urlfilter, warc
 from convlake.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,7 @@ QUERIES: dict[str, Query] = {
     "op1_sharding": _on("documents", sharding.op1_sharding),
     "op2_packing": _on("documents", packing.op2_packing),
     "op3_quality": lambda spark, sf_dir: quality.op3_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
+    "op4_warc": _on("pages", warc.op4_warc),
     "op5_mixing": _on("documents", mixing.op5_mixing),
     "op6_near_duplicates": _on("documents", neardup.op6_near_duplicates),
     "op7_secret_scan": _on("documents", secret_scan.op7_secret_scan),
@@ -30,6 +31,7 @@ QUERIES: dict[str, Query] = {
 
 SQL: dict[str, str] = {
     "op1_sharding": sharding.OP1_SQL,
+    "op4_warc": warc.OP4_SQL,
     "op5_mixing": mixing.OP5_SQL,
     "op10_url_filter": urlfilter.OP10_SQL,
 }
