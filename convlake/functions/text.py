@@ -124,8 +124,8 @@ def format_number(c: Column, separator: str = ",") -> Column:
 
 
 def format_duration(seconds: Column) -> Column:
-    """``M:SS`` or ``H:MM:SS`` of rounded seconds, 0 at least."""
-    s = F.greatest(F.floor(seconds + 0.5).cast("long"), F.lit(0))
+    """``M:SS`` or ``H:MM:SS`` of rounded seconds, 0 at least; null stays null."""
+    s = F.when(seconds.isNotNull(), F.greatest(F.floor(seconds + 0.5).cast("long"), F.lit(0)))
     hours, minutes, rest = F.floor(s / 3600), F.floor(s / 60) % 60, s % 60
     two = lambda n: F.lpad(n.cast("string"), 2, "0")
     return F.when(hours > 0, F.concat(hours.cast("string"), F.lit(":"), two(minutes), F.lit(":"), two(rest))).otherwise(
