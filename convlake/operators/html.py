@@ -1,0 +1,397 @@
+"""Captured pages as tables of nodes, and what is extracted from them.
+
+``dom_nodes`` is the one step that runs Python in tasks; all others are relational.  A node's
+``path`` holds its ancestors' ids and its own, and ``node_id .. end_id`` spans its subtree, so
+ancestor and subtree tests are array or interval comparisons.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from html.parser import HTMLParser
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from convlake.functions.naming import domain, escape_html, safe_url
+from convlake.session import ship
+
+VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+BLOCK = {
+    "p", "div", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "li", "blockquote", "pre", "table", "thead", "tbody", "tr", "td", "th",
+    "article", "section", "nav", "header", "footer", "main", "aside", "figure", "dl", "dt", "dd", "hr", "body", "html",
+}
+CLOSES_P = BLOCK - {"li", "td", "th", "tr", "thead", "tbody", "dt", "dd", "body", "html"}
+#: What a start tag closes, up to the named container.
+SIBLINGS = {"li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr"}), "th": ({"td", "th"}, {"tr"})}
+MAX_DEPTH = 200
+
+NODES = (
+    "page_id long, node_id int, parent_id int, path array<int>, depth int, ordinal int, kind string, tag string, classes array<string>, "
+    "attrs map<string,string>, text string, end_id int, block_id int, cell_id int, verbatim boolean"
+)
+
+
+class Tree(HTMLParser):
+    """Nodes of one page; malformed markup never fails, and open elements close at the end."""
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.nodes: list[dict] = []
+        self.open: list[int] = []
+        self.children: dict[int, int] = {}
+
+    def add(self, kind: str, tag: str | None, attrs: list, text: str | None) -> int:
+        up = self.open[-1] if self.open else None
+        above = self.nodes[up] if up is not None else None
+        me = len(self.nodes)
+        self.children[up] = self.children.get(up, -1) + 1
+        self.nodes.append({
+            "node_id": me, "parent_id": up, "path": [*(above["path"] if above else ()), me], "depth": len(self.open), "ordinal": self.children[up],
+            "kind": kind, "tag": tag, "classes": (dict(attrs).get("class") or "").split(), "attrs": [(k, v or "") for k, v in dict(attrs).items()], "text": text, "end_id": me,
+            "block_id": me if tag in BLOCK else (above["block_id"] if above else None), "cell_id": me if tag in ("td", "th") else (above["cell_id"] if above else None),
+            "verbatim": tag in ("pre", "code") or bool(above and above["verbatim"]),
+        })
+        return me
+
+    def close_to(self, depth: int) -> None:
+        while len(self.open) > depth:
+            self.nodes[self.open.pop()]["end_id"] = len(self.nodes) - 1
+
+    def close_open(self, tags: set, until: set) -> None:
+        for i in range(len(self.open) - 1, -1, -1):
+            tag = self.nodes[self.open[i]]["tag"]
+            if tag in until:
+                return
+            if tag in tags:
+                self.close_to(i)
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag in CLOSES_P:
+            self.close_open({"p"}, BLOCK - {"p"})  # through inline elements, which end with it
+        if tag in SIBLINGS:
+            self.close_open(*SIBLINGS[tag])
+        me = self.add("element", tag, attrs, None)
+        if tag not in VOID and len(self.open) < MAX_DEPTH:
+            self.open.append(me)
+
+    def handle_startendtag(self, tag: str, attrs: list) -> None:
+        self.handle_starttag(tag, attrs)
+
+    def handle_endtag(self, tag: str) -> None:
+        for i in range(len(self.open) - 1, -1, -1):
+            if self.nodes[self.open[i]]["tag"] == tag:
+                return self.close_to(i)
+
+    def handle_data(self, data: str) -> None:
+        self.add("text", None, [], data)
+
+    def handle_comment(self, data: str) -> None:
+        self.add("comment", None, [], data)
+
+
+def tree(html: str | None) -> list[dict]:
+    t = Tree()
+    t.feed(html or "")
+    t.close()
+    t.close_to(0)
+    return t.nodes
+
+
+def html_tokens(pages: DataFrame) -> DataFrame:
+    """(page_id, pos, token): tags, comments and texts in order, without Python."""
+    tokens = F.regexp_extract_all("html", F.lit(r"<!--[^>]*-->|</?[A-Za-z][^>]*>|[^<]+"), F.lit(0))
+    return pages.select("page_id", F.posexplode(tokens).alias("pos", "token"))
+
+
+def dom_nodes(pages: DataFrame) -> DataFrame:
+    """The nodes of every page, in document order."""
+    ship(pages.sparkSession)
+    names = [x.split()[0] for x in NODES.split(", ")]
+    types = [
+        pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.list_(pa.string()),
+        pa.map_(pa.string(), pa.string()), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(),
+    ]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 100):
+                some = batch.slice(at, 100)
+                rows = [{"page_id": p, **n} for p, h in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True) for n in tree(h)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], t) for n, t in zip(names, types, strict=True)], names)
+
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("html").cast("string").alias("html")).mapInArrow(run, NODES)
+
+
+def without(nodes: DataFrame, dropped: Column) -> DataFrame:
+    """``nodes`` without the subtrees of those for which ``dropped`` holds."""
+    gone = nodes.where(dropped).groupBy("page_id").agg(F.collect_set("node_id").alias("__gone"))
+    return nodes.join(gone, "page_id", "left").where(F.col("__gone").isNull() | ~F.arrays_overlap("path", "__gone")).drop("__gone")
+
+
+def has_class(*names: str) -> Column:
+    return F.arrays_overlap("classes", F.array(*map(F.lit, names)))
+
+
+def strip_chrome(nodes: DataFrame, also: tuple[str, ...] = ("script", "style")) -> DataFrame:
+    """Without buttons, hidden and icon nodes, comments, and then empty ``div`` and ``span``."""
+    attr = lambda k: F.coalesce(F.try_element_at("attrs", F.lit(k)), F.lit(""))
+    hidden = F.col("tag").isin("button", *also) | (attr("role") == "button") | has_class("sr-only", "visually-hidden") | (attr("aria-hidden") == "true")
+    icons = ~F.col("verbatim") & ((F.col("tag") == "svg") | has_class("copy-code", "copy-btn", "icon", "avatar"))
+    left = without(nodes, F.coalesce(hidden | icons, F.lit(False))).where("kind <> 'comment'")
+    filled = left.where("kind = 'text' AND trim(text) <> '' OR tag IN ('img', 'br', 'hr', 'video', 'audio')").select(
+        "page_id", F.explode("path").alias("node_id")
+    ).distinct()
+    empty = left.where("tag IN ('div', 'span')").join(filled, ["page_id", "node_id"], "left_anti").select("page_id", "node_id")
+    return left.join(empty, ["page_id", "node_id"], "left_anti")
+
+
+def flatten_text(nodes: DataFrame) -> DataFrame:
+    """(page_id, text): cells apart by `` | ``, blocks by a line feed, white space collapsed outside ``pre``."""
+    w = Window.partitionBy("page_id").orderBy("node_id")
+    words = F.when(F.col("verbatim"), F.col("text")).otherwise(F.regexp_replace("text", r"\s+", " "))
+    texts = nodes.where("kind = 'text' AND trim(text) <> ''").withColumn("t", words)
+    row = F.lag("block_id").over(w)
+    same_row = F.col("cell_id").isNotNull() & F.lag("cell_id").over(w).isNotNull() & ~F.col("cell_id").eqNullSafe(F.lag("cell_id").over(w))
+    sep = F.when(F.row_number().over(w) == 1, "").when(same_row, " | ").when(~row.eqNullSafe(F.col("block_id")), "\n").otherwise("")
+    parts = texts.withColumn("s", sep).groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("node_id", "s", "t"))).alias("p"))
+    return parts.select("page_id", F.trim(F.array_join(F.transform("p", lambda x: F.concat(x["s"], x["t"])), "")).alias("text"))
+
+
+def node_text(nodes: DataFrame, of: Column, trim: bool = True) -> DataFrame:
+    """(page_id, node_id, tag, attrs, ..., content): nodes for which ``of`` holds, with the text of their subtrees."""
+    picked = nodes.where(of).select("page_id", "node_id", "tag", "attrs", "classes", "path", "depth", "block_id", "end_id")
+    texts = nodes.where("kind = 'text'").select("page_id", F.explode("path").alias("node_id"), F.col("node_id").alias("at"), F.col("text").alias("t"))
+    joined = texts.groupBy("page_id", "node_id").agg(F.array_sort(F.collect_list(F.struct("at", "t"))).alias("p"))
+    content = F.coalesce(F.array_join(F.transform("p", lambda x: x["t"]), ""), F.lit(""))
+    out = picked.join(joined, ["page_id", "node_id"], "left").withColumn("content", F.trim(F.regexp_replace(content, r"\s+", " ")) if trim else content)
+    return out.drop("p")
+
+
+def extract_headings(nodes: DataFrame) -> DataFrame:
+    level = F.substring("tag", 2, 1).cast("int")
+    return node_text(nodes, F.col("tag").rlike("^h[1-6]$")).where("content <> ''").select("page_id", "node_id", level.alias("level"), F.col("content").alias("text"))
+
+
+def extract_code(nodes: DataFrame) -> DataFrame:
+    """(page_id, node_id, language, code); the language is ``code`` if no class names one."""
+    language = F.regexp_extract(F.array_join("classes", " "), r"language-(\w+)", 1)
+    out = node_text(nodes, F.col("tag") == "pre", trim=False).withColumn("code", F.trim("content"))
+    return out.where("code <> ''").select("page_id", "node_id", F.coalesce(F.nullif(language, F.lit("")), F.lit("code")).alias("language"), "code")
+
+
+def extract_lists(nodes: DataFrame) -> DataFrame:
+    """(page_id, list_id, item_index, depth, ordered, text) of items, each with its own text only."""
+    lists = nodes.where("tag IN ('ul', 'ol')").select("page_id", F.col("node_id").alias("list_id"), F.col("tag").alias("list_tag"))
+    items = nodes.where("tag = 'li'")
+    nearest = items.select("page_id", "node_id", F.explode("path").alias("list_id")).join(lists, ["page_id", "list_id"]).groupBy("page_id", "node_id").agg(
+        F.max(F.struct("list_id", "list_tag")).alias("l"), (F.count("*") - 1).cast("int").alias("nesting")
+    )
+    owner = nodes.where("kind = 'text'").select("page_id", F.col("node_id").alias("at"), "text", F.explode("path").alias("node_id")).join(
+        items.select("page_id", "node_id"), ["page_id", "node_id"]
+    ).groupBy("page_id", "at", "text").agg(F.max("node_id").alias("node_id"))
+    own = owner.groupBy("page_id", "node_id").agg(F.array_sort(F.collect_list(F.struct("at", "text"))).alias("p"))
+    text = F.trim(F.regexp_replace(F.array_join(F.transform("p", lambda x: x["text"]), ""), r"\s+", " "))
+    w = Window.partitionBy("page_id", "l.list_id").orderBy("node_id")
+    return nearest.join(own, ["page_id", "node_id"], "left").select(
+        "page_id", F.col("l.list_id").alias("list_id"), (F.row_number().over(w) - 1).alias("item_index"), F.col("nesting").alias("depth"),
+        (F.col("l.list_tag") == "ol").alias("ordered"), F.coalesce(text, F.lit("")).alias("text"),
+    )
+
+
+def extract_links(nodes: DataFrame) -> DataFrame:
+    """(page_id, node_id, href, text) of anchors that have both."""
+    href = F.try_element_at("attrs", F.lit("href"))
+    return node_text(nodes, F.col("tag") == "a").withColumn("href", href).where("href <> '' AND content <> ''").select(
+        "page_id", "node_id", "href", F.col("content").alias("text")
+    )
+
+
+def extract_citations(links: DataFrame) -> DataFrame:
+    """One search for each page: its query, its results in order, and how many there are."""
+    kept = links.withColumn("url", safe_url(F.col("href"))).where("url IS NOT NULL")
+    result = F.struct("node_id", F.col("text").alias("title"), "url", domain(F.col("url")).alias("domain"))
+    return kept.groupBy("page_id").agg(F.array_sort(F.collect_list(result)).alias("results")).select(
+        "page_id", F.lit("Web Search").alias("query"), F.size("results").alias("result_count"), "results"
+    )
+
+
+def extract_images(nodes: DataFrame) -> DataFrame:
+    """(page_id, node_id, src, alt, width, height, link_url); the link is the nearest anchor around it."""
+    attr = lambda k: F.try_element_at("attrs", F.lit(k))
+    images = nodes.where("tag = 'img'").withColumn("src", attr("src")).where("src <> ''")
+    anchors = nodes.where("tag = 'a'").select("page_id", F.col("node_id").alias("a"), attr("href").alias("href"))
+    around = images.select("page_id", "node_id", F.explode("path").alias("a")).join(anchors, ["page_id", "a"]).groupBy("page_id", "node_id").agg(
+        F.max(F.struct("a", "href"))["href"].alias("link_url")
+    )
+    number = lambda k: attr(k).try_cast("int").alias(k)
+    return images.join(around, ["page_id", "node_id"], "left").select("page_id", "node_id", "src", attr("alt").alias("alt"), number("width"), number("height"), "link_url")
+
+
+def filter_content_images(images: DataFrame) -> DataFrame:
+    return images.where(~F.col("src").contains("sprites-core") & ~F.col("src").contains("icon"))
+
+
+def image_inventory(images: DataFrame) -> DataFrame:
+    """(page_id, src, first, times): different images, by where they stand first."""
+    return images.groupBy("page_id", "src").agg(F.min("node_id").alias("first"), F.count("*").alias("times"))
+
+
+def extract_media(nodes: DataFrame) -> DataFrame:
+    """Video and audio with the source of the element, else of its first ``source``."""
+    attr = lambda k: F.try_element_at("attrs", F.lit(k))
+    sources = nodes.where("tag = 'source'").groupBy("page_id", F.col("parent_id").alias("node_id")).agg(
+        F.min(F.struct(F.col("node_id").alias("at"), attr("src").alias("src"), attr("type").alias("mime"))).alias("s")
+    )
+    return nodes.where("tag IN ('video', 'audio')").join(sources, ["page_id", "node_id"], "left").select(
+        "page_id", "node_id", F.col("tag").alias("kind"), F.coalesce(F.nullif(attr("src"), F.lit("")), "s.src").alias("src"),
+        F.coalesce(attr("aria-label"), attr("title")).alias("alt"), F.col("s.mime").alias("mime"),
+    ).where("src IS NOT NULL")
+
+
+INLINE = {"b": "bold", "strong": "bold", "i": "italic", "em": "italic", "code": "code", "a": "link", "s": "strikethrough", "del": "strikethrough"}
+
+
+def extract_inlines(nodes: DataFrame) -> DataFrame:
+    """(page_id, block_id, ordinal, type, text, url): runs of text by the nearest inline element."""
+    kinds = F.create_map(*(F.lit(x) for kv in INLINE.items() for x in kv))
+    wrappers = nodes.where(F.col("tag").isin(*INLINE)).select(
+        "page_id", F.col("node_id").alias("w"), kinds[F.col("tag")].alias("type"), F.try_element_at("attrs", F.lit("href")).alias("url")
+    )
+    texts = nodes.where("kind = 'text' AND trim(text) <> ''").select("page_id", "node_id", "block_id", "text", "path")
+    nearest = texts.select("page_id", "node_id", F.explode("path").alias("w")).join(wrappers, ["page_id", "w"]).groupBy("page_id", "node_id").agg(
+        F.max(F.struct("w", "type", "url")).alias("x")
+    )
+    runs = texts.join(nearest, ["page_id", "node_id"], "left").select(
+        "page_id", "block_id", "node_id", F.coalesce("x.type", F.lit("text")).alias("type"), F.regexp_replace("text", r"\s+", " ").alias("text"), F.col("x.url").alias("url")
+    )
+    return coalesce_runs(runs, ["page_id", "block_id"], "node_id", ["type", "url"], "text").withColumnRenamed("run", "ordinal")
+
+
+def coalesce_runs(df: DataFrame, keys: list[str], order: str, same: list[str], text: str) -> DataFrame:
+    """Neighbours alike in ``same`` put together: (keys, run, same, text)."""
+    w = Window.partitionBy(*keys).orderBy(order)
+    now = F.struct(*same)
+    new = F.when(F.lag(now).over(w).eqNullSafe(now), 0).otherwise(1)
+    runs = df.withColumn("__new", new).withColumn("run", (F.sum("__new").over(w) - 1).cast("int"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t")))), lambda x: x["t"]), "")
+    return runs.groupBy(*keys, "run", *same).agg(joined.alias(text))
+
+
+def extract_blocks(nodes: DataFrame) -> DataFrame:
+    """(page_id, block_id, parent_block_id, ordinal, depth, type, level, text): blocks with a text of their own.
+
+    A container is a block only for the text that no inner block has; the text of a block is
+    that of the text nodes whose nearest block it is.
+    """
+    own = nodes.where("kind = 'text' AND trim(text) <> ''").groupBy("page_id", "block_id").agg(
+        F.array_sort(F.collect_list(F.struct("node_id", "text", "verbatim"))).alias("p")
+    )
+    said = F.array_join(F.transform("p", lambda x: F.when(x["verbatim"], x["text"]).otherwise(F.regexp_replace(x["text"], r"\s+", " "))), "")
+    elements = nodes.where("kind = 'element'").select(
+        "page_id", F.col("node_id").alias("block_id"), "tag", "parent_id", "depth", F.col("path").alias("path")
+    )
+    blocks = nodes.where(F.col("tag").isin(*BLOCK)).select("page_id", F.col("node_id").alias("parent_block_id"))
+    kind = (
+        F.when(F.col("tag").rlike("^h[1-6]$"), "heading").when(F.col("tag") == "pre", "code").when(F.col("tag") == "li", "list_item")
+        .when(F.col("tag") == "blockquote", "blockquote").when(F.col("tag").isin("td", "th"), "cell").otherwise("paragraph")
+    )
+    text_blocks = own.join(elements, ["page_id", "block_id"], "left").select(
+        "page_id", "block_id", "path", "depth", F.coalesce(kind, F.lit("paragraph")).alias("type"),
+        F.when(F.col("tag").rlike("^h[1-6]$"), F.substring("tag", 2, 1).cast("int")).alias("level"), F.trim(said).alias("text"),
+    )
+    alone = nodes.where("tag IN ('hr', 'img')").select(
+        "page_id", F.col("node_id").alias("block_id"), "path", "depth", F.when(F.col("tag") == "hr", "hr").otherwise("image").alias("type"),
+        F.lit(None).cast("int").alias("level"), F.coalesce(F.try_element_at("attrs", F.lit("alt")), F.lit("")).alias("text"),
+    )
+    every = text_blocks.unionByName(alone)
+    up = every.select("page_id", "block_id", F.explode("path").alias("parent_block_id")).where("parent_block_id < block_id").join(
+        blocks, ["page_id", "parent_block_id"]
+    ).groupBy("page_id", "block_id").agg(F.max("parent_block_id").alias("parent_block_id"))
+    w = Window.partitionBy("page_id").orderBy(F.col("block_id").asc_nulls_first())
+    return every.join(up, ["page_id", "block_id"], "left").select(
+        "page_id", "block_id", "parent_block_id", (F.row_number().over(w) - 1).alias("ordinal"), "depth", "type", "level", "text"
+    )
+
+
+SKELETON_ATTRS = ("role", "type", "data-turn", "data-testid", "aria-label")
+BUDGET = {"nodes": 500, "bytes": 32_768, "depth": 12}
+
+
+def page_skeleton(nodes: DataFrame) -> DataFrame:
+    """(page_id, skeleton, elided): tags, classes and attribute names; texts as their lengths."""
+    names = F.array_sort(F.map_keys(F.map_filter("attrs", lambda k, _: k != "class")))
+    safe = lambda k: F.when(k.isin(*SKELETON_ATTRS), F.concat(F.lit('="'), F.try_element_at("attrs", k), F.lit('"'))).otherwise("")
+    shown = F.array_join(F.transform(names, lambda k: F.concat(F.lit("["), k, safe(k), F.lit("]"))), "")
+    label = F.when(F.col("kind") == "text", F.concat(F.lit("text("), F.length(F.trim("text")).cast("string"), F.lit(")"))).otherwise(
+        F.concat("tag", F.array_join(F.transform("classes", lambda x: F.concat(F.lit("."), x)), ""), shown)
+    )
+    w = Window.partitionBy("page_id").orderBy("node_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    lines = nodes.where("kind = 'element' OR kind = 'text' AND trim(text) <> ''").withColumn("line", F.concat(F.repeat(F.lit("  "), F.col("depth")), label))
+    lines = lines.withColumn("n", F.count("*").over(w)).withColumn("size", F.sum(F.octet_length("line") + 1).over(w))
+    fits = (F.col("n") <= BUDGET["nodes"]) & (F.col("size") <= BUDGET["bytes"]) & (F.col("depth") <= BUDGET["depth"])
+    kept = F.array_sort(F.collect_list(F.when(fits, F.struct("node_id", "line"))))
+    return lines.groupBy("page_id").agg(kept.alias("k"), F.count_if(~fits).alias("elided")).select(
+        "page_id", F.array_join(F.transform("k", lambda x: x["line"]), "\n").alias("skeleton"), "elided"
+    )
+
+
+def structure_signature(skeletons: DataFrame) -> DataFrame:
+    """(signature, pages): how many pages share a layout."""
+    return skeletons.groupBy(F.xxhash64("skeleton").alias("signature")).agg(F.count("*").alias("pages"))
+
+
+def selector_health(pages: DataFrame, nodes: DataFrame, selectors: DataFrame) -> DataFrame:
+    """(page_id, key, required, matched).  ``selectors``: (key, selector, required), a short list.
+
+    A selector is a tag, ``.class``, ``[attr]``, ``[attr="v"]`` or tag with one of these; what
+    can't be read has matched -1.
+    """
+    pattern = r'^([a-z][a-z0-9]*)?(?:\.([\w-]+)|\[([\w-]+)(?:="([^"]*)")?\])?$'
+    part = lambda i: F.nullif(F.regexp_extract("selector", pattern, i), F.lit(""))
+    read = selectors.withColumn("valid", F.col("selector").rlike(pattern) & (F.col("selector") != "")).select(
+        "key", "required", "valid", part(1).alias("s_tag"), part(2).alias("s_class"), part(3).alias("s_attr"), part(4).alias("s_value")
+    )
+    elements = nodes.where("kind = 'element'").select("page_id", "tag", "classes", "attrs")
+    hit = (
+        F.col("valid") & (F.col("s_tag").isNull() | (F.col("s_tag") == F.col("tag"))) & (F.col("s_class").isNull() | F.array_contains("classes", F.col("s_class")))
+        & (F.col("s_attr").isNull() | (F.map_contains_key("attrs", F.col("s_attr")) & (F.col("s_value").isNull() | (F.try_element_at("attrs", F.col("s_attr")) == F.col("s_value")))))
+    )
+    counts = elements.join(F.broadcast(read), hit).groupBy("page_id", "key").agg(F.count("*").alias("n"))
+    every = pages.select("page_id").distinct().join(F.broadcast(read.select("key", "required", "valid")))
+    return every.join(counts, ["page_id", "key"], "left").select(
+        "page_id", "key", "required", F.when(F.col("valid"), F.coalesce("n", F.lit(0))).otherwise(-1).cast("long").alias("matched")
+    )
+
+
+def detect_platform(pages: DataFrame, platforms: DataFrame) -> DataFrame:
+    """(page_id, platform): the first platform, by priority, whose pattern fits the url.
+
+    ``platforms``: (id, priority, url_pattern), a short list.
+    """
+    hits = pages.select("page_id", "url").join(F.broadcast(platforms), F.expr("url RLIKE url_pattern"))
+    found = hits.groupBy("page_id").agg(F.min_by("id", "priority").alias("platform"))
+    return pages.select("page_id").join(found, "page_id", "left")
+
+
+ALLOWED = ("p", "br", "b", "strong", "i", "em", "u", "s", "del", "a", "ul", "ol", "li", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "code", "table", "thead", "tbody", "tr", "td", "th", "img", "hr", "div", "span", "article", "sup", "sub", "section")
+
+
+def sanitize_html(nodes: DataFrame) -> DataFrame:
+    """(page_id, html): allowed tags only, others with their subtrees gone; safe urls; texts escaped."""
+    kept = without(nodes, (F.col("kind") == "comment") | ((F.col("kind") == "element") & ~F.col("tag").isin(*ALLOWED, "html", "body")))
+    kept = kept.where("tag IS NULL OR tag NOT IN ('html', 'body')")
+    attr = lambda k: F.try_element_at("attrs", F.lit(k))
+    shown = lambda name, v: F.coalesce(F.concat(F.lit(f' {name}="'), escape_html(v), F.lit('"')), F.lit(""))
+    attrs = F.when(F.col("tag") == "a", shown("href", safe_url(attr("href")))).when(
+        F.col("tag") == "img", F.concat(shown("src", safe_url(attr("src"), True)), shown("alt", attr("alt")))
+    ).otherwise("")
+    opening = F.when(F.col("kind") == "text", escape_html(F.col("text"))).otherwise(F.concat(F.lit("<"), "tag", attrs, F.lit(">")))
+    # closing tags go behind the last node of the subtree, the innermost first
+    starts = kept.select("page_id", F.col("node_id").alias("at"), F.lit(0).alias("late"), F.lit(0).alias("inner"), opening.alias("s"))
+    ends = kept.where((F.col("kind") == "element") & ~F.col("tag").isin(*VOID)).select(
+        "page_id", F.col("end_id").alias("at"), F.lit(1).alias("late"), (-F.col("node_id")).alias("inner"), F.concat(F.lit("</"), "tag", F.lit(">")).alias("s")
+    )
+    parts = starts.unionByName(ends).groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("at", "late", "inner", "s"))).alias("p"))
+    return parts.select("page_id", F.array_join(F.transform("p", lambda x: x["s"]), "").alias("html"))
