@@ -1,0 +1,86 @@
+"""Search widgets, canvases, formulas and artifacts inside pages, and messages as blocks."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from convlake.functions.text import initcap_first
+from convlake.operators.html import has_class, node_text, without
+
+
+def attr(name: str):
+    return F.try_element_at("attrs", F.lit(name))
+
+
+def inside(inner: DataFrame, outer: DataFrame, outer_id: str) -> DataFrame:
+    """Rows of ``inner`` with the nearest node of ``outer`` (page_id, ``outer_id``) around them."""
+    around = inner.select("page_id", "node_id", F.explode("path").alias(outer_id)).join(outer.select("page_id", outer_id), ["page_id", outer_id])
+    nearest = around.groupBy("page_id", "node_id").agg(F.max(outer_id).alias(outer_id))
+    return inner.join(nearest, ["page_id", "node_id"])
+
+
+def extract_search_widgets(nodes: DataFrame) -> DataFrame:
+    """(page_id, widget, query, result_count, results): widgets of class ``search`` with a query."""
+    widgets = nodes.where(has_class("search")).select("page_id", F.col("node_id").alias("widget"))
+    part = lambda cls, name: inside(node_text(nodes, has_class(cls)), widgets, "widget").groupBy("page_id", "widget").agg(F.min_by("content", "node_id").alias(name))
+    links = inside(node_text(nodes, F.col("tag") == "a").withColumn("href", attr("href")).where("href <> ''"), widgets, "widget")
+    results = links.groupBy("page_id", "widget").agg(F.array_sort(F.collect_list(F.struct("node_id", "href", F.col("content").alias("title")))).alias("results"))
+    keys = ["page_id", "widget"]
+    count = F.nullif(F.regexp_extract("count_text", r"(\d+)", 1), F.lit("")).cast("int")
+    return part("query", "query").where("query <> ''").join(part("count", "count_text"), keys, "left").join(results, keys, "left").select(
+        *keys, "query", count.alias("result_count"), "results"
+    )
+
+
+def extract_canvas(nodes: DataFrame) -> DataFrame:
+    """(page_id, node_id, content): canvases with text, under their mark."""
+    return node_text(nodes, has_class("canvas")).where("content <> ''").select("page_id", "node_id", F.concat(F.lit("[Canvas Content]\n"), "content").alias("content"))
+
+
+def collapse_math(nodes: DataFrame) -> DataFrame:
+    """(page_id, node_id, marker): each outermost formula as ``$tex$``, or ``$$tex$$`` in display.
+
+    The TeX annotation is preferred, then the text of the formula.
+    """
+    roots = nodes.where(has_class("katex") | (F.col("tag") == "mjx-container")).select("page_id", F.col("node_id").alias("root"), F.col("path").alias("root_path"))
+    held = roots.select("page_id", F.col("root").alias("outer"))
+    nested = roots.select("page_id", "root", F.explode("root_path").alias("outer")).where("outer < root").join(held, ["page_id", "outer"]).select("page_id", "root").distinct()
+    top = roots.join(nested, ["page_id", "root"], "left_anti").select("page_id", F.col("root").alias("node_id"))
+    tex = inside(node_text(nodes, F.col("tag") == "annotation"), top.withColumnRenamed("node_id", "root"), "root").groupBy("page_id", F.col("root").alias("node_id")).agg(F.min_by("content", "node_id").alias("tex"))
+    whole = node_text(nodes, has_class("katex") | (F.col("tag") == "mjx-container")).select("page_id", "node_id", "content", (F.array_contains("classes", "display") | (attr("display") == "true")).alias("display"))
+    mark = F.when(F.coalesce("display", F.lit(False)), "$$").otherwise("$")
+    return top.join(whole, ["page_id", "node_id"]).join(tex, ["page_id", "node_id"], "left").select(
+        "page_id", "node_id", F.concat(mark, F.coalesce(F.nullif("tex", F.lit("")), "content"), mark).alias("marker")
+    )
+
+
+def extract_code_artifacts(nodes: DataFrame) -> DataFrame:
+    """(page_id, node_id, title, type, language, content): boxes of class ``artifact``.
+
+    The language is that of the box's header, else ``code``; a picture makes it an image.
+    """
+    boxes = nodes.where(has_class("artifact")).select("page_id", F.col("node_id").alias("box"))
+    header = inside(node_text(nodes, has_class("header")), boxes, "box").groupBy("page_id", "box").agg(F.min_by("content", "node_id").alias("label"))
+    body = inside(node_text(without(nodes, F.col("tag") == "img"), F.col("tag") == "pre", trim=False), boxes, "box").groupBy("page_id", "box").agg(F.min_by("content", "node_id").alias("content"))
+    picture = inside(nodes.where("tag = 'img'").select("page_id", "node_id", "path"), boxes, "box").select("page_id", "box").distinct().withColumn("picture", F.lit(True))
+    keys = ["page_id", "box"]
+    language = F.coalesce(F.nullif(F.lower("label"), F.lit("")), F.lit("code"))
+    return body.where("trim(content) <> ''").join(header, keys, "left").join(picture, keys, "left").select(
+        "page_id", F.col("box").alias("node_id"), initcap_first(language).alias("title"),
+        F.when((language == "svg") | F.coalesce("picture", F.lit(False)), "image").otherwise("code").alias("type"), language.alias("language"), F.trim("content").alias("content"),
+    )
+
+
+def structured_messages(messages: DataFrame, blocks: DataFrame, markers: DataFrame) -> DataFrame:
+    """(message_id, ordinal, type, text): blocks where html was there, else one paragraph; markers behind.
+
+    ``messages``: (message_id, content); ``blocks``: (message_id, ordinal, type, text) of those
+    with html; ``markers``: (message_id, ordinal, text).
+    """
+    plain = messages.join(blocks.select("message_id").distinct(), "message_id", "left_anti").where("trim(content) <> ''").select(
+        "message_id", F.lit(0).alias("part"), F.lit(0).alias("ordinal"), F.lit("paragraph").alias("type"), F.trim("content").alias("text")
+    )
+    own = blocks.select("message_id", F.lit(0).alias("part"), "ordinal", "type", "text")
+    marks = markers.select("message_id", F.lit(1).alias("part"), "ordinal", F.lit("paragraph").alias("type"), "text")
+    return plain.unionByName(own).unionByName(marks)
