@@ -71,13 +71,23 @@ def pair_step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) ->
         if r.role == "user":
             turn, question = r.turn, r.content
     state.update((index, turn, question))
-    state.setTimeoutDuration(7 * 24 * 3600 * 1000)
     yield pd.DataFrame(out, columns=["conv_id", "pair_index", "turn", "question", "answer"])
 
 
-def stream_pairing(turns: DataFrame) -> DataFrame:
-    """Pairs of a stream of turns; after all turns, those of the batch operator."""
+def stream_pairing(turns: DataFrame, expire_ms: int | None = None) -> DataFrame:
+    """Pairs of a stream of turns; after all turns, those of the batch operator.
+
+    With ``expire_ms``, a conversation that was silent for so long is forgotten, which bounds
+    the state; such a stream runs until it is stopped.
+    """
     ship(turns.sparkSession)
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        yield from pair_step(key, frames, state)
+        if expire_ms and state.exists:
+            state.setTimeoutDuration(expire_ms)
+
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if expire_ms else GroupStateTimeout.NoTimeout
     return turns.where("role IN ('user', 'assistant')").groupBy("conv_id").applyInPandasWithState(
-        pair_step, PAIR, "pair_index int, turn long, question string", "append", GroupStateTimeout.ProcessingTimeTimeout
+        step, PAIR, "pair_index int, turn long, question string", "append", timeout
     )
