@@ -6,7 +6,8 @@ found on digests alone; payloads aren't shuffled unless these are too many to br
 
 Reading: archives are split like any text, so a task sees bytes without knowing where records
 begin.  Each task emits, for every place where the magic ``WARC/1.0`` stands, a candidate
-record with the offset of its successor.  From the start of each file, pointer jumping keeps
+record with the offset of its successor.  Of each file, these narrow rows (a few numbers for
+each magic, no payloads) meet in a task, where pointer jumping from the start of the file keeps
 the candidates that the chain of successors reaches, doubling the distance in every round;
 magic inside payloads isn't on the chain.  Payloads that hold the magic are put together from
 their pieces in a second scan, for those records only.
@@ -26,6 +27,7 @@ import re
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -144,17 +146,35 @@ def pieces(spark: SparkSession, path: str) -> DataFrame:
     return text.select(F.col("value").cast("binary").alias("value"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"))
 
 
-def reached(links: DataFrame) -> DataFrame:
-    """``links``: (file, offset, successor).  The (file, offset) that are on the chain from 0."""
-    on = links.where("offset = 0").select("file", "offset")
-    there = links.select("file", F.col("offset").alias("to"))
-    jumps = cut(links.select("file", "offset", F.col("successor").alias("to")).join(there.hint("merge"), ["file", "to"]).select("file", "offset", "to"))
-    while not jumps.isEmpty():
-        step = on.join(jumps.hint("merge"), ["file", "offset"]).select("file", F.col("to").alias("offset"))
-        on = cut(on.union(step))
-        further = jumps.select("file", F.col("offset").alias("to"), F.col("to").alias("next"))
-        jumps = cut(jumps.join(further.hint("merge"), ["file", "to"]).select("file", "offset", F.col("next").alias("to")))
-    return on
+def on_chain(offset: np.ndarray, successor: np.ndarray) -> np.ndarray:
+    """Which records the chain of successors reaches from offset 0, by pointer jumping.
+
+    In each round, what is reached marks what its pointers lead to, and all pointers double.
+    """
+    n = len(offset)
+    at = np.searchsorted(offset, successor)
+    there = (at < n) & (offset[np.minimum(at, n - 1)] == successor)
+    pointer = np.append(np.where(there, at, n), n)  # n: beyond the last record
+    marked = np.append(offset == 0, False)
+    while (pointer < n).any():
+        marked[pointer[marked]] = True
+        pointer = pointer[pointer]
+    return marked[:n]
+
+
+KEPT = "file string, offset long, successor long, head long, length long, kind string, page_id long, digest string, payload_bytes long, refers_to long, found string"
+
+
+def chain(frame: pd.DataFrame) -> pd.DataFrame:
+    """The records of one file among its pieces: places from the sizes of all pieces before."""
+    frame = frame.sort_values(["split", "at"])
+    frame["offset"] = frame["used"].cumsum() - frame["used"] - len(MAGIC)
+    frame = frame[frame["kind"].notna()].copy()
+    if not len(frame):
+        return frame.reindex(columns=[x.split()[0] for x in KEPT.split(", ")])
+    frame["successor"] = frame["offset"] + len(MAGIC) + frame["head"] + frame["length"] + 4
+    reached = on_chain(frame["offset"].to_numpy(np.int64), frame["successor"].to_numpy(np.int64))
+    return frame[reached][[x.split()[0] for x in KEPT.split(", ")]]
 
 
 def put_together(frame: pd.DataFrame) -> pd.DataFrame:
@@ -169,20 +189,15 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """Rows (page_id, payload_bytes, payload_digest, record_type, refers_to, intact), one for each record."""
     ship(spark)
     found = cut(pieces(spark, path).mapInArrow(scan, PIECES))
-    before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
-    bases = found.groupBy("file", "split").agg(F.sum("used").alias("all")).select(
-        "file", "split", F.coalesce(F.sum("all").over(before), F.lit(0)).alias("base")
-    )
-    bases = cut(bases)
-    placed = found.where("kind IS NOT NULL").join(bases.hint("merge"), ["file", "split"])
-    placed = placed.withColumn("offset", F.col("base") + F.col("at") - len(MAGIC)).withColumn(
-        "successor", F.col("offset") + len(MAGIC) + F.col("head") + F.col("length") + 4
-    ).drop("split", "at", "used", "base")
-    placed = cut(placed)
-    kept = cut(placed.join(reached(placed.select("file", "offset", "successor")).hint("merge"), ["file", "offset"]))
+    # narrow rows, without payloads: as many to a file as magics stand in it
+    kept = cut(found.groupBy("file").applyInPandas(chain, KEPT))
     open_ones = kept.where("found IS NULL").select("file", "offset", "successor", "head", "length")
     joined = spark.createDataFrame([], "file string, offset long, joined string")
     if not open_ones.isEmpty():
+        before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+        bases = found.groupBy("file", "split").agg(F.sum("used").alias("all")).select(
+            "file", "split", F.coalesce(F.sum("all").over(before), F.lit(0)).alias("base")
+        )
         again = (
             pieces(spark, path).mapInArrow(place, "file string, split long, at long, value binary").join(bases.hint("shuffle_hash"), ["file", "split"])
             .withColumn("p", F.col("base") + F.col("at"))
