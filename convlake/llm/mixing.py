@@ -113,26 +113,27 @@ def op5_mixing(documents: DataFrame) -> DataFrame:
 def mix(documents: DataFrame, weights: Sequence[float] = WEIGHTS, cap: float = 3.0, seed: int = 0) -> DataFrame:
     """The mixed documents themselves: each as often as it was emitted, all columns kept.
 
-    The copies of a document are found on (doc_id, source, size); rows alike in these are told
-    apart by a number that is written with them, so that each row gets one count of its own.
+    Rows alike in (doc_id, source, size) share the copies of their places; only such rows are
+    numbered among themselves, in the order of their texts' hashes.
     """
     keys = ["doc_id", "source", "size"]
-    numbered = cut(documents.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("__t")))
-    counts = systematic_copies(numbered, weights, cap, seed)
-    # rows that share the key and the text are interchangeable: their copies are spread by sum
+    counts = systematic_copies(documents.select("doc_id", "source", word_count(F.col("text")).alias("size")), weights, cap, seed)
     pooled = counts.groupBy(*keys).agg(F.sum("copies").alias("__c"), F.count("*").alias("__k"))
-    return (
+    found = (
         documents.withColumn("__size", word_count(F.col("text"))).alias("d")
         .join(
             pooled.hint("merge").alias("c"),
             F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")) & F.col("d.source").eqNullSafe(F.col("c.source")) & (F.col("d.__size") == F.col("c.size")),
         )
         .select("d.*", "c.__c", "c.__k")
-        .withColumn("__times", F.expr("__c div __k").cast("int"))
-        .withColumn("__i", F.explode(F.sequence(F.lit(1), F.greatest(F.col("__times"), F.lit(1)))))
-        .where(F.col("__times") > 0)
-        .select(*documents.columns)
+        .where("__c > 0")
     )
+    alone = found.where("__k = 1").withColumn("__times", F.col("__c"))
+    place = F.row_number().over(Window.partitionBy("doc_id", "source", "__size").orderBy(F.xxhash64("text")))
+    alike = found.where("__k > 1").withColumn("__place", place).withColumn(
+        "__times", F.expr("__c div __k") + (F.col("__place") <= F.col("__c") % F.col("__k")).cast("long")
+    ).drop("__place").where("__times > 0")
+    return alone.unionByName(alike).withColumn("__i", F.explode(F.sequence(F.lit(1).cast("long"), "__times"))).select(*documents.columns)
 
 
 OP5_SQL = """
