@@ -26,12 +26,13 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from convlake.llm.common import cut, ship, unit
+from convlake.llm.common import cut, near, ship, unit
 
 ALPHABET = "abcdefghijklmnopqrstuvwxyzàáâäãåçèéêëìíîïñòóôöõùúûüýÿßœæ"
 CODE = {c: i + 1 for i, c in enumerate(ALPHABET)}  # 0: before the first and after the last letter
@@ -162,26 +163,33 @@ def language_model(docs: DataFrame) -> np.ndarray:
     return np.log((tri + 5 * bi[None]) / (tri.sum(2, keepdims=True) + 5))
 
 
-def restored_words(words: pa.Array, number: np.ndarray, ends: np.ndarray, restorer: Restorer) -> Iterator[tuple[set[str], int]]:
-    """Each document's different restored words, and how many words it has."""
+def word_hash(words: list[str] | np.ndarray) -> np.ndarray:
+    words = np.asarray(words, object)
+    return pd.util.hash_array(words, categorize=False).astype(np.int64) if len(words) else np.zeros(0, np.int64)
+
+
+def restored_words(texts: pa.Array, restorer: Restorer) -> Iterator[np.ndarray]:
+    """The hashes of each document's different restored words of 3 to 40 letters."""
+    words, number, ends = split_words(texts)
     raw = words.to_pylist()
-    forms = np.array([restorer.restore(w) for w in raw] or [""], object)
-    single = np.array([len(w) <= 3 and len(w.strip(".,;:!?\"'-*_") or w) == 1 for w in raw] or [False])
+    forms = [restorer.restore(w) for w in raw]
+    hashes, fine = word_hash(forms), np.array([2 < len(w) <= 40 for w in forms], bool)
+    single = np.array([len(w) <= 3 and len(w.strip(".,;:!?\"'-*_") or w) == 1 for w in raw], bool)
     for a, b in zip(ends[:-1], ends[1:], strict=True):
         own = number[a:b]
-        found = set(forms[np.unique(own)]) if len(own) else set()
+        found = hashes[own[fine[own]]]
         one = single[own]
         if (one[:-2] & one[1:-1] & one[2:]).any():
-            found.update(restorer.restore(w) if SUSPECT.search(w) else w.lower() for w in spelled_out([raw[i] for i in own]))
-        found.discard("")
-        yield found, len(own)
+            spelled = [restorer.restore(w) if SUSPECT.search(w) else w.lower() for w in spelled_out([raw[i] for i in own])]
+            found = np.concatenate([found, word_hash(spelled)])
+        yield np.unique(found)
 
 
 def training(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Labelled rows outside of the held-out fold, with their texts: (doc_id, text, toxic)."""
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.where(~held_out(F.col("doc_id")))
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).join(known.hint("shuffle_hash"), "doc_id")
+    return near(docs.select("doc_id", F.col("text").cast("string").alias("text")), known, ["doc_id"], "inner", 2_000_000)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -199,22 +207,16 @@ class Scorer:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for some in _slices(batches):
-                found = list(restored_words(*split_words(some.column(1)), shared.value))
-                lists = [sorted(w for w in words if 2 < len(w) <= 40) for words, _ in found]
-                yield pa.RecordBatch.from_arrays(
-                    [some.column(0), some.column(2), pa.array(lists, pa.list_(pa.string())), pa.array([n for _, n in found], pa.int64())],
-                    ["doc_id", "toxic", "words", "n"],
-                )
+                lists = list(restored_words(some.column(1), shared.value))
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(2), pa.array(lists, pa.list_(pa.int64()))], ["doc_id", "toxic", "words"])
 
         rows = training(docs, labels).select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
-        rows = cut(rows.mapInArrow(run, "doc_id long, toxic int, words array<string>, n long"))
+        rows = cut(rows.mapInArrow(run, "doc_id long, toxic int, words array<long>"))
         # copies of a text, and texts with the same words, count once
         texts = rows.groupBy(F.xxhash64("words").alias("t")).agg(F.max("toxic").alias("toxic"), F.first("words").alias("words"))
-        totals = texts.groupBy("toxic").count().collect()
-        n = {r["toxic"]: r["count"] for r in totals}
+        n = {r["toxic"]: r["count"] for r in texts.groupBy("toxic").count().collect()}
         bad, good = n.get(1, 0), n.get(0, 0)
-        self.weight: dict[str, float] = {}
-        self.logit = np.array([-40.0, 0.0, 0.0])
+        self.lexicon, self.weight, self.logit = np.zeros(0, np.int64), np.zeros(0), np.array([-40.0, 0.0, 0.0])
         if not bad:
             return
         words = texts.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(
@@ -224,39 +226,43 @@ class Scorer:
         spread = F.sqrt(1 / (F.col("b") + 0.5) + 1 / (F.col("g") + 0.5))
         chosen = (
             words.where(F.col("b") >= least).withColumn("w", odds).where((F.col("w") > 1.5) & (F.col("w") / spread > 2.5))
-            .withColumn("sure", F.col("w") / spread).orderBy(F.desc("sure"), "word").limit(LEXICON_MOST).collect()
+            .withColumn("sure", F.col("w") / spread).orderBy(F.desc("sure"), "word").limit(LEXICON_MOST).toPandas()
         )
         # words that only a single template has lift few texts; the surest ones carry the lexicon
-        top = chosen[0]["b"] if chosen else 0
-        self.weight = {r["word"]: float(r["w"]) for r in chosen if r["b"] >= max(least, top / 8)}
-        fit = rows.orderBy(unit(F.col("doc_id")), "doc_id").limit(sample)
-        of = spark.sparkContext.broadcast(self.weight)
+        chosen = chosen[chosen["b"] >= max(least, chosen["b"].iloc[0] / 8)] if len(chosen) else chosen
+        chosen = chosen.sort_values("word")
+        self.lexicon, self.weight = chosen["word"].to_numpy(np.int64), chosen["w"].to_numpy(float)
+        # a bounded sample of training rows, without their words but for the lexicon's
+        lexicon = spark.sparkContext.broadcast((self.lexicon, self.weight))
 
         def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                x = np.array([self_features(w, of.value) for w in batch.column(1).to_pylist()]).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x[:, 0]), pa.array(x[:, 1])], ["toxic", "x1", "x2"])
+                x = np.array([lexicon_features(np.array(w, np.int64), *lexicon.value) for w in batch.column(2).to_pylist()]).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(x[:, 0]), pa.array(x[:, 1])], ["doc_id", "toxic", "x1", "x2"])
 
-        data = fit.select("toxic", "words").mapInArrow(features, "toxic int, x1 double, x2 double").toPandas()
+        data = rows.mapInArrow(features, "doc_id long, toxic int, x1 double, x2 double").orderBy(unit(F.col("doc_id")), "doc_id").limit(sample).toPandas()
         self.logit = fit_logistic(data[["x1", "x2"]].to_numpy(), data["toxic"].to_numpy(float))
 
     def scored(self, docs: DataFrame) -> DataFrame:
-        shared = docs.sparkSession.sparkContext.broadcast((self.restorer, self.weight, self.logit))
+        shared = docs.sparkSession.sparkContext.broadcast((self.restorer, self.lexicon, self.weight, self.logit))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            restorer, weight, logit = shared.value
+            restorer, lexicon, weight, logit = shared.value
             for some in _slices(batches):
-                x = np.array([[1.0, *self_features(w, weight)] for w, _ in restored_words(*split_words(some.column(1)), restorer)]).reshape(-1, 3)
+                x = np.array([[1.0, *lexicon_features(w, lexicon, weight)] for w in restored_words(some.column(1), restorer)]).reshape(-1, 3)
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array(1 / (1 + np.exp(-np.clip(x @ logit, -40, 40))))], ["doc_id", "score"])
 
         narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
         return narrow.mapInArrow(run, "doc_id long, score double")
 
 
-def self_features(words: list[str] | set[str], weight: dict[str, float]) -> list[float]:
-    """Whether there are lexicon words, and how many different ones."""
-    hits = [weight[w] for w in words if w in weight]
-    return [float(bool(hits)) * max(hits, default=0.0), np.log1p(len(hits))]
+def lexicon_features(words: np.ndarray, lexicon: np.ndarray, weight: np.ndarray) -> list[float]:
+    """The weight of a text's surest lexicon word, and how many different ones it has."""
+    if not len(lexicon) or not len(words):
+        return [0.0, 0.0]
+    at = np.minimum(np.searchsorted(lexicon, words), len(lexicon) - 1)
+    hits = weight[at[lexicon[at] == words]]
+    return [float(hits.max(initial=0.0)), float(np.log1p(len(hits)))]
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 30) -> np.ndarray:
