@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from convlake.functions.naming import escape_html
+from convlake.functions.text import wrap_text
 from convlake.operators.html import coalesce_runs  # noqa: F401  runs of pages and of code alike
 
 NUMBER = r"^-?[\d,]+(\.\d+)?%?$"
@@ -158,3 +160,25 @@ def message_from_parts(parts: DataFrame, keys: list[str]) -> DataFrame:
     kept = parts.where("trim(text) <> ''").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(rank.alias("r"), "ordinal", shown.alias("t")))).alias("p"))
     joined = kept.select(*keys, F.array_join(F.transform("p", lambda x: x["t"]), "\n\n").alias("content"))
     return parts.select(*keys).distinct().join(joined, keys, "left")
+
+
+def txt_list(items: DataFrame, key: str, width: int = 72) -> DataFrame:
+    """(key, text): items two spaces in for each depth, wrapped with a hanging indent.  Items: (key, pos, depth, text)."""
+    lead = F.repeat(F.lit("  "), F.col("depth"))
+    body = F.array_join(wrap_text(F.col("text"), width - 2), "\n")
+    hanging = F.replace(body, F.lit("\n"), F.concat(F.lit("\n"), lead, F.lit("  ")))
+    line = F.concat(lead, F.lit("- "), hanging)
+    return items.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", line.alias("s")))), lambda x: x["s"]), "\n").alias("text"))
+
+
+def html_list(items: DataFrame, key: str) -> DataFrame:
+    """(key, html): nested lists, opened and closed where the depth changes between neighbours."""
+    w = Window.partitionBy(key).orderBy("pos")
+    before, after = F.coalesce(F.lag("depth").over(w), F.lit(-1)), F.coalesce(F.lead("depth").over(w), F.lit(-1))
+    opening = F.repeat(F.lit("<ul>"), F.greatest(F.col("depth") - F.col("before"), F.lit(0)))
+    closing = F.when(F.col("after") > F.col("depth"), "").when(
+        F.col("after") >= 0, F.concat(F.lit("</li>"), F.repeat(F.lit("</ul></li>"), F.col("depth") - F.col("after")))
+    ).otherwise(F.concat(F.lit("</li>"), F.repeat(F.lit("</ul></li>"), F.col("depth")), F.lit("</ul>")))
+    part = F.concat(opening, F.lit("<li>"), escape_html(F.col("text")), closing)
+    rows = items.withColumn("before", before).withColumn("after", after)
+    return rows.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", part.alias("s")))), lambda x: x["s"]), "").alias("html"))

@@ -16,6 +16,7 @@ from convlake.sources import tables
 from convlake.sources.tables import read_table, read_turns
 
 c = F.col
+ESC = "replace(replace(replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;')"
 
 # ---- dumps ---------------------------------------------------------------------------
 # A dump of every conversation is written as JSON from its turns and read back.  Assistant
@@ -354,6 +355,25 @@ def used_sources_only(spark, d):
     return cited.where("used").select("page_id", "url")
 
 
+def items(spark, d):
+    """Turns as list items: the depth rises by one from item to item, and falls back after three."""
+    return read_turns(spark, d).select("conv_id", c("turn").alias("pos"), (c("turn") % 3).cast("int").alias("depth"), c("content").alias("text"))
+
+
+@query()
+def txt_list(spark, d):
+    return lines.txt_list(items(spark, d), "conv_id")
+
+
+@query(f"""WITH i AS (SELECT conv_id, turn, turn % 3 AS depth, coalesce(lag(turn % 3) OVER w, -1) AS b, coalesce(lead(turn % 3) OVER w, -1) AS a, {ESC.format('text')} AS t
+  FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+p AS (SELECT conv_id, turn, repeat('<ul>', greatest(depth - b, 0)) || '<li>' || t || CASE WHEN a > depth THEN '' WHEN a >= 0 THEN '</li>' || repeat('</ul></li>', depth - a)
+  ELSE '</li>' || repeat('</ul></li>', depth) || '</ul>' END AS s FROM i)
+SELECT conv_id, string_agg(s, '' ORDER BY turn) AS html FROM p GROUP BY conv_id""")
+def html_list(spark, d):
+    return lines.html_list(items(spark, d), "conv_id")
+
+
 # ---- transcripts ----------------------------------------------------------------------
 
 TITLE = "'Conversation ' || conv_id"
@@ -371,9 +391,6 @@ def write_txt_transcripts(spark, d):
     return transcripts.txt_transcripts(some_selected(spark, d))
 
 
-ESC = "replace(replace(replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;')"
-
-
 @query(f"""{PAIRS_SQL}, {SELECTED}, b AS (SELECT conv_id, string_agg('<div class="user"><p>' || {ESC.format('question')} || '</p></div><div class="assistant"><p>' || {ESC.format('answer')} || '</p></div>', '<hr>' ORDER BY pair_index) AS body FROM s WHERE selected GROUP BY conv_id)
 SELECT conv_id, '<!doctype html><html><head><style>body{{max-width:50em;margin:auto}}</style></head><body><h1>' || {TITLE} || '</h1>' || body || '</body></html>' AS document FROM b""")
 def write_html_transcripts(spark, d):

@@ -48,9 +48,7 @@ def some_selected(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECTED = "s AS (SELECT * REPLACE (pair_index % 3 <> 2 AND conv_id % 10 <> 0 AS selected) FROM p)"
 
 
-@query("SELECT conv_id, turn, role, text AS content FROM conversations")
-def read_turns_scan(spark, d):
-    return read_turns(spark, d)
+query("SELECT conv_id, turn, role, text AS content FROM conversations", "read_turns")(read_turns)
 
 
 @query("SELECT conv_id, turn, role, text AS content FROM conversations WHERE role IN ('user', 'assistant')")
