@@ -45,8 +45,8 @@ STANDS_FOR = {
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i", "§": "s",
 }
 SEPARATORS = "._-*~'`^,:;/\\"
-EDGE = re.compile(r"^[^\w@$!|+(€£¡§]+|[^\w@$]+$")
-SUSPECT = re.compile(r"[^\W\d_][^\s]*[0-9@$!|+(€£¡§._*~-][^\s]*[^\W_]|^[0-9@$!|+(€£¡§][^\s]*[^\W\d_]|(\w)\1\1")
+EDGE = re.compile(r"^[^\w@$!|+€£¡§]+|[^\w@$]+$")
+SUSPECT = re.compile(r"[^\W\d_][^\s]*[0-9@$!|+(€£¡§._*~-][^\s]*[^\W_]|^[0-9@$!|+€£¡§][^\s]*[^\W\d_]|(\w)\1\1")
 LEXICON_MOST = 4096
 
 
