@@ -12,10 +12,13 @@ or more.  The steps:
    meet with high probability aren't generated, and the limit is doubled where they don't.
    Two signatures agree in a place with a probability equal to the weighted Jaccard similarity.
 3. Signatures are cut into bands; texts alike in a band are candidates.  Within a bucket all
-   are compared with the bucket's smallest, and verified on their multisets.
+   are compared with the one that meets most others over all bands (if the others were made
+   from one text, with that one), and verified on their multisets.
 4. Linked texts form components.  Buckets that still hold several components are compared
-   across these, pair by pair, so that no link between texts that share a band is lost; pairs
-   within a component can add nothing.
+   across these, so that no link between texts that share a band is lost; pairs within a
+   component can add nothing.  Small buckets are joined with themselves; large ones are dealt
+   into blocks, in which pairs are estimated from whole signatures, and those that may reach
+   the limit are verified.
 
 With 26 bands of 5 places, a pair at similarity 0.8 shares no band with probability 3e-5.
 
@@ -37,9 +40,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from convlake.llm.common import cut, ship
+from convlake.llm.common import cut, near, ship
 
 SHINGLE, BANDS, ROWS = 5, 26, 5
+#: Places of a signature beyond those of the bands, for estimates alone; one byte of each is kept.
+MORE = 390
+#: Buckets of up to so many texts are compared by a join, larger ones in blocks.
+FEW = 64
 U64 = np.uint64
 
 
@@ -162,15 +169,17 @@ def signed(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for some in _slices(batches):
             bags = Bags(some.column(2), size)
-            keys = band_keys(signatures(bags, bands * rows), bands, rows)
+            values = signatures(bags, bands * rows + MORE)
+            keys = band_keys(values[:, : bands * rows], bands, rows)
+            sketches = [v.tobytes() for v in values.astype(np.uint8)]
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, bands), pa.int32()), pa.array(keys.ravel()))
             yield pa.RecordBatch.from_arrays(
-                [some.column(0), some.column(1), pa.array(bags.print, pa.binary()), pa.array(bags.total, pa.int64()), lists],
-                ["doc_id", "key", "print", "total", "bands"],
+                [some.column(0), some.column(1), pa.array(bags.print, pa.binary()), pa.array(bags.total, pa.int64()), lists, pa.array(sketches, pa.binary())],
+                ["doc_id", "key", "print", "total", "bands", "sketch"],
             )
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(), F.col("text").cast("string").alias("text"))
-    found = narrow.mapInArrow(run, "doc_id long, key binary, print binary, total long, bands array<long>")
+    found = narrow.mapInArrow(run, "doc_id long, key binary, print binary, total long, bands array<long>, sketch binary")
     return found.withColumn("row", F.monotonically_increasing_id())
 
 
@@ -188,11 +197,6 @@ def multisets(texts: DataFrame, size: int) -> DataFrame:
     return texts.mapInArrow(run, "node long, members array<long>")
 
 
-def near(df: DataFrame, small: DataFrame, on: list[str], how: str, most: int = 500_000) -> DataFrame:
-    """Join with ``small`` broadcast if it has ``most`` rows at most, and shuffled otherwise."""
-    return df.join(F.broadcast(small) if small.count() <= most else small.hint("shuffle_hash"), on, how)
-
-
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, at_least: float) -> DataFrame:
     """Of the pairs (a, b) of nodes, those of similarity ``at_least`` and more.
 
@@ -237,6 +241,44 @@ def components(links: DataFrame) -> DataFrame:
         before = now
 
 
+def likely(members: DataFrame, nodes: DataFrame, at_least: float, block: int = 256, sure: float = 3.5) -> DataFrame:
+    """Pairs (a, b) across the components of large buckets whose estimated similarity may reach ``at_least``.
+
+    A bucket is dealt into blocks, and blocks meet in tasks of their own, where all their pairs
+    are estimated from sketches at once; only pairs no more than ``sure`` standard errors below
+    the limit leave the task.
+    """
+    parts = F.ceil(F.col("n") / block).cast("int")
+    sent = (
+        members.join(nodes.select("node", "sketch", "bands").hint("merge"), "node")
+        .withColumn("own", F.pmod(F.xxhash64("node"), parts).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+        .select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "total", "root", "sketch", "bands")
+    )
+
+    def estimate(frame: pd.DataFrame) -> pd.DataFrame:
+        left, right = frame[frame["own"] == frame["i"]], frame[frame["own"] == frame["j"]]
+        x, y = (np.frombuffer(b"".join(f["sketch"]), np.uint8).reshape(len(f), -1) for f in (left, right))
+        if not len(x) or not len(y):
+            return pd.DataFrame({"a": [], "b": []})
+        # bytes that differ in origin are equal once in 256 times
+        least = at_least - sure * np.sqrt(at_least * (1 - at_least) / x.shape[1])
+        least += (1 - least) / 256
+        t, u, p, q = left["total"].to_numpy(), right["total"].to_numpy(), left["node"].to_numpy(), right["node"].to_numpy()
+        r, s, out = left["root"].to_numpy(), right["root"].to_numpy(), []
+        bands, others, bucket = np.stack(left["bands"]), np.stack(right["bands"]), frame["bucket"].iloc[0]
+        for k in range(len(x)):
+            fine = np.flatnonzero(((x[k] == y).mean(1) >= least) & (r[k] != s) & (np.minimum(t[k], u) >= at_least * np.maximum(t[k], u) - 1e-9))
+            # a pair that shares several buckets is told in the first of them alone
+            fine = fine[bands[k][(bands[k] == others[fine]).argmax(1)] == bucket]
+            out.append(np.stack([np.full(len(fine), p[k]), q[fine]], axis=1))
+        both = np.concatenate(out)
+        both = np.unique(np.sort(both, axis=1), axis=0)
+        return pd.DataFrame({"a": both[:, 0], "b": both[:, 1]})
+
+    return sent.groupBy("bucket", "i", "j").applyInPandas(estimate, "a long, b long")
+
+
 def near_classes(
     docs: DataFrame, at_least: float = 0.8, size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS
 ) -> DataFrame:
@@ -249,28 +291,34 @@ def near_classes(
     with_words = all_rows.where("total > 0")
     same = with_words.groupBy("print").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row", "key")).alias("s"),
-        F.first("total").alias("total"), F.first("bands").alias("bands"),
+        F.first("total").alias("total"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"),
     )
-    nodes = cut(same.select("print", F.col("s.row").alias("node"), "s.doc_id", "s.key", "total", "bands"))
+    nodes = cut(same.select("print", F.col("s.row").alias("node"), "s.doc_id", "s.key", "total", "bands", "sketch"))
     banded = nodes.select("node", "total", F.explode("bands").alias("bucket"))
-    shared = banded.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.struct("node", "total")).alias("lead")).where("n > 1")
-    members = cut(banded.join(shared.select("bucket", "lead").hint("shuffle_hash"), "bucket"))
+    shared = banded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    members = cut(banded.join(shared.hint("shuffle_hash"), "bucket"))
+    # the text that meets most others, such as the one that the others were made from
+    met = members.groupBy("node").agg(F.sum("n").alias("met"))
+    lead = members.join(met.hint("merge"), "node").groupBy("bucket").agg(F.max(F.struct("met", (-F.col("node")).alias("minus"), "total")).alias("lead"))
+    lead = lead.select("bucket", F.struct((-F.col("lead.minus")).alias("node"), F.col("lead.total").alias("total")).alias("lead"))
+    members = cut(members.join(lead.hint("merge"), "bucket").select("bucket", "node", "total", "lead"))
     could = lambda x, y: F.least(x, y) >= at_least * F.greatest(x, y) - 1e-9
     pairs = (
         members.where("node <> lead.node").where(could(F.col("total"), F.col("lead.total")))
-        .select(F.col("lead.node").alias("a"), F.col("node").alias("b")).distinct()
+        .select(F.least("lead.node", "node").alias("a"), F.greatest("lead.node", "node").alias("b")).distinct()
     )
     links = verified(pairs, nodes, docs, size, at_least)
     roots = components(links)
 
     rooted = members.join(roots.hint("merge"), "node", "left").select("bucket", "node", "total", F.coalesce("root", "node").alias("root"))
-    several = rooted.groupBy("bucket").agg(F.min("root").alias("p"), F.max("root").alias("q")).where("p < q").select("bucket")
+    several = rooted.groupBy("bucket").agg(F.min("root").alias("p"), F.max("root").alias("q"), F.count("*").alias("n")).where("p < q").select("bucket", "n")
     rooted = cut(rooted.join(several.hint("merge"), "bucket"))
-    x, y = rooted.alias("x"), rooted.alias("y")
-    across = (
-        x.join(y.hint("merge"), (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.root") < F.col("y.root")) & could(F.col("x.total"), F.col("y.total")))
-        .select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-    )
+    few = rooted.where(F.col("n") <= FEW)
+    x, y = few.alias("x"), few.alias("y")
+    across = x.join(
+        y.hint("merge"), (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.root") < F.col("y.root")) & could(F.col("x.total"), F.col("y.total"))
+    ).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
+    across = across.union(likely(rooted.where(F.col("n") > FEW), nodes, at_least)).distinct()
     across = across.join(pairs.hint("merge"), ["a", "b"], "left_anti")
     more = verified(across, nodes, docs, size, at_least)
     roots = components(links.union(more))
