@@ -122,7 +122,7 @@ def mix(documents: DataFrame, weights: Sequence[float] = WEIGHTS, cap: float = 3
     found = (
         documents.withColumn("__size", word_count(F.col("text"))).alias("d")
         .join(
-            pooled.hint("merge").alias("c"),
+            pooled.hint("shuffle_hash").alias("c"),
             F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")) & F.col("d.source").eqNullSafe(F.col("c.source")) & (F.col("d.__size") == F.col("c.size")),
         )
         .select("d.*", "c.__c", "c.__k")
