@@ -53,7 +53,7 @@ def spans(text: Column, pattern: str, kind: int, value: Column, could: Column) -
             (x["e"] - F.length(x["h"])).alias("start"), F.lit(kind).alias("k"), x["e"].alias("end"), x["v"].alias("value")
         ),
     )
-    return F.when(could, placed).otherwise(F.array().cast(SPAN)).cast(SPAN)
+    return F.when(could & F.rlike(text, F.lit(pattern)), placed).otherwise(F.array().cast(SPAN)).cast(SPAN)
 
 
 def base_spans(text: Column) -> Column:
