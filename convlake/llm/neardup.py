@@ -203,7 +203,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, at_
     Only the texts that stand in a pair are read into multisets.
     """
     pairs = cut(pairs)
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    asked = pairs.select(F.col("a").alias("node")).distinct().union(pairs.select("b").distinct()).distinct()
     asked = cut(asked.join(nodes.hint("merge"), "node").select("node", "doc_id", "key"))
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(), F.col("text").cast("string").alias("text"))
     # null ids can't be joined on; -1 stands for them, and the text's key tells them apart
