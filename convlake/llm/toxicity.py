@@ -2,10 +2,11 @@
 
 1. A character language model (trigrams over an alphabet of letters) is counted over all
    documents; each word counts once for every time it stands there.
-2. Words that look disguised (symbols or digits among letters, long repetitions, letters
-   spelled out one by one) are lattices: each character may be itself, a letter it often
-   stands for, or nothing (a separator or a repetition).  The Viterbi path through the lattice
-   under the language model is the restored word.
+2. Words that may be disguised (a stand-in or separator anywhere, also at the ends, a letter
+   twice in a row, letters spelled out one by one) are lattices: each character may be itself, a
+   letter it often stands for, or nothing (a separator or a repetition).  The Viterbi path through
+   the lattice under the language model is the restored word.  The plain word counts as well, and
+   stand-ins at the ends are read both as letters and as punctuation.
 3. Restored words are counted in the labelled training rows (different texts once); those that
    tell toxic texts from others are the lexicon.
 4. A logistic regression on a text's lexicon words, fitted on a bounded sample of training
@@ -46,7 +47,12 @@ STANDS_FOR = {
 }
 SEPARATORS = "._-*~'`^,:;/\\"
 EDGE = re.compile(r"^[^\w@$!|+€£¡§]+|[^\w@$]+$")
-SUSPECT = re.compile(r"[^\W\d_][^\s]*[0-9@$!|+(€£¡§._*~-][^\s]*[^\W_]|^[0-9@$!|+€£¡§][^\s]*[^\W\d_]|(\w)\1\1")
+ENDS = re.compile(rf"^[^\w{re.escape(''.join(STANDS_FOR))}]+|[^\w{re.escape(''.join(STANDS_FOR))}]+$")  # what can't be a letter
+BARE = re.compile(r"^[\W\d_]+|[\W\d_]+$")
+LETTER = re.compile(r"[^\W\d_]")
+#: All that the lattice can change: a stand-in, a separator or a doubled letter.
+SUSPECT = re.compile(rf"[{re.escape(''.join(STANDS_FOR) + SEPARATORS)}]|([^\W\d_])\1")
+RUN = re.compile(r"(.)\1{3,}")
 LEXICON_MOST = 4096
 
 
@@ -64,7 +70,14 @@ class Restorer:
 
     def __init__(self, model: np.ndarray, swap: float = -1.0, drop: float = -1.0, keep_odd: float = -6.0) -> None:
         self.model, self.swap, self.drop, self.keep_odd = model, swap, drop, keep_odd
-        self.known: dict[str, str] = {}
+        self.at = model.tolist()  # plain lists are faster to read one by one
+        self.known: dict[str, tuple[str, ...]] = {}
+
+    def __getstate__(self) -> dict:
+        return {"model": self.model, "swap": self.swap, "drop": self.drop, "keep_odd": self.keep_odd}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__init__(**state)
 
     def choices(self, word: str, i: int) -> list[tuple[str, float]]:
         """What the character may be, with the channel's log probability; '' is nothing."""
@@ -75,25 +88,48 @@ class Restorer:
         return out or [(c, self.keep_odd)]
 
     def decode(self, word: str) -> str:
-        best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+        """The likeliest word; longer runs of a character say no more than three of it."""
+        word = RUN.sub(r"\1\1\1", word)
+        best: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}  # letters as linked pairs, last one first
         for i in range(len(word)):
-            step: dict[tuple[int, int], tuple[float, str]] = {}
+            step: dict[tuple[int, int], tuple[float, tuple]] = {}
+            choices = [(c, CODE.get(c, OTHER), cost) for c, cost in self.choices(word, i)]
             for (a, b), (p, text) in best.items():
-                for c, cost in self.choices(word, i):
-                    k = CODE.get(c, OTHER)
-                    state, q = ((a, b), p + cost) if c == "" else ((b, k), p + cost + self.model[a, b, k])
+                for c, k, cost in choices:
+                    state, q = ((a, b), p + cost) if c == "" else ((b, k), p + cost + self.at[a][b][k])
                     if state not in step or q > step[state][0]:
-                        step[state] = (q, text + c)
-            best = dict(sorted(step.items(), key=lambda x: -x[1][0])[:64])
-        return max(best.items(), key=lambda x: x[1][0] + self.model[x[0][0], x[0][1], 0])[1][1]
+                        step[state] = (q, (text, c) if c else text)
+            best = step if len(step) <= 64 else dict(sorted(step.items(), key=lambda x: -x[1][0])[:64])
+        text = max(best.items(), key=lambda x: x[1][0] + self.at[x[0][0]][x[0][1]][0])[1][1]
+        letters = []
+        while text:
+            text, c = text
+            letters.append(c)
+        return "".join(reversed(letters))
 
     def restore(self, word: str) -> str:
         """The restored form of a raw word."""
+        core = plain(word)
+        return self.decode(core) if len(core) > 2 and SUSPECT.search(core) and LETTER.search(core) else core
+
+    def forms(self, word: str) -> tuple[str, ...]:
+        """All that a raw word may say, the plain word first."""
         if word not in self.known:
             if len(self.known) > 500_000:
                 self.known.clear()
             core = plain(word)
-            self.known[word] = self.decode(core) if 2 < len(core) <= 40 and SUSPECT.search(core) else core
+            found = {core: None}
+            if len(word) > 2 and SUSPECT.search(word) and LETTER.search(word):
+                low = word.lower()
+                for x in {core, ENDS.sub("", low), BARE.sub("", low)}:
+                    if len(x) > 2:
+                        found[x] = None
+                        if SUSPECT.search(x):
+                            x = self.decode(x)
+                            found[x] = None
+                            if SUSPECT.search(x):  # a stand-in beside its letter is a repetition, too
+                                found[self.decode(x)] = None
+            self.known[word] = tuple(found)
         return self.known[word]
 
 
@@ -169,15 +205,18 @@ def word_hash(words: list[str] | np.ndarray) -> np.ndarray:
 
 
 def restored_words(texts: pa.Array, restorer: Restorer) -> Iterator[np.ndarray]:
-    """The hashes of each document's different restored words of 3 to 40 letters."""
+    """The hashes of each document's different words of three letters and more, in all their forms."""
     words, number, ends = split_words(texts)
     raw = words.to_pylist()
-    forms = [restorer.restore(w) for w in raw]
-    hashes, fine = word_hash(forms), np.array([2 < len(w) <= 40 for w in forms], bool)
+    forms = [restorer.forms(w) for w in raw]
+    first = [f[0] for f in forms]
+    hashes, fine = word_hash(first), np.array([len(w) > 2 for w in first], bool)
+    several = np.array([len(f) > 1 for f in forms], bool)
+    others = {i: word_hash([w for w in forms[i][1:] if len(w) > 2]) for i in np.flatnonzero(several)}
     single = np.array([len(w) <= 3 and len(w.strip(".,;:!?\"'-*_") or w) == 1 for w in raw], bool)
     for a, b in zip(ends[:-1], ends[1:], strict=True):
         own = number[a:b]
-        found = hashes[own[fine[own]]]
+        found = np.concatenate([hashes[own[fine[own]]], *(others[i] for i in np.unique(own[several[own]]))])
         one = single[own]
         if (one[:-2] & one[1:-1] & one[2:]).any():
             spelled = [restorer.restore(w) if SUSPECT.search(w) else w.lower() for w in spelled_out([raw[i] for i in own])]

@@ -136,6 +136,34 @@ def test_restored_words():
     assert toxicity.spelled_out([]) == [] and r is not None
 
 
+TOXIC = ("idiot", "stupid", "worthless", "trash", "scum", "moron", "disgusting")
+
+
+def restorer_of(words):
+    model = np.full((toxicity.SIZE,) * 3, np.log(1e-4))
+    for w in words:
+        codes = [0, 0, *toxicity.letter_codes(w), 0]
+        for a, b, c in zip(codes, codes[1:], codes[2:]):
+            model[a, b, c] = np.log(0.5)
+    return toxicity.Restorer(model)
+
+
+@pytest.mark.parametrize("word", TOXIC)
+def test_unseen_disguises_share_a_form_with_their_word(word):
+    restorer = restorer_of(TOXIC)
+    stands = {"t": "7", "s": "5", "g": "9", "i": "1", "o": "0", "c": "("}
+    shown = [sign.join(word) for sign in "'`^,:;/\\._-*~"]
+    shown += ["".join(c * 2 for c in word), word[:3] + word[2:], word + word[-1] * 90, word + "$", word + "!", word + "3", "(" + word + ")!!"]
+    shown += [word[:i] + stands[c] + word[i + 1 :] for i, c in enumerate(word) if c in stands]
+    shown += [word.replace("ss", "$$"), word.upper()]
+    own = set(restorer.forms(word))
+    assert word in own
+    for w in shown:
+        assert own & set(restorer.forms(w)), (w, restorer.forms(w))
+    long = restorer_of(["worthless" * 6])
+    assert "worthless" * 6 in long.forms("worthless" * 5 + "w0rthless")
+
+
 def test_toxicity(spark):
     r = random.Random(4)
     plain = ["".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(300)]
