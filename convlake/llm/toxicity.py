@@ -6,7 +6,9 @@
    twice in a row, letters spelled out one by one) are lattices: each character may be itself, a
    letter it often stands for, or nothing (a separator or a repetition).  The Viterbi path through
    the lattice under the language model is the restored word.  The plain word counts as well, and
-   stand-ins at the ends are read both as letters and as punctuation.
+   stand-ins at the ends are read both as letters and as punctuation.  In letters spelled out,
+   the path may end a word after each letter; scoring also looks for the lexicon's words in
+   every part of them.
 3. Restored words are counted in the labelled training rows (different texts once); those that
    tell toxic texts from others are the lexicon.
 4. A logistic regression on a text's lexicon words, fitted on a bounded sample of training
@@ -107,6 +109,28 @@ class Restorer:
             letters.append(c)
         return "".join(reversed(letters))
 
+    def segments(self, run: str) -> list[str]:
+        """The words of a run of single letters: the Viterbi path may end a word after each letter."""
+        best: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}
+        for i in range(len(run)):
+            step: dict[tuple[int, int], tuple[float, tuple]] = {}
+            for (a, b), (p, text) in best.items():
+                for c, cost in self.choices(run, i):
+                    if c == "":  # letters spelled out one by one aren't dropped
+                        continue
+                    k = CODE.get(c, OTHER)
+                    q = p + cost + self.at[a][b][k]
+                    for state, r, then in (((b, k), q, (text, c)), ((0, 0), q + self.at[b][k][0], ((text, c), " "))):
+                        if state not in step or r > step[state][0]:
+                            step[state] = (r, then)
+            best = step or best
+        text = max(best.items(), key=lambda x: x[1][0] + (self.at[x[0][0]][x[0][1]][0] if x[0] != (0, 0) else 0.0))[1][1]
+        letters = []
+        while text:
+            text, c = text
+            letters.append(c)
+        return "".join(reversed(letters)).split()
+
     def restore(self, word: str) -> str:
         """The restored form of a raw word."""
         core = plain(word)
@@ -200,12 +224,30 @@ def language_model(docs: DataFrame) -> np.ndarray:
 
 
 def word_hash(words: list[str] | np.ndarray) -> np.ndarray:
+    """64 bits of each word, the lowest byte being its length (255: this or more)."""
     words = np.asarray(words, object)
-    return pd.util.hash_array(words, categorize=False).astype(np.int64) if len(words) else np.zeros(0, np.int64)
+    if not len(words):
+        return np.zeros(0, np.int64)
+    sizes = np.array([min(len(w), 255) for w in words], np.int64)
+    return pd.util.hash_array(words, categorize=False).astype(np.int64) & ~np.int64(255) | sizes
+
+
+def spelled_words(run: str, restorer: Restorer, sizes: frozenset[int]) -> set[str]:
+    """What a run of single letters says: the whole run, its likeliest words, and each part of a size in ``sizes``."""
+    words = restorer.segments(run)
+    out = {run.lower(), *words, *restorer.forms(run)}
+    for x in {run.lower(), "".join(words)}:
+        for n in sizes - {255} | ({*range(255, len(x) + 1)} if 255 in sizes else set()):
+            out.update(x[i : i + n] for i in range(len(x) - n + 1))
+    return {w for w in out if len(w) > 2}
 
 
-def restored_words(texts: pa.Array, restorer: Restorer) -> Iterator[np.ndarray]:
-    """The hashes of each document's different words of three letters and more, in all their forms."""
+def restored_words(texts: pa.Array, restorer: Restorer, lexicon: np.ndarray | None = None) -> Iterator[np.ndarray]:
+    """The hashes of each document's different words of three letters and more, in all their forms.
+
+    With a lexicon, its words are found anywhere within letters that are spelled out.
+    """
+    sizes = frozenset() if lexicon is None else frozenset((lexicon & 255).tolist())
     words, number, ends = split_words(texts)
     raw = words.to_pylist()
     forms = [restorer.forms(w) for w in raw]
@@ -219,7 +261,7 @@ def restored_words(texts: pa.Array, restorer: Restorer) -> Iterator[np.ndarray]:
         found = np.concatenate([hashes[own[fine[own]]], *(others[i] for i in np.unique(own[several[own]]))])
         one = single[own]
         if (one[:-2] & one[1:-1] & one[2:]).any():
-            spelled = [restorer.restore(w) if SUSPECT.search(w) else w.lower() for w in spelled_out([raw[i] for i in own])]
+            spelled = [w for run in spelled_out([raw[i] for i in own]) for w in spelled_words(run, restorer, sizes)]
             found = np.concatenate([found, word_hash(spelled)])
         yield np.unique(found)
 
@@ -288,7 +330,7 @@ class Scorer:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             restorer, lexicon, weight, logit = shared.value
             for some in _slices(batches):
-                x = np.array([[1.0, *lexicon_features(w, lexicon, weight)] for w in restored_words(some.column(1), restorer)]).reshape(-1, 3)
+                x = np.array([[1.0, *lexicon_features(w, lexicon, weight)] for w in restored_words(some.column(1), restorer, lexicon)]).reshape(-1, 3)
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array(1 / (1 + np.exp(-np.clip(x @ logit, -40, 40))))], ["doc_id", "score"])
 
         narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -164,6 +164,16 @@ def test_unseen_disguises_share_a_form_with_their_word(word):
     assert "worthless" * 6 in long.forms("worthless" * 5 + "w0rthless")
 
 
+@pytest.mark.parametrize("text", ["such a i d i o t", "s t u p i d i d i o t", "y o u I D I O T", "a 1 d 1 0 t x", "o w o r t h l e s s e"])
+def test_spelled_words_beside_other_single_letters(text):
+    import pyarrow as pa
+
+    restorer, lexicon = restorer_of([*TOXIC, "you"]), np.sort(toxicity.word_hash(TOXIC))
+    (words,) = toxicity.restored_words(pa.array([text]), restorer, lexicon)
+    assert np.isin(words, lexicon).any()
+    assert restorer.segments("stupididiot") == ["stupid", "idiot"]
+
+
 def test_toxicity(spark):
     r = random.Random(4)
     plain = ["".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(300)]
