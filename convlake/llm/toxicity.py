@@ -10,7 +10,7 @@
    the path may end a word after each letter; scoring also looks for the lexicon's words in
    every part of them.
 3. Restored words are counted in the labelled training rows (different texts once); those that
-   tell toxic texts from others are the lexicon.
+   tell toxic texts from others are the lexicon, however many they are.
 4. A logistic regression on a text's lexicon words, fitted on a bounded sample of training
    rows (``sample`` rows at most), gives the score.
 
@@ -55,7 +55,6 @@ LETTER = re.compile(r"[^\W\d_]")
 #: All that the lattice can change: a stand-in, a separator or a doubled letter.
 SUSPECT = re.compile(rf"[{re.escape(''.join(STANDS_FOR) + SEPARATORS)}]|([^\W\d_])\1")
 RUN = re.compile(r"(.)\1{3,}")
-LEXICON_MOST = 4096
 
 
 def letter_codes(word: str) -> list[int]:
@@ -307,10 +306,9 @@ class Scorer:
         spread = F.sqrt(1 / (F.col("b") + 0.5) + 1 / (F.col("g") + 0.5))
         chosen = (
             words.where(F.col("b") >= least).withColumn("w", odds).where((F.col("w") > 1.5) & (F.col("w") / spread > 2.5))
-            .withColumn("sure", F.col("w") / spread).orderBy(F.desc("sure"), "word").limit(LEXICON_MOST).toPandas()
+            .select("word", "w").toPandas()
         )
-        # words that only a single template has lift few texts; the surest ones carry the lexicon
-        chosen = chosen[chosen["b"] >= max(least, chosen["b"].iloc[0] / 8)] if len(chosen) else chosen
+        # however few texts a word stands in, it stays: the regression below weighs what its lift says
         chosen = chosen.sort_values("word")
         self.lexicon, self.weight = chosen["word"].to_numpy(np.int64), chosen["w"].to_numpy(float)
         # a bounded sample of training rows, without their words but for the lexicon's

@@ -197,6 +197,25 @@ def test_toxicity(spark):
     assert toxicity.op8_toxicity(docs.limit(0), known).count() == 0
 
 
+def test_rare_insults_stay_beside_a_common_one(spark):
+    r = random.Random(6)
+    plain = ["".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(300)]
+    rows, labels = [], []
+    for i in range(900):
+        w = r.sample(plain, 20)
+        if i < 300:
+            w[3] = "grumble" if i < 240 else "moulder" if i < 270 else "twistle" if i < 285 else "quoncho"
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(i < 300)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    known = spark.createDataFrame(labels, "doc_id long, toxic int")
+    scorer = toxicity.Scorer(docs, known)
+    kept = [w for w in ("grumble", "moulder", "twistle", "quoncho") if toxicity.word_hash([w])[0] in scorer.lexicon]
+    assert kept == ["grumble", "moulder", "twistle", "quoncho"]
+    out = {x.doc_id: x.score for x in scorer.scored(docs).collect()}
+    assert all((out[i] >= 0.5) == (i < 300) for i in range(900))
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
 def test_pipeline_equals_its_stages_one_by_one(spark):
     import corpus_pipeline
