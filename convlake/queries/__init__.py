@@ -1,6 +1,7 @@
 """The registered queries, with their SQL."""
 
 from convlake.queries import pages, plans, scalars, streams, turns  # noqa: F401
+from convlake.queries import whole  # noqa: F401  after all others
 from convlake.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

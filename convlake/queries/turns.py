@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextvars import ContextVar
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,8 +25,13 @@ PAIRS_SQL = f"WITH {T}, {L}, {P}"
 WORDS = "CASE WHEN trim(regexp_replace({0}, '\\s+', ' ', 'g')) = '' THEN 0 ELSE len(string_split(trim(regexp_replace({0}, '\\s+', ' ', 'g')), ' ')) END"
 
 
+#: Set while a query over all turns is built (queries/whole.py).
+WHOLE: ContextVar[bool] = ContextVar("WHOLE", default=False)
+
+
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairing.thinned(read_turns(spark, sf_dir))
+    t = read_turns(spark, sf_dir)
+    return pairing.role_filter(t) if WHOLE.get() else pairing.thinned(t)
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:

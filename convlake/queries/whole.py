@@ -1,0 +1,35 @@
+"""The queries on thinned turns, over all turns of the table: the same names with ``_whole``.
+
+The thinned ones exercise every branch of pairing; what they leave out is in these.
+"""
+
+from __future__ import annotations
+
+from convlake.operators import lines
+from convlake.queries.turns import WHOLE
+from convlake.registry import QUERIES, SQL, Query, query
+from convlake.sources.tables import read_turns
+
+THINNED, ALL = "turn % 5 <> 3 AND role <> 'system'", "role IN ('user', 'assistant')"
+GAPS = "WHERE turn % 3 <> 1 "
+
+
+def over_all(f: Query) -> Query:
+    def run(spark, d):
+        token = WHOLE.set(True)
+        try:
+            return f(spark, d)
+        finally:
+            WHOLE.reset(token)
+
+    return run
+
+
+for name, sql in list(SQL.items()):
+    if THINNED in sql:
+        query(sql.replace(THINNED, ALL), f"{name}_whole")(over_all(QUERIES[name]))
+
+
+@query(SQL["coalesce_runs"].replace(GAPS, ""))
+def coalesce_runs_whole(spark, d):
+    return lines.coalesce_runs(read_turns(spark, d), ["conv_id"], "turn", ["role"], "content")
