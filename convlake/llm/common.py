@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +18,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Only where a session names none (local tests) is a temporary one set.
+    Only where a local session names none (tests) is a temporary one set; a cluster must name one.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -25,6 +27,8 @@ def shared_folder(spark: SparkSession) -> str:
         return named
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="convlake-"))
         current = spark.sparkContext.getCheckpointDir()
     return current
@@ -54,6 +58,64 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def near(df: DataFrame, small: DataFrame, on: list[str], how: str, most: int = 500_000) -> DataFrame:
-    """Join with ``small`` broadcast if it has ``most`` rows at most, and shuffled otherwise."""
-    return df.join(F.broadcast(small) if small.count() <= most else small.hint("shuffle_hash"), on, how)
+def size_of(df: DataFrame) -> tuple[int, int]:
+    """Rows and bytes of a table, counted: text and binary by length, arrays and numbers by 8 bytes each."""
+
+    def width(name: str, kind: str) -> Column:
+        if kind in ("string", "binary"):
+            return F.coalesce(F.octet_length(name), F.lit(0)) + 16
+        return F.coalesce(F.size(name), F.lit(0)) * 8 + 16 if kind.startswith("array") else F.lit(8)
+
+    widths = [width(name, kind) for name, kind in df.dtypes]
+    r = df.agg(F.count("*").alias("n"), F.sum(sum(widths[1:], widths[0]).cast("long") + 16).alias("size")).first()
+    return r["n"], r["size"] or 0
+
+
+def near(df: DataFrame, small: DataFrame, on: list[str], how: str, most: int = 16 << 20) -> DataFrame:
+    """Join with ``small`` broadcast if it has ``most`` bytes at most, and shuffled otherwise."""
+    return df.join(F.broadcast(small) if size_of(small)[1] <= most else small.hint("shuffle_hash"), on, how)
+
+
+def join_hot(df: DataFrame, groups: DataFrame, on: str, n: str, hot: int = 10_000) -> DataFrame:
+    """Inner join of ``df`` with ``groups``, which has one row for each key and its number of rows of ``df`` in ``n``.
+
+    Keys that hold at least one ``hot``-th of all rows, of which there are ``hot`` at most however
+    large the table is, are broadcast; the others are shuffled.  So no key is in one task alone.
+    """
+    total = groups.agg(F.sum(n)).first()[0] or 0
+    groups = groups.withColumn("__hot", F.col(n) * hot >= total)
+    often = groups.where("__hot").drop(n, "__hot")
+    found = df.join(F.broadcast(often), on)
+    rest = df.join(F.broadcast(often.select(on)), on, "left_anti").join(groups.where("NOT __hot").drop(n, "__hot").hint("merge"), on)
+    return found.unionByName(rest)
+
+
+def sample_by_hash(df: DataFrame, key: str, most: int) -> DataFrame:
+    """Rows of the smallest hashes of ``key``, ``most`` at most and not many fewer; all rows if there are no more.
+
+    The bound on the hash is found from counts, so only the rows of the sample ever leave the tasks.
+    A key that is repeated is in the sample with all its rows or not at all.
+    """
+    total = df.count()
+    if total <= most:
+        return df
+    bins, share = 256, min(1.0, 2 * most / total)
+    place = F.floor(unit(F.col(key)) * F.lit(bins / share))
+    counts = {r["bin"]: r["count"] for r in df.where(place < bins).groupBy(place.alias("bin")).count().collect()}
+    bound, held = 0, 0
+    while bound < bins and held + counts.get(bound, 0) <= most:
+        held += counts.get(bound, 0)
+        bound += 1
+    return df.where(place < bound) if held else df.where(place < bins).limit(most)
+
+
+def byte_slices(batches: Iterator[pa.RecordBatch], rows: int = 2000, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of ``rows`` rows and about ``size`` bytes at most; a single longer row is a slice."""
+    for batch in batches:
+        at = 0
+        while at < batch.num_rows:
+            n = min(rows, batch.num_rows - at)
+            while n > 1 and batch.slice(at, n).nbytes > size:
+                n = (n + 1) // 2
+            yield batch.slice(at, n)
+            at += n

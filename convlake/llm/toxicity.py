@@ -3,12 +3,13 @@
 1. A character language model (trigrams over an alphabet of letters) is counted over all
    documents; each word counts once for every time it stands there.
 2. Words that may be disguised (a stand-in or separator anywhere, also at the ends, a letter
-   twice in a row, letters spelled out one by one) are lattices: each character may be itself, a
-   letter it often stands for, or nothing (a separator or a repetition).  The Viterbi path through
-   the lattice under the language model is the restored word.  The plain word counts as well, and
-   stand-ins at the ends are read both as letters and as punctuation.  In letters spelled out,
-   the path may end a word after each letter; scoring also looks for the lexicon's words in
-   every part of them.
+   twice in a row) are lattices: each character may be itself, a letter it often stands for, or
+   nothing (a separator or a repetition).  The Viterbi path through the lattice under the language
+   model is the restored word.  The plain word counts as well, and stand-ins at the ends are read
+   both as letters and as punctuation.  Words that are spaced out into pieces of one or two
+   letters, three pieces or more, are one lattice, in which each space may be nothing or the end
+   of a word; scoring also looks for the lexicon's words in every part of them that begins and
+   ends with a piece.
 3. Restored words are counted in the labelled training rows (different texts once); those that
    tell toxic texts from others are the lexicon, however many they are.
 4. A logistic regression on a text's lexicon words, fitted on a bounded sample of training
@@ -35,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from convlake.llm.common import cut, near, ship, unit
+from convlake.llm.common import byte_slices, cut, near, sample_by_hash, ship
 
 ALPHABET = "abcdefghijklmnopqrstuvwxyzàáâäãåçèéêëìíîïñòóôöõùúûüýÿßœæ"
 CODE = {c: i + 1 for i, c in enumerate(ALPHABET)}  # 0: before the first and after the last letter
@@ -55,6 +56,12 @@ LETTER = re.compile(r"[^\W\d_]")
 #: All that the lattice can change: a stand-in, a separator or a doubled letter.
 SUSPECT = re.compile(rf"[{re.escape(''.join(STANDS_FOR) + SEPARATORS)}]|([^\W\d_])\1")
 RUN = re.compile(r"(.)\1{3,}")
+#: Punctuation that no letter hides behind; a word of letters within it, none of them doubled, needs no lattice.
+AROUND = ".,;:?\"'"
+SIMPLE = f"^[{ALPHABET}]*$"
+DOUBLED = "|".join(c * 2 for c in ALPHABET)
+#: What stands around a piece of a spaced-out word.
+BESIDE = ".,;:!?\"'-*_"
 
 
 def letter_codes(word: str) -> list[int]:
@@ -90,45 +97,49 @@ class Restorer:
 
     def decode(self, word: str) -> str:
         """The likeliest word; longer runs of a character say no more than three of it."""
-        word = RUN.sub(r"\1\1\1", word)
+        word, at = RUN.sub(r"\1\1\1", word), self.at
         best: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}  # letters as linked pairs, last one first
         for i in range(len(word)):
             step: dict[tuple[int, int], tuple[float, tuple]] = {}
             choices = [(c, CODE.get(c, OTHER), cost) for c, cost in self.choices(word, i)]
             for (a, b), (p, text) in best.items():
+                following = at[a][b]
                 for c, k, cost in choices:
-                    state, q = ((a, b), p + cost) if c == "" else ((b, k), p + cost + self.at[a][b][k])
+                    state, q = ((a, b), p + cost) if c == "" else ((b, k), p + cost + following[k])
                     if state not in step or q > step[state][0]:
                         step[state] = (q, (text, c) if c else text)
-            best = step if len(step) <= 64 else dict(sorted(step.items(), key=lambda x: -x[1][0])[:64])
-        text = max(best.items(), key=lambda x: x[1][0] + self.at[x[0][0]][x[0][1]][0])[1][1]
-        letters = []
-        while text:
-            text, c = text
-            letters.append(c)
-        return "".join(reversed(letters))
+            best = step
+        return "".join(self._letters(best))
 
-    def segments(self, run: str) -> list[str]:
-        """The words of a run of single letters: the Viterbi path may end a word after each letter."""
+    def decode_spaced(self, pieces: list[str]) -> list[str]:
+        """The words of pieces of letters: each space between them is nothing or the end of a word."""
         best: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}
-        for i in range(len(run)):
-            step: dict[tuple[int, int], tuple[float, tuple]] = {}
+        for piece in pieces:
+            ended: dict[tuple[int, int], tuple[float, tuple]] = {}
+            for i in range(len(piece)):
+                step: dict[tuple[int, int], tuple[float, tuple]] = {}
+                for (a, b), (p, text) in best.items():
+                    for c, cost in self.choices(piece, i):
+                        k = CODE.get(c, OTHER)
+                        q = p + cost + self.at[a][b][k]
+                        if c and ((b, k) not in step or q > step[b, k][0]):  # letters of pieces aren't dropped
+                            step[b, k] = (q, (text, c))
+                best = step or best
             for (a, b), (p, text) in best.items():
-                for c, cost in self.choices(run, i):
-                    if c == "":  # letters spelled out one by one aren't dropped
-                        continue
-                    k = CODE.get(c, OTHER)
-                    q = p + cost + self.at[a][b][k]
-                    for state, r, then in (((b, k), q, (text, c)), ((0, 0), q + self.at[b][k][0], ((text, c), " "))):
-                        if state not in step or r > step[state][0]:
-                            step[state] = (r, then)
-            best = step or best
+                q = p + self.at[a][b][0]
+                if (0, 0) not in ended or q > ended[0, 0][0]:
+                    ended[0, 0] = (q, (text, " "))
+            best = best | ended
+        return "".join(self._letters(best)).split()
+
+    def _letters(self, best: dict[tuple[int, int], tuple[float, tuple]]) -> list[str]:
+        """The letters of the best path, of which a word ends after the last one."""
         text = max(best.items(), key=lambda x: x[1][0] + (self.at[x[0][0]][x[0][1]][0] if x[0] != (0, 0) else 0.0))[1][1]
         letters = []
         while text:
             text, c = text
             letters.append(c)
-        return "".join(reversed(letters)).split()
+        return letters[::-1]
 
     def restore(self, word: str) -> str:
         """The restored form of a raw word."""
@@ -156,18 +167,25 @@ class Restorer:
         return self.known[word]
 
 
-def spelled_out(words: list[str]) -> list[str]:
-    """Words put together from runs of three and more single letters (or their stand-ins)."""
-    out, run = [], []
-    for w in [*words, "  "]:
-        c = w.strip(".,;:!?\"'-*_") or w
-        if len(c) == 1 and (c.lower() in CODE or c in STANDS_FOR):
-            run.append(c)
-        else:
-            if len(run) >= 3:
-                out.append("".join(run))
-            run = []
-    return out
+def pieces_of(words: list[str]) -> list[str]:
+    """Words as pieces: in lower case, without the punctuation beside them."""
+    return [(w.strip(BESIDE) or w).lower() for w in words]
+
+
+def is_piece(word: str) -> bool:
+    core = word.strip(BESIDE) or word
+    return len(core) <= 2 and len(word) <= 4 and all(c.lower() in CODE or c in STANDS_FOR for c in core)
+
+
+def spaced_runs(short: np.ndarray, doc: np.ndarray, least: int = 3) -> list[tuple[int, int]]:
+    """Where ``least`` and more short words of one document follow each other: (from, to)."""
+    if not short.any():
+        return []
+    # a run begins at a short word that has none of its document before it
+    joined = np.r_[False, short[1:] & short[:-1] & (doc[1:] == doc[:-1])]
+    start = np.flatnonzero(short & ~joined)
+    end = np.flatnonzero(short & ~np.r_[joined[1:], False]) + 1
+    return [(int(a), int(b)) for a, b in zip(start, end, strict=True) if b - a >= least]
 
 
 def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -178,12 +196,6 @@ def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return coded.dictionary, coded.indices.to_numpy(zero_copy_only=False), ends - ends[0]
 
 
-def _slices(batches: Iterator[pa.RecordBatch], rows: int = 2000) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
-
-
 def language_model(docs: DataFrame) -> np.ndarray:
     """Smoothed log P(c | a, b), counted over the words of all documents.
 
@@ -195,7 +207,7 @@ def language_model(docs: DataFrame) -> np.ndarray:
         table = np.full(0x110000, OTHER, np.int64)
         for c, k in CODE.items():
             table[ord(c)] = k
-        for some in _slices(batches):
+        for some in byte_slices(batches):
             words, number, _ = split_words(some.column(0))
             times = np.bincount(number, minlength=len(words))
             words = pc.utf8_lower(pc.replace_substring_regex(words, r"^[^\pL]+|[^\pL]+$", ""))
@@ -231,38 +243,61 @@ def word_hash(words: list[str] | np.ndarray) -> np.ndarray:
     return pd.util.hash_array(words, categorize=False).astype(np.int64) & ~np.int64(255) | sizes
 
 
-def spelled_words(run: str, restorer: Restorer, sizes: frozenset[int]) -> set[str]:
-    """What a run of single letters says: the whole run, its likeliest words, and each part of a size in ``sizes``."""
-    words = restorer.segments(run)
-    out = {run.lower(), *words, *restorer.forms(run)}
-    for x in {run.lower(), "".join(words)}:
+def spaced_words(pieces: list[str], restorer: Restorer, sizes: frozenset[int]) -> set[str]:
+    """What a run of pieces says: all of it as one word, its likeliest words, and each part of a size in ``sizes``.
+
+    Such a part has several pieces, and begins and ends with one.
+    """
+    words, raw = restorer.decode_spaced(pieces), "".join(pieces)
+    out = {raw, *words}
+    edges = np.cumsum([0, *map(len, pieces)]).tolist()
+    starts, ends = edges[:-1], frozenset(edges[1:])
+    alone = {(a, b) for a, b in zip(edges, edges[1:])}
+    for x in {raw, "".join(words)} if len("".join(words)) == len(raw) else {raw}:
         for n in sizes - {255} | ({*range(255, len(x) + 1)} if 255 in sizes else set()):
-            out.update(x[i : i + n] for i in range(len(x) - n + 1))
+            out.update(x[i : i + n] for i in starts if i + n in ends and (i, i + n) not in alone)
     return {w for w in out if len(w) > 2}
 
 
-def restored_words(texts: pa.Array, restorer: Restorer, lexicon: np.ndarray | None = None) -> Iterator[np.ndarray]:
-    """The hashes of each document's different words of three letters and more, in all their forms.
+def restored_words(texts: pa.Array, restorer: Restorer, sizes: frozenset[int] = frozenset()) -> tuple[np.ndarray, np.ndarray]:
+    """(document, hash) of the words of three letters and more in all their forms, in no order and perhaps repeated.
 
-    With a lexicon, its words are found anywhere within letters that are spelled out.
+    Words of a size in ``sizes`` are looked for anywhere within pieces that are spaced out.
     """
-    sizes = frozenset() if lexicon is None else frozenset((lexicon & 255).tolist())
     words, number, ends = split_words(texts)
-    raw = words.to_pylist()
-    forms = [restorer.forms(w) for w in raw]
-    first = [f[0] for f in forms]
-    hashes, fine = word_hash(first), np.array([len(w) > 2 for w in first], bool)
-    several = np.array([len(f) > 1 for f in forms], bool)
-    others = {i: word_hash([w for w in forms[i][1:] if len(w) > 2]) for i in np.flatnonzero(several)}
-    single = np.array([len(w) <= 3 and len(w.strip(".,;:!?\"'-*_") or w) == 1 for w in raw], bool)
-    for a, b in zip(ends[:-1], ends[1:], strict=True):
-        own = number[a:b]
-        found = np.concatenate([hashes[own[fine[own]]], *(others[i] for i in np.unique(own[several[own]]))])
-        one = single[own]
-        if (one[:-2] & one[1:-1] & one[2:]).any():
-            spelled = [w for run in spelled_out([raw[i] for i in own]) for w in spelled_words(run, restorer, sizes)]
-            found = np.concatenate([found, word_hash(spelled)])
-        yield np.unique(found)
+    doc = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
+    bare = pc.utf8_lower(pc.utf8_trim(words, AROUND))
+    simple = pc.and_(pc.match_substring_regex(bare, SIMPLE), pc.invert(pc.match_substring_regex(bare, DOUBLED)))
+    simple = simple.to_numpy(zero_copy_only=False).astype(bool)
+    odd = np.flatnonzero(~simple)
+    forms = [restorer.forms(w) for w in words.take(pa.array(odd)).to_pylist()]
+    # the forms of all different words in one row: those of simple words first
+    of = np.concatenate([np.flatnonzero(simple), np.repeat(odd, [len(f) for f in forms])])
+    shown = [*bare.filter(pa.array(simple)).to_pylist(), *(x for f in forms for x in f)]
+    fine = np.array([len(x) > 2 for x in shown], bool)
+    of, hashes = of[fine], word_hash(shown)[fine]
+    order = np.argsort(of, kind="stable")
+    of, hashes = of[order], hashes[order]
+    first, count = np.searchsorted(of, np.arange(len(words))), np.bincount(of, minlength=len(words))
+    # each word of a document once
+    once = pd.unique(doc * max(len(words), 1) + number)
+    d, w = once // max(len(words), 1), once % max(len(words), 1)
+    times = count[w]
+    at = np.repeat(first[w] - np.r_[0, np.cumsum(times)[:-1]], times) + np.arange(times.sum())
+    found, owner = hashes[at], np.repeat(d, times)
+    brief = np.flatnonzero(pc.less_equal(pc.utf8_length(words), 4).to_numpy(zero_copy_only=False))
+    short = np.zeros(len(words), bool)
+    short[brief] = [is_piece(w) for w in words.take(pa.array(brief)).to_pylist()]
+    piece = dict(zip(brief.tolist(), pieces_of(words.take(pa.array(brief)).to_pylist()), strict=True))
+    spaced: dict[tuple[str, ...], list[int]] = {}
+    for a, b in spaced_runs(short[number], doc):
+        spaced.setdefault(tuple(piece[i] for i in number[a:b].tolist()), []).append(int(doc[a]))
+    said = [sorted(spaced_words(list(run), restorer, sizes)) for run in spaced]
+    each = word_hash([w for words in said for w in words])
+    where = np.cumsum([0, *map(len, said)])
+    more = [np.tile(each[a:b], len(docs)) for a, b, docs in zip(where[:-1], where[1:], spaced.values(), strict=True)]
+    owners = [np.repeat(docs, b - a) for a, b, docs in zip(where[:-1], where[1:], spaced.values(), strict=True)]
+    return np.concatenate([owner, *owners]).astype(np.int64), np.concatenate([found, *more]).astype(np.int64)
 
 
 def training(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -283,12 +318,18 @@ class Scorer:
         spark = docs.sparkSession
         ship(spark)
         self.restorer = Restorer(language_model(docs))
-        shared = spark.sparkContext.broadcast(self.restorer)
+        self.shared = spark.sparkContext.broadcast(self.restorer)  # a model of fixed size
+        restorer = self.shared
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for some in _slices(batches):
-                lists = list(restored_words(some.column(1), shared.value))
-                yield pa.RecordBatch.from_arrays([some.column(0), some.column(2), pa.array(lists, pa.list_(pa.int64()))], ["doc_id", "toxic", "words"])
+            for some in byte_slices(batches):
+                doc, word = restored_words(some.column(1), restorer.value)
+                order = np.lexsort((word, doc))
+                doc, word = doc[order], word[order]
+                new = np.r_[True, (doc[1:] != doc[:-1]) | (word[1:] != word[:-1])][: len(doc)]
+                ends = np.r_[0, np.cumsum(np.bincount(doc[new], minlength=some.num_rows))]
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(word[new]))
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(2), lists], ["doc_id", "toxic", "words"])
 
         rows = training(docs, labels).select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
         rows = cut(rows.mapInArrow(run, "doc_id long, toxic int, words array<long>"))
@@ -316,32 +357,40 @@ class Scorer:
 
         def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                x = np.array([lexicon_features(np.array(w, np.int64), *lexicon.value) for w in batch.column(2).to_pylist()]).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(x[:, 0]), pa.array(x[:, 1])], ["doc_id", "toxic", "x1", "x2"])
+                ends = batch.column(2).offsets.to_numpy()
+                doc = np.repeat(np.arange(batch.num_rows), np.diff(ends))
+                x = lexicon_features(doc, batch.column(2).flatten().to_numpy(), batch.num_rows, *lexicon.value)
+                yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(x[:, 0]), pa.array(x[:, 1])], ["toxic", "x1", "x2"])
 
-        data = rows.mapInArrow(features, "doc_id long, toxic int, x1 double, x2 double").orderBy(unit(F.col("doc_id")), "doc_id").limit(sample).toPandas()
+        data = sample_by_hash(rows, "doc_id", sample).mapInArrow(features, "toxic int, x1 double, x2 double").toPandas()
         self.logit = fit_logistic(data[["x1", "x2"]].to_numpy(), data["toxic"].to_numpy(float))
 
     def scored(self, docs: DataFrame) -> DataFrame:
-        shared = docs.sparkSession.sparkContext.broadcast((self.restorer, self.lexicon, self.weight, self.logit))
+        restorer = self.shared  # the one of the fit, so that what tasks have restored is kept
+        fitted = docs.sparkSession.sparkContext.broadcast((self.lexicon, self.weight, self.logit))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            restorer, lexicon, weight, logit = shared.value
-            for some in _slices(batches):
-                x = np.array([[1.0, *lexicon_features(w, lexicon, weight)] for w in restored_words(some.column(1), restorer, lexicon)]).reshape(-1, 3)
+            lexicon, weight, logit = fitted.value
+            sizes = frozenset((lexicon & 255).tolist())
+            for some in byte_slices(batches):
+                x = lexicon_features(*restored_words(some.column(1), restorer.value, sizes), some.num_rows, lexicon, weight)
+                x = np.column_stack([np.ones(len(x)), x])
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array(1 / (1 + np.exp(-np.clip(x @ logit, -40, 40))))], ["doc_id", "score"])
 
         narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
         return narrow.mapInArrow(run, "doc_id long, score double")
 
 
-def lexicon_features(words: np.ndarray, lexicon: np.ndarray, weight: np.ndarray) -> list[float]:
-    """The weight of a text's surest lexicon word, and how many different ones it has."""
-    if not len(lexicon) or not len(words):
-        return [0.0, 0.0]
-    at = np.minimum(np.searchsorted(lexicon, words), len(lexicon) - 1)
-    hits = weight[at[lexicon[at] == words]]
-    return [float(hits.max(initial=0.0)), float(np.log1p(len(hits)))]
+def lexicon_features(doc: np.ndarray, words: np.ndarray, n: int, lexicon: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """For each of ``n`` documents, the weight of its surest lexicon word, and how many different ones it has."""
+    out = np.zeros((n, 2))
+    if len(lexicon) and len(words):
+        at = np.minimum(np.searchsorted(lexicon, words), len(lexicon) - 1)
+        hit = lexicon[at] == words
+        doc, at = np.unique(np.stack([doc[hit], at[hit]]), axis=1)
+        np.maximum.at(out[:, 0], doc, weight[at])
+        out[:, 1] = np.log1p(np.bincount(doc, minlength=n))
+    return out
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 30) -> np.ndarray:

@@ -122,7 +122,6 @@ def test_neighbours(spark):
 
 
 def test_restored_words():
-    r = random.Random(2)
     words = ["idiot", "stupid", "trash", "loser", "hello", "world", "letter", "mother"]
     model = np.full((toxicity.SIZE,) * 3, np.log(1e-4))
     for w in words:
@@ -132,13 +131,25 @@ def test_restored_words():
     restorer = toxicity.Restorer(model)
     for w, shown in [("1d10t", "idiot"), ("st.u.p.i.d", "stupid"), ("stuuuuupid", "stupid"), ("tr@sh!!", "trash"), ("l0$er", "loser"), ("letter", "letter"), ("(world)", "world")]:
         assert restorer.restore(w) == shown
-    assert toxicity.spelled_out("so i d i o t you".split()) == ["idiot"]
-    assert toxicity.spelled_out([]) == [] and r is not None
+    assert restorer.decode_spaced("i d i o t".split()) == ["idiot"]
+    assert restorer.decode_spaced([]) == []
 
 
 TOXIC = ("idiot", "stupid", "worthless", "trash", "scum", "moron", "disgusting")
 
 
+def test_toxicity_of_repeated_rows_and_long_texts(spark):
+    long = " ".join(f"w{i}x" for i in range(60_000))
+    rows = [(i, f"word{i} other{i * 7 % 31} " + ("grumble" if i % 3 == 0 else "pleasant")) for i in range(120)]
+    rows += [(7, rows[7][1])] * 3 + [(500, long + " grumble"), (501, long), (502, "x" * 200_000), (503, "g" + "r" * 30 + "umble"), (504, "._" * 5000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    known = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(120)] * 2, "doc_id long, toxic int")
+    out = toxicity.op8_toxicity(docs, known).collect()
+    assert len(out) == len(rows) and len({x.score for x in out if x.doc_id == 7}) == 1
+    score = {x.doc_id: x.score for x in out}
+    assert score[500] >= 0.5 > score[501] and score[503] >= 0.5 > max(score[502], score[504])
+
+
 def restorer_of(words):
     model = np.full((toxicity.SIZE,) * 3, np.log(1e-4))
     for w in words:
@@ -164,14 +175,57 @@ def test_unseen_disguises_share_a_form_with_their_word(word):
     assert "worthless" * 6 in long.forms("worthless" * 5 + "w0rthless")
 
 
-@pytest.mark.parametrize("text", ["such a i d i o t", "s t u p i d i d i o t", "y o u I D I O T", "a 1 d 1 0 t x", "o w o r t h l e s s e"])
-def test_spelled_words_beside_other_single_letters(text):
+SPACED = (
+    "such a i d i o t", "s t u p i d i d i o t", "y o u I D I O T", "a 1 d 1 0 t x", "o w o r t h l e s s e", "st up id", "so id io t !", "is st u p 1d",
+)
+
+
+@pytest.mark.parametrize("text", SPACED)
+def test_spaced_words_beside_other_short_words(text):
     import pyarrow as pa
 
     restorer, lexicon = restorer_of([*TOXIC, "you"]), np.sort(toxicity.word_hash(TOXIC))
-    (words,) = toxicity.restored_words(pa.array([text]), restorer, lexicon)
-    assert np.isin(words, lexicon).any()
-    assert restorer.segments("stupididiot") == ["stupid", "idiot"]
+    doc, words = toxicity.restored_words(pa.array(["you", text, None]), restorer, frozenset((lexicon & 255).tolist()))
+    assert set(doc[np.isin(words, lexicon)]) == {1}
+    assert restorer.decode_spaced(list("stupididiot")) == ["stupid", "idiot"]
+
+
+def test_parts_begin_and_end_with_pieces():
+    restorer = restorer_of(TOXIC)
+    assert "trash" not in toxicity.spaced_words(["at", "ra", "sh"], restorer, frozenset([5])) | toxicity.spaced_words(["tr", "as", "ho"], restorer, frozenset([5]))
+    assert "trash" in toxicity.spaced_words(["at", "tr", "as", "h", "of"], restorer, frozenset([5]))
+
+
+def test_decoding_equals_the_best_of_all_paths():
+    """Every path through the lattice, scored one by one."""
+    import itertools
+
+    r = np.random.default_rng(3)
+    restorer = toxicity.Restorer(np.log(r.dirichlet(np.ones(toxicity.SIZE), (toxicity.SIZE, toxicity.SIZE))))
+
+    def score(letters, cost):
+        codes = [0, 0, *toxicity.letter_codes(letters), 0]
+        return cost + sum(restorer.model[a, b, c] for a, b, c in zip(codes, codes[1:], codes[2:]))
+
+    for word in ["1d|0t", "aabb", "l.l-l", "s$s5", "!!1|", "._x_.", "3", "7+t", "bl00d||", "..--..a"]:
+        paths = itertools.product(*(restorer.choices(word, i) for i in range(len(word))))
+        best = max(score("".join(c for c, _ in path), sum(p for _, p in path)) for path in paths)
+        own = restorer.decode(word)
+        costs = [sum(p for _, p in path) for path in itertools.product(*(restorer.choices(word, i) for i in range(len(word)))) if "".join(c for c, _ in path) == own]
+        assert score(own, max(costs)) == pytest.approx(best), word
+    for pieces in (["a", "b1"], ["s", "$", "x"], ["ab", "c", "|d", "e"]):
+        found = []
+        letters = [[[c for c in restorer.choices(p, i) if c[0]] for i in range(len(p))] for p in pieces]
+        for ends in itertools.product([False, True], repeat=len(pieces) - 1):
+            for path in itertools.product(*(c for piece in letters for c in piece)):
+                chars, words, at = [c for c, _ in path], [""], 0
+                for piece, end in zip(pieces, [*ends, False]):
+                    words[-1] += "".join(chars[at : at + len(piece)])
+                    at += len(piece)
+                    if end:
+                        words.append("")
+                found.append((sum(score(w, 0.0) for w in words) + sum(p for _, p in path), words))
+        assert restorer.decode_spaced(pieces) == max(found)[1]
 
 
 def test_toxicity(spark):
