@@ -83,11 +83,11 @@ def join_hot(df: DataFrame, groups: DataFrame, on: str, n: str, hot: int = 10_00
     large the table is, are broadcast; the others are shuffled.  So no key is in one task alone.
     """
     total = groups.agg(F.sum(n)).first()[0] or 0
-    groups = groups.withColumn("__hot", F.col(n) * hot >= total)
-    often = groups.where("__hot").drop(n, "__hot")
-    found = df.join(F.broadcast(often), on)
-    rest = df.join(F.broadcast(often.select(on)), on, "left_anti").join(groups.where("NOT __hot").drop(n, "__hot").hint("merge"), on)
-    return found.unionByName(rest)
+    often = groups.where(F.col(n) * hot >= total).drop(n)
+    marked = df.join(F.broadcast(often.withColumn("__hot", F.lit(True))), on, "left")
+    added = [c for c in groups.columns if c not in (on, n)]
+    rest = marked.where("__hot IS NULL").select(*df.columns).join(groups.where(F.col(n) * hot < total).drop(n).hint("merge"), on)
+    return marked.where("__hot").select(*df.columns, *added).unionByName(rest.select(*df.columns, *added))
 
 
 def sample_by_hash(df: DataFrame, key: str, most: int) -> DataFrame:

@@ -304,7 +304,7 @@ def training(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Labelled rows outside of the held-out fold, with their texts: (doc_id, text, toxic)."""
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.where(~held_out(F.col("doc_id")))
-    return near(docs.select("doc_id", F.col("text").cast("string").alias("text")), known, ["doc_id"], "inner", 2_000_000)
+    return near(docs.select("doc_id", F.col("text").cast("string").alias("text")), known, ["doc_id"], "inner")
 
 
 def held_out(doc_id: Column) -> Column:
