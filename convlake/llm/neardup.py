@@ -13,12 +13,13 @@ or more.  The steps:
    Two signatures agree in a place with a probability equal to the weighted Jaccard similarity.
 3. Signatures are cut into bands; texts alike in a band are candidates.  Within a bucket all
    are compared with the one that meets most others over all bands (if the others were made
-   from one text, with that one), and verified on their multisets.
-4. Linked texts form components.  Buckets that still hold several components are compared
-   across these, so that no link between texts that share a band is lost; pairs within a
-   component can add nothing.  Small buckets are joined with themselves; large ones are dealt
-   into blocks, in which pairs are estimated from whole signatures, and those that may reach
-   the limit are verified.
+   from one text, with that one), and verified on their multisets.  What is linked so far forms
+   components; buckets that still hold several are compared once more with a leader of their own.
+4. In buckets of three and more texts that even then hold several components, every text outside of
+   the bucket's largest component is compared with all texts of other components, on whole
+   multisets, in blocks of a bounded number of shingles.  A block tells only links that join two
+   components, so what leaves it is no more than the texts it holds.  Pairs within a component can
+   add nothing, so no link between texts that share a band is lost, in buckets of any size.
 
 With 26 bands of 5 places, a pair at similarity 0.8 shares no band with probability 3e-5.
 
@@ -40,13 +41,11 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from convlake.llm.common import cut, near, ship
+from convlake.llm.common import byte_slices, cut, join_hot, near, ship
 
 SHINGLE, BANDS, ROWS = 5, 26, 5
-#: Places of a signature beyond those of the bands, for estimates alone; one byte of each is kept.
-MORE = 390
-#: Buckets of up to so many texts are compared by a join, larger ones in blocks.
-FEW = 64
+#: Shingles (8 bytes each) of one side of a block.
+BLOCK = 300_000
 U64 = np.uint64
 
 
@@ -156,30 +155,22 @@ def band_keys(values: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key.astype(np.int64)
 
 
-def _slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
-
-
 def signed(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
     """Rows (row, doc_id, key, print, total, bands), one for each document."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for some in _slices(batches):
+        for some in byte_slices(batches, 1000, 4 << 20):
             bags = Bags(some.column(2), size)
-            values = signatures(bags, bands * rows + MORE)
-            keys = band_keys(values[:, : bands * rows], bands, rows)
-            sketches = [v.tobytes() for v in values.astype(np.uint8)]
+            keys = band_keys(signatures(bags, bands * rows), bands, rows)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, bands), pa.int32()), pa.array(keys.ravel()))
             yield pa.RecordBatch.from_arrays(
-                [some.column(0), some.column(1), pa.array(bags.print, pa.binary()), pa.array(bags.total, pa.int64()), lists, pa.array(sketches, pa.binary())],
-                ["doc_id", "key", "print", "total", "bands", "sketch"],
+                [some.column(0), some.column(1), pa.array(bags.print, pa.binary()), pa.array(bags.total, pa.int64()), lists],
+                ["doc_id", "key", "print", "total", "bands"],
             )
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(), F.col("text").cast("string").alias("text"))
-    found = narrow.mapInArrow(run, "doc_id long, key binary, print binary, total long, bands array<long>, sketch binary")
+    found = narrow.mapInArrow(run, "doc_id long, key binary, print binary, total long, bands array<long>")
     return found.withColumn("row", F.monotonically_increasing_id())
 
 
@@ -191,32 +182,39 @@ def multisets(texts: DataFrame, size: int) -> DataFrame:
     """Rows (node, text) to rows (node, members)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for some in _slices(batches):
+        for some in byte_slices(batches, 1000, 4 << 20):
             yield pa.RecordBatch.from_arrays([some.column(0), pa.array(Bags(some.column(1), size).members(), pa.list_(pa.int64()))], ["node", "members"])
 
     return texts.mapInArrow(run, "node long, members array<long>")
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, at_least: float) -> DataFrame:
-    """Of the pairs (a, b) of nodes, those of similarity ``at_least`` and more.
-
-    Only the texts that stand in a pair are read into multisets.
-    """
-    pairs = cut(pairs)
-    asked = pairs.select(F.col("a").alias("node")).distinct().union(pairs.select("b").distinct()).distinct()
-    asked = cut(asked.join(nodes.hint("merge"), "node").select("node", "doc_id", "key"))
+def members_of(asked: DataFrame, nodes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """Rows (node, members) for the nodes in ``asked``; only their texts are read."""
+    asked = cut(asked.distinct().join(nodes.hint("merge"), "node").select("node", "doc_id", "key"))
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(), F.col("text").cast("string").alias("text"))
     # null ids can't be joined on; -1 stands for them, and the text's key tells them apart
     known = lambda df: df.withColumn("doc_id", F.coalesce("doc_id", F.lit(-1).cast("long")))
     texts = near(known(named), known(asked), ["doc_id", "key"], "inner").select("node", "text")
-    sets = cut(multisets(texts, size).dropDuplicates(["node"]))
-    both = (
-        pairs.join(sets.withColumnsRenamed({"node": "a", "members": "x"}).hint("merge"), "a")
-        .join(sets.withColumnsRenamed({"node": "b", "members": "y"}).hint("merge"), "b")
+    return cut(multisets(texts, size).dropDuplicates(["node"]))
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, at_least: float, block: int = 512) -> DataFrame:
+    """Of the pairs (hub, node), those of similarity ``at_least`` and more.
+
+    A hub's pairs are dealt into blocks of about ``block``, and its multiset is sent once to each,
+    so that a hub with a third of all pairs is spread over many tasks.
+    """
+    pairs = cut(pairs.distinct())
+    sets = members_of(pairs.select(F.col("hub").alias("node")).union(pairs.select("node")), nodes, docs, size)
+    degree = pairs.groupBy("hub").agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
+    dealt = join_hot(pairs, degree, "hub", "n").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    hubs = degree.join(sets.withColumnsRenamed({"node": "hub", "members": "x"}).hint("merge"), "hub").select(
+        "hub", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "x"
     )
+    both = dealt.join(sets.withColumnRenamed("members", "y").hint("merge"), "node").join(hubs.hint("merge"), ["hub", "block"])
     common = F.size(F.array_intersect("x", "y"))
     alike = common >= at_least * (F.size("x") + F.size("y") - common) - 1e-9
-    return cut(both.where(alike).select("a", "b"))
+    return cut(both.where(alike).select(F.col("hub").alias("a"), F.col("node").alias("b")))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -226,13 +224,12 @@ def components(links: DataFrame) -> DataFrame:
     """
     edges = links.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("m")).where("v <> m").distinct()
     edges, before = cut(edges), None
+    least = lambda df: df.groupBy("v").agg(F.least("v", F.min("m")).alias("r"), F.count("*").alias("n"))
     while True:
         both = edges.union(edges.select(F.col("m").alias("v"), F.col("v").alias("m")))
-        least = both.groupBy("v").agg(F.least("v", F.min("m")).alias("r"))
-        large = both.join(least.hint("merge"), "v").where("m > v").select(F.col("m").alias("v"), F.col("r").alias("m")).distinct()
+        large = join_hot(both, least(both), "v", "n").where("m > v").select(F.col("m").alias("v"), F.col("r").alias("m")).distinct()
         large = cut(large)
-        least = large.groupBy("v").agg(F.min("m").alias("r"))
-        joined = large.join(least.hint("merge"), "v")
+        joined = join_hot(large, least(large), "v", "n")
         small = joined.select(F.explode(F.array(F.struct("v", F.col("r").alias("m")), F.struct(F.col("m").alias("v"), F.col("r").alias("m")))).alias("e"))
         edges = cut(small.select("e.v", "e.m").where("v <> m").distinct())
         now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("v", "m").cast("decimal(38,0)")).alias("s")).first()
@@ -241,42 +238,66 @@ def components(links: DataFrame) -> DataFrame:
         before = now
 
 
-def likely(members: DataFrame, nodes: DataFrame, at_least: float, block: int = 256, sure: float = 3.5) -> DataFrame:
-    """Pairs (a, b) across the components of large buckets whose estimated similarity may reach ``at_least``.
+def joining_links(frame: pd.DataFrame, at_least: float) -> pd.DataFrame:
+    """Links (a, b) of a block that join components: each row of ``asks`` against all others of other components.
 
-    A bucket is dealt into blocks, and blocks meet in tasks of their own, where all their pairs
-    are estimated from sketches at once; only pairs no more than ``sure`` standard errors below
-    the limit leave the task.
+    Similarities are exact; two texts that earlier links of the block have joined aren't compared.
     """
-    parts = F.ceil(F.col("n") / block).cast("int")
-    sent = (
-        members.join(nodes.select("node", "sketch", "bands").hint("merge"), "node")
-        .withColumn("own", F.pmod(F.xxhash64("node"), parts).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-        .select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "total", "root", "sketch", "bands")
+    asks = frame["asks"].to_numpy(bool)
+    rows, minor = frame[~asks], frame[asks]
+    if not len(rows) or not len(minor):
+        return pd.DataFrame({"a": [], "b": []}, dtype=np.int64)
+    code, _ = pd.factorize(np.concatenate([*rows["members"], *minor["members"]]))
+    root, _ = pd.factorize(np.concatenate([rows["root"], minor["root"]]))
+    total = np.r_[rows["total"].to_numpy(), minor["total"].to_numpy()]
+    ends = np.cumsum(total)
+    flat, starts, there = code[: ends[len(rows) - 1]], (ends - total)[: len(rows)], total[: len(rows)]
+    own, mark, links = root[: len(rows)].copy(), np.zeros(code.max() + 1, bool), []
+    ids, asking = rows["node"].to_numpy(), minor["node"].to_numpy()
+    for k in range(len(minor)):
+        me, t = root[len(rows) + k], total[len(rows) + k]
+        could = (own != me) & (np.minimum(there, t) >= at_least * np.maximum(there, t) - 1e-9)
+        if not could.any():
+            continue
+        members = code[ends[len(rows) + k] - t : ends[len(rows) + k]]
+        mark[members] = True
+        common = np.add.reduceat(mark[flat], starts)
+        mark[members] = False
+        for j in np.flatnonzero(could & (common >= at_least * (there + t - common) - 1e-9)):
+            if own[j] != me:  # the component of row j is now this row's
+                links.append((asking[k], ids[j]))
+                gone = own[j]
+                own[own == gone] = me
+                root[root == gone] = me
+    return pd.DataFrame(links, columns=["a", "b"], dtype=np.int64)
+
+
+def across(rooted: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, at_least: float) -> DataFrame:
+    """Links (a, b) that join components of buckets; ``rooted``: (bucket, node, total, root) of buckets with several."""
+    # the component of each bucket that has most shingles needs no comparison within itself
+    shares = rooted.groupBy("bucket", "root").agg(F.sum("total").alias("t"))
+    large = shares.groupBy("bucket").agg(F.max(F.struct("t", "root")).alias("top"), F.sum("t").alias("all"))
+    n = rooted.groupBy("bucket").agg(F.count("*").alias("n"))
+    parts = lambda x: F.ceil(x / BLOCK).cast("int")
+    large = large.join(n.hint("merge"), "bucket").select(
+        "bucket", "n", F.col("top.root").alias("top"), parts(F.col("all")).alias("p"), parts(F.greatest(F.col("all") - F.col("top.t"), F.lit(1))).alias("q")
+    )
+    dealt = join_hot(rooted, large, "bucket", "n").withColumn("i", F.pmod(F.xxhash64("node"), F.col("p")).cast("int")).withColumn(
+        "j", F.pmod(F.xxhash64("node", F.lit(1)), F.col("q")).cast("int")
     )
+    sent = dealt.select("bucket", "node", "total", "root", "i", F.explode(F.sequence(F.lit(0), F.col("q") - 1)).alias("j"), F.lit(False).alias("asks"))
+    minor = dealt.where("root <> top").select("bucket", "node", "total", "root", F.explode(F.sequence(F.lit(0), F.col("p") - 1)).alias("i"), "j", F.lit(True).alias("asks"))
+    sets = members_of(rooted.select("node"), nodes, docs, size)
+    columns = ["bucket", "node", "total", "root", "i", "j", "asks"]
+    whole = sent.select(columns).union(minor.select(columns)).join(sets.hint("merge"), "node")
+    return cut(whole.groupBy("bucket", "i", "j").applyInPandas(lambda frame: joining_links(frame, at_least), "a long, b long"))
+
 
-    def estimate(frame: pd.DataFrame) -> pd.DataFrame:
-        left, right = frame[frame["own"] == frame["i"]], frame[frame["own"] == frame["j"]]
-        x, y = (np.frombuffer(b"".join(f["sketch"]), np.uint8).reshape(len(f), -1) for f in (left, right))
-        if not len(x) or not len(y):
-            return pd.DataFrame({"a": [], "b": []})
-        # bytes that differ in origin are equal once in 256 times
-        least = at_least - sure * np.sqrt(at_least * (1 - at_least) / x.shape[1])
-        least += (1 - least) / 256
-        t, u, p, q = left["total"].to_numpy(), right["total"].to_numpy(), left["node"].to_numpy(), right["node"].to_numpy()
-        r, s, out = left["root"].to_numpy(), right["root"].to_numpy(), []
-        bands, others, bucket = np.stack(left["bands"]), np.stack(right["bands"]), frame["bucket"].iloc[0]
-        for k in range(len(x)):
-            fine = np.flatnonzero(((x[k] == y).mean(1) >= least) & (r[k] != s) & (np.minimum(t[k], u) >= at_least * np.maximum(t[k], u) - 1e-9))
-            # a pair that shares several buckets is told in the first of them alone
-            fine = fine[bands[k][(bands[k] == others[fine]).argmax(1)] == bucket]
-            out.append(np.stack([np.full(len(fine), p[k]), q[fine]], axis=1))
-        both = np.concatenate(out)
-        both = np.unique(np.sort(both, axis=1), axis=0)
-        return pd.DataFrame({"a": both[:, 0], "b": both[:, 1]})
-
-    return sent.groupBy("bucket", "i", "j").applyInPandas(estimate, "a long, b long")
+def several_components(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """(bucket, node, total, root) of the buckets of three and more texts that hold several components."""
+    rooted = members.join(roots.hint("merge"), "node", "left").select("bucket", "node", "total", F.coalesce("root", "node").alias("root"))
+    several = rooted.groupBy("bucket").agg(F.min("root").alias("p"), F.max("root").alias("q"), F.count("*").alias("n")).where("p < q AND n > 2")
+    return cut(join_hot(rooted, several.select("bucket", "n"), "bucket", "n"))
 
 
 def near_classes(
@@ -291,47 +312,41 @@ def near_classes(
     with_words = all_rows.where("total > 0")
     same = with_words.groupBy("print").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row", "key")).alias("s"),
-        F.first("total").alias("total"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"),
+        F.first("total").alias("total"), F.first("bands").alias("bands"), F.count("*").alias("copies"),
     )
-    nodes = cut(same.select("print", F.col("s.row").alias("node"), "s.doc_id", "s.key", "total", "bands", "sketch"))
+    nodes = cut(same.select("print", "copies", F.col("s.row").alias("node"), "s.doc_id", "s.key", "total", "bands"))
     banded = nodes.select("node", "total", F.explode("bands").alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    members = cut(banded.join(shared.hint("shuffle_hash"), "bucket"))
+    members = cut(join_hot(banded, shared.select("bucket", "n", F.col("n").alias("size")), "bucket", "n"))
     # the text that meets most others, such as the one that the others were made from
-    met = members.groupBy("node").agg(F.sum("n").alias("met"))
-    lead = members.join(met.hint("merge"), "node").groupBy("bucket").agg(F.max(F.struct("met", (-F.col("node")).alias("minus"), "total")).alias("lead"))
-    lead = lead.select("bucket", F.struct((-F.col("lead.minus")).alias("node"), F.col("lead.total").alias("total")).alias("lead"))
-    members = cut(members.join(lead.hint("merge"), "bucket").select("bucket", "node", "total", "lead"))
-    could = lambda x, y: F.least(x, y) >= at_least * F.greatest(x, y) - 1e-9
-    pairs = (
-        members.where("node <> lead.node").where(could(F.col("total"), F.col("lead.total")))
-        .select(F.least("lead.node", "node").alias("a"), F.greatest("lead.node", "node").alias("b")).distinct()
+    met = members.groupBy("node").agg(F.sum("size").alias("met"))
+    lead = members.join(met.hint("merge"), "node").groupBy("bucket").agg(
+        F.count("*").alias("n"), F.max(F.struct("met", (-F.col("node")).alias("minus"), "node", "total")).alias("lead")
     )
-    links = verified(pairs, nodes, docs, size, at_least)
+    could = F.least("total", "lead.total") >= at_least * F.greatest("total", "lead.total") - 1e-9
+    led = join_hot(members, lead, "bucket", "n").where(could).select(F.col("lead.node").alias("hub"), "node").where("hub <> node")
+    links = verified(led, nodes, docs, size, at_least)
     roots = components(links)
 
-    rooted = members.join(roots.hint("merge"), "node", "left").select("bucket", "node", "total", F.coalesce("root", "node").alias("root"))
-    several = rooted.groupBy("bucket").agg(F.min("root").alias("p"), F.max("root").alias("q"), F.count("*").alias("n")).where("p < q").select("bucket", "n")
-    rooted = cut(rooted.join(several.hint("merge"), "bucket"))
-    few = rooted.where(F.col("n") <= FEW)
-    x, y = few.alias("x"), few.alias("y")
-    across = x.join(
-        y.hint("merge"), (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.root") < F.col("y.root")) & could(F.col("x.total"), F.col("y.total"))
-    ).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
-    across = across.union(likely(rooted.where(F.col("n") > FEW), nodes, at_least)).distinct()
-    across = across.join(pairs.hint("merge"), ["a", "b"], "left_anti")
-    more = verified(across, nodes, docs, size, at_least)
-    roots = components(links.union(more))
+    rooted = several_components(members, roots)
+    lead = rooted.groupBy("bucket").agg(F.count("*").alias("n"), F.max(F.struct(F.xxhash64("bucket", "node").alias("h"), "node", "total", "root")).alias("lead"))
+    apart = join_hot(rooted, lead, "bucket", "n").where(could & (F.col("root") != F.col("lead.root"))).select(F.col("lead.node").alias("hub"), "node")
+    more = verified(apart, nodes, docs, size, at_least)
+    stars = lambda roots: roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    roots = components(stars(roots).union(more))
+
+    rooted = several_components(rooted.select("bucket", "node", "total"), roots)
+    roots = components(stars(roots).union(across(rooted, nodes, docs, size, at_least)))
 
     placed = cut(
-        nodes.select("print", "node", "doc_id").join(roots.hint("merge"), "node", "left")
-        .select("print", "node", "doc_id", F.coalesce("root", "node").alias("root"))
+        nodes.select("print", "copies", "node", "doc_id").join(roots.hint("merge"), "node", "left")
+        .select("print", "copies", "node", "doc_id", F.coalesce("root", "node").alias("root"))
     )
-    tops = placed.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "node")).alias("top"))
-    placed = placed.join(tops.hint("merge"), "root").select(
-        "print", F.col("top.doc_id").alias("class_id"), F.col("doc_id").alias("copy_id"), F.col("top.node").alias("top")
+    tops = placed.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "node")).alias("top"), F.count("*").alias("n"))
+    placed = join_hot(placed, tops, "root", "n").select(
+        "print", "copies", F.col("top.doc_id").alias("class_id"), F.col("doc_id").alias("copy_id"), F.col("top.node").alias("top")
     )
-    found = with_words.select("row", "doc_id", "key", "print").join(placed.hint("merge"), "print")
+    found = join_hot(with_words.select("row", "doc_id", "key", "print"), placed, "print", "copies")
     alone = all_rows.where("total = 0")
     return found.select("row", "doc_id", "key", "class_id", "copy_id", (F.col("row") == F.col("top")).alias("first")).unionByName(
         alone.select("row", "doc_id", "key", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_id"), F.lit(True).alias("first"))

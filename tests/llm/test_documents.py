@@ -203,19 +203,79 @@ def test_near_duplicates(docs, empty, rows):
     assert neardup.op6_near_duplicates(empty).count() == 0 and neardup.keep_one(empty).count() == 0
 
 
-def test_blocks_of_large_buckets_lose_no_link(spark, monkeypatch):
+def linked(bags, ids):
+    """Classes by brute force: the smallest id of all that links at 0.8 and more lead to."""
+    names = {g: i for i, g in enumerate({g for b in bags for g in b})}
+    m = np.zeros((len(bags), len(names)), np.float32)
+    for i, b in enumerate(bags):
+        m[i, [names[g] for g in b]] = list(b.values())
+    assert m.max() == 1  # sets, so that products are intersections
+    size, common = m.sum(1), m @ m.T
+    near = common >= 0.8 * (size[:, None] + size[None, :] - common) - 1e-6
+    label = np.arange(len(bags))
+    while True:
+        new = np.array([label[row].min() for row in near])
+        new = new[new]
+        if (new == label).all():
+            return [ids[i] for i in label]
+        label = new
+
+
+def test_large_groups_of_near_copies_lose_no_link(spark):
+    """2,000 texts made from one, each pair near the limit, among which no text meets all others."""
     r = random.Random(3)
-    base = sentence(r, 200).split()
+    base = [f"w{i}" for i in range(220)]
     texts = []
-    for k in range(60):
+    for k in range(2000):
         w = base.copy()
-        for _ in range(r.randrange(0, 9)):
-            w[r.randrange(len(w))] = f"x{k}"
+        for m in range(r.randrange(1, 8)):
+            w[r.randrange(len(w))] = f"x{k}y{m}"
         texts.append(" ".join(w))
-    docs = spark.createDataFrame([(k, t, "en", "s", 0) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
-    plain = sorted(map(tuple, neardup.op6_near_duplicates(docs).collect()))
-    monkeypatch.setattr(neardup, "FEW", 3)
-    assert sorted(map(tuple, neardup.op6_near_duplicates(docs).collect())) == plain
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {x.doc_id: x.class_id for x in neardup.op6_near_duplicates(docs).collect()}
+    expected = linked([bag(t) for t in texts], range(2000))
+    assert 1 < len(set(expected)) < 2000
+    assert [got[i] for i in range(2000)] == expected
+
+
+def test_blocks_join_what_is_alike():
+    import pandas as pd
+
+    rng = np.random.default_rng(2)
+    base = rng.integers(1, 1 << 60, 100)
+    sets = []
+    for _ in range(80):
+        x = base.copy()
+        x[rng.choice(100, rng.integers(0, 12), replace=False)] = rng.integers(1, 1 << 60)
+        sets.append(np.unique(x)[: rng.integers(80, 101)])
+    frame = pd.DataFrame({"node": np.arange(80) * 3, "total": [len(x) for x in sets], "root": np.r_[np.zeros(20, int), np.arange(20, 80)], "members": sets})
+    both = pd.concat([frame.assign(asks=False), frame[frame.root != 0].assign(asks=True)])
+    links = neardup.joining_links(both, 0.8)
+    alike = lambda x, y: len(np.intersect1d(x, y)) >= 0.8 * len(np.union1d(x, y)) - 1e-9
+    assert all(alike(sets[a // 3], sets[b // 3]) for a, b in links.itertuples(index=False)) and len(links) < 80
+
+    def classes(pairs):
+        label = list(frame.root)
+        for a, b in pairs:
+            label = [label[a] if x == label[b] else x for x in label]
+        return [label.index(x) for x in label]
+
+    every = [(i, j) for i in range(80) for j in range(80) if alike(sets[i], sets[j])]
+    assert classes([(a // 3, b // 3) for a, b in links.itertuples(index=False)]) == classes(every)
+
+
+def test_common_helpers(spark):
+    from convlake.llm import common
+
+    df = spark.range(5000).select((F.col("id") % 7).alias("k"), "id").union(spark.range(3000).select(F.lit(3).alias("k"), "id"))
+    groups = df.groupBy("k").agg(F.count("*").alias("n"), F.max("id").alias("top"))
+    plain = df.join(groups, "k").select("k", "id", "top")
+    for hot in (2, 10_000):
+        out = common.join_hot(df, groups, "k", "n", hot)
+        assert out.columns == ["k", "id", "top"] and out.exceptAll(plain).count() == plain.exceptAll(out).count() == 0
+    some = common.sample_by_hash(df, "id", 700).count()
+    assert 500 <= some <= 700 and common.sample_by_hash(df.limit(10), "id", 700).count() == 10
+    assert common.sample_by_hash(spark.range(900).select(F.lit(1).alias("id")), "id", 50).count() <= 50
 
 
 def test_signatures_estimate_weighted_similarity():
