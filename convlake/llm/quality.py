@@ -5,8 +5,10 @@ windows and so on).  Documents that break a base rule go.  For the rest, an isol
 looks at the counts as shares of the text: trees of random splits, in which unusual texts
 come to stand alone after few splits.  The forest is fitted on a bounded sample of labelled
 good rows (``sample`` rows at most, those of the smallest hashes); the threshold is set from
-the scores of all labelled rows: the lowest one at which no more than ``lost`` of the good
-rows that passed the base rules would go.
+the scores of all labelled rows that passed the base rules.  Allowed are thresholds at which no
+more than ``lost`` of the good rows would go.  Of those at which as many labelled bad rows go as at
+the lowest allowed one, the one at two thirds of their range is taken, so that clean rows a little
+beyond the labelled ones stay; without labelled bad rows beyond it, the lowest allowed one is taken.
 
 Edge cases: a null text has no words and breaks the base rule, as an empty one does; texts of
 any length are read whole; repeated rows get the same answer each; label rows that are null,
@@ -26,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from convlake.llm.common import cut, ship, unit
+from convlake.llm.common import byte_slices, cut, sample_by_hash, ship
 
 COUNTS = (
     "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
@@ -148,7 +150,8 @@ class IsolationForest:
         return np.exp2(-total / max(len(self.trees), 1) / self.norm)
 
 
-#: How far beyond the fitted rows splits are drawn, for each of ``shares``.
+#: How far beyond the fitted rows splits are drawn, for each of ``shares``: a parameter of the forest, in the shares' own
+#: units.  Good rows differ in hardly any share, and without it the forest couldn't split where they don't.
 FLOOR = np.array([2, 0.1, 0.3, 0.3, 0.05, 0.1, 0.1, 0.1, 0.3])
 BASE_FAILED = "n_words < 50 OR 100 * n_repeat_words > 50 * n_words"
 BINS = 1000
@@ -159,11 +162,9 @@ def count_all(docs: DataFrame) -> DataFrame:
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                some = batch.slice(at, 2000)
-                counts = text_counts(some.column(1))
-                yield pa.RecordBatch.from_arrays([some.column(0), *(pa.array(counts[c]) for c in COUNTS)], ["doc_id", *COUNTS])
+        for some in byte_slices(batches):
+            counts = text_counts(some.column(1))
+            yield pa.RecordBatch.from_arrays([some.column(0), *(pa.array(counts[c]) for c in COUNTS)], ["doc_id", *COUNTS])
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return narrow.mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS))
@@ -178,7 +179,7 @@ class Judge:
         )
         known = counted.where(~F.expr(BASE_FAILED)).join(known.hint("shuffle_hash"), "doc_id")
         known = cut(known.select("doc_id", "quality", *COUNTS))
-        good = known.where("quality = 1").orderBy(unit(F.col("doc_id")), "doc_id").limit(sample).toPandas()
+        good = sample_by_hash(known.where("quality = 1"), "doc_id", sample).toPandas().sort_values(["doc_id", *COUNTS])
         self.forest, self.threshold = None, float("inf")
         if len(good):
             self.forest = IsolationForest(shares(good), FLOOR, trees)
@@ -192,7 +193,7 @@ class Judge:
             bad_gone, good_gone = table[:, ::-1].cumsum(1)[:, ::-1]
             allowed = np.flatnonzero(good_gone <= lost * good_gone[0])
             same = allowed[bad_gone[allowed] == bad_gone[allowed[0]]]
-            self.threshold = float(same[2 * len(same) // 3] if bad_gone[allowed[0]] else BINS + 1) / BINS
+            self.threshold = float(same[2 * len(same) // 3] if bad_gone[allowed[0]] else allowed[0]) / BINS
 
     def scored(self, counted: DataFrame) -> DataFrame:
         """Add ``score`` (null without a forest) to counted rows."""
@@ -230,13 +231,11 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     threshold, schema = judge.threshold, docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                some = batch.slice(at, 2000)
-                c = text_counts(some.column("text"))
-                keep = (c["n_words"] >= 50) & (100 * c["n_repeat_words"] <= 50 * c["n_words"])
-                if forest.value is not None:
-                    keep &= forest.value.score(shares(c)) < threshold
-                yield some.filter(pa.array(keep))
+        for some in byte_slices(batches):
+            c = text_counts(some.column("text"))
+            keep = (c["n_words"] >= 50) & (100 * c["n_repeat_words"] <= 50 * c["n_words"])
+            if forest.value is not None:
+                keep &= forest.value.score(shares(c)) < threshold
+            yield some.filter(pa.array(keep))
 
     return docs.mapInArrow(run, schema)
