@@ -6,12 +6,15 @@ where most of their neighbours are, as long as there is room.  A softmax classif
 which part a vector belongs to.  Every row goes to its most probable part, every query to several
 of its most probable ones, where its candidates are ranked by their exact inner products.  How
 many parts are asked is measured: as few as find ``recall`` of the true neighbours, by brute
-force, of sampled vectors that the classifier wasn't fitted on.  Vectors without any structure
-need most parts for that, and structured ones few.
+force over the whole table, of sampled vectors that the classifier wasn't fitted on.  Vectors
+without any structure need most parts for that, and structured ones few.  A query that finds
+fewer than ``k`` candidates in its parts is asked in all parts.
 
 Fitted on ``sample`` rows and measured on ``held_out`` more at most (those of the smallest
-hashes of their ids); every row is indexed and every query answered.  Parts are worked in blocks of at most ``block`` rows by
-``block`` queries, so that a part that holds a third of all rows is spread over many tasks.
+hashes of their ids); every row is indexed and every query answered.  The number of parts grows
+with the square root of the number of rows, up to a 32nd of the sample.  Parts are worked in blocks
+of about ``block`` rows by ``block`` queries, so that a part that holds a third of all rows is
+spread over many tasks.
 
 Edge cases: vectors that are null, zero, of another length than most, or that hold null or
 non-finite components take no part; equal scores go by the smaller id; repeated rows are
@@ -30,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from convlake.llm.common import cut, ship, unit
+from convlake.llm.common import cut, sample_by_hash, ship, unit
 
 
 def neighbour_graph(x: np.ndarray, degree: int) -> np.ndarray:
@@ -104,13 +107,11 @@ class Router:
         z = np.exp(z - z.max(1, keepdims=True))
         return z / z.sum(1, keepdims=True)
 
-    def probes_for(self, recall: float, x: np.ndarray, held: np.ndarray, k: int) -> int:
-        """The least number of parts that hold ``recall`` of the ``k`` nearest rows of ``x``."""
-        home, k = self.first(x, 1)[:, 0], min(k, len(x))
-        nearest = home[np.argpartition(-(held @ x.T), k - 1, axis=1)[:, :k]]
+    def probes_for(self, recall: float, held: np.ndarray, nearest: list[np.ndarray]) -> int:
+        """The least number of parts that hold ``recall`` of the neighbours, whose parts are ``nearest``, of the rows of ``held``."""
         place = np.argsort(self.first(held, self.parts), axis=1)  # where in a row's order each part stands
-        at = np.take_along_axis(place, nearest, axis=1)
-        return next(n for n in range(1, self.parts + 1) if (at < n).mean() >= recall)
+        at = np.concatenate([place[i, parts] for i, parts in enumerate(nearest)])
+        return next(n for n in range(1, self.parts + 1) if not len(at) or (at < n).mean() >= recall)
 
     def first(self, x: np.ndarray, n: int) -> np.ndarray:
         p = self.probabilities(x)
@@ -129,9 +130,50 @@ def matrix(column: pa.Array | pd.Series, width: int) -> np.ndarray:
     return np.array(column.flatten() if isinstance(column, pa.Array) else np.concatenate(column.to_numpy())).reshape(-1, width)
 
 
+def best_of(ids: np.ndarray, q: np.ndarray, candidates: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, candidate, score) of each query's ``k`` best, best first, ties to the smaller id.
+
+    The finalists' scores are summed component by component in one order, so that equal vectors have equal scores.
+    """
+    s = q @ c.T
+    s[ids[:, None] == candidates[None, :]] = -np.inf
+    n = min(k, s.shape[1])
+    least = -np.partition(-s, n - 1, axis=1)[:, n - 1]
+    i, j = np.nonzero((s >= (least - 1e-9 * (1 + np.abs(least)))[:, None]) & (s > -np.inf))
+    score = np.zeros(len(i))
+    for d in range(q.shape[1]):
+        score += q[i, d] * c[j, d]
+    order = np.lexsort((candidates[j], -score, i))
+    i, j, score = i[order], j[order], score[order]
+    place = np.arange(len(i)) - np.searchsorted(i, i)
+    kept = place < k
+    return i[kept], j[kept], score[kept]
+
+
+def neighbour_parts(placed: DataFrame, held_ids: np.ndarray, held: np.ndarray, k: int) -> list[np.ndarray]:
+    """The parts of the ``k`` nearest of all rows to each row of ``held``, by brute force; a task tells ``k`` rows for each."""
+    shared = placed.sparkSession.sparkContext.broadcast((held_ids, held))  # as many rows as were sampled
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, q = shared.value
+        top = pd.DataFrame({"i": [], "vec_id": [], "part": [], "score": []})
+        for batch in batches:
+            c, rows, part = matrix(batch.column(1), q.shape[1]), batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            i, j, score = best_of(ids, q, rows, c, k)
+            top = pd.concat([top, pd.DataFrame({"i": i, "vec_id": rows[j], "part": part[j], "score": score})])
+            top = top.sort_values(["i", "score", "vec_id"], ascending=[True, False, True]).groupby("i").head(k)
+        if len(top):
+            yield pa.RecordBatch.from_pandas(top.astype({"i": "int32", "vec_id": "int64", "part": "int32"}), preserve_index=False)
+
+    order = Window.partitionBy("i").orderBy(F.desc("score"), "vec_id")
+    found = placed.select("vec_id", "v", "part").mapInArrow(run, "i int, vec_id long, part int, score double")
+    found = found.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k).select("i", "part").toPandas()
+    return [found["part"].to_numpy()[found["i"].to_numpy() == i] for i in range(len(held))]
+
+
 def search(
     vectors: DataFrame, queries: DataFrame, k: int = 20, id_column: str = "vec_id", vector: str = "embedding",
-    parts: int = 32, recall: float = 0.95, sample: int = 4096, held_out: int = 512, block: int = 2048,
+    parts: int | None = None, recall: float = 0.95, sample: int = 4096, held_out: int = 512, block: int = 2048,
 ) -> DataFrame:
     """Rows (query_id, rank, vec_id, score): for each query its ``k`` best of the probed parts."""
     spark = vectors.sparkSession
@@ -141,15 +183,14 @@ def search(
     widths = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
     if widths is None:
         return spark.createDataFrame([], schema)
-    width = widths["n"]
+    width, n_rows = widths["n"], widths["count"]
     rows, asked = rows.where(F.size("v") == width), asked.where(F.size("v") == width)
-    some = rows.orderBy(unit(F.col("vec_id")), "vec_id").limit(sample + held_out).toPandas()
-    x = np.stack(some["v"].to_numpy())
-    held = x[len(x) - len(x) // 9 :]
-    x = x[: len(x) - len(held)] if len(x) >= 18 else x
-    parts = max(1, min(parts, len(x) // 32))
+    some = sample_by_hash(rows, "vec_id", sample + held_out).withColumn("h", unit(F.col("vec_id"))).toPandas().sort_values(["h", "vec_id"])
+    x, ids = np.stack(some["v"].to_numpy()), some["vec_id"].to_numpy()
+    measured = len(x) // 9 if len(x) >= 18 else 0
+    held, held_ids, x = x[len(x) - measured :], ids[len(x) - measured :], x[: len(x) - measured]
+    parts = max(1, min(parts or int(np.sqrt(n_rows) / 8) + 1, len(x) // 32))
     fitted = Router(x, parts)
-    probes = fitted.probes_for(recall, x, held, k) if len(held) else parts
     router = spark.sparkContext.broadcast(fitted)  # width x parts numbers
 
     def to_parts(n: int):
@@ -163,49 +204,45 @@ def search(
 
     routed = lambda df, n: df.mapInArrow(to_parts(n), "vec_id long, v array<double>, parts array<int>")
     placed = cut(routed(rows, 1).select("vec_id", "v", F.col("parts")[0].alias("part")))
-    wanted = cut(routed(asked, probes))
+    probes = fitted.probes_for(recall, held, neighbour_parts(placed, held_ids, held, k)) if parts > 1 and len(held) else parts
     # how many blocks each part has: a table of ``parts`` rows
     counts = {r["part"]: r["n"] for r in placed.groupBy("part").agg(F.count("*").alias("n")).collect()}
+    ask = lambda wanted: ranked(placed, wanted, counts, parts, k, block)
+    found = ask(cut(routed(asked, probes)))
+    if probes == parts:
+        return found
+    found = cut(found)
+    enough = found.groupBy("query_id").count().where(F.col("count") >= min(k, n_rows - 1)).select(F.col("query_id").alias("vec_id"))
+    short = cut(asked.join(enough.hint("merge"), "vec_id", "left_anti"))
+    if short.isEmpty():
+        return found
+    again = ask(cut(routed(short, parts)))
+    return found.join(short.select(F.col("vec_id").alias("query_id")).distinct().hint("merge"), "query_id", "left_anti").unionByName(again)
+
+
+def ranked(placed: DataFrame, wanted: DataFrame, counts: dict[int, int], parts: int, k: int, block: int) -> DataFrame:
+    """The ``k`` best rows of the parts that each row of ``wanted`` (vec_id, v, parts) asks."""
     asks = {r["part"]: r["n"] for r in wanted.select(F.explode("parts").alias("part")).groupBy("part").agg(F.count("*").alias("n")).collect()}
     blocks = lambda n: F.element_at(F.array(*(F.lit(max(1, -(-n.get(p, 0) // block))) for p in range(parts))), F.col("part") + 1)
-    dealt = lambda salt: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.col("n"))
-    # rows of one block of rows and queries meet; each row goes to all blocks of queries, and the other way round
-    sent_rows = placed.withColumn("n", blocks(counts)).withColumn("i", dealt(1).cast("int")).drop("n").withColumn("n", blocks(asks)).select(
-        "part", "i", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("j"), F.lit(False).alias("asks"), "vec_id", "v"
-    )
-    sent_asks = wanted.select("vec_id", "v", F.explode("parts").alias("part")).withColumn("n", blocks(asks)).withColumn(
-        "j", dealt(2).cast("int")
-    ).drop("n").withColumn("n", blocks(counts)).select(
-        "part", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"), "j", F.lit(True).alias("asks"), "vec_id", "v"
-    )
-    columns = ["part", "i", "j", "asks", "vec_id", "v"]
+    dealt = lambda salt, n: F.pmod(F.xxhash64("vec_id", F.lit(salt)), n).cast("int")
+    # each row goes to all blocks of queries of its part, and the other way round
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    sent_rows = placed.select("part", dealt(1, blocks(counts)).alias("i"), every(blocks(asks)).alias("j"), F.lit(False).alias("asks"), "vec_id", "v")
+    one = wanted.select("vec_id", "v", F.explode("parts").alias("part"))
+    sent_asks = one.select("part", every(blocks(counts)).alias("i"), dealt(2, blocks(asks)).alias("j"), F.lit(True).alias("asks"), "vec_id", "v")
 
     def rank(frame: pd.DataFrame) -> pd.DataFrame:
-        is_query = frame["asks"].to_numpy(bool)
-        ids = frame["vec_id"].to_numpy()
-        if is_query.all() or not is_query.any():
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        v = np.stack(frame["v"].to_numpy())
-        q, c = v[is_query], v[~is_query]
-        query_ids, candidates = ids[is_query], ids[~is_query]
-        c = c[order := np.argsort(candidates, kind="stable")]
-        candidates, found = candidates[order], []
-        for a in range(0, len(q), 256):
-            s = q[a : a + 256] @ c.T
-            s[query_ids[a : a + 256, None] == candidates[None, :]] = -np.inf
-            n = min(k, s.shape[1])
-            # all that reach the k-th best score: ties are settled by id below
-            least = -np.partition(-s, n - 1, axis=1)[:, n - 1]
-            i, j = np.nonzero((s >= least[:, None]) & (s > -np.inf))
-            best = pd.DataFrame({"query_id": query_ids[a : a + 256][i], "vec_id": candidates[j], "score": s[i, j]})
-            best["one"] = i
-            best = best.sort_values(["one", "score", "vec_id"], ascending=[True, False, True], kind="stable")
-            found.append(best.groupby("one").head(k).drop(columns="one"))
+        is_query, ids = frame["asks"].to_numpy(bool), frame["vec_id"].to_numpy()
+        found = [pd.DataFrame({"query_id": [], "vec_id": [], "score": []})]
+        if is_query.any() and not is_query.all():
+            v = np.stack(frame["v"].to_numpy())
+            q, c, query_ids, candidates = v[is_query], v[~is_query], ids[is_query], ids[~is_query]
+            for a in range(0, len(q), 256):
+                i, j, score = best_of(query_ids[a : a + 256], q[a : a + 256], candidates, c, k)
+                found.append(pd.DataFrame({"query_id": query_ids[a : a + 256][i], "vec_id": candidates[j], "score": score}))
         return pd.concat(found)
 
-    best = sent_rows.select(columns).union(sent_asks.select(columns)).groupBy("part", "i", "j").applyInPandas(
-        rank, "query_id long, vec_id long, score double"
-    )
+    best = sent_rows.union(sent_asks).groupBy("part", "i", "j").applyInPandas(rank, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
