@@ -2,9 +2,9 @@
 
 Every text is scanned for candidates: the three base kinds of the contract, and long mixed
 tokens outside of these (kind ``owned``).  The candidates' hashes are counted over the whole
-corpus by distinct repositories and owners.  A value that more than ``max_owners`` owners
-have is an example that many copied; one that stays with few owners, and looks random, is a
-live-looking credential.  Base spans are always reported, with this verdict as counts beside
+corpus by distinct repositories and owners.  A value that more than ``max_owners`` owners or more
+than ``max_repos`` repositories have is an example that was widely copied; one that stays with few of
+both, and looks random, is a live-looking credential.  Base spans are always reported, with this verdict as counts beside
 them; an ``owned`` span is reported only if its value is live-looking.
 
 Spans come from built-in functions alone: ``split`` gives the text between matches and
@@ -94,7 +94,7 @@ def ownership(hits: DataFrame) -> DataFrame:
 
 def scan_secrets(
     docs: DataFrame, doc: str = "doc_id", text: str = "text", repo: str = "doc_id", owner: str = "source",
-    max_owners: int = 2, salts: int = 16,
+    max_owners: int = 2, max_repos: int = 50, salts: int = 16,
 ) -> DataFrame:
     """Rows (row, doc, base, more, n_live, n_example): spans with verdicts, for each input row.
 
@@ -125,12 +125,13 @@ def scan_secrets(
     judged = (
         hits.withColumn("salt", F.pmod("row", F.lit(salts)).cast("int"))
         .join(counts.hint("merge"), ["hash", "salt"])
-        .withColumn("live", (F.col("n_owners") <= max_owners) & F.col("s.random"))
+        .withColumn("copied", (F.col("n_owners") > max_owners) | (F.col("n_repos") > max_repos))
+        .withColumn("live", ~F.col("copied") & F.col("s.random"))
         .groupBy("row")
         .agg(
             F.array_sort(F.collect_list(F.when((F.col("s.k") == 3) & F.col("live"), F.struct("s.start", "s.k", "s.end")))).alias("kept"),
             F.count_if("live").alias("n_live"),
-            F.count_if(F.col("n_owners") > max_owners).alias("n_example"),
+            F.count_if("copied").alias("n_example"),
         )
     )
     bare = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["k"].alias("k"), s["end"].alias("end")))

@@ -330,3 +330,11 @@ def test_widely_copied_values_are_examples(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     got = {r.doc_id: (r.spans, r.n_live, r.n_example) for r in secret_scan.op7_secret_scan(docs).collect()}
     assert got[0] == ("", 0, 1) and got[9] == ("owned:4:24", 1, 0)
+
+
+def test_values_in_many_repositories_of_one_owner_are_examples(spark):
+    value = "Zx81_kQ27-mmPP04bHt9"
+    docs = spark.createDataFrame([(i, f"see {value} here", "one") for i in range(60)], "doc_id long, text string, source string")
+    assert {(r.spans, r.n_live, r.n_example) for r in secret_scan.op7_secret_scan(docs).collect()} == {("", 0, 1)}
+    few = secret_scan.op7_secret_scan(docs.limit(50)).collect()
+    assert {(r.n_live, r.n_example) for r in few} == {(1, 0)}
