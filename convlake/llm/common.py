@@ -59,12 +59,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def size_of(df: DataFrame) -> tuple[int, int]:
-    """Rows and bytes of a table, counted: text and binary by length, arrays and numbers by 8 bytes each."""
+    """Rows and bytes of a table, counted: text and binary by length, arrays, structs and numbers by 8 bytes for each value."""
 
     def width(name: str, kind: str) -> Column:
         if kind in ("string", "binary"):
             return F.coalesce(F.octet_length(name), F.lit(0)) + 16
-        return F.coalesce(F.size(name), F.lit(0)) * 8 + 16 if kind.startswith("array") else F.lit(8)
+        if kind.startswith("array"):
+            return F.coalesce(F.size(name), F.lit(0)) * 8 + 16
+        return F.lit(8 * (1 + kind.count(",")))
 
     widths = [width(name, kind) for name, kind in df.dtypes]
     r = df.agg(F.count("*").alias("n"), F.sum(sum(widths[1:], widths[0]).cast("long") + 16).alias("size")).first()
@@ -76,16 +78,19 @@ def near(df: DataFrame, small: DataFrame, on: list[str], how: str, most: int = 1
     return df.join(F.broadcast(small) if size_of(small)[1] <= most else small.hint("shuffle_hash"), on, how)
 
 
-def join_hot(df: DataFrame, groups: DataFrame, on: str, n: str, hot: int = 10_000) -> DataFrame:
+def join_hot(df: DataFrame, groups: DataFrame, on: str, n: str, hot: int = 10_000, most: int = 4 << 20) -> DataFrame:
     """Inner join of ``df`` with ``groups``, which has one row for each key and its number of rows of ``df`` in ``n``.
 
-    Keys that hold at least one ``hot``-th of all rows, of which there are ``hot`` at most however
-    large the table is, are broadcast; the others are shuffled.  So no key is in one task alone.
+    Groups of ``most`` bytes at most are broadcast.  Of larger tables, keys that hold at least one
+    ``hot``-th of all rows, of which there are ``hot`` at most however large the table is, are broadcast,
+    and the others shuffled.  So no key is in one task alone.
     """
-    total = groups.agg(F.sum(n)).first()[0] or 0
+    groups, added = cut(groups), [c for c in groups.columns if c not in (on, n)]
+    if size_of(groups)[1] <= most:
+        return df.join(F.broadcast(groups.drop(n)), on).select(*df.columns, *added)
+    total = groups.agg(F.sum(n)).first()[0]
     often = groups.where(F.col(n) * hot >= total).drop(n)
     marked = df.join(F.broadcast(often.withColumn("__hot", F.lit(True))), on, "left")
-    added = [c for c in groups.columns if c not in (on, n)]
     rest = marked.where("__hot IS NULL").select(*df.columns).join(groups.where(F.col(n) * hot < total).drop(n).hint("merge"), on)
     return marked.where("__hot").select(*df.columns, *added).unionByName(rest.select(*df.columns, *added))
 

@@ -14,8 +14,8 @@ or more.  The steps:
 3. Signatures are cut into bands; texts alike in a band are candidates.  Within a bucket all
    are compared with the one that meets most others over all bands (if the others were made
    from one text, with that one), and verified on their multisets.  What is linked so far forms
-   components; buckets that still hold several are compared once more with a leader of their own.
-4. In buckets of three and more texts that even then hold several components, every text outside of
+   components.
+4. In buckets of three and more texts that then hold several components, every text outside of
    the bucket's largest component is compared with all texts of other components, on whole
    multisets, in blocks of a bounded number of shingles.  A block tells only links that join two
    components, so what leaves it is no more than the texts it holds.  Pairs within a component can
@@ -328,15 +328,8 @@ def near_classes(
     links = verified(led, nodes, docs, size, at_least)
     roots = components(links)
 
-    rooted = several_components(members, roots)
-    lead = rooted.groupBy("bucket").agg(F.count("*").alias("n"), F.max(F.struct(F.xxhash64("bucket", "node").alias("h"), "node", "total", "root")).alias("lead"))
-    apart = join_hot(rooted, lead, "bucket", "n").where(could & (F.col("root") != F.col("lead.root"))).select(F.col("lead.node").alias("hub"), "node")
-    more = verified(apart, nodes, docs, size, at_least)
-    stars = lambda roots: roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
-    roots = components(stars(roots).union(more))
-
-    rooted = several_components(rooted.select("bucket", "node", "total"), roots)
-    roots = components(stars(roots).union(across(rooted, nodes, docs, size, at_least)))
+    stars = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    roots = components(stars.union(across(several_components(members, roots), nodes, docs, size, at_least)))
 
     placed = cut(
         nodes.select("print", "copies", "node", "doc_id").join(roots.hint("merge"), "node", "left")

@@ -270,8 +270,8 @@ def test_common_helpers(spark):
     df = spark.range(5000).select((F.col("id") % 7).alias("k"), "id").union(spark.range(3000).select(F.lit(3).alias("k"), "id"))
     groups = df.groupBy("k").agg(F.count("*").alias("n"), F.max("id").alias("top"))
     plain = df.join(groups, "k").select("k", "id", "top")
-    for hot in (2, 10_000):
-        out = common.join_hot(df, groups, "k", "n", hot)
+    for hot, most in ((2, 0), (10_000, 0), (10, 1 << 20)):
+        out = common.join_hot(df, groups, "k", "n", hot, most)
         assert out.columns == ["k", "id", "top"] and out.exceptAll(plain).count() == plain.exceptAll(out).count() == 0
     some = common.sample_by_hash(df, "id", 700).count()
     assert 500 <= some <= 700 and common.sample_by_hash(df.limit(10), "id", 700).count() == 10
