@@ -25,58 +25,84 @@ def counts(turns: DataFrame, pairs: DataFrame) -> DataFrame:
     return t.join(p, "conv_id", "left").withColumn("pair_count", F.coalesce("pair_count", F.lit(0)))
 
 
-def sanity_no_pairs(counted: DataFrame) -> DataFrame:
-    detail = F.concat(F.lit("0 pairs extracted from "), F.col("turn_count").cast("string"), F.lit(" turn container(s)"))
-    return counted.where("pair_count = 0 AND turn_count > 0").select("conv_id", F.lit("no-pairs").alias("rule"), detail.alias("detail"))
+ANSWER, QUESTION = "trim(coalesce(answer, ''))", "trim(coalesce(question, ''))"
 
 
-def sanity_turns_dropped(counted: DataFrame) -> DataFrame:
-    detail = F.concat(F.col("pair_count").cast("string"), F.lit(" pair(s) from "), F.col("turn_count").cast("string"), F.lit(" turn container(s)"))
-    return counted.where("pair_count > 0 AND pair_count * 2 < turn_count").select(
-        "conv_id", F.lit("turns-dropped").alias("rule"), detail.alias("detail")
-    )
+def _finding(rule: str, hit: Column, *detail: Column) -> Column:
+    """The finding as a struct; null where the rule doesn't fire."""
+    return F.when(hit, F.struct(F.lit(rule).alias("rule"), F.concat(*detail).alias("detail")))
 
 
-def _pair_rule(pairs: DataFrame, rule: str, hit: Column, *detail: Column) -> DataFrame:
-    text = F.concat(F.lit("pair "), F.col("pair_index").cast("string"), F.lit(": "), *detail)
-    return pairs.where(hit).select("conv_id", F.lit(rule).alias("rule"), text.alias("detail"))
+def _n(name: str) -> Column:
+    return F.col(name).cast("string")
 
 
-ANSWER, QUESTION = "trim(coalesce(answer, ''))", "trim(coalesce(question, ''))"
+def no_pairs() -> Column:
+    return _finding("no-pairs", F.expr("pair_count = 0 AND turn_count > 0"), F.lit("0 pairs extracted from "), _n("turn_count"), F.lit(" turn container(s)"))
 
 
-def sanity_empty_answer(pairs: DataFrame) -> DataFrame:
-    return _pair_rule(pairs, "empty-answer", F.expr(f"{ANSWER} = ''"), F.lit("answer is empty"))
+def turns_dropped() -> Column:
+    hit = F.expr("pair_count > 0 AND pair_count * 2 < turn_count")
+    return _finding("turns-dropped", hit, _n("pair_count"), F.lit(" pair(s) from "), _n("turn_count"), F.lit(" turn container(s)"))
 
 
-def sanity_chrome_as_content(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``labels``: the interface's own labels (column label), a short list."""
-    said = pairs.withColumn("label", F.expr(ANSWER)).join(F.broadcast(labels.select("label").distinct()), "label", "left_semi")
-    return _pair_rule(said, "chrome-as-content", F.lit(True), F.lit('answer is the UI label "'), F.col("label"), F.lit('"'))
+def _pair(rule: str, hit: Column, *detail: Column) -> Column:
+    return _finding(rule, hit, F.lit("pair "), _n("pair_index"), F.lit(": "), *detail)
 
 
-def sanity_content_shortfall(pairs: DataFrame) -> DataFrame:
+def empty_answer() -> Column:
+    return _pair("empty-answer", F.expr(f"{ANSWER} = ''"), F.lit("answer is empty"))
+
+
+def chrome_as_content(labels: tuple[str, ...]) -> Column:
+    return _pair("chrome-as-content", F.expr(ANSWER).isin(*labels), F.lit('answer is the UI label "'), F.expr(ANSWER), F.lit('"'))
+
+
+def content_shortfall() -> Column:
     n = F.length(F.expr(ANSWER))
     hit = (F.col("turn_chars") > MIN_TURN_CHARS) & (n < F.col("turn_chars") * SHORTFALL)
-    return _pair_rule(
-        pairs, "content-shortfall", hit, F.lit("extracted "), n.cast("string"), F.lit(" of "), F.col("turn_chars").cast("string"), F.lit(" chars")
-    )
+    return _pair("content-shortfall", hit, F.lit("extracted "), n.cast("string"), F.lit(" of "), _n("turn_chars"), F.lit(" chars"))
 
 
-def sanity_no_question(pairs: DataFrame) -> DataFrame:
+def no_question() -> Column:
     missing = F.when(F.expr(f"{QUESTION} = ''"), F.lit("no question")).otherwise(F.lit("no answer"))
-    return _pair_rule(pairs, "no-question", F.expr(f"({ANSWER} = '') <> ({QUESTION} = '')"), missing)
+    return _pair("no-question", F.expr(f"({ANSWER} = '') <> ({QUESTION} = '')"), missing)
+
+
+def fired(df: DataFrame, *rules: Column) -> DataFrame:
+    """(conv_id, rule, detail) of all rules that fire, in one pass over the rows."""
+    return df.select("conv_id", F.explode(F.filter(F.array(*rules), lambda f: f.isNotNull())).alias("f")).select("conv_id", "f.rule", "f.detail")
+
+
+def sanity_no_pairs(counted: DataFrame) -> DataFrame:
+    return fired(counted, no_pairs())
+
+
+def sanity_turns_dropped(counted: DataFrame) -> DataFrame:
+    return fired(counted, turns_dropped())
+
+
+def sanity_empty_answer(pairs: DataFrame) -> DataFrame:
+    return fired(pairs, empty_answer())
+
+
+def sanity_chrome_as_content(pairs: DataFrame, labels: tuple[str, ...]) -> DataFrame:
+    """``labels``: the interface's own labels, a short list."""
+    return fired(pairs, chrome_as_content(labels))
+
+
+def sanity_content_shortfall(pairs: DataFrame) -> DataFrame:
+    return fired(pairs, content_shortfall())
 
 
-def sanity_findings(counted: DataFrame, pairs: DataFrame, labels: DataFrame) -> DataFrame:
+def sanity_no_question(pairs: DataFrame) -> DataFrame:
+    return fired(pairs, no_question())
+
+
+def sanity_findings(counted: DataFrame, pairs: DataFrame, labels: tuple[str, ...]) -> DataFrame:
     """All six rules; ``pairs`` have turn_chars."""
-    out = sanity_no_pairs(counted)
-    for more in (
-        sanity_turns_dropped(counted), sanity_empty_answer(pairs), sanity_chrome_as_content(pairs, labels),
-        sanity_content_shortfall(pairs), sanity_no_question(pairs),
-    ):
-        out = out.unionByName(more)
-    return out
+    whole = fired(counted, no_pairs(), turns_dropped())
+    return whole.unionByName(fired(pairs, empty_answer(), chrome_as_content(labels), content_shortfall(), no_question()))
 
 
 def fnv1a(text: Column) -> Column:
@@ -92,17 +118,30 @@ def drift_fingerprint(platform: Column, version: Column, keys: Column, rules: Co
     return F.substring(F.concat(part(text), part(F.concat(text, F.lit("|salt")))), 1, 12)
 
 
+def failing_selectors(health: DataFrame) -> DataFrame:
+    """Required selectors that match nothing or are invalid; an optional one says nothing about the structure."""
+    return health.where("required AND matched <= 0")
+
+
 def required_failure(health: DataFrame) -> DataFrame:
     """(page_id, failed): whether a required selector matches nothing or is invalid."""
     return health.groupBy("page_id").agg(F.bool_or(F.col("required") & (F.col("matched") <= 0)).alias("failed"))
 
 
-def drift_report(findings: DataFrame, platform: Column, version: str, day: Column) -> DataFrame:
-    """One report for each conversation with findings, with fingerprint and counts."""
-    out = findings.groupBy("conv_id").agg(F.array_sort(F.collect_set("rule")).alias("rules"), F.count("*").alias("findings"))
+def drift_report(findings: DataFrame, failures: DataFrame, platform: Column, version: str, day: Column) -> DataFrame:
+    """One report for each conversation with findings or failing selectors, with fingerprint and counts.
+
+    ``failures``: (conv_id, key, selector, matched) of required selectors.
+    """
+    found = findings.groupBy("conv_id").agg(F.array_sort(F.collect_set("rule")).alias("rules"), F.count("*").alias("findings"))
+    failed = failures.groupBy("conv_id").agg(F.array_sort(F.collect_set("key")).alias("keys"))
+    none = F.array().cast("array<string>")
+    out = found.join(failed, "conv_id", "full").withColumns({
+        "rules": F.coalesce("rules", none), "keys": F.coalesce("keys", none), "findings": F.coalesce("findings", F.lit(0)),
+    })
     return out.select(
-        "conv_id", platform.alias("platform"), F.lit(version).alias("version"), day.alias("day"), "findings", F.array_join("rules", ",").alias("rules"),
-        drift_fingerprint(platform, F.lit(version), F.array().cast("array<string>"), F.col("rules")).alias("fingerprint"),
+        "conv_id", platform.alias("platform"), F.lit(version).alias("version"), day.alias("day"), "findings", F.array_join("keys", ",").alias("keys"),
+        F.array_join("rules", ",").alias("rules"), drift_fingerprint(platform, F.lit(version), F.col("keys"), F.col("rules")).alias("fingerprint"),
     )
 
 
@@ -121,17 +160,23 @@ def record_suppression(handled: DataFrame, more: DataFrame) -> DataFrame:
     return handled.select("fingerprint").union(more.select("fingerprint")).distinct()
 
 
-def format_report(reports: DataFrame, findings: DataFrame, origin: str = "https://chat.example.com", target: str = "batch") -> DataFrame:
-    """(conv_id, report): plain text without any content of the page."""
-    lines = findings.groupBy("conv_id").agg(
-        F.array_sort(F.collect_list(F.concat(F.lit("  "), "rule", F.lit(": "), "detail"))).alias("lines")
-    )
-    head = F.concat(
+def format_report(
+    reports: DataFrame, findings: DataFrame, failures: DataFrame, skeletons: DataFrame, origin: str = "https://chat.example.com", target: str = "batch"
+) -> DataFrame:
+    """(conv_id, report): plain text without any content of the page.
+
+    ``failures``: (conv_id, key, selector, matched); ``skeletons``: (conv_id, skeleton).
+    """
+    listed = lambda df, line: df.groupBy("conv_id").agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("lines"))
+    rules = listed(findings, F.concat(F.lit("  "), "rule", F.lit(": "), "detail")).withColumnRenamed("lines", "checks")
+    why = F.when(F.col("matched") < 0, "invalid selector").otherwise("0 matches")
+    keys = listed(failures, F.concat(F.lit("  "), "key", F.lit(": "), "selector", F.lit("  → "), why)).withColumnRenamed("lines", "selectors")
+    told = reports.join(rules, "conv_id", "left").join(keys, "conv_id", "left").join(skeletons.select("conv_id", "skeleton"), "conv_id", "left")
+    text = F.concat(
         F.lit("drift "), "fingerprint", F.lit(" — "), "platform", F.lit(" page structure report\n\nplatform:  "), "platform",
-        F.lit(f"\norigin:    {origin}\nversion:   "), "version", F.lit(f" ({target})\ndetected:  "), "day",
-        F.lit("\n\nSelectors not matching:\n  (none — every required selector matched)\n\nOutput checks that failed:\n"),
-    )
-    tail = F.lit(
-        "\n\nPage structure (tag names, classes and attribute names only —\nevery text node is replaced by its character count):\n\n  (not available)"
+        F.lit(f"\norigin:    {origin}\nversion:   "), "version", F.lit(f" ({target})\ndetected:  "), "day", F.lit("\n\nSelectors not matching:\n"),
+        F.coalesce("selectors", F.lit("  (none — every required selector matched)")), F.lit("\n\nOutput checks that failed:\n"), F.coalesce("checks", F.lit("  (none)")),
+        F.lit("\n\nPage structure (tag names, classes and attribute names only —\nevery text node is replaced by its character count):\n\n"),
+        F.coalesce(F.nullif("skeleton", F.lit("")), F.lit("  (not available)")),
     )
-    return reports.join(lines, "conv_id").select("conv_id", F.concat(head, F.array_join("lines", "\n"), tail).alias("report"))
+    return told.select("conv_id", text.alias("report"))

@@ -1,13 +1,18 @@
-"""Captured pages as tables of nodes, and what is extracted from them.
+"""Captured pages as trees of nodes, and what is extracted from them.
 
-``dom_nodes`` is the one step that runs Python in tasks; all others are relational.  A node's
-``path`` holds its ancestors' ids and its own, and ``node_id .. end_id`` spans its subtree, so
-ancestor and subtree tests are array or interval comparisons.
+``trees`` parses every page once, the one step that runs Python in tasks: a row for each page, whose
+``nodes`` are in document order.  A node's place is its id, and ``node_id .. end_id`` is its subtree, so
+subtrees are slices and ancestor tests comparisons of intervals; the nearest cell, list, link and so on
+are known from the parse.  What follows are column expressions on that array, without shuffles, until
+rows leave their page.  ``dom_nodes`` is the same as a table, a row for each node.
+
+Dropped nodes stay in their place with the kind ``dropped``.  Elements nest as deep as they do in the
+page; malformed markup never fails, and null pages have no nodes.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -15,6 +20,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from convlake.functions.naming import domain, escape_html, safe_url
+from convlake.functions.text import parse_span
+from convlake.operators.selectors import attr, matcher
 from convlake.session import ship
 
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
@@ -24,34 +31,50 @@ BLOCK = {
 }
 CLOSES_P = BLOCK - {"li", "td", "th", "tr", "thead", "tbody", "dt", "dd", "body", "html"}
 #: What a start tag closes, up to the named container.
-SIBLINGS = {"li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr"}), "th": ({"td", "th"}, {"tr"})}
-MAX_DEPTH = 200
-
-NODES = (
-    "page_id long, node_id int, parent_id int, path array<int>, depth int, ordinal int, kind string, tag string, classes array<string>, "
-    "attrs map<string,string>, text string, end_id int, block_id int, cell_id int, verbatim boolean"
+SIBLINGS = {
+    "li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}),
+    "td": ({"td", "th"}, {"tr"}), "th": ({"td", "th"}, {"tr"}), "tbody": ({"thead", "tbody", "tr", "td", "th"}, {"table"}),
+}
+INLINE = {"b": "bold", "strong": "bold", "i": "italic", "em": "italic", "code": "code", "a": "link", "s": "strikethrough", "del": "strikethrough"}
+#: Of each node, the nearest element of these tags, itself included.
+NEAREST = {
+    "block_id": BLOCK, "cell_id": {"td", "th"}, "row_id": {"tr"}, "table_id": {"table"}, "item_id": {"li"}, "list_id": {"ul", "ol"},
+    "link_id": {"a"}, "quote_id": {"blockquote"}, "section_id": {"thead", "tbody", "tfoot"},
+}
+INTS, TEXTS = pa.int32(), pa.list_(pa.string())
+NODE = (
+    ("node_id", INTS, "int"), ("parent_id", INTS, "int"), ("depth", INTS, "int"), ("ordinal", INTS, "int"), ("kind", pa.string(), "string"),
+    ("tag", pa.string(), "string"), ("classes", TEXTS, "array<string>"), ("attrs", pa.map_(pa.string(), pa.string()), "map<string,string>"),
+    ("text", pa.string(), "string"), ("end_id", INTS, "int"), *((k, INTS, "int") for k in NEAREST), ("list_depth", INTS, "int"),
+    ("item_index", INTS, "int"), ("verbatim", pa.bool_(), "boolean"), ("marks", TEXTS, "array<string>"), ("mark_id", INTS, "int"),
 )
 
 
 class Tree(HTMLParser):
-    """Nodes of one page; malformed markup never fails, and open elements close at the end."""
+    """Nodes of one page; open elements close at the end."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.nodes: list[dict] = []
         self.open: list[int] = []
-        self.children: dict[int, int] = {}
+        self.children: dict[int | None, int] = {}
+        self.items: dict[int | None, int] = {}
 
     def add(self, kind: str, tag: str | None, attrs: list, text: str | None) -> int:
-        up = self.open[-1] if self.open else None
-        above = self.nodes[up] if up is not None else None
-        me = len(self.nodes)
+        me, up = len(self.nodes), self.open[-1] if self.open else None
+        above = self.nodes[up] if up is not None else {}
         self.children[up] = self.children.get(up, -1) + 1
-        self.nodes.append({
-            "node_id": me, "parent_id": up, "path": [*(above["path"] if above else ()), me], "depth": len(self.open), "ordinal": self.children[up],
-            "kind": kind, "tag": tag, "classes": (dict(attrs).get("class") or "").split(), "attrs": [(k, v or "") for k, v in dict(attrs).items()], "text": text, "end_id": me,
-            "block_id": me if tag in BLOCK else (above["block_id"] if above else None), "cell_id": me if tag in ("td", "th") else (above["cell_id"] if above else None),
-            "verbatim": tag in ("pre", "code") or bool(above and above["verbatim"]),
+        node = {k: me if tag in tags else above.get(k) for k, tags in NEAREST.items()}
+        marks, kept = above.get("marks", []), dict(attrs)
+        mark = "math" if "data-math-display" in kept else INLINE.get(tag)
+        if tag == "li":
+            self.items[node["list_id"]] = self.items.get(node["list_id"], -1) + 1
+        self.nodes.append(node | {
+            "node_id": me, "parent_id": up, "depth": len(self.open), "ordinal": self.children[up], "kind": kind, "tag": tag,
+            "classes": (kept.get("class") or "").split(), "attrs": [(k, v or "") for k, v in kept.items()], "text": text, "end_id": me,
+            "list_depth": above.get("list_depth", -1) + (tag in ("ul", "ol")), "item_index": self.items.get(node["list_id"]) if tag == "li" else None,
+            "verbatim": tag in ("pre", "code") or above.get("verbatim", False),
+            "marks": [*marks, mark] if mark and mark not in marks else marks, "mark_id": me if mark and not marks else above.get("mark_id"),
         })
         return me
 
@@ -73,7 +96,7 @@ class Tree(HTMLParser):
         if tag in SIBLINGS:
             self.close_open(*SIBLINGS[tag])
         me = self.add("element", tag, attrs, None)
-        if tag not in VOID and len(self.open) < MAX_DEPTH:
+        if tag not in VOID:
             self.open.append(me)
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
@@ -105,132 +128,251 @@ def html_tokens(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", F.posexplode(tokens).alias("pos", "token"))
 
 
-def dom_nodes(pages: DataFrame) -> DataFrame:
-    """The nodes of every page, in document order."""
+def trees(pages: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(page_id, ``keep``, nodes): every page parsed once, some pages of a batch at a time."""
     ship(pages.sparkSession)
-    names = [x.split()[0] for x in NODES.split(", ")]
-    types = [
-        pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.list_(pa.string()),
-        pa.map_(pa.string(), pa.string()), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(),
-    ]
+    narrow = pages.select(F.col("page_id").cast("long").alias("page_id"), *keep, F.col("html").cast("string").alias("html"))
+    kept, kind = narrow.columns[:-1], pa.list_(pa.struct([(name, t) for name, t, _ in NODE]))
+    types = ", ".join(f"`{n}` {t}" for n, t in narrow.dtypes[:-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 100):
-                some = batch.slice(at, 100)
-                rows = [{"page_id": p, **n} for p, h in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True) for n in tree(h)]
-                yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], t) for n, t in zip(names, types, strict=True)], names)
+            for at in range(0, batch.num_rows, 50):
+                some = batch.slice(at, 50)
+                nodes = pa.array([tree(h) for h in some.column(len(kept)).to_pylist()], kind)
+                yield pa.RecordBatch.from_arrays([*some.columns[: len(kept)], nodes], [*kept, "nodes"])
+
+    return narrow.mapInArrow(run, f"{types}, nodes array<struct<{', '.join(f'{n}:{t}' for n, _, t in NODE)}>>")
+
+
+def node_rows(trees: DataFrame) -> DataFrame:
+    return rows(trees, F.col("nodes"))
+
+
+def dom_nodes(pages: DataFrame) -> DataFrame:
+    """The nodes of every page, a row each, in document order."""
+    return node_rows(trees(pages))
+
+
+# ---- expressions on the nodes of a page -----------------------------------------------
+
+Items = Callable[[Column], Column]
+
+
+def rows(trees: DataFrame, items: Column) -> DataFrame:
+    """A row for each struct in ``items``."""
+    return trees.select("page_id", F.explode(items).alias("x")).select("page_id", "x.*")
+
+
+def filtered(where: Items) -> Column:
+    return F.filter("nodes", lambda x: F.coalesce(where(x), F.lit(False)))
+
+
+def element(x: Column, *tags: str) -> Column:
+    return (x["kind"] == "element") & x["tag"].isin(*tags)
+
+
+def is_text(x: Column) -> Column:
+    return (x["kind"] == "text") & (F.trim(x["text"]) != "")
+
+
+def subtree(x: Column) -> Column:
+    """The nodes from ``x`` to its last descendant."""
+    return F.slice("nodes", x["node_id"] + 1, x["end_id"] - x["node_id"] + 1)
+
+
+def inner(x: Column) -> Column:
+    return F.slice("nodes", x["node_id"] + 2, x["end_id"] - x["node_id"])
+
+
+def at(node_id: Column) -> Column:
+    return F.get("nodes", node_id)
+
+
+def within(x: Column, places: Column) -> Column:
+    """Whether ``x`` is one of, or below, the intervals ``places`` (a, b)."""
+    return F.exists(places, lambda g: (g["a"] <= x["node_id"]) & (x["node_id"] <= g["b"]))
 
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("html").cast("string").alias("html")).mapInArrow(run, NODES)
 
+def outermost(nodes: Column) -> Column:
+    """Intervals (a, b) of those of ``nodes``, which are in order, that aren't below another one."""
+    start = F.struct(F.lit(-1).alias("until"), F.array().cast("array<struct<a:int,b:int>>").alias("found"))
+    return F.aggregate(
+        nodes, start,
+        lambda acc, x: F.when(
+            x["node_id"] > acc["until"],
+            F.struct(x["end_id"].alias("until"), F.array_append(acc["found"], F.struct(x["node_id"].alias("a"), x["end_id"].alias("b"))).alias("found")),
+        ).otherwise(acc),
+    )["found"]
 
-def without(nodes: DataFrame, dropped: Column) -> DataFrame:
-    """``nodes`` without the subtrees of those for which ``dropped`` holds."""
-    gone = nodes.where(dropped).groupBy("page_id").agg(F.collect_set("node_id").alias("__gone"))
-    return nodes.join(gone, "page_id", "left").where(F.col("__gone").isNull() | ~F.arrays_overlap("path", "__gone")).drop("__gone")
 
+def squeezed(text: Column) -> Column:
+    return F.trim(F.regexp_replace(text, r"\s+", " "))
 
-def has_class(*names: str) -> Column:
-    return F.arrays_overlap("classes", F.array(*map(F.lit, names)))
 
+def exact_text(x: Column, of: Items | None = None) -> Column:
+    """The text nodes of a subtree put together, or those for which ``of`` holds."""
+    texts = F.filter(subtree(x), lambda n: (n["kind"] == "text") & (of(n) if of else F.lit(True)))
+    return F.array_join(F.transform(texts, lambda n: n["text"]), "")
 
-def strip_chrome(nodes: DataFrame, also: tuple[str, ...] = ("script", "style")) -> DataFrame:
+
+def prose(x: Column, of: Items | None = None) -> Column:
+    """The text of a subtree as one line; what stands in different blocks is a space apart."""
+    texts = F.filter(subtree(x), lambda n: (n["kind"] == "text") & (of(n) if of else F.lit(True)))
+    spaced = F.transform(texts, lambda n, i: F.concat(F.when(i == 0, "").when(~n["block_id"].eqNullSafe(F.get(texts, i - 1)["block_id"]), " ").otherwise(""), n["text"]))
+    return squeezed(F.array_join(spaced, ""))
+
+
+def drop_nodes(trees: DataFrame, dropped: Items) -> DataFrame:
+    """Subtrees of the nodes for which ``dropped`` holds get the kind ``dropped``."""
+    gone = trees.withColumn("__gone", outermost(filtered(dropped)))
+    left = F.transform("nodes", lambda x: F.when(within(x, F.col("__gone")), x.withField("kind", F.lit("dropped"))).otherwise(x))
+    return gone.withColumn("nodes", left).drop("__gone")
+
+
+def strip_chrome(trees: DataFrame, also: tuple[str, ...] = ("script", "style", "template", "head")) -> DataFrame:
     """Without buttons, hidden and icon nodes, comments, and then empty ``div`` and ``span``."""
-    attr = lambda k: F.coalesce(F.try_element_at("attrs", F.lit(k)), F.lit(""))
-    hidden = F.col("tag").isin("button", *also) | (attr("role") == "button") | has_class("sr-only", "visually-hidden") | (attr("aria-hidden") == "true")
-    icons = ~F.col("verbatim") & ((F.col("tag") == "svg") | has_class("copy-code", "copy-btn", "icon", "avatar"))
-    left = without(nodes, F.coalesce(hidden | icons, F.lit(False))).where("kind <> 'comment'")
-    filled = left.where("kind = 'text' AND trim(text) <> '' OR tag IN ('img', 'br', 'hr', 'video', 'audio')").select(
-        "page_id", F.explode("path").alias("node_id")
-    ).distinct()
-    empty = left.where("tag IN ('div', 'span')").join(filled, ["page_id", "node_id"], "left_anti").select("page_id", "node_id")
-    return left.join(empty, ["page_id", "node_id"], "left_anti")
-
-
-def flatten_text(nodes: DataFrame) -> DataFrame:
-    """(page_id, text): cells apart by `` | ``, blocks by a line feed, white space collapsed outside ``pre``."""
-    w = Window.partitionBy("page_id").orderBy("node_id")
-    words = F.when(F.col("verbatim"), F.col("text")).otherwise(F.regexp_replace("text", r"\s+", " "))
-    texts = nodes.where("kind = 'text' AND trim(text) <> ''").withColumn("t", words)
-    row = F.lag("block_id").over(w)
-    same_row = F.col("cell_id").isNotNull() & F.lag("cell_id").over(w).isNotNull() & ~F.col("cell_id").eqNullSafe(F.lag("cell_id").over(w))
-    sep = F.when(F.row_number().over(w) == 1, "").when(same_row, " | ").when(~row.eqNullSafe(F.col("block_id")), "\n").otherwise("")
-    parts = texts.withColumn("s", sep).groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("node_id", "s", "t"))).alias("p"))
-    return parts.select("page_id", F.trim(F.array_join(F.transform("p", lambda x: F.concat(x["s"], x["t"])), "")).alias("text"))
-
-
-def node_text(nodes: DataFrame, of: Column, trim: bool = True) -> DataFrame:
-    """(page_id, node_id, tag, attrs, ..., content): nodes for which ``of`` holds, with the text of their subtrees."""
-    picked = nodes.where(of).select("page_id", "node_id", "tag", "attrs", "classes", "path", "depth", "block_id", "end_id")
-    texts = nodes.where("kind = 'text'").select("page_id", F.explode("path").alias("node_id"), F.col("node_id").alias("at"), F.col("text").alias("t"))
-    joined = texts.groupBy("page_id", "node_id").agg(F.array_sort(F.collect_list(F.struct("at", "t"))).alias("p"))
-    content = F.coalesce(F.array_join(F.transform("p", lambda x: x["t"]), ""), F.lit(""))
-    out = picked.join(joined, ["page_id", "node_id"], "left").withColumn("content", F.trim(F.regexp_replace(content, r"\s+", " ")) if trim else content)
-    return out.drop("p")
-
-
-def extract_headings(nodes: DataFrame) -> DataFrame:
-    level = F.substring("tag", 2, 1).cast("int")
-    return node_text(nodes, F.col("tag").rlike("^h[1-6]$")).where("content <> ''").select("page_id", "node_id", level.alias("level"), F.col("content").alias("text"))
-
-
-def extract_code(nodes: DataFrame) -> DataFrame:
+    has = lambda x, *names: F.arrays_overlap(x["classes"], F.array(*map(F.lit, names)))
+    style = lambda x: F.regexp_replace(F.lower(attr(x, "style")), " ", "")
+    one_pixel = lambda x: style(x).contains("position:absolute") & style(x).rlike(r"(^|;)(width|height):1px")
+    hidden = lambda x: (
+        x["tag"].isin("button", *also) | F.coalesce(attr(x, "role") == "button", F.lit(False)) | has(x, "sr-only", "visually-hidden")
+        | F.coalesce(attr(x, "aria-hidden") == "true", F.lit(False)) | F.coalesce(one_pixel(x), F.lit(False))
+    )
+    icons = lambda x: ~x["verbatim"] & ((x["tag"] == "svg") | has(x, "copy-code", "copy-btn", "icon", "avatar"))
+    left = drop_nodes(trees, lambda x: (x["kind"] == "comment") | ((x["kind"] == "element") & (hidden(x) | icons(x))))
+    filled = lambda n: is_text(n) | element(n, "img", "br", "hr", "video", "audio")
+    return drop_nodes(left, lambda x: element(x, "div", "span") & ~F.exists(subtree(x), lambda n: F.coalesce(filled(n), F.lit(False))))
+
+
+def collapse_math(trees: DataFrame) -> DataFrame:
+    """Each outermost formula becomes one text node of the mark ``math``: its TeX source, else its MathML, else its text."""
+    root = lambda x: (x["kind"] == "element") & ((x["tag"] == "mjx-container") | F.array_contains(x["classes"], "katex"))
+    first = lambda x, tag: F.get(F.filter(subtree(x), lambda n: element(n, tag)), F.lit(0))
+    full = lambda c: F.nullif(F.trim(c), F.lit(""))
+    said = lambda x: F.coalesce(full(exact_text(first(x, "annotation"))), full(exact_text(first(x, "math"))), full(exact_text(x)))
+    display = lambda x: F.coalesce(attr(x, "display") == "true", F.lit(False)) | F.coalesce(
+        F.array_contains(at(x["parent_id"])["classes"], "katex-display"), F.lit(False)
+    )
+    sign = lambda x: F.when(display(x), "$$").otherwise("$")
+    marked = trees.withColumn("__math", outermost(filtered(root)))
+    begins = lambda x: F.exists("__math", lambda g: g["a"] == x["node_id"])
+    formula = lambda x: (
+        x.withField("kind", F.lit("text")).withField("text", F.concat(sign(x), said(x), sign(x))).withField("end_id", x["node_id"])
+        .withField("marks", F.array_union(x["marks"], F.array(F.lit("math")))).withField("mark_id", F.coalesce(x["mark_id"], x["node_id"]))
+    )
+    return marked.withColumn(
+        "nodes",
+        F.transform("nodes", lambda x: F.when(begins(x), formula(x)).when(within(x, F.col("__math")), x.withField("kind", F.lit("dropped"))).otherwise(x)),
+    ).drop("__math")
+
+
+def flatten_text(trees: DataFrame) -> DataFrame:
+    """(page_id, text): cells apart by `` | ``, blocks by a line feed, white space collapsed outside ``pre``; pages without text are left out."""
+    texts = trees.select("page_id", filtered(is_text).alias("t")).where(F.size("t") > 0)
+
+    def part(x: Column, i: Column) -> Column:
+        before = F.get("t", i - 1)
+        cells = x["cell_id"].isNotNull() & before["cell_id"].isNotNull() & (x["cell_id"] != before["cell_id"]) & x["row_id"].eqNullSafe(before["row_id"])
+        sep = F.when(i == 0, "").when(cells, " | ").when(~before["block_id"].eqNullSafe(x["block_id"]), "\n").otherwise("")
+        return F.concat(sep, F.when(x["verbatim"], x["text"]).otherwise(F.regexp_replace(x["text"], r"\s+", " ")))
+
+    return texts.select("page_id", F.trim(F.array_join(F.transform("t", part), "")).alias("text"))
+
+
+# ---- elements ----------------------------------------------------------------------------
+
+
+def extract_headings(trees: DataFrame) -> DataFrame:
+    found = F.transform(
+        filtered(lambda x: (x["kind"] == "element") & x["tag"].rlike("^h[1-6]$")),
+        lambda x: F.struct(x["node_id"].alias("node_id"), F.substring(x["tag"], 2, 1).cast("int").alias("level"), prose(x).alias("text")),
+    )
+    return rows(trees, found).where("text <> ''")
+
+
+def code_language(x: Column) -> Column:
+    """What the class of the ``code`` inside, or of the element itself, names; else ``code``."""
+    code = F.get(F.filter(inner(x), lambda n: element(n, "code")), F.lit(0))
+    named = F.regexp_extract(F.array_join(F.coalesce(code["classes"], x["classes"]), " "), r"language-(\w+)", 1)
+    return F.coalesce(F.nullif(named, F.lit("")), F.lit("code"))
+
+
+def extract_code(trees: DataFrame) -> DataFrame:
     """(page_id, node_id, language, code); the language is ``code`` if no class names one."""
-    language = F.regexp_extract(F.array_join("classes", " "), r"language-(\w+)", 1)
-    out = node_text(nodes, F.col("tag") == "pre", trim=False).withColumn("code", F.trim("content"))
-    return out.where("code <> ''").select("page_id", "node_id", F.coalesce(F.nullif(language, F.lit("")), F.lit("code")).alias("language"), "code")
+    found = F.transform(
+        filtered(lambda x: element(x, "pre")),
+        lambda x: F.struct(x["node_id"].alias("node_id"), code_language(x).alias("language"), F.trim(exact_text(x)).alias("code")),
+    )
+    return rows(trees, found).where("code <> ''")
+
+
+def own_item_text(x: Column) -> Column:
+    return prose(x, lambda n: n["item_id"] == x["node_id"])
 
 
-def extract_lists(nodes: DataFrame) -> DataFrame:
+def extract_lists(trees: DataFrame) -> DataFrame:
     """(page_id, list_id, item_index, depth, ordered, text) of items, each with its own text only."""
-    lists = nodes.where("tag IN ('ul', 'ol')").select("page_id", F.col("node_id").alias("list_id"), F.col("tag").alias("list_tag"))
-    items = nodes.where("tag = 'li'")
-    nearest = items.select("page_id", "node_id", F.explode("path").alias("list_id")).join(lists, ["page_id", "list_id"]).groupBy("page_id", "node_id").agg(
-        F.max(F.struct("list_id", "list_tag")).alias("l"), (F.count("*") - 1).cast("int").alias("nesting")
-    )
-    owner = nodes.where("kind = 'text'").select("page_id", F.col("node_id").alias("at"), "text", F.explode("path").alias("node_id")).join(
-        items.select("page_id", "node_id"), ["page_id", "node_id"]
-    ).groupBy("page_id", "at", "text").agg(F.max("node_id").alias("node_id"))
-    own = owner.groupBy("page_id", "node_id").agg(F.array_sort(F.collect_list(F.struct("at", "text"))).alias("p"))
-    text = F.trim(F.regexp_replace(F.array_join(F.transform("p", lambda x: x["text"]), ""), r"\s+", " "))
-    w = Window.partitionBy("page_id", "l.list_id").orderBy("node_id")
-    return nearest.join(own, ["page_id", "node_id"], "left").select(
-        "page_id", F.col("l.list_id").alias("list_id"), (F.row_number().over(w) - 1).alias("item_index"), F.col("nesting").alias("depth"),
-        (F.col("l.list_tag") == "ol").alias("ordered"), F.coalesce(text, F.lit("")).alias("text"),
+    found = F.transform(
+        filtered(lambda x: element(x, "li") & x["list_id"].isNotNull()),
+        lambda x: F.struct(
+            x["list_id"].alias("list_id"), x["item_index"].alias("item_index"), x["list_depth"].alias("depth"),
+            (at(x["list_id"])["tag"] == "ol").alias("ordered"), own_item_text(x).alias("text"),
+        ),
     )
+    return rows(trees, found)
+
 
+def links(x: Column) -> Column:
+    return F.struct(x["node_id"].alias("node_id"), attr(x, "href").alias("href"), prose(x).alias("text"))
 
-def extract_links(nodes: DataFrame) -> DataFrame:
+
+def extract_links(trees: DataFrame) -> DataFrame:
     """(page_id, node_id, href, text) of anchors that have both."""
-    href = F.try_element_at("attrs", F.lit("href"))
-    return node_text(nodes, F.col("tag") == "a").withColumn("href", href).where("href <> '' AND content <> ''").select(
-        "page_id", "node_id", "href", F.col("content").alias("text")
-    )
+    return rows(trees, F.transform(filtered(lambda x: element(x, "a")), links)).where("href <> '' AND text <> ''")
 
 
-def extract_citations(links: DataFrame) -> DataFrame:
-    """One search for each page: its query, its results in order, and how many there are."""
-    kept = links.withColumn("url", safe_url(F.col("href"))).where("url IS NOT NULL")
-    result = F.struct("node_id", F.col("text").alias("title"), "url", domain(F.col("url")).alias("domain"))
-    return kept.groupBy("page_id").agg(F.array_sort(F.collect_list(result)).alias("results")).select(
-        "page_id", F.lit("Web Search").alias("query"), F.size("results").alias("result_count"), "results"
+#: Fixed value: where citations stand.
+CITATION = '[data-testid="webpage-citation-pill"] a'
+
+
+def extract_citations(trees: DataFrame, selector: str = CITATION) -> DataFrame:
+    """One search for each page with citations: its query, its results in order, and how many there are.
+
+    Urls are kept as they are; whoever renders them asks ``safe_url``.
+    """
+    found = F.filter(F.transform(filtered(matcher(selector)), links), lambda x: (x["href"] != "") & (x["text"] != ""))
+    result = lambda x: F.struct(x["node_id"].alias("node_id"), x["text"].alias("title"), x["href"].alias("url"), domain(x["href"]).alias("domain"))
+    return trees.select("page_id", F.lit("Web Search").alias("query"), F.transform(found, result).alias("results")).where(F.size("results") > 0).select(
+        "page_id", "query", F.size("results").alias("result_count"), "results"
     )
 
 
-def extract_images(nodes: DataFrame) -> DataFrame:
-    """(page_id, node_id, src, alt, width, height, link_url); the link is the nearest anchor around it."""
-    attr = lambda k: F.try_element_at("attrs", F.lit(k))
-    images = nodes.where("tag = 'img'").withColumn("src", attr("src")).where("src <> ''")
-    anchors = nodes.where("tag = 'a'").select("page_id", F.col("node_id").alias("a"), attr("href").alias("href"))
-    around = images.select("page_id", "node_id", F.explode("path").alias("a")).join(anchors, ["page_id", "a"]).groupBy("page_id", "node_id").agg(
-        F.max(F.struct("a", "href"))["href"].alias("link_url")
+def number_of(x: Column, name: str) -> Column:
+    return F.nullif(F.regexp_extract(attr(x, name), r"^\s*(\d+)", 1), F.lit("")).try_cast("int").alias(name)
+
+
+#: Pictures below these aren't content.
+PICTURE_CHROME = ("button", '[data-testid="webpage-citation-pill"]', ".code-artifact")
+
+
+def extract_images(trees: DataFrame) -> DataFrame:
+    """(page_id, node_id, src, alt, title, width, height, link_url, chrome): the link is the nearest anchor around it."""
+    chrome = filtered(matcher(", ".join(PICTURE_CHROME)))
+    marked = trees.withColumn("__chrome", outermost(chrome))
+    found = F.transform(
+        filtered(lambda x: element(x, "img") & (attr(x, "src") != "")),
+        lambda x: F.struct(
+            x["node_id"].alias("node_id"), attr(x, "src").alias("src"), attr(x, "alt").alias("alt"), attr(x, "title").alias("title"),
+            number_of(x, "width"), number_of(x, "height"), attr(at(x["link_id"]), "href").alias("link_url"), within(x, F.col("__chrome")).alias("chrome"),
+        ),
     )
-    number = lambda k: attr(k).try_cast("int").alias(k)
-    return images.join(around, ["page_id", "node_id"], "left").select("page_id", "node_id", "src", attr("alt").alias("alt"), number("width"), number("height"), "link_url")
+    return rows(marked, found)
 
 
 def filter_content_images(images: DataFrame) -> DataFrame:
-    return images.where(~F.col("src").contains("sprites-core") & ~F.col("src").contains("icon"))
+    """Without sprites and icons, and without what stands in a code artifact, a citation pill or a button."""
+    return images.where(~F.col("src").contains("sprites-core") & ~F.col("src").contains("icon") & ~F.col("chrome"))
 
 
 def image_inventory(images: DataFrame) -> DataFrame:
@@ -238,35 +380,16 @@ def image_inventory(images: DataFrame) -> DataFrame:
     return images.groupBy("page_id", "src").agg(F.min("node_id").alias("first"), F.count("*").alias("times"))
 
 
-def extract_media(nodes: DataFrame) -> DataFrame:
+def extract_media(trees: DataFrame) -> DataFrame:
     """Video and audio with the source of the element, else of its first ``source``."""
-    attr = lambda k: F.try_element_at("attrs", F.lit(k))
-    sources = nodes.where("tag = 'source'").groupBy("page_id", F.col("parent_id").alias("node_id")).agg(
-        F.min(F.struct(F.col("node_id").alias("at"), attr("src").alias("src"), attr("type").alias("mime"))).alias("s")
-    )
-    return nodes.where("tag IN ('video', 'audio')").join(sources, ["page_id", "node_id"], "left").select(
-        "page_id", "node_id", F.col("tag").alias("kind"), F.coalesce(F.nullif(attr("src"), F.lit("")), "s.src").alias("src"),
-        F.coalesce(attr("aria-label"), attr("title")).alias("alt"), F.col("s.mime").alias("mime"),
-    ).where("src IS NOT NULL")
-
-
-INLINE = {"b": "bold", "strong": "bold", "i": "italic", "em": "italic", "code": "code", "a": "link", "s": "strikethrough", "del": "strikethrough"}
+    def item(x: Column) -> Column:
+        source = F.get(F.filter(subtree(x), lambda n: element(n, "source")), F.lit(0))
+        return F.struct(
+            x["node_id"].alias("node_id"), x["tag"].alias("kind"), F.coalesce(F.nullif(attr(x, "src"), F.lit("")), attr(source, "src")).alias("src"),
+            F.coalesce(attr(x, "aria-label"), attr(x, "title")).alias("alt"), attr(source, "type").alias("mime"),
+        )
 
-
-def extract_inlines(nodes: DataFrame) -> DataFrame:
-    """(page_id, block_id, ordinal, type, text, url): runs of text by the nearest inline element."""
-    kinds = F.create_map(*(F.lit(x) for kv in INLINE.items() for x in kv))
-    wrappers = nodes.where(F.col("tag").isin(*INLINE)).select(
-        "page_id", F.col("node_id").alias("w"), kinds[F.col("tag")].alias("type"), F.try_element_at("attrs", F.lit("href")).alias("url")
-    )
-    texts = nodes.where("kind = 'text' AND trim(text) <> ''").select("page_id", "node_id", "block_id", "text", "path")
-    nearest = texts.select("page_id", "node_id", F.explode("path").alias("w")).join(wrappers, ["page_id", "w"]).groupBy("page_id", "node_id").agg(
-        F.max(F.struct("w", "type", "url")).alias("x")
-    )
-    runs = texts.join(nearest, ["page_id", "node_id"], "left").select(
-        "page_id", "block_id", "node_id", F.coalesce("x.type", F.lit("text")).alias("type"), F.regexp_replace("text", r"\s+", " ").alias("text"), F.col("x.url").alias("url")
-    )
-    return coalesce_runs(runs, ["page_id", "block_id"], "node_id", ["type", "url"], "text").withColumnRenamed("run", "ordinal")
+    return rows(trees, F.transform(filtered(lambda x: element(x, "video", "audio")), item)).where("src IS NOT NULL")
 
 
 def coalesce_runs(df: DataFrame, keys: list[str], order: str, same: list[str], text: str) -> DataFrame:
@@ -279,62 +402,154 @@ def coalesce_runs(df: DataFrame, keys: list[str], order: str, same: list[str], t
     return runs.groupBy(*keys, "run", *same).agg(joined.alias(text))
 
 
-def extract_blocks(nodes: DataFrame) -> DataFrame:
-    """(page_id, block_id, parent_block_id, ordinal, depth, type, level, text): blocks with a text of their own.
+def extract_inlines(trees: DataFrame) -> DataFrame:
+    """(page_id, block_id, ordinal, type, marks, url, text): runs of text outside of ``pre``.
 
-    A container is a block only for the text that no inner block has; the text of a block is
-    that of the text nodes whose nearest block it is.
+    ``marks`` are all inline elements around a run, the outermost first, and ``type`` is that one (``text``
+    if there is none); a run ends where its outermost element ends.
     """
-    own = nodes.where("kind = 'text' AND trim(text) <> ''").groupBy("page_id", "block_id").agg(
-        F.array_sort(F.collect_list(F.struct("node_id", "text", "verbatim"))).alias("p")
-    )
-    said = F.array_join(F.transform("p", lambda x: F.when(x["verbatim"], x["text"]).otherwise(F.regexp_replace(x["text"], r"\s+", " "))), "")
-    elements = nodes.where("kind = 'element'").select(
-        "page_id", F.col("node_id").alias("block_id"), "tag", "parent_id", "depth", F.col("path").alias("path")
-    )
-    blocks = nodes.where(F.col("tag").isin(*BLOCK)).select("page_id", F.col("node_id").alias("parent_block_id"))
-    kind = (
-        F.when(F.col("tag").rlike("^h[1-6]$"), "heading").when(F.col("tag") == "pre", "code").when(F.col("tag") == "li", "list_item")
-        .when(F.col("tag") == "blockquote", "blockquote").when(F.col("tag").isin("td", "th"), "cell").otherwise("paragraph")
-    )
-    text_blocks = own.join(elements, ["page_id", "block_id"], "left").select(
-        "page_id", "block_id", "path", "depth", F.coalesce(kind, F.lit("paragraph")).alias("type"),
-        F.when(F.col("tag").rlike("^h[1-6]$"), F.substring("tag", 2, 1).cast("int")).alias("level"), F.trim(said).alias("text"),
-    )
-    alone = nodes.where("tag IN ('hr', 'img')").select(
-        "page_id", F.col("node_id").alias("block_id"), "path", "depth", F.when(F.col("tag") == "hr", "hr").otherwise("image").alias("type"),
-        F.lit(None).cast("int").alias("level"), F.coalesce(F.try_element_at("attrs", F.lit("alt")), F.lit("")).alias("text"),
+    found = F.transform(
+        filtered(lambda x: is_text(x) & (~x["verbatim"] | F.array_contains(x["marks"], "code"))),
+        lambda x: F.struct(
+            x["node_id"].alias("node_id"), x["block_id"].alias("block_id"), F.coalesce(F.get(x["marks"], F.lit(0)), F.lit("text")).alias("type"),
+            x["marks"].alias("marks"), attr(at(x["link_id"]), "href").alias("url"), x["mark_id"].alias("mark_id"), F.regexp_replace(x["text"], r"\s+", " ").alias("text"),
+            (at(x["block_id"])["tag"] == "pre").alias("pre"),
+        ),
     )
-    every = text_blocks.unionByName(alone)
-    up = every.select("page_id", "block_id", F.explode("path").alias("parent_block_id")).where("parent_block_id < block_id").join(
-        blocks, ["page_id", "parent_block_id"]
-    ).groupBy("page_id", "block_id").agg(F.max("parent_block_id").alias("parent_block_id"))
-    w = Window.partitionBy("page_id").orderBy(F.col("block_id").asc_nulls_first())
-    return every.join(up, ["page_id", "block_id"], "left").select(
-        "page_id", "block_id", "parent_block_id", (F.row_number().over(w) - 1).alias("ordinal"), "depth", "type", "level", "text"
+    texts = rows(trees, found).where("pre IS NULL OR NOT pre").drop("pre")
+    runs = coalesce_runs(texts, ["page_id", "block_id"], "node_id", ["type", "marks", "url", "mark_id"], "text")
+    return runs.withColumnRenamed("run", "ordinal").drop("mark_id")
+
+
+# ---- blocks --------------------------------------------------------------------------------
+
+#: Elements that make the ones around them containers of blocks.
+HELD = ("table", "pre", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "blockquote", "hr", "img")
+#: Elements that are blocks of their own, whatever they hold.
+WHOLE = ("pre", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "hr", "img", "table", "a")
+BLOCKS = ("page_id", "block_id", "parent_block_id", "ordinal", "depth", "type", "level", "language", "ordered", "item_index", "url", "alt", "link_url", "text")
+
+
+def extract_blocks(trees: DataFrame) -> DataFrame:
+    """(page_id, block_id, parent_block_id, ordinal, depth, type, level, language, ordered, item_index, url, alt, link_url, text).
+
+    Types: paragraph, heading, code, list and list_item, blockquote, hr, image, table.  An element that
+    holds a block is taken apart, any other is one paragraph; a page without any block is one
+    paragraph.  A quote holds its blocks, a list its items, an item the lists in it
+    (``parent_block_id``); ``depth`` counts these.  The cells of tables are in ``table_cells``.
+    """
+    holds = lambda x: F.exists(inner(x), lambda n: element(n, *HELD))
+    apart = lambda x: (x["kind"] == "element") & ((x["tag"] == "blockquote") | (~x["tag"].isin(*WHOLE) & holds(x)))
+    solid = filtered(lambda x: (element(x, "hr", "img") | is_text(x) | (x["kind"] == "element")) & ~apart(x))
+    blockless = ~F.exists("nodes", lambda x: element(x, *BLOCK, "img"))
+    t = trees.withColumn("__solid", outermost(solid)).withColumn("__blockless", blockless)
+    is_top = lambda x: F.exists("__solid", lambda g: g["a"] == x["node_id"])
+    lists = lambda x: element(x, "ul", "ol", "li") & x["list_id"].isNotNull()
+    # lists of a solid list, but not those in a cell or a code block
+    taken = lambda x: F.exists("__solid", lambda g: (g["a"] <= x["node_id"]) & (x["node_id"] <= g["b"]) & element(at(g["a"]), "ul", "ol"))
+    tops = F.filter("nodes", lambda x: F.coalesce(is_top(x) | element(x, "blockquote") & ~within(x, F.col("__solid")) | lists(x) & taken(x), F.lit(False)))
+
+    def block(x: Column) -> Column:
+        picture = F.get(F.filter(subtree(x), lambda n: element(n, "img") & (attr(n, "src") != "")), F.lit(0))
+        has_picture = (x["kind"] == "element") & x["tag"].isin("img", "a") & picture.isNotNull()
+        kind = (
+            F.when(x["kind"] == "text", "paragraph").when(has_picture, "image").when(x["tag"].rlike("^h[1-6]$"), "heading").when(x["tag"] == "pre", "code")
+            .when(x["tag"].isin("ul", "ol"), "list").when(x["tag"] == "li", "list_item").when(x["tag"].isin("blockquote", "hr", "table"), x["tag"])
+            .when(x["tag"] == "img", "nothing").otherwise("paragraph")
+        )
+        text = (
+            F.when(kind == "code", F.trim(exact_text(x))).when(kind == "list_item", own_item_text(x))
+            .when(kind.isin("list", "blockquote", "hr", "table"), "").when(kind == "image", "").otherwise(prose(x))
+        )
+        above = at(x["parent_id"])
+        parent = F.when(x["tag"] == "li", x["list_id"]).when(x["tag"].isin("ul", "ol") & above["item_id"].isNotNull(), above["item_id"]).otherwise(above["quote_id"])
+        return F.struct(
+            x["node_id"].alias("block_id"), parent.alias("parent_block_id"), kind.alias("type"),
+            F.when(kind == "heading", F.substring(x["tag"], 2, 1).cast("int")).alias("level"), F.when(kind == "code", code_language(x)).alias("language"),
+            F.when(kind == "list", x["tag"] == "ol").alias("ordered"), F.when(kind == "list_item", x["item_index"]).alias("item_index"),
+            F.when(kind == "image", attr(picture, "src")).alias("url"), F.when(kind == "image", F.coalesce(attr(picture, "alt"), F.lit(""))).alias("alt"),
+            F.when(kind == "image", attr(at(picture["link_id"]), "href")).alias("link_url"), text.alias("text"),
+            F.exists(subtree(x), lambda n: is_text(n) | element(n, "img", "hr", "li")).alias("filled"),
+        )
+
+    every = F.filter(F.transform(tops, block), lambda b: (b["text"] != "") | b["type"].isin("image", "hr", "list_item") | (b["type"].isin("list", "blockquote", "table") & b["filled"]))
+    t = t.where("NOT __blockless").withColumn("__b", every)
+    # how many of the page's blocks are around each: quotes, lists and items are few on a path
+    around = lambda b: F.size(F.filter("__b", lambda o: o["type"].isin("blockquote", "list", "list_item") & (o["block_id"] < b["block_id"]) & (b["block_id"] <= at(o["block_id"])["end_id"])))
+    numbered = F.transform("__b", lambda b, i: b.withField("ordinal", i).withField("depth", around(b)))
+    whole = F.struct(F.lit(0).alias("node_id"), (F.size("nodes") - 1).alias("end_id"))
+    alone = trees.withColumn("__blockless", blockless).where("__blockless").select("page_id", prose(whole).alias("text")).where("text <> ''")
+    none = {"parent_block_id": "int", "level": "int", "language": "string", "ordered": "boolean", "item_index": "int", "url": "string", "alt": "string", "link_url": "string"}
+    alone = alone.select(
+        "page_id", F.lit(0).alias("block_id"), F.lit(0).alias("ordinal"), F.lit(0).alias("depth"), F.lit("paragraph").alias("type"), "text",
+        *(F.lit(None).cast(k).alias(n) for n, k in none.items()),
     )
+    return rows(t, numbered).select(*BLOCKS).unionByName(alone.select(*BLOCKS))
+
 
+def table_cells(trees: DataFrame) -> DataFrame:
+    """(page_id, table_id, is_header, row_idx, ordinal, text, rowspan, colspan) of all tables, as written.
 
-SKELETON_ATTRS = ("role", "type", "data-turn", "data-testid", "aria-label")
+    Header rows are those of ``thead``; they and the others are numbered on their own.
+    """
+    tables = filtered(lambda x: element(x, "table"))
+
+    def cells(table: Column, header: bool) -> Column:
+        in_head = lambda r: F.coalesce(at(r["section_id"])["tag"] == "thead", F.lit(False))
+        own = F.filter(subtree(table), lambda r: element(r, "tr") & (r["table_id"] == table["node_id"]) & (in_head(r) if header else ~in_head(r)))
+        span = lambda x, name: parse_span(F.coalesce(attr(x, name), F.lit("1"))).cast("int").alias(name)
+        return F.flatten(F.transform(own, lambda r, i: F.transform(
+            F.filter(subtree(r), lambda x: element(x, "td", "th") & (x["row_id"] == r["node_id"])),
+            lambda x, k: F.struct(
+                table["node_id"].alias("table_id"), F.lit(header).alias("is_header"), i.cast("int").alias("row_idx"), k.cast("int").alias("ordinal"),
+                prose(x).alias("text"), span(x, "rowspan"), span(x, "colspan"),
+            ),
+        )))
+
+    return rows(trees, F.flatten(F.transform(tables, lambda t: F.concat(cells(t, True), cells(t, False)))))
+
+
+# ---- structure ---------------------------------------------------------------------------
+
+#: Attributes whose values come from small vocabularies and never hold what somebody wrote.
+SKELETON_ATTRS = ("data-turn", "data-message-author-role", "data-is-streaming", "role", "type")
 BUDGET = {"nodes": 500, "bytes": 32_768, "depth": 12}
 
 
-def page_skeleton(nodes: DataFrame) -> DataFrame:
-    """(page_id, skeleton, elided): tags, classes and attribute names; texts as their lengths."""
-    names = F.array_sort(F.map_keys(F.map_filter("attrs", lambda k, _: k != "class")))
-    safe = lambda k: F.when(k.isin(*SKELETON_ATTRS), F.concat(F.lit('="'), F.try_element_at("attrs", k), F.lit('"'))).otherwise("")
-    shown = F.array_join(F.transform(names, lambda k: F.concat(F.lit("["), k, safe(k), F.lit("]"))), "")
-    label = F.when(F.col("kind") == "text", F.concat(F.lit("text("), F.length(F.trim("text")).cast("string"), F.lit(")"))).otherwise(
-        F.concat("tag", F.array_join(F.transform("classes", lambda x: F.concat(F.lit("."), x)), ""), shown)
-    )
-    w = Window.partitionBy("page_id").orderBy("node_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    lines = nodes.where("kind = 'element' OR kind = 'text' AND trim(text) <> ''").withColumn("line", F.concat(F.repeat(F.lit("  "), F.col("depth")), label))
-    lines = lines.withColumn("n", F.count("*").over(w)).withColumn("size", F.sum(F.octet_length("line") + 1).over(w))
-    fits = (F.col("n") <= BUDGET["nodes"]) & (F.col("size") <= BUDGET["bytes"]) & (F.col("depth") <= BUDGET["depth"])
-    kept = F.array_sort(F.collect_list(F.when(fits, F.struct("node_id", "line"))))
-    return lines.groupBy("page_id").agg(kept.alias("k"), F.count_if(~fits).alias("elided")).select(
-        "page_id", F.array_join(F.transform("k", lambda x: x["line"]), "\n").alias("skeleton"), "elided"
+def page_skeleton(trees: DataFrame, budget: dict[str, int] = BUDGET) -> DataFrame:
+    """(page_id, skeleton, elided): tags, classes and attribute names; texts as their lengths.
+
+    Values are shown of ``SKELETON_ATTRS`` alone.  Elements deeper than the budget are elided with all that
+    is in them; once the budget of nodes or bytes is spent, so are elements whose parent is shown.
+    """
+    shown = lambda x: F.array_join(F.transform(
+        F.filter(F.map_keys(x["attrs"]), lambda k: k != "class"),
+        lambda k: F.when(k.isin(*SKELETON_ATTRS), F.concat(k, F.lit('="'), F.try_element_at(x["attrs"], k), F.lit('"'))).otherwise(k),
+    ), "][")
+    classes = lambda x: F.coalesce(F.concat(F.lit("."), F.nullif(F.trim(attr(x, "class")), F.lit(""))), F.lit(""))
+    label = lambda x: F.when(x["kind"] == "text", F.concat(F.lit("text("), F.length(F.trim(x["text"])).cast("string"), F.lit(")"))).otherwise(
+        F.concat(x["tag"], classes(x), F.coalesce(F.concat(F.lit("["), F.nullif(shown(x), F.lit("")), F.lit("]")), F.lit("")))
     )
+    lines = rows(trees, F.transform(
+        filtered(lambda x: (x["kind"] == "element") | is_text(x)),
+        lambda x: F.struct(
+            x["node_id"].alias("node_id"), x["parent_id"].alias("parent_id"), x["depth"].alias("depth"), (x["kind"] == "element").alias("e"),
+            F.concat(F.repeat(F.lit("  "), x["depth"]), label(x)).alias("line"),
+        ),
+    ))
+    before = Window.partitionBy("page_id").orderBy("node_id").rowsBetween(Window.unboundedPreceding, -1)
+    # what is a line, as long as there is budget: elements, and the texts right below them
+    counts = F.col("depth") <= F.when(F.col("e"), budget["depth"]).otherwise(budget["depth"] + 1)
+    lines = lines.withColumn("n", F.coalesce(F.count_if(F.col("e") & counts).over(before), F.lit(0)))
+    lines = lines.withColumn("size", F.coalesce(F.sum(F.when(counts, F.length("line") + 1)).over(before), F.lit(0)))
+    spent = F.col("e") & counts & ((F.col("n") >= budget["nodes"]) | (F.col("size") >= budget["bytes"]))
+    lines = lines.withColumn("cut", F.min(F.when(spent, F.col("node_id"))).over(Window.partitionBy("page_id")))
+    fresh = lambda c: F.coalesce(c < F.col("cut"), F.lit(True))
+    kept = counts & F.when(F.col("e"), fresh(F.col("node_id"))).otherwise(fresh(F.col("parent_id")))
+    gone = F.col("e") & F.when(counts, ~fresh(F.col("node_id")) & fresh(F.col("parent_id"))).otherwise(fresh(F.col("node_id")))
+    out = lines.groupBy("page_id").agg(F.array_sort(F.collect_list(F.when(kept, F.struct("node_id", "line")))).alias("k"), F.count_if(gone).alias("elided"))
+    more = F.when(F.col("elided") > 0, F.array(F.concat(F.lit("…elided "), F.col("elided").cast("string"), F.lit(" nodes")))).otherwise(F.array().cast("array<string>"))
+    return out.select("page_id", F.array_join(F.concat(F.transform("k", lambda x: x["line"]), more), "\n").alias("skeleton"), "elided")
 
 
 def structure_signature(skeletons: DataFrame) -> DataFrame:
@@ -342,56 +557,113 @@ def structure_signature(skeletons: DataFrame) -> DataFrame:
     return skeletons.groupBy(F.xxhash64("skeleton").alias("signature")).agg(F.count("*").alias("pages"))
 
 
-def selector_health(pages: DataFrame, nodes: DataFrame, selectors: DataFrame) -> DataFrame:
-    """(page_id, key, required, matched).  ``selectors``: (key, selector, required), a short list.
+Selectors = list[tuple[str, str, bool]]
 
-    A selector is a tag, ``.class``, ``[attr]``, ``[attr="v"]`` or tag with one of these; what
-    can't be read has matched -1.
-    """
-    pattern = r'^([a-z][a-z0-9]*)?(?:\.([\w-]+)|\[([\w-]+)(?:="([^"]*)")?\])?$'
-    part = lambda i: F.nullif(F.regexp_extract("selector", pattern, i), F.lit(""))
-    read = selectors.withColumn("valid", F.col("selector").rlike(pattern) & (F.col("selector") != "")).select(
-        "key", "required", "valid", part(1).alias("s_tag"), part(2).alias("s_class"), part(3).alias("s_attr"), part(4).alias("s_value")
-    )
-    elements = nodes.where("kind = 'element'").select("page_id", "tag", "classes", "attrs")
-    hit = (
-        F.col("valid") & (F.col("s_tag").isNull() | (F.col("s_tag") == F.col("tag"))) & (F.col("s_class").isNull() | F.array_contains("classes", F.col("s_class")))
-        & (F.col("s_attr").isNull() | (F.map_contains_key("attrs", F.col("s_attr")) & (F.col("s_value").isNull() | (F.try_element_at("attrs", F.col("s_attr")) == F.col("s_value")))))
-    )
-    counts = elements.join(F.broadcast(read), hit).groupBy("page_id", "key").agg(F.count("*").alias("n"))
-    every = pages.select("page_id").distinct().join(F.broadcast(read.select("key", "required", "valid")))
-    return every.join(counts, ["page_id", "key"], "left").select(
-        "page_id", "key", "required", F.when(F.col("valid"), F.coalesce("n", F.lit(0))).otherwise(-1).cast("long").alias("matched")
-    )
 
+def selector_health(trees: DataFrame, selectors: Selectors) -> DataFrame:
+    """(page_id, key, selector, required, matched) of a short list of (key, selector, required); invalid selectors have -1."""
+    def one(key: str, selector: str, required: bool) -> Column:
+        test = matcher(selector)
+        n = F.lit(-1) if test is None else F.size(filtered(test))
+        return F.struct(F.lit(key).alias("key"), F.lit(selector).alias("selector"), F.lit(required).alias("required"), n.cast("long").alias("matched"))
+
+    return rows(trees, F.array(*(one(*s) for s in selectors)))
+
+
+def detect_platform(trees: DataFrame, platforms: list[tuple[str, str, str | None]]) -> DataFrame:
+    """(page_id, platform): the first of (id, url pattern, container selector or None) that fits; ``trees`` keep the url."""
+    fits = [
+        F.when(F.col("url").rlike(pattern) & (F.lit(True) if container is None else F.exists("nodes", matcher(container))), F.lit(name))
+        for name, pattern, container in platforms
+    ]
+    return trees.select("page_id", F.coalesce(*fits, F.lit(None).cast("string")).alias("platform"))
+
+
+def first_match(selector: str) -> Column:
+    """The first node that matches; null if there is none."""
+    return F.get(filtered(matcher(selector)), F.lit(0))
+
+
+def text_at(selector: str) -> Column:
+    """The text of the first node that matches; null if there is none or it is blank."""
+    return F.nullif(prose(first_match(selector)), F.lit(""))
+
+
+def extract_title(trees: DataFrame, selectors: tuple[str, ...], generic: tuple[str, ...], default: str, contained: str | None = None) -> DataFrame:
+    """(page_id, title): the first text of the selectors, in their order, that isn't a generic name."""
+    def fine(selector: str) -> Column:
+        said = text_at(selector)
+        odd = said.isin(*generic) | (said.contains(contained) if contained else F.lit(False))
+        return F.when(~odd, said)
+
+    return trees.select("page_id", F.coalesce(*map(fine, selectors), F.lit(default)).alias("title"))
 
-def detect_platform(pages: DataFrame, platforms: DataFrame) -> DataFrame:
-    """(page_id, platform): the first platform, by priority, whose pattern fits the url.
 
-    ``platforms``: (id, priority, url_pattern), a short list.
+#: Where each platform names its model.
+MODEL_AT = {
+    "chatgpt": "[data-message-model-slug]", "claude": 'button[data-testid="model-selector-dropdown"] div.whitespace-nowrap',
+    "gemini": '[data-test-id="bard-mode-menu-button"] .picker-primary-text',
+}
+
+
+def extract_model(trees: DataFrame, platform: Column) -> DataFrame:
+    """(page_id, model): a slug, a name with ``Claude`` before it unless it holds that, or a mode; null if the page names none."""
+    slug = F.nullif(F.trim(attr(first_match(MODEL_AT["chatgpt"]), "data-message-model-slug")), F.lit(""))
+    name, mode = text_at(MODEL_AT["claude"]), text_at(MODEL_AT["gemini"])
+    named = F.when(F.lower(name).contains("claude"), name).otherwise(F.concat(F.lit("Claude "), name))
+    of = F.when(platform == "chatgpt", slug).when(platform == "claude", named).when(platform == "gemini", F.concat(F.lit("Gemini ("), mode, F.lit(" mode)")))
+    return trees.select("page_id", of.alias("model"))
+
+
+def first_below(x: Column, selector: str) -> Column:
+    return F.get(F.filter(inner(x), matcher(selector)), F.lit(0))
+
+
+#: A source that was used, and what it holds.
+SOURCE, SOURCE_URL = ".source-list.used-sources browse-web-item", 'a[data-test-id="browse-web-item-link"]'
+SOURCE_DOMAIN, SOURCE_TITLE = '[data-test-id="domain-name"]', '[data-test-id="sub-title"]'
+
+
+def used_sources(trees: DataFrame) -> DataFrame:
+    """(page_id, node_id, title, url, domain) of the sources that a report cites; those only read are in another list.
+
+    The title is the domain, and else the url, where there is none.
     """
-    hits = pages.select("page_id", "url").join(F.broadcast(platforms), F.expr("url RLIKE url_pattern"))
-    found = hits.groupBy("page_id").agg(F.min_by("id", "priority").alias("platform"))
-    return pages.select("page_id").join(found, "page_id", "left")
+    def source(x: Column) -> Column:
+        url, said = attr(first_below(x, SOURCE_URL), "href"), lambda s: F.nullif(prose(first_below(x, s)), F.lit(""))
+        return F.struct(x["node_id"].alias("node_id"), F.coalesce(said(SOURCE_TITLE), said(SOURCE_DOMAIN), url).alias("title"), url.alias("url"), said(SOURCE_DOMAIN).alias("domain"))
 
+    return rows(trees, F.transform(filtered(matcher(SOURCE)), source)).where("url <> ''")
 
-ALLOWED = ("p", "br", "b", "strong", "i", "em", "u", "s", "del", "a", "ul", "ol", "li", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "code", "table", "thead", "tbody", "tr", "td", "th", "img", "hr", "div", "span", "article", "sup", "sub", "section")
 
+# ---- cleaning -----------------------------------------------------------------------------
+
+#: Elements that stay, and the attributes that each may keep beside its class.
+ALLOWED = (
+    "p", "div", "span", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "li", "table", "thead", "tbody", "tr", "th", "td", "pre", "code", "a", "img",
+    "blockquote", "hr", "em", "strong", "del", "br", "sup", "sub", "b", "i", "u", "svg", "title", "desc",
+)
+ALLOWED_ATTRS = {"a": ("href", "title"), "img": ("src", "alt", "title"), "svg": ("width", "height", "viewbox", "aria-label"), "pre": ("tabindex",)}
+URL_ATTRS = ("href", "src")
 
-def sanitize_html(nodes: DataFrame) -> DataFrame:
-    """(page_id, html): allowed tags only, others with their subtrees gone; safe urls; texts escaped."""
-    kept = without(nodes, (F.col("kind") == "comment") | ((F.col("kind") == "element") & ~F.col("tag").isin(*ALLOWED, "html", "body")))
-    kept = kept.where("tag IS NULL OR tag NOT IN ('html', 'body')")
-    attr = lambda k: F.try_element_at("attrs", F.lit(k))
+
+def sanitize_html(trees: DataFrame) -> DataFrame:
+    """(page_id, html): allowed elements only, others with their subtrees gone; allowed attributes, safe urls; texts escaped."""
+    kept = drop_nodes(trees, lambda x: (x["kind"] == "comment") | ((x["kind"] == "element") & ~x["tag"].isin(*ALLOWED, "html", "body")))
     shown = lambda name, v: F.coalesce(F.concat(F.lit(f' {name}="'), escape_html(v), F.lit('"')), F.lit(""))
-    attrs = F.when(F.col("tag") == "a", shown("href", safe_url(attr("href")))).when(
-        F.col("tag") == "img", F.concat(shown("src", safe_url(attr("src"), True)), shown("alt", attr("alt")))
-    ).otherwise("")
-    opening = F.when(F.col("kind") == "text", escape_html(F.col("text"))).otherwise(F.concat(F.lit("<"), "tag", attrs, F.lit(">")))
+
+    def attrs(x: Column) -> Column:
+        out = F.lit("")
+        for tag, names in ALLOWED_ATTRS.items():
+            value = lambda n, t=tag: safe_url(attr(x, n), t == "img") if n in URL_ATTRS else attr(x, n)
+            out = F.when(x["tag"] == tag, F.concat(*(shown(n, value(n)) for n in names))).otherwise(out)
+        return F.concat(shown("class", attr(x, "class")), out)
+
+    part = lambda place, late, order, s: F.struct(place.alias("at"), F.lit(late).alias("late"), order.alias("inner"), s.alias("s"))
+    live = filtered(lambda x: (x["kind"] == "text") | (x["kind"] == "element") & ~x["tag"].isin("html", "body"))
+    opening = lambda x: F.when(x["kind"] == "text", escape_html(x["text"])).otherwise(F.concat(F.lit("<"), x["tag"], attrs(x), F.lit(">")))
+    starts = F.transform(live, lambda x: part(x["node_id"], 0, F.lit(0), opening(x)))
     # closing tags go behind the last node of the subtree, the innermost first
-    starts = kept.select("page_id", F.col("node_id").alias("at"), F.lit(0).alias("late"), F.lit(0).alias("inner"), opening.alias("s"))
-    ends = kept.where((F.col("kind") == "element") & ~F.col("tag").isin(*VOID)).select(
-        "page_id", F.col("end_id").alias("at"), F.lit(1).alias("late"), (-F.col("node_id")).alias("inner"), F.concat(F.lit("</"), "tag", F.lit(">")).alias("s")
-    )
-    parts = starts.unionByName(ends).groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("at", "late", "inner", "s"))).alias("p"))
-    return parts.select("page_id", F.array_join(F.transform("p", lambda x: x["s"]), "").alias("html"))
+    closed = filtered(lambda x: (x["kind"] == "element") & ~x["tag"].isin(*VOID, "html", "body"))
+    ends = F.transform(closed, lambda x: part(x["end_id"], 1, -x["node_id"], F.concat(F.lit("</"), x["tag"], F.lit(">"))))
+    return kept.select("page_id", F.array_join(F.transform(F.array_sort(F.concat(starts, ends)), lambda p: p["s"]), "").alias("html"))

@@ -49,22 +49,25 @@ def normalize_headings(blocks: DataFrame, key: str) -> DataFrame:
     return blocks.join(ranks, [key, "level"], "left")
 
 
-def merge_header_rows(cells: DataFrame) -> DataFrame:
+def merge_header_rows(cells: DataFrame, keys: list[str] = ["table_id"]) -> DataFrame:  # noqa: B006
     """Several header rows as one: the parts of a column that aren't empty, a space apart."""
     part = F.when(F.trim("text") != "", F.struct("row_idx", F.trim("text").alias("t")))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda x: x["t"]), " ")
-    return cells.where("is_header").groupBy("table_id", "col_idx").agg(joined.alias("text"))
+    return cells.where("is_header").groupBy(*keys, "col_idx").agg(joined.alias("text"))
 
 
-def pad_ragged_rows(cells: DataFrame) -> DataFrame:
-    """Every row as wide as the header; wider rows stay."""
-    width = cells.where("is_header").groupBy("table_id").agg((F.max("col_idx") + 1).alias("width"))
-    rows = cells.where("NOT is_header").groupBy("table_id", "row_idx").agg((F.max("col_idx") + 1).alias("own"))
-    grid = rows.join(width, "table_id").select(
-        "table_id", "row_idx", F.explode(F.sequence(F.lit(0), F.greatest("own", "width") - 1)).alias("col_idx")
-    )
-    own = cells.where("NOT is_header").select("table_id", "row_idx", "col_idx", "text")
-    return grid.join(own, ["table_id", "row_idx", "col_idx"], "left").withColumn("text", F.coalesce("text", F.lit("")))
+def pad_ragged_rows(cells: DataFrame, keys: list[str] = ["table_id"]) -> DataFrame:  # noqa: B006
+    """Body rows as wide as the header; wider rows stay.
+
+    One exchange by table: a row's missing places are added to the list of its own cells.
+    """
+    rows = cells.groupBy(*keys, "is_header", "row_idx").agg(F.collect_list(F.struct("col_idx", "text")).alias("c"), (F.max("col_idx") + 1).alias("own"))
+    width = F.max(F.when(F.col("is_header"), F.col("own"))).over(Window.partitionBy(*keys))
+    body = rows.withColumn("width", F.greatest(F.coalesce(width, F.lit(0)), "own")).where("NOT is_header")
+    held = F.transform("c", lambda x: x["col_idx"])
+    missing = F.array_except(F.sequence(F.lit(0), F.col("width") - 1), held)
+    blank = F.transform(missing, lambda i: F.struct(i.alias("col_idx"), F.lit("").alias("text")))
+    return body.select(*keys, "row_idx", F.explode(F.concat("c", blank)).alias("x")).select(*keys, "row_idx", "x.col_idx", "x.text")
 
 
 def numeric_columns(cells: DataFrame) -> DataFrame:
@@ -93,28 +96,35 @@ def txt_table(cells: DataFrame) -> DataFrame:
     return drawn.groupBy("table_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("body", "row_idx", "s"))), lambda x: x["s"]), "\n").alias("text"))
 
 
-def table_grid(cells: DataFrame) -> DataFrame:
-    """Cells (table_id, row_idx, ordinal, text, rowspan, colspan) at their real places.
+def table_grid(cells: DataFrame, keys: list[str] = ["table_id"]) -> DataFrame:  # noqa: B006
+    """Cells (keys, is_header, row_idx, ordinal, text, rowspan, colspan) at their real places.
 
-    Placement depends on what the rows above still occupy, so each table is walked in order;
-    a table is one group.
+    Header and body are laid out on their own.  Placement depends on what the rows above still
+    occupy, so each table is walked in order; a table is one group, and a cell covers no more rows
+    than there are.  Spans come from ``parse_span``, 1 to 1000.
     """
     import pandas as pd
 
+    columns = [*keys, "is_header", "row_idx", "col_idx", "text"]
+
     def place(frame: pd.DataFrame) -> pd.DataFrame:
-        taken, out = set(), []
+        own, out = [frame[k].iloc[0] for k in (*keys, "is_header")], []
+        taken: dict[int, set[int]] = {}
+        last = frame["row_idx"].max()
         for r in frame.sort_values(["row_idx", "ordinal"]).itertuples():
-            col = 0
-            while (r.row_idx, col) in taken:
+            row, col = taken.setdefault(r.row_idx, set()), 0
+            while col in row:
                 col += 1
-            for i in range(r.rowspan):
-                for j in range(r.colspan):
-                    taken.add((r.row_idx + i, col + j))
-                    out.append((r.table_id, r.row_idx + i, col + j, r.text if (i, j) == (0, 0) else ""))
-        last = frame["row_idx"].max()
-        return pd.DataFrame([x for x in out if x[1] <= last], columns=["table_id", "row_idx", "col_idx", "text"])
+            for j in range(r.colspan):
+                while col in row:
+                    col += 1
+                for i in range(r.row_idx, min(r.row_idx + r.rowspan - 1, last) + 1):
+                    taken.setdefault(i, set()).add(col)
+                    out.append((*own, i, col, r.text if (i, j) == (r.row_idx, 0) else ""))
+        return pd.DataFrame(out, columns=columns)
 
-    return cells.groupBy("table_id").applyInPandas(place, "table_id long, row_idx int, col_idx int, text string")
+    schema = ", ".join([*(f"{k} {dict(cells.dtypes)[k]}" for k in keys), "is_header boolean", "row_idx int", "col_idx int", "text string"])
+    return cells.groupBy(*keys, "is_header").applyInPandas(place, schema)
 
 
 def sources_section(results: DataFrame) -> DataFrame:
@@ -128,11 +138,12 @@ def sources_section(results: DataFrame) -> DataFrame:
     return one.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("search", text.alias("t")))), lambda x: x["t"]), "\n\n").alias("text"))
 
 
-def metadata_header(title: Column, platform: Column, model: Column, dates: Column, url: Column) -> Column:
+def metadata_header(title: Column, platform: Column, model: Column, dates: Column, url: Column, exported: Column | None = None) -> Column:
     """Lines of a document's head; what isn't known is left out."""
     line = lambda name, v: F.concat(F.lit(f"| {name} | "), v, F.lit(" |"))
     lines = F.filter(
-        F.array(F.concat(F.lit("# "), title), F.lit(""), F.lit("| **Field** | **Value** |"), F.lit("|---|---|"), line("Platform", platform), line("Model", model), line("Date range", dates), line("URL", url)),
+        F.array(F.concat(F.lit("# "), title), F.lit(""), F.lit("| **Field** | **Value** |"), F.lit("|---|---|"), line("Platform", platform), line("Model", model), line("Date range", dates),
+            line("Exported", F.lit(None).cast("string") if exported is None else exported), line("URL", url)),
         lambda x: x.isNotNull(),
     )
     return F.array_join(lines, "\n")
@@ -162,23 +173,46 @@ def message_from_parts(parts: DataFrame, keys: list[str]) -> DataFrame:
     return parts.select(*keys).distinct().join(joined, keys, "left")
 
 
+def list_marks(items: DataFrame, key: str) -> DataFrame:
+    """Items with ``number``: their place among those of their list; ``items``: (key, pos, depth, ordered, text).
+
+    A list goes on until an item of a smaller depth comes.
+    """
+    w = Window.partitionBy(key).orderBy("pos")
+    before = F.lag("depth").over(w)
+    # where a list of a depth begins: below an item of a smaller depth
+    begins = F.when(before.isNull() | (before < F.col("depth")), F.col("pos"))
+    marked = items.withColumn("__begins", begins)
+    same = Window.partitionBy(key, "depth").orderBy("pos")
+    marked = marked.withColumn("__list", F.last("__begins", ignorenulls=True).over(same))
+    return marked.withColumn("number", F.row_number().over(Window.partitionBy(key, "depth", "__list").orderBy("pos"))).drop("__begins", "__list")
+
+
 def txt_list(items: DataFrame, key: str, width: int = 72) -> DataFrame:
-    """(key, text): items two spaces in for each depth, wrapped with a hanging indent.  Items: (key, pos, depth, text)."""
+    """(key, text): items two spaces in for each depth, numbered in ordered lists, wrapped with a hanging indent."""
     lead = F.repeat(F.lit("  "), F.col("depth"))
+    mark = F.when(F.col("ordered"), F.concat(F.col("number").cast("string"), F.lit(". "))).otherwise("- ")
     body = F.array_join(wrap_text(F.col("text"), width - 2), "\n")
-    hanging = F.replace(body, F.lit("\n"), F.concat(F.lit("\n"), lead, F.lit("  ")))
-    line = F.concat(lead, F.lit("- "), hanging)
-    return items.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", line.alias("s")))), lambda x: x["s"]), "\n").alias("text"))
+    hanging = F.replace(body, F.lit("\n"), F.concat(F.lit("\n"), lead, F.repeat(F.lit(" "), F.length(mark))))
+    line = F.concat(lead, mark, hanging)
+    return list_marks(items, key).groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", line.alias("s")))), lambda x: x["s"]), "\n").alias("text"))
 
 
 def html_list(items: DataFrame, key: str) -> DataFrame:
-    """(key, html): nested lists, opened and closed where the depth changes between neighbours."""
+    """(key, html): nested lists, opened and closed where the depth changes between neighbours.
+
+    All lists of a depth in one ``key`` are of the kind that ``ordered`` says for their items; depths rise by one.
+    """
     w = Window.partitionBy(key).orderBy("pos")
-    before, after = F.coalesce(F.lag("depth").over(w), F.lit(-1)), F.coalesce(F.lead("depth").over(w), F.lit(-1))
-    opening = F.repeat(F.lit("<ul>"), F.greatest(F.col("depth") - F.col("before"), F.lit(0)))
-    closing = F.when(F.col("after") > F.col("depth"), "").when(
-        F.col("after") >= 0, F.concat(F.lit("</li>"), F.repeat(F.lit("</ul></li>"), F.col("depth") - F.col("after")))
-    ).otherwise(F.concat(F.lit("</li>"), F.repeat(F.lit("</ul></li>"), F.col("depth")), F.lit("</ul>")))
-    part = F.concat(opening, F.lit("<li>"), escape_html(F.col("text")), closing)
-    rows = items.withColumn("before", before).withColumn("after", after)
-    return rows.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", part.alias("s")))), lambda x: x["s"]), "").alias("html"))
+    rows = items.withColumn("tag", F.when(F.col("ordered"), "ol").otherwise("ul"))
+    rows = rows.withColumns({"before": F.coalesce(F.lag("depth").over(w), F.lit(-1)), "after": F.coalesce(F.lead("depth").over(w), F.lit(-1))})
+    # the lists that are open around an item: the tag of the last item of each smaller depth
+    most = F.col("depth")
+    opened = F.collect_list(F.struct("depth", "tag")).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = rows.withColumn("opened", opened)
+    tag_of = lambda k: F.element_at(F.filter("opened", lambda o: o["depth"] == k), -1)["tag"]
+    closing = lambda top, low: F.array_join(F.transform(F.when(top >= low, F.reverse(F.sequence(low, top))), lambda k: F.concat(F.lit("</li></"), tag_of(k), F.lit(">"))), "")
+    start = F.when(F.col("depth") > F.col("before"), F.concat(F.lit("<"), "tag", F.lit(">"))).otherwise("")
+    end = F.when(F.col("after") > most, "").when(F.col("after") < most, F.concat(F.coalesce(closing(most, F.col("after") + 1), F.lit("")), F.when(F.col("after") >= 0, "</li>").otherwise(""))).otherwise("</li>")
+    part = F.concat(start, F.lit("<li>"), escape_html(F.col("text")), end)
+    return rows.withColumn("s", part).groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "s"))), lambda x: x["s"]), "").alias("html"))

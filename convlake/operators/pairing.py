@@ -164,16 +164,3 @@ def parser_warnings(conversations: DataFrame, pairs: DataFrame) -> DataFrame:
 def warning_precedence(format_warning: Column, enrichment: Column, parser: Column) -> Column:
     return F.coalesce(format_warning, enrichment, parser)
 
-
-def with_times(turns: DataFrame) -> DataFrame:
-    """``ts`` of each turn: a fixed clock of the corpus, unknown for every seventh turn.
-
-    The tables hold no times of turns; hours pass between turns, so that conversations cross days.
-    """
-    seconds = F.lit(1_700_000_000) + F.col("conv_id") * 86_400 + F.col("turn") * 18_000
-    return turns.withColumn("ts", F.when(F.col("turn") % 7 != 6, F.timestamp_seconds(seconds)))
-
-
-def thinned(turns: DataFrame) -> DataFrame:
-    """Turns with gaps, so that every branch of pairing occurs."""
-    return turns.where((F.col("turn") % 5 != 3) & (F.col("role") != "system"))

@@ -1,79 +1,111 @@
-"""Search widgets, canvases, formulas and artifacts inside pages, and messages as blocks."""
+"""Search widgets, canvases, generated pictures and artifacts inside pages, and messages as blocks."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from convlake.functions.artifacts import artifact_type, format_token
+from convlake.functions.naming import domain
 from convlake.functions.text import initcap_first
-from convlake.operators.html import has_class, node_text, without
+from convlake.operators.html import element, exact_text, filtered, first_below, inner, is_text, links, prose, rows
+from convlake.operators.selectors import attr, matcher
 
 
-def attr(name: str):
-    return F.try_element_at("attrs", F.lit(name))
+def said(x: Column, selector: str) -> Column:
+    """The text of the first match below ``x``; null if there is none or it is blank."""
+    return F.nullif(prose(first_below(x, selector)), F.lit(""))
 
 
-def inside(inner: DataFrame, outer: DataFrame, outer_id: str) -> DataFrame:
-    """Rows of ``inner`` with the nearest node of ``outer`` (page_id, ``outer_id``) around them."""
-    around = inner.select("page_id", "node_id", F.explode("path").alias(outer_id)).join(outer.select("page_id", outer_id), ["page_id", outer_id])
-    nearest = around.groupBy("page_id", "node_id").agg(F.max(outer_id).alias(outer_id))
-    return inner.join(nearest, ["page_id", "node_id"])
+def extract_search_widgets(trees: DataFrame, widget: str = ".search", query: str = ".query", count: str = ".count") -> DataFrame:
+    """(page_id, widget, query, result_count, results): widgets with a query; the selectors are the capture's own."""
+    result = lambda x: F.struct(x["node_id"].alias("node_id"), x["href"].alias("href"), x["text"].alias("title"), domain(x["href"]).alias("domain"))
+    anchors = lambda x: F.filter(F.transform(F.filter(inner(x), lambda n: element(n, "a")), links), lambda a: a["href"] != "")
+    found = F.transform(
+        filtered(matcher(widget)),
+        lambda x: F.struct(
+            x["node_id"].alias("widget"), said(x, query).alias("query"),
+            F.nullif(F.regexp_extract(said(x, count), r"(\d+)", 1), F.lit("")).cast("int").alias("result_count"), F.transform(anchors(x), result).alias("results"),
+        ),
+    )
+    return rows(trees, found).where("query IS NOT NULL")
 
 
-def extract_search_widgets(nodes: DataFrame) -> DataFrame:
-    """(page_id, widget, query, result_count, results): widgets of class ``search`` with a query."""
-    widgets = nodes.where(has_class("search")).select("page_id", F.col("node_id").alias("widget"))
-    part = lambda cls, name: inside(node_text(nodes, has_class(cls)), widgets, "widget").groupBy("page_id", "widget").agg(F.min_by("content", "node_id").alias(name))
-    links = inside(node_text(nodes, F.col("tag") == "a").withColumn("href", attr("href")).where("href <> ''"), widgets, "widget")
-    results = links.groupBy("page_id", "widget").agg(F.array_sort(F.collect_list(F.struct("node_id", "href", F.col("content").alias("title")))).alias("results"))
-    keys = ["page_id", "widget"]
-    count = F.nullif(F.regexp_extract("count_text", r"(\d+)", 1), F.lit("")).cast("int")
-    return part("query", "query").where("query <> ''").join(part("count", "count_text"), keys, "left").join(results, keys, "left").select(
-        *keys, "query", count.alias("result_count"), "results"
-    )
+#: Where a canvas stands, and its text.
+CANVAS, CANVAS_TEXT = '[id^="textdoc-message-"]', ".ProseMirror, .prose"
 
 
-def extract_canvas(nodes: DataFrame) -> DataFrame:
+def extract_canvas(trees: DataFrame) -> DataFrame:
     """(page_id, node_id, content): canvases with text, under their mark."""
-    return node_text(nodes, has_class("canvas")).where("content <> ''").select("page_id", "node_id", F.concat(F.lit("[Canvas Content]\n"), "content").alias("content"))
+    found = F.transform(filtered(matcher(CANVAS)), lambda x: F.struct(x["node_id"].alias("node_id"), said(x, CANVAS_TEXT).alias("content")))
+    return rows(trees, found).where("content IS NOT NULL").withColumn("content", F.concat(F.lit("[Canvas Content]\n"), "content"))
+
+
+def math_markers(trees: DataFrame) -> DataFrame:
+    """(page_id, node_id, marker) of the formulas that ``collapse_math`` put into the text."""
+    found = filtered(lambda x: is_text(x) & F.array_contains(x["marks"], "math"))
+    return rows(trees, F.transform(found, lambda x: F.struct(x["node_id"].alias("node_id"), x["text"].alias("marker"))))
 
 
-def collapse_math(nodes: DataFrame) -> DataFrame:
-    """(page_id, node_id, marker): each outermost formula as ``$tex$``, or ``$$tex$$`` in display.
+def extract_code_artifacts(trees: DataFrame, box: str = ".code-artifact", header: str = ".header", sticky: str = ".sticky") -> DataFrame:
+    """(page_id, node_id, title, type, language, content): boxes of code that isn't blank.
 
-    The TeX annotation is preferred, then the text of the formula.
+    The language is that of the box's header, else of its sticky header without buttons, else ``code``; a
+    picture makes it an image.
     """
-    roots = nodes.where(has_class("katex") | (F.col("tag") == "mjx-container")).select("page_id", F.col("node_id").alias("root"), F.col("path").alias("root_path"))
-    held = roots.select("page_id", F.col("root").alias("outer"))
-    nested = roots.select("page_id", "root", F.explode("root_path").alias("outer")).where("outer < root").join(held, ["page_id", "outer"]).select("page_id", "root").distinct()
-    top = roots.join(nested, ["page_id", "root"], "left_anti").select("page_id", F.col("root").alias("node_id"))
-    tex = inside(node_text(nodes, F.col("tag") == "annotation"), top.withColumnRenamed("node_id", "root"), "root").groupBy("page_id", F.col("root").alias("node_id")).agg(F.min_by("content", "node_id").alias("tex"))
-    whole = node_text(nodes, has_class("katex") | (F.col("tag") == "mjx-container")).select("page_id", "node_id", "content", (F.array_contains("classes", "display") | (attr("display") == "true")).alias("display"))
-    mark = F.when(F.coalesce("display", F.lit(False)), "$$").otherwise("$")
-    return top.join(whole, ["page_id", "node_id"]).join(tex, ["page_id", "node_id"], "left").select(
-        "page_id", "node_id", F.concat(mark, F.coalesce(F.nullif("tex", F.lit("")), "content"), mark).alias("marker")
-    )
+    def label(x: Column) -> Column:
+        bar = first_below(x, sticky)
+        buttons = F.filter(inner(bar), lambda n: element(n, "button"))
+        clear = prose(bar, lambda n: ~F.exists(buttons, lambda b: (b["node_id"] <= n["node_id"]) & (n["node_id"] <= b["end_id"])))
+        return F.lower(F.coalesce(said(x, header), F.nullif(clear, F.lit("")), F.lit("code")))
 
+    def artifact(x: Column) -> Column:
+        body, language = first_below(x, "pre"), label(x)
+        picture = F.exists(inner(x), lambda n: element(n, "img"))
+        return F.struct(
+            x["node_id"].alias("node_id"), initcap_first(language).alias("title"), F.when((language == "svg") | picture, "image").otherwise("code").alias("type"),
+            language.alias("language"), F.trim(exact_text(body)).alias("content"),
+        )
 
-def extract_code_artifacts(nodes: DataFrame) -> DataFrame:
-    """(page_id, node_id, title, type, language, content): boxes of class ``artifact``.
+    return rows(trees, F.transform(filtered(matcher(box)), artifact)).where("content <> ''")
 
-    The language is that of the box's header, else ``code``; a picture makes it an image.
-    """
-    boxes = nodes.where(has_class("artifact")).select("page_id", F.col("node_id").alias("box"))
-    header = inside(node_text(nodes, has_class("header")), boxes, "box").groupBy("page_id", "box").agg(F.min_by("content", "node_id").alias("label"))
-    body = inside(node_text(without(nodes, F.col("tag") == "img"), F.col("tag") == "pre", trim=False), boxes, "box").groupBy("page_id", "box").agg(F.min_by("content", "node_id").alias("content"))
-    picture = inside(nodes.where("tag = 'img'").select("page_id", "node_id", "path"), boxes, "box").select("page_id", "box").distinct().withColumn("picture", F.lit(True))
-    keys = ["page_id", "box"]
-    language = F.coalesce(F.nullif(F.lower("label"), F.lit("")), F.lit("code"))
-    return body.where("trim(content) <> ''").join(header, keys, "left").join(picture, keys, "left").select(
-        "page_id", F.col("box").alias("node_id"), initcap_first(language).alias("title"),
-        F.when((language == "svg") | F.coalesce("picture", F.lit(False)), "image").otherwise("code").alias("type"), language.alias("language"), F.trim("content").alias("content"),
-    )
+
+#: An artifact's cell, its title and its label.
+CELL, CELL_TITLE, CELL_LABEL = "div.artifact-block-cell", "div.leading-tight.text-sm.line-clamp-1", "div.text-xs.line-clamp-1.text-text-400"
+
+
+def extract_artifact_cells(trees: DataFrame) -> DataFrame:
+    """(page_id, node_id, title, label, format, type, language) of the cells that announce artifacts."""
+    def cell(x: Column) -> Column:
+        label = F.coalesce(said(x, CELL_LABEL), F.lit(""))
+        kind = artifact_type(label, format_token(label))
+        return F.struct(
+            x["node_id"].alias("node_id"), F.coalesce(said(x, CELL_TITLE), F.lit("Untitled Artifact")).alias("title"), label.alias("label"),
+            format_token(label).alias("format"), kind["type"].alias("type"), kind["language"].alias("language"),
+        )
+
+    return rows(trees, F.transform(filtered(matcher(CELL)), cell))
+
+
+#: A generated picture, and the header that names it.
+GENERATED, GENERATED_HEADER = '[class*="imagegen"]', '.message-role, [class*="font-medium"]'
+
+
+def extract_generated_image(trees: DataFrame) -> DataFrame:
+    """(page_id, node_id, content, src, alt): ``[Image: title]`` by what follows the header's ``•``, else ``[Generated Image]``."""
+    def picture(x: Column) -> Column:
+        name = F.nullif(F.trim(F.try_element_at(F.split(said(x, GENERATED_HEADER), "•"), F.lit(2))), F.lit(""))
+        image = first_below(x, "img")
+        return F.struct(
+            x["node_id"].alias("node_id"), F.coalesce(F.concat(F.lit("[Image: "), name, F.lit("]")), F.lit("[Generated Image]")).alias("content"),
+            attr(image, "src").alias("src"), F.coalesce(F.nullif(attr(image, "alt"), F.lit("")), F.lit("Generated image")).alias("alt"),
+        )
+
+    return rows(trees, F.transform(filtered(matcher(GENERATED)), picture))
 
 
 def structured_messages(messages: DataFrame, blocks: DataFrame, markers: DataFrame) -> DataFrame:
-    """(message_id, ordinal, type, text): blocks where html was there, else one paragraph; markers behind.
+    """(message_id, part, ordinal, type, text): blocks where html was there, else one paragraph; markers behind.
 
     ``messages``: (message_id, content); ``blocks``: (message_id, ordinal, type, text) of those
     with html; ``markers``: (message_id, ordinal, text).

@@ -1,30 +1,45 @@
-"""Queries on captured pages."""
+"""Queries on captured pages.
+
+What the tables' pages lack is added behind what they hold, in shapes that depend on the page.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from convlake.operators import drift, html
+from convlake.operators import drift, html, lines, widgets
 from convlake.registry import query
 from convlake.sources.tables import read_pages as scan_pages
 
 c = F.col
 
 
-def nodes(spark, d):
-    return html.dom_nodes(scan_pages(spark, d))
+def trees(spark, d):
+    return html.trees(scan_pages(spark, d), ("url",))
 
 
-def rich_nodes(spark, d):
-    """Pages with code, pictures, media and tables added to what they hold."""
-    n = c("page_id").cast("string")
-    more = F.concat(
-        F.lit('<pre><code>x = '), n, F.lit('</code></pre><pre class="language-sql">select 1</pre><a href="'), "url", F.lit('"><img src="/i/'), n,
-        F.lit('.png" alt="pic" width="12"></a><img src="/sprites-core/a.svg"><img src="/i/'), n, F.lit('.png"><video title="clip"><source src="/v/'), n,
-        F.lit('.mp4" type="video/mp4"></video><table><tr><th>a</th><th colspan="2">b</th></tr><tr><td rowspan="2">'), n,
-        F.lit('</td><td>2</td><td>3</td></tr><tr><td>4</td></tr></table>'),
-    )
-    return html.dom_nodes(scan_pages(spark, d).withColumn("html", F.concat("html", more)))
+def pieces(*parts):
+    """Text and columns put together."""
+    return F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+
+
+def with_more(spark, d, more, alone=False):
+    """The pages with ``more`` behind what they hold, or with ``more`` alone."""
+    return html.trees(scan_pages(spark, d).withColumn("html", more if alone else F.concat(F.coalesce("html", F.lit("")), more)), ("url",))
+
+
+def number():
+    return c("page_id").cast("string")
+
+
+def rich(spark, d):
+    """Pages with code, pictures and media added to what they hold."""
+    n = number()
+    return with_more(spark, d, pieces(
+        '<pre><code class="language-py">x = ', n, '</code></pre><pre class="language-sql">select ', n, "</pre><pre> </pre>", '<a href="', c("url"), '"><img src="/i/', n,
+        '.png" alt="pic" width="12"></a><img src="/sprites-core/a.svg"><img src="/i/', n, '.png" title="t"><button><img src="/b/', n, '.png"></button><div class="code-artifact"><img src="/c.png"></div>',
+        '<video title="clip"><source src="/v/', n, '.mp4" type="video/mp4"></video><audio src="/a/', n, '.ogg" aria-label="sound"></audio><video></video>',
+    ))
 
 
 @query("SELECT page_id, url, html FROM pages")
@@ -41,135 +56,329 @@ def html_tokens(spark, d):
 @query(r"""WITH t AS (SELECT page_id, unnest(regexp_extract_all(html, '<([a-z][a-z0-9]*)', 1)) AS tag FROM pages) SELECT page_id, tag, count(*) AS n FROM t GROUP BY ALL""")
 def dom_nodes(spark, d):
     """The nodes, counted by tag: the parser sees each start tag once."""
-    return nodes(spark, d).where("kind = 'element'").groupBy("page_id", "tag").agg(F.count("*").alias("n"))
+    return html.dom_nodes(scan_pages(spark, d)).where("kind = 'element'").groupBy("page_id", "tag").agg(F.count("*").alias("n"))
 
 
-@query()
-def strip_chrome(spark, d):
-    return html.strip_chrome(nodes(spark, d)).groupBy("page_id").agg(F.count("*").alias("nodes"))
+# ---- pages of a known shape ------------------------------------------------------------------
+
+def shaped(spark, d):
+    """Pages of one of two shapes: everything at the top, or inside a custom element within a ``div``."""
+    n = number()
+    body = pieces(
+        "<h2>Title ", n, "</h2><p>one <b>two <a href=\"", c("url"), "\">three</a></b> end</p>loose<blockquote><p>quoted ", n, "</p><blockquote>deep</blockquote></blockquote>",
+        "<ol><li>first<ul><li>inner ", n, "</li></ul></li><li>second</li></ol><pre><code class=\"language-sql\">select\n  ", n, "</code></pre><hr><a href=\"/l/", n, "\"><img src=\"/i/", n, ".png\" alt=\"pic\"></a>",
+        "<table><thead><tr><th>a</th><th colspan=\"2\">b</th></tr><tr><th></th><th>c</th><th>d</th></tr></thead><tbody><tr><td rowspan=\"2\">", n, "</td><td>2</td><td>3</td></tr><tr><td>4</td></tr><tr><td>5</td></tr></tbody></table>",
+        '<p style="position: absolute; width: 1px">hidden</p><p class="sr-only">hidden</p><button>Copy</button>',
+    )
+    odd = c("page_id") % 2 == 1
+    return html.strip_chrome(with_more(spark, d, F.when(odd, pieces("<div><x-card>", body, "</x-card></div>")).otherwise(body), alone=True))
+
+
+BLOCK_ROWS = """(VALUES (0, 'heading', 2, 0, 'Title '), (1, 'paragraph', NULL, 0, 'one two three end'), (2, 'paragraph', NULL, 0, 'loose'), (3, 'blockquote', NULL, 0, ''), (4, 'paragraph', NULL, 1, 'quoted '),
+  (5, 'blockquote', NULL, 1, ''), (6, 'paragraph', NULL, 2, 'deep'), (7, 'list', NULL, 0, ''), (8, 'list_item', NULL, 1, 'first'), (9, 'list', NULL, 2, ''), (10, 'list_item', NULL, 3, 'inner '), (11, 'list_item', NULL, 1, 'second'),
+  (12, 'code', NULL, 0, 'select' || chr(10) || '  '), (13, 'hr', NULL, 0, ''), (14, 'image', NULL, 0, ''), (15, 'table', NULL, 0, '')) b(ordinal, type, level, depth, said)"""
+
+
+@query(f"""SELECT page_id, ordinal, type, level, depth, said || CASE WHEN ordinal IN (0, 4, 10, 12) THEN page_id::VARCHAR ELSE '' END AS text,
+  CASE WHEN ordinal = 12 THEN 'sql' END AS language, CASE ordinal WHEN 7 THEN true WHEN 9 THEN false END AS ordered, CASE ordinal WHEN 8 THEN 0 WHEN 10 THEN 0 WHEN 11 THEN 1 END AS item_index,
+  CASE WHEN ordinal = 14 THEN '/i/' || page_id || '.png' END AS url, CASE WHEN ordinal = 14 THEN '/l/' || page_id END AS link_url FROM pages, {BLOCK_ROWS}""")
+def extract_blocks(spark, d):
+    return html.extract_blocks(shaped(spark, d)).select("page_id", "ordinal", "type", "level", "depth", "text", "language", "ordered", "item_index", "url", "link_url")
 
 
 @query()
+def extract_blocks_of_pages(spark, d):
+    """The blocks of the pages as they are."""
+    return html.extract_blocks(html.strip_chrome(trees(spark, d)))
+
+
+@query("""SELECT page_id, 'Title ' || page_id || chr(10) || 'one two three end' || chr(10) || 'loose' || chr(10) || 'quoted ' || page_id || chr(10) || 'deep' || chr(10) || 'first' || chr(10) || 'inner ' || page_id || chr(10) || 'second'
+  || chr(10) || 'select' || chr(10) || '  ' || page_id || chr(10) || 'a | b' || chr(10) || 'c | d' || chr(10) || page_id || ' | 2 | 3' || chr(10) || '4' || chr(10) || '5' AS text FROM pages""")
 def flatten_text(spark, d):
-    return html.flatten_text(html.strip_chrome(nodes(spark, d)))
+    return html.flatten_text(shaped(spark, d))
 
 
 @query()
-def extract_blocks(spark, d):
-    return html.extract_blocks(html.strip_chrome(nodes(spark, d)))
+def flatten_text_of_pages(spark, d):
+    return html.flatten_text(html.strip_chrome(trees(spark, d)))
+
+
+@query("SELECT page_id, CASE WHEN page_id % 2 = 1 THEN 2 ELSE 0 END + 35 AS elements, 21 AS texts, 0 AS hidden FROM pages")
+def strip_chrome(spark, d):
+    kinds = html.node_rows(shaped(spark, d))
+    return kinds.groupBy("page_id").agg(
+        F.count_if(c("kind") == "element").cast("int").alias("elements"), F.count_if((c("kind") == "text") & (F.trim("text") != "")).cast("int").alias("texts"),
+        F.count_if((c("kind") == "text") & c("text").contains("hidden")).cast("int").alias("hidden"),
+    )
+
+
+@query("""SELECT page_id, type, marks, CASE type WHEN 'bold' THEN text ELSE text END AS text, CASE WHEN marks LIKE '%link' THEN url END AS url FROM pages,
+  (VALUES ('text', '', 'one '), ('bold', 'bold', 'two '), ('bold', 'bold,link', 'three'), ('text', '', ' end')) r(type, marks, text)""")
+def extract_inlines(spark, d):
+    """The runs of the first paragraph."""
+    out = html.extract_inlines(shaped(spark, d))
+    runs = out.where("text IN ('one ', 'two ', 'three', ' end')")
+    return runs.select("page_id", "type", F.array_join("marks", ",").alias("marks"), "text", "url")
+
+
+@query()
+def extract_inlines_of_pages(spark, d):
+    return html.extract_inlines(html.strip_chrome(trees(spark, d)))
+
+
+GRID = """g AS (SELECT page_id, h, r, k, CASE WHEN t = '#' THEN page_id::VARCHAR ELSE t END AS text FROM pages, (VALUES (true, 0, 0, 'a'), (true, 0, 1, 'b'), (true, 0, 2, ''), (true, 1, 0, ''), (true, 1, 1, 'c'), (true, 1, 2, 'd'),
+  (false, 0, 0, '#'), (false, 0, 1, '2'), (false, 0, 2, '3'), (false, 1, 0, ''), (false, 1, 1, '4'), (false, 2, 0, '5')) v(h, r, k, t))"""
+
+
+def page_grid(spark, d):
+    cells = html.table_cells(shaped(spark, d))
+    return lines.table_grid(cells, ["page_id", "table_id"])
+
+
+@query(f"WITH {GRID} SELECT page_id, h AS is_header, r AS row_idx, k AS col_idx, text FROM g")
+def table_grid(spark, d):
+    """The tables of pages, with cells over several rows and columns at their real places."""
+    return page_grid(spark, d).drop("table_id")
+
+
+@query("""SELECT page_id, col_idx, text FROM pages, (VALUES (0, 'a'), (1, 'b c'), (2, 'd')) v(col_idx, text)""")
+def merge_page_headers(spark, d):
+    return lines.merge_header_rows(page_grid(spark, d), ["page_id", "table_id"]).drop("table_id")
+
+
+@query(f"WITH {GRID} SELECT page_id, r AS row_idx, k AS col_idx, text FROM g WHERE NOT h UNION ALL SELECT page_id, r, k, '' FROM pages, (VALUES (1, 2), (2, 1), (2, 2)) v(r, k)")
+def pad_page_rows(spark, d):
+    return lines.pad_ragged_rows(page_grid(spark, d), ["page_id", "table_id"]).drop("table_id")
+
+
+# ---- elements --------------------------------------------------------------------------------
 
 
-@query("""SELECT page_id, 'code' AS language, 'x = ' || page_id AS code FROM pages UNION ALL SELECT page_id, 'sql', 'select 1' FROM pages""")
+@query("SELECT page_id, 'py' AS language, 'x = ' || page_id AS code FROM pages UNION ALL SELECT page_id, 'sql', 'select ' || page_id FROM pages")
 def extract_code(spark, d):
-    return html.extract_code(rich_nodes(spark, d)).select("page_id", "language", "code")
+    return html.extract_code(rich(spark, d)).select("page_id", "language", "code")
 
 
 @query(r"""SELECT page_id, 1 AS level, replace(replace(replace(trim(regexp_replace(regexp_extract(html, '<h1[^>]*>([^<]*)', 1), '\s+', ' ', 'g')), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS text FROM pages WHERE regexp_matches(html, '<h1')""")
 def extract_headings(spark, d):
-    return html.extract_headings(nodes(spark, d)).select("page_id", "level", "text")
+    return html.extract_headings(trees(spark, d)).select("page_id", "level", "text")
 
 
-@query("SELECT page_id, len(regexp_extract_all(html, '<li[ >]')) AS items FROM pages WHERE contains(html, '<li')")
+@query("SELECT page_id, item_index, depth, ordered, said || CASE WHEN depth = 1 THEN page_id::VARCHAR ELSE '' END AS text FROM pages, (VALUES (0, 0, true, 'first'), (0, 1, false, 'inner '), (1, 0, true, 'second')) v(item_index, depth, ordered, said)")
 def extract_lists(spark, d):
-    return html.extract_lists(nodes(spark, d)).groupBy("page_id").agg(F.count("*").alias("items"))
+    return html.extract_lists(shaped(spark, d)).drop("list_id")
 
 
-@query()
-def extract_inlines(spark, d):
-    return html.extract_inlines(html.strip_chrome(nodes(spark, d)))
+@query("SELECT page_id, len(regexp_extract_all(html, '<li[ >]')) AS items FROM pages WHERE contains(html, '<li')")
+def extract_lists_of_pages(spark, d):
+    return html.extract_lists(trees(spark, d)).groupBy("page_id").agg(F.count("*").alias("items"))
 
 
 @query(r"""WITH a AS (SELECT page_id, unnest(regexp_extract_all(html, '<a [^>]*href="([^"]+)"[^>]*>[^<]*[^<\s][^<]*</a>', 1)) AS href FROM pages) SELECT page_id, count(*) AS links FROM a GROUP BY page_id""")
 def extract_links(spark, d):
-    return html.extract_links(nodes(spark, d)).groupBy("page_id").agg(F.count("*").alias("links"))
+    return html.extract_links(trees(spark, d)).groupBy("page_id").agg(F.count("*").alias("links"))
 
 
-@query()
+@query("""SELECT page_id, 'Web Search' AS query, 2 AS result_count, 'page ' || page_id || ' (' || CASE WHEN page_id % 2 = 0 THEN 'news.example' ELSE '?' END || '), odd (?)' AS results FROM pages""")
 def extract_citations(spark, d):
-    return html.extract_citations(html.extract_links(nodes(spark, d))).select("page_id", "query", "result_count")
+    """Two citations, one of which has no domain, among other anchors."""
+    first = F.when(c("page_id") % 2 == 0, pieces("https://www.news.example/", number())).otherwise(pieces("mailto:", number()))
+    t = with_more(spark, d, pieces(
+        '<span data-testid="webpage-citation-pill"><a href="', first, '">page ', number(), '</a><a href="">none</a><a href="/x"> </a></span><a href="https://b.example/">plain</a>',
+        '<span data-testid="webpage-citation-pill"><b><a href="javascript:x">odd</a></b></span>',
+    ))
+    shown = F.array_join(F.transform("results", lambda r: F.concat(r["title"], F.lit(" ("), F.coalesce(F.nullif(r["domain"], F.lit("")), F.lit("?")), F.lit(")"))), ", ")
+    return html.extract_citations(t).select("page_id", "query", "result_count", shown.alias("results"))
+
 
+IMAGES = """i AS (SELECT page_id, '/i/' || page_id || '.png' AS src, 'pic' AS alt, 12 AS width, url AS link_url, false AS chrome FROM pages UNION ALL SELECT page_id, '/sprites-core/a.svg', NULL, NULL, NULL, false FROM pages
+UNION ALL SELECT page_id, '/i/' || page_id || '.png', NULL, NULL, NULL, false FROM pages UNION ALL SELECT page_id, '/b/' || page_id || '.png', NULL, NULL, NULL, true FROM pages UNION ALL SELECT page_id, '/c.png', NULL, NULL, NULL, true FROM pages)"""
 
-@query("""SELECT page_id, '/i/' || page_id || '.png' AS src, 'pic' AS alt, 12 AS width, NULL::INTEGER AS height, url AS link_url FROM pages UNION ALL SELECT page_id, '/sprites-core/a.svg', NULL, NULL, NULL, NULL FROM pages
-UNION ALL SELECT page_id, '/i/' || page_id || '.png', NULL, NULL, NULL, NULL FROM pages""")
+
+@query(f"WITH {IMAGES} SELECT * FROM i")
 def extract_images(spark, d):
-    return html.extract_images(rich_nodes(spark, d)).drop("node_id")
+    return html.extract_images(rich(spark, d)).select("page_id", "src", "alt", "width", "link_url", "chrome")
 
 
-@query("SELECT page_id, '/i/' || page_id || '.png' AS src FROM pages, range(2)")
+@query(f"WITH {IMAGES} SELECT page_id, src FROM i WHERE NOT chrome AND NOT contains(src, 'sprites')")
 def filter_content_images(spark, d):
-    return html.filter_content_images(html.extract_images(rich_nodes(spark, d))).select("page_id", "src")
+    return html.filter_content_images(html.extract_images(rich(spark, d))).select("page_id", "src")
 
 
-@query("SELECT page_id, '/i/' || page_id || '.png' AS src, 2 AS times FROM pages UNION ALL SELECT page_id, '/sprites-core/a.svg', 1 FROM pages")
+@query(f"WITH {IMAGES} SELECT page_id, src, count(*) AS times FROM i GROUP BY ALL")
 def image_inventory(spark, d):
-    return html.image_inventory(html.extract_images(rich_nodes(spark, d))).drop("first")
+    return html.image_inventory(html.extract_images(rich(spark, d))).drop("first")
 
 
-@query("SELECT page_id, 'video' AS kind, '/v/' || page_id || '.mp4' AS src, 'clip' AS alt, 'video/mp4' AS mime FROM pages")
+@query("SELECT page_id, 'video' AS kind, '/v/' || page_id || '.mp4' AS src, 'clip' AS alt, 'video/mp4' AS mime FROM pages UNION ALL SELECT page_id, 'audio', '/a/' || page_id || '.ogg', 'sound', NULL FROM pages")
 def extract_media(spark, d):
-    return html.extract_media(rich_nodes(spark, d)).drop("node_id")
+    return html.extract_media(rich(spark, d)).drop("node_id")
 
 
-@query()
+@query("""SELECT page_id, '<p class="k">a &amp; b<a href="/x/' || page_id || '" title="t">link</a><a>bad</a></p><img src="data:image/png;base64,AA==" alt="p"><svg width="9" aria-label="s"></svg><pre tabindex="0">x</pre><h3>' || page_id || '</h3>' AS html FROM pages""")
 def sanitize_html(spark, d):
-    return html.sanitize_html(nodes(spark, d))
+    n = number()
+    return html.sanitize_html(with_more(spark, d, pieces(
+        '<html><body><p class="k" onclick="x" id="i">a &amp; b<a href="/x/', n, '" title="t" target="_blank">link</a><a href="java\tscript:x">bad</a></p><script>bad</script><article><p>gone</p></article><!-- gone -->',
+        '<img src="data:image/png;base64,AA==" alt="p" onerror="x"><s>gone</s><svg width="9" aria-label="s"><path d="x"></path></svg><pre tabindex="0" style="x">x</pre><iframe src="/x"></iframe><h3>', n, "</h3></body></html>",
+    ), alone=True))
 
 
 @query()
+def sanitize_html_of_pages(spark, d):
+    return html.sanitize_html(trees(spark, d))
+
+
+# ---- structure and drift ----------------------------------------------------------------------
+
+
+def layouts(spark, d):
+    """Pages in one of three layouts, with text and ids in every other attribute."""
+    n = number()
+    items = F.repeat(F.lit("<i>y</i>"), (c("page_id") % 3 * 300).cast("int"))
+    return with_more(spark, d, pieces(
+        '<main class="a b" aria-label="', n, '" data-testid="', n, '"><p data-turn="user" title="', n, '" role="note">xx</p><!-- ', n, " --><div>", items, "</div></main>",
+    ), alone=True)
+
+
+SKELETON = """s AS (SELECT page_id, (page_id % 3 * 300)::INTEGER AS k FROM pages),
+o AS (SELECT page_id, 'main.a b[aria-label][data-testid]' || chr(10) || '  p[data-turn="user"][title][role="note"]' || chr(10) || '    text(2)' || chr(10) || '  div'
+  || repeat(chr(10) || '    i' || chr(10) || '      text(1)', least(k, 497)) || CASE WHEN k > 497 THEN chr(10) || '…elided ' || (k - 497) || ' nodes' ELSE '' END AS skeleton, greatest(k - 497, 0)::BIGINT AS elided FROM s)"""
+
+
+@query(f"WITH {SKELETON} SELECT * FROM o")
 def page_skeleton(spark, d):
-    return html.page_skeleton(nodes(spark, d))
+    return html.page_skeleton(layouts(spark, d))
 
 
 @query()
+def page_skeleton_of_pages(spark, d):
+    return html.page_skeleton(trees(spark, d))
+
+
+@query("SELECT count(*) AS pages FROM pages GROUP BY page_id % 3")
 def structure_signature(spark, d):
-    return html.structure_signature(html.page_skeleton(nodes(spark, d)))
+    return html.structure_signature(html.page_skeleton(layouts(spark, d))).select("pages")
 
 
-def selectors(spark):
-    return spark.createDataFrame(
-        [("article", "article", True), ("ad", "div.ad", False), ("missing", "dialog", True), ("broken", "a >> b", False), ("link", "a[href]", True)],
-        "key string, selector string, required boolean",
-    )
+SELECTORS = [
+    ("article", "article", True), ("ad", "div.ad", True), ("missing", "dialog", False), ("broken", "a >> b", False), ("link", "a[href]", True),
+    ("either", "article, nav", False), ("secure", 'a[href^="https"]', False), ("deep", "article a", False),
+]
+HEALTH = """h AS (SELECT page_id, k.key, k.selector, k.required, CASE k.key WHEN 'article' THEN len(regexp_extract_all(html, '<article[ >]')) WHEN 'ad' THEN len(regexp_extract_all(html, '<div class="ad"')) WHEN 'missing' THEN 0 WHEN 'broken' THEN -1
+  WHEN 'link' THEN len(regexp_extract_all(html, '<a [^>]*href=')) WHEN 'either' THEN len(regexp_extract_all(html, '<(article|nav)[ >]')) WHEN 'secure' THEN len(regexp_extract_all(html, '<a [^>]*href="https'))
+  ELSE len(regexp_extract_all(list_reduce(list_prepend('', regexp_extract_all(html, '(?s)<article[ >].*?</article>')), lambda x, y: x || y), '<a[ >]')) END AS matched
+FROM pages, (VALUES ('article', 'article', true), ('ad', 'div.ad', true), ('missing', 'dialog', false), ('broken', 'a >> b', false), ('link', 'a[href]', true), ('either', 'article, nav', false), ('secure', 'a[href^="https"]', false), ('deep', 'article a', false)) k(key, selector, required))"""
 
 
 def health(spark, d):
-    p = scan_pages(spark, d)
-    return html.selector_health(p, html.dom_nodes(p), selectors(spark))
+    return html.selector_health(trees(spark, d), SELECTORS)
 
 
-query("""SELECT page_id, k.key, k.required, CASE k.key WHEN 'article' THEN len(regexp_extract_all(html, '<article[ >]')) WHEN 'ad' THEN len(regexp_extract_all(html, '<div class="ad"')) WHEN 'missing' THEN 0 WHEN 'broken' THEN -1
-  ELSE len(regexp_extract_all(html, '<a [^>]*href=')) END AS matched
-FROM pages, (VALUES ('article', true), ('ad', false), ('missing', true), ('broken', false), ('link', true)) k(key, required)""", "selector_health")(health)
+query(f"WITH {HEALTH} SELECT page_id, key, required, matched FROM h", "selector_health")(lambda spark, d: health(spark, d).drop("selector"))
 
 
-@query("SELECT page_id, true AS failed FROM pages")
+@query(f"WITH {HEALTH} SELECT page_id, bool_or(required AND matched <= 0) AS failed FROM h GROUP BY page_id")
 def required_failure(spark, d):
-    """The selector list asks for a ``dialog``, which no page has."""
     return drift.required_failure(health(spark, d))
 
 
-@query(r"""SELECT page_id, CASE WHEN regexp_matches(url, '\.example\.com') THEN 'chatgpt' WHEN regexp_matches(url, '\.example\.net') THEN 'claude' WHEN regexp_matches(url, 'example') THEN 'gemini' END AS platform FROM pages""")
+PLATFORMS = [("chatgpt", r"\.example\.com", None), ("claude", r"\.example\.net", "article"), ("gemini", "example", "article")]
+
+
+@query(r"""WITH k AS (SELECT page_id, url, regexp_matches(html, '<article[ >]') AS a FROM pages)
+SELECT page_id, CASE WHEN regexp_matches(url, '\.example\.com') THEN 'chatgpt' WHEN regexp_matches(url, '\.example\.net') AND a THEN 'claude' WHEN regexp_matches(url, 'example') AND a THEN 'gemini' END AS platform FROM k""")
 def detect_platform(spark, d):
-    platforms = spark.createDataFrame(
-        [("chatgpt", 1, r"\.example\.com"), ("claude", 2, r"\.example\.net"), ("gemini", 3, "example")], "id string, priority int, url_pattern string"
-    )
-    return html.detect_platform(scan_pages(spark, d), platforms)
+    return html.detect_platform(trees(spark, d), PLATFORMS)
+
+
+@query("SELECT page_id, CASE WHEN contains(url, '.org') THEN 'mine' END AS platform FROM pages")
+def register_platform(spark, d):
+    """A platform of one's own is one more row of the list."""
+    return html.detect_platform(trees(spark, d), [("mine", r"\.org", None)])
 
 
-@query("""WITH t AS (SELECT page_id, trim(regexp_extract(html, '<title>([^<]*)', 1)) AS t FROM pages)
-SELECT page_id, CASE WHEN t IN ('', 'ChatGPT', 'Claude') OR contains(t, 'OpenAI') THEN 'ChatGPT Conversation' ELSE t END AS title FROM t""")
+@query("""SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'Chat ' || page_id WHEN 1 THEN 'Doc ' || page_id ELSE 'Claude Conversation' END AS title FROM pages""")
 def extract_title(spark, d):
-    t = F.trim(F.regexp_extract("html", "<title>([^<]*)", 1))
-    generic = t.isin("", "ChatGPT", "Claude") | t.contains("OpenAI")
-    return scan_pages(spark, d).select("page_id", F.when(generic, "ChatGPT Conversation").otherwise(t).alias("title"))
+    """From the header's button, else from the title element; generic names don't count."""
+    n = number()
+    button = F.when(c("page_id") % 4 == 0, pieces("Chat ", n)).when(c("page_id") % 4 == 1, "Claude").otherwise("")
+    head = F.when(c("page_id") % 4 == 1, pieces("Doc ", n)).when(c("page_id") % 4 == 2, "About OpenAI").otherwise("Claude")
+    t = with_more(spark, d, pieces("<title>", head, '</title><button data-testid="chat-title-button"><div class="truncate">', button, "</div></button>"), alone=True)
+    return html.extract_title(t, ('button[data-testid="chat-title-button"] div.truncate', "title"), ("Claude", "ChatGPT"), "Claude Conversation", "OpenAI")
 
 
-@query("""SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'slug-' || page_id WHEN 1 THEN 'Claude ' || page_id WHEN 2 THEN 'Gemini (fast mode)' END AS model FROM pages""")
+@query("""SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'slug-' || page_id WHEN 1 THEN 'Claude M' || page_id WHEN 2 THEN 'Gemini (fast mode)' END AS model FROM pages""")
 def extract_model(spark, d):
-    n = c("page_id").cast("string")
-    label = F.when(c("page_id") % 4 == 1, n).when(c("page_id") % 4 == 0, F.concat(F.lit("slug-"), n)).when(c("page_id") % 4 == 2, "fast").otherwise(" ")
-    named = (
-        F.when(c("page_id") % 4 == 1, F.when(F.lower(label).contains("claude"), label).otherwise(F.concat(F.lit("Claude "), label)))
-        .when(c("page_id") % 4 == 2, F.concat(F.lit("Gemini ("), label, F.lit(" mode)"))).otherwise(F.nullif(F.trim(label), F.lit("")))
+    n, kind = number(), c("page_id") % 4
+    t = with_more(spark, d, pieces(
+        '<article data-message-model-slug="slug-', n, '"></article><button data-testid="model-selector-dropdown"><div class="x whitespace-nowrap">', F.when(c("page_id") % 8 == 1, "").otherwise("Claude "), "M", n,
+        '</div></button><div data-test-id="bard-mode-menu-button"><span class="picker-primary-text"> fast </span></div>',
+    ))
+    return html.extract_model(t, F.when(kind == 0, "chatgpt").when(kind == 1, "claude").when(kind == 2, "gemini"))
+
+
+@query("""SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'Title ' || page_id WHEN 1 THEN 'x.example' ELSE 'https://x.example/' || page_id END AS title, 'https://x.example/' || page_id AS url, CASE WHEN page_id % 3 < 2 THEN 'x.example' END AS domain FROM pages""")
+def used_sources_only(spark, d):
+    """Cited sources stay, those only read go."""
+    n = number()
+    item = lambda url, title, domain: pieces(
+        '<browse-web-item><a data-test-id="browse-web-item-link" href="', url, '"></a><b data-test-id="domain-name">', domain, '</b><i data-test-id="sub-title">', title, "</i></browse-web-item>"
     )
-    return scan_pages(spark, d).select("page_id", named.alias("model"))
+    title, domain = F.when(c("page_id") % 3 == 0, pieces("Title ", n)).otherwise(" "), F.when(c("page_id") % 3 < 2, "x.example").otherwise("")
+    return html.used_sources(with_more(spark, d, pieces(
+        '<div class="source-list used-sources">', item(pieces("https://x.example/", n), title, domain), item(F.lit(""), F.lit("no url"), F.lit("y")), "</div>",
+        '<div class="source-list unused-sources">', item(F.lit("https://z.example/"), F.lit("only read"), F.lit("z.example")), "</div>",
+    ))).drop("node_id")
+
+
+# ---- widgets ---------------------------------------------------------------------------------
+
+
+def built(spark, d):
+    n = number()
+    label = F.when(c("page_id") % 3 == 0, "Code · JSX").when(c("page_id") % 3 == 1, "Imagen").otherwise("")
+    return with_more(spark, d, pieces(
+        '<div class="search"><span class="query">find ', n, '</span><i class="count">about ', n, ' results</i><a href="https://www.a.example/', n, '">hit</a></div><div class="search"><span class="query"> </span></div>',
+        '<div id="textdoc-message-', n, '"><div class="prose">board ', n, '</div></div><p>so <span class="katex-display"><span class="katex"><span class="katex">x</span><annotation>x^', n, '</annotation></span></span> and <span class="katex">y', n, "</span></p>",
+        '<div class="code-artifact"><div class="header">Python</div><pre>print(', n, ')</pre></div><div class="code-artifact"><div class="sticky">SQL<button>Copy</button></div><pre>a<img src="x.png"></pre></div><div class="code-artifact"><pre> </pre></div>',
+        '<div class="artifact-block-cell"><div class="leading-tight text-sm line-clamp-1">', F.when(c("page_id") % 2 == 0, pieces("Art ", n)).otherwise(" "), '</div><div class="text-xs line-clamp-1 text-text-400">', label, "</div></div>",
+        '<div class="x-imagegen"><span class="font-medium">', F.when(c("page_id") % 3 == 0, pieces("Image • Cat ", n)).otherwise("Image"), '</span><img src="/g/', n, '.png"></div>',
+    ))
+
+
+@query("SELECT page_id, 'find ' || page_id AS query, page_id::INTEGER AS result_count, 1 AS results, 'a.example' AS domain FROM pages")
+def extract_search_widgets(spark, d):
+    return widgets.extract_search_widgets(built(spark, d)).select("page_id", "query", "result_count", F.size("results").alias("results"), F.get("results", F.lit(0))["domain"].alias("domain"))
+
+
+@query("SELECT page_id, '[Canvas Content]' || chr(10) || 'board ' || page_id AS content FROM pages")
+def extract_canvas(spark, d):
+    return widgets.extract_canvas(built(spark, d)).select("page_id", "content")
+
+
+@query("SELECT page_id, '$$x^' || page_id || '$$' AS marker FROM pages UNION ALL SELECT page_id, '$y' || page_id || '$' FROM pages")
+def collapse_math(spark, d):
+    return widgets.math_markers(html.collapse_math(built(spark, d))).select("page_id", "marker")
+
+
+@query("SELECT page_id, 'so $$x^' || page_id || '$$ and $y' || page_id || '$' AS text FROM pages")
+def text_with_math(spark, d):
+    """The formulas stand in the text of their paragraph."""
+    return html.extract_blocks(html.collapse_math(built(spark, d))).where("text LIKE 'so $$x%'").select("page_id", "text")
+
+
+@query("SELECT page_id, 'Python' AS title, 'code' AS type, 'python' AS language, 'print(' || page_id || ')' AS content FROM pages UNION ALL SELECT page_id, 'Sql', 'image', 'sql', 'a' FROM pages")
+def extract_code_artifacts(spark, d):
+    return widgets.extract_code_artifacts(built(spark, d)).drop("node_id")
+
+
+@query("""SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'Art ' || page_id ELSE 'Untitled Artifact' END AS title, CASE page_id % 3 WHEN 0 THEN 'Code · JSX' WHEN 1 THEN 'Imagen' ELSE '' END AS label, CASE WHEN page_id % 3 = 0 THEN 'jsx' ELSE '' END AS format,
+  CASE page_id % 3 WHEN 0 THEN 'react' WHEN 1 THEN 'image' ELSE 'unknown' END AS type, CASE page_id % 3 WHEN 0 THEN 'react' WHEN 1 THEN 'svg' END AS language FROM pages""")
+def extract_artifact_cells(spark, d):
+    return widgets.extract_artifact_cells(built(spark, d)).drop("node_id")
+
+
+@query("""SELECT page_id, CASE WHEN page_id % 3 = 0 THEN '[Image: Cat ' || page_id || ']' ELSE '[Generated Image]' END AS content, '/g/' || page_id || '.png' AS src, 'Generated image' AS alt FROM pages""")
+def extract_generated_image(spark, d):
+    return widgets.extract_generated_image(built(spark, d)).drop("node_id")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -10,8 +12,9 @@ from convlake.functions.artifacts import api_artifact_type as mime_type
 from convlake.functions.artifacts import is_artifact_block as artifact_block
 from convlake.operators import lines, pairing, reconcile
 from convlake.plans import transcripts
-from convlake.queries.turns import PAIRS_SQL, SELECTED, pairs, some_selected
+from convlake.queries.turns import PAIRS_SQL, SELECTED, pairs, some_selected, timed_pairs
 from convlake.registry import query
+from convlake.session import shared_folder
 from convlake.sources import tables
 from convlake.sources.tables import read_table, read_turns
 
@@ -20,15 +23,16 @@ ESC = "replace(replace(replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'),
 
 # ---- dumps ---------------------------------------------------------------------------
 # A dump of every conversation is written as JSON from its turns and read back.  Assistant
-# messages have empty text and blocks; every third has an artifact; every fifth conversation
-# has lost its last turn, so that counts differ.
+# messages have empty text and blocks; every third has an artifact.  The dump of every fifth
+# conversation knows one more question, and that of the next one a whole exchange, so that counts differ.
 
 MIMES = ("image/svg+xml", "text/html", "application/vnd.ant.react", "text/markdown", "application/vnd.ant.code")
 M = """k AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos, count(*) OVER (PARTITION BY conv_id) AS total
-  FROM conversations WHERE role <> 'system'),
+  FROM (SELECT conv_id, turn, role, text FROM conversations WHERE role <> 'system' UNION ALL SELECT conv_id, max(turn) + 1, 'user', 'more' FROM conversations WHERE role <> 'system' AND conv_id % 5 < 2 GROUP BY conv_id
+    UNION ALL SELECT conv_id, max(turn) + 2, 'assistant', 'and more' FROM conversations WHERE role <> 'system' AND conv_id % 5 = 1 GROUP BY conv_id)),
 m AS (SELECT conv_id, turn, (pos)::INTEGER AS pos, CASE role WHEN 'user' THEN 'human' ELSE 'assistant' END AS sender, 'u' || conv_id || '-' || turn AS uuid, text AS body,
   CASE WHEN turn % 4 = 3 THEN 'never' ELSE strftime(to_timestamp(1700000000 + turn * 60)::TIMESTAMP, '%Y-%m-%dT%H:%M:%SZ') END AS created_at,
-  role = 'assistant' AND turn % 3 = 0 AS has_artifact FROM k WHERE NOT (conv_id % 5 = 0 AND pos = total - 1))"""
+  role = 'assistant' AND turn % 3 = 0 AS has_artifact FROM k)"""
 CAPTURED = "cap AS (SELECT conv_id, pair_index, question, answer FROM p0)"
 ALL_PAIRS = """l0 AS (SELECT conv_id, turn, role, text, lead(role) OVER w AS nr, lead(text) OVER w AS nc FROM conversations WHERE role <> 'system' WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
 p0 AS (SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INTEGER AS pair_index, text AS question, CASE WHEN nr = 'assistant' THEN nc ELSE '' END AS answer FROM l0 WHERE role = 'user' AND nr IS NOT NULL)"""
@@ -38,10 +42,13 @@ s AS (SELECT conv_id, count(*) FILTER (sender = 'human') AS humans, count(*) FIL
 API = f"WITH {M}, {ALL_PAIRS}, {SIDES}"
 
 
-def dumps(spark, d):
+def dump_texts(spark, d):
     w = Window.partitionBy("conv_id").orderBy("turn")
-    t = pairing.role_filter(read_turns(spark, d)).withColumn("pos", F.row_number().over(w) - 1).withColumn("total", F.count("*").over(Window.partitionBy("conv_id")))
-    t = t.where(~((c("conv_id") % 5 == 0) & (c("pos") == c("total") - 1)))
+    t = pairing.role_filter(read_turns(spark, d))
+    last = t.groupBy("conv_id").agg(F.max("turn").alias("turn"))
+    more = lambda n, role, said, of: last.where(of).select("conv_id", (c("turn") + n).alias("turn"), F.lit(role).alias("role"), F.lit(said).alias("content"))
+    t = t.unionByName(more(1, "user", "more", "conv_id % 5 < 2")).unionByName(more(2, "assistant", "and more", "conv_id % 5 = 1"))
+    t = t.withColumn("pos", F.row_number().over(w) - 1)
     answer = c("role") == "assistant"
     block = lambda kind, said, name, value: F.struct(F.lit(kind).alias("type"), said.alias("text"), F.lit(name).cast("string").alias("name"), value.alias("input"))
     none = F.lit(None).cast("struct<type:string,title:string,content:string,language:string>")
@@ -60,7 +67,11 @@ def dumps(spark, d):
     text_rows = t.groupBy("conv_id").agg(all_messages.alias("chat_messages")).select(
         "conv_id", F.to_json(F.struct(F.concat(F.lit("c"), "conv_id").alias("uuid"), "chat_messages")).alias("json")
     )
-    return text_rows.select("conv_id", tables.parse_api(c("json")).alias("api"))
+    return text_rows
+
+
+def dumps(spark, d):
+    return dump_texts(spark, d).select("conv_id", tables.parse_api(c("json")).alias("api"))
 
 
 def messages(spark, d):
@@ -73,7 +84,11 @@ def captured(spark, d):
 
 @query(f"{API} SELECT conv_id, 'c' || conv_id AS uuid, count(*) AS messages FROM m GROUP BY conv_id")
 def read_api_dump(spark, d):
-    return dumps(spark, d).select("conv_id", "api.uuid", F.size("api.chat_messages").cast("long").alias("messages"))
+    """Written as JSON lines to the shared folder, and read back."""
+    folder = f"{shared_folder(spark)}/dump-{uuid.uuid4().hex}"
+    dump_texts(spark, d).select("json").write.text(folder)
+    api = tables.read_api_dump(spark, folder).where("_corrupt_record IS NULL")
+    return api.select(F.substring("uuid", 2, 20).cast("long").alias("conv_id"), "uuid", F.size("chat_messages").cast("long").alias("messages"))
 
 
 @query(f"""{API} SELECT conv_id, pos AS message_pos, b.i AS block_pos, b.t AS type FROM m, (VALUES (0, 'thinking', true), (0, 'text', false), (1, 'text', true), (2, 'tool_use', true)) b(i, t, f)
@@ -137,12 +152,9 @@ def attach_artifacts(spark, d):
 
 @query(f"""{API}, ch AS (SELECT conv_id, CASE WHEN humans = assistants AND humans > pairs THEN 'api' WHEN humans = pairs AND assistants = pairs THEN 'enriched' ELSE 'captured' END AS source FROM s)
 SELECT q.conv_id, q.n AS pair_index, q.body AS question, a.body AS answer, source FROM q JOIN a USING (conv_id, n) JOIN ch USING (conv_id) WHERE source = 'api'
-UNION ALL SELECT p.conv_id, pair_index, question, answer, coalesce(source, 'captured') FROM (SELECT * FROM p0 WHERE NOT (conv_id % 3 = 0 AND pair_index > 0)) p LEFT JOIN ch USING (conv_id) WHERE coalesce(source, 'captured') <> 'api'""".replace(
-    "coalesce((SELECT count(*) FROM p0 WHERE p0.conv_id = m.conv_id), 0)", "coalesce((SELECT count(*) FROM p0 WHERE p0.conv_id = m.conv_id AND NOT (p0.conv_id % 3 = 0 AND p0.pair_index > 0)), 0)"))
+UNION ALL SELECT p.conv_id, pair_index, question, answer, coalesce(source, 'captured') FROM p0 p LEFT JOIN ch USING (conv_id) WHERE coalesce(source, 'captured') <> 'api'""")
 def reconcile_sources(spark, d):
-    """The capture of every third conversation saw its first pair alone."""
-    seen = captured(spark, d).where(~((c("conv_id") % 3 == 0) & (c("pair_index") > 0)))
-    return reconcile.reconcile_sources(seen, messages(spark, d))
+    return reconcile.reconcile_sources(captured(spark, d), messages(spark, d))
 
 
 @query("""WITH x AS (SELECT page_id, string_split(url, '/')[4] AS title FROM pages) SELECT page_id, title, CASE WHEN page_id % 2 = 0 THEN 'body ' || page_id END AS content FROM x""")
@@ -214,10 +226,10 @@ def dedupe_adjacent_titles(spark, d):
     return lines.dedupe_adjacent_titles(turn_blocks(spark, d), "conv_id").select("conv_id", "ordinal")
 
 
-@query("""WITH n AS (SELECT *, CASE WHEN lag(role) OVER w = role THEN 0 ELSE 1 END AS nw FROM conversations WHERE turn % 3 <> 1 WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+@query("""WITH n AS (SELECT *, CASE WHEN lag(role) OVER w = role THEN 0 ELSE 1 END AS nw FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
 r AS (SELECT *, (sum(nw) OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INTEGER AS run FROM n) SELECT conv_id, run, role, string_agg(text, '' ORDER BY turn) AS content FROM r GROUP BY ALL""")
 def coalesce_runs(spark, d):
-    return lines.coalesce_runs(read_turns(spark, d).where("turn % 3 <> 1"), ["conv_id"], "turn", ["role"], "content")
+    return lines.coalesce_runs(read_turns(spark, d), ["conv_id"], "turn", ["role"], "content")
 
 
 CELLS = """ce AS (SELECT o_custkey AS table_id, false AS is_header, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS row_idx, o_orderkey, o_totalprice, o_orderstatus FROM orders),
@@ -271,15 +283,18 @@ def txt_table(spark, d):
     return lines.txt_table(padded.unionByName(cells(spark, d).where("is_header AND row_idx = 0").select(*padded.columns)))
 
 
-@query()
-def table_grid(spark, d):
+@query("""WITH o AS (SELECT o_custkey AS table_id, o_orderkey, o_orderstatus, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS r, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders),
+x AS (SELECT table_id, r, 0 AS k, CASE WHEN r % 2 = 0 THEN o_orderkey::VARCHAR ELSE '' END AS text FROM o UNION ALL SELECT table_id, r, CASE WHEN r % 2 = 0 THEN 1 ELSE 1 END, o_orderstatus FROM o
+  UNION ALL SELECT table_id, r, 2, CASE WHEN r % 2 = 0 THEN '' ELSE o_orderstatus END FROM o UNION ALL SELECT table_id, r, 3, '' FROM o WHERE r % 2 = 1)
+SELECT table_id, false AS is_header, r::INTEGER AS row_idx, k::INTEGER AS col_idx, text FROM x""")
+def order_grid(spark, d):
     """Customers' orders as rows whose first cell spans two rows and whose last spans two columns."""
     w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
     o = read_table(spark, d, "orders").select(c("o_custkey").alias("table_id"), "o_orderkey", "o_orderstatus", (F.row_number().over(w) - 1).cast("int").alias("row_idx"))
     cell = lambda i, t, r, k: F.struct(F.lit(i).alias("ordinal"), t.alias("text"), r.cast("int").alias("rowspan"), F.lit(k).alias("colspan"))
     first = F.when(c("row_idx") % 2 == 0, F.array(cell(0, c("o_orderkey").cast("string"), F.lit(2), 1))).otherwise(F.array(cell(0, c("o_orderstatus"), F.lit(1), 1)))
     both = F.concat(first, F.array(cell(1, c("o_orderstatus"), F.lit(1), 2)))
-    x = o.select("table_id", "row_idx", F.explode(both).alias("x")).select("table_id", "row_idx", "x.*")
+    x = o.select("table_id", F.lit(False).alias("is_header"), "row_idx", F.explode(both).alias("x")).select("table_id", "is_header", "row_idx", "x.*")
     return lines.table_grid(x)
 
 
@@ -348,16 +363,9 @@ def role_platform_names(spark, d):
     return t.select("conv_id", "turn", F.coalesce("own", text.initcap_first(c("role"))).alias("name"))
 
 
-@query("SELECT page_id, url FROM pages WHERE page_id % 3 = 0")
-def used_sources_only(spark, d):
-    """Cited sources stay, those only read go; the title is the domain where there is none."""
-    cited = read_table(spark, d, "pages").withColumn("used", c("page_id") % 3 == 0)
-    return cited.where("used").select("page_id", "url")
-
-
 def items(spark, d):
     """Turns as list items: the depth rises by one from item to item, and falls back after three."""
-    return read_turns(spark, d).select("conv_id", c("turn").alias("pos"), (c("turn") % 3).cast("int").alias("depth"), c("content").alias("text"))
+    return read_turns(spark, d).select("conv_id", c("turn").alias("pos"), (c("turn") % 3).cast("int").alias("depth"), (c("turn") % 3 != 1).alias("ordered"), c("content").alias("text"))
 
 
 @query()
@@ -367,8 +375,8 @@ def txt_list(spark, d):
 
 @query(f"""WITH i AS (SELECT conv_id, turn, turn % 3 AS depth, coalesce(lag(turn % 3) OVER w, -1) AS b, coalesce(lead(turn % 3) OVER w, -1) AS a, {ESC.format('text')} AS t
   FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
-p AS (SELECT conv_id, turn, repeat('<ul>', greatest(depth - b, 0)) || '<li>' || t || CASE WHEN a > depth THEN '' WHEN a >= 0 THEN '</li>' || repeat('</ul></li>', depth - a)
-  ELSE '</li>' || repeat('</ul></li>', depth) || '</ul>' END AS s FROM i)
+p AS (SELECT conv_id, turn, CASE WHEN depth > b THEN CASE WHEN depth = 1 THEN '<ul>' ELSE '<ol>' END ELSE '' END || '<li>' || t || CASE WHEN a > depth THEN '' WHEN a = depth THEN '</li>' ELSE '' END
+  || CASE WHEN a < depth AND depth >= 2 AND a < 2 THEN '</li></ol>' ELSE '' END || CASE WHEN a < depth AND depth >= 1 AND a < 1 THEN '</li></ul>' ELSE '' END || CASE WHEN a < 0 THEN '</li></ol>' WHEN a < depth THEN '</li>' ELSE '' END AS s FROM i)
 SELECT conv_id, string_agg(s, '' ORDER BY turn) AS html FROM p GROUP BY conv_id""")
 def html_list(spark, d):
     return lines.html_list(items(spark, d), "conv_id")
@@ -380,31 +388,97 @@ TITLE = "'Conversation ' || conv_id"
 QUOTED = "array_to_string(list_transform(string_split(question, chr(10)), lambda x: CASE WHEN x = '' THEN '>' ELSE '> ' || x END), chr(10))"
 
 
-@query(f"""{PAIRS_SQL}, {SELECTED}, b AS (SELECT conv_id, string_agg('**User**' || chr(10) || chr(10) || {QUOTED} || chr(10) || chr(10) || '**Assistant**' || chr(10) || chr(10) || trim(answer), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY pair_index) AS body FROM s WHERE selected GROUP BY conv_id)
-SELECT conv_id, '# ' || {TITLE} || chr(10) || chr(10) || '---' || chr(10) || chr(10) || body AS document FROM b""")
+NLS = "chr(10) || chr(10)"
+#: Selected pairs with the days to print, and the head of each conversation.
+TOLD = """d AS (SELECT *, strftime(question_ts, '%Y-%m-%d') AS qd, strftime(answer_ts, '%Y-%m-%d') AS ad, row_number() OVER (PARTITION BY conv_id ORDER BY pair_index) - 1 AS i FROM s WHERE selected),
+b4 AS (SELECT *, last_value(coalesce(ad, qd) IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY pair_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS bf FROM d),
+e AS (SELECT *, CASE WHEN bf <> qd THEN qd END AS qs, CASE WHEN coalesce(qd, bf) <> ad THEN ad END AS asep, strftime(question_ts, '%H:%M') AS qt, strftime(answer_ts, '%H:%M') AS ant FROM b4),
+hd AS (SELECT conv_id, least(min(question_ts), min(answer_ts)) AS f, greatest(max(question_ts), max(answer_ts)) AS l FROM d GROUP BY conv_id),
+hh AS (SELECT *, CASE WHEN strftime(f, '%Y-%m-%d') = strftime(l, '%Y-%m-%d') THEN strftime(f, '%Y-%m-%d') ELSE strftime(f, '%Y-%m-%d') || ' – ' || strftime(l, '%Y-%m-%d') END AS dates, CASE WHEN conv_id % 2 = 0 THEN 'm' || conv_id END AS model, 'https://chat.example.com/c/' || conv_id AS url FROM hd)"""
+ABOUT_SQL = f"{PAIRS_SQL}, {SELECTED}, {TOLD}"
+
+
+def told_pairs(spark, d):
+    """Selected pairs with times; some answers have an artifact, some a search, one of each without content."""
+    artifact = F.struct(
+        F.concat(F.lit("Art "), c("pair_index").cast("string")).alias("title"), F.lit("code").alias("type"), F.lit("Code").alias("label"), F.lit("py").alias("language"), F.lit("x = 1").alias("content"),
+    )
+    result = F.struct(F.lit("page").alias("title"), F.lit("https://x.example/").alias("url"), F.lit("x.example").alias("domain"))
+    flag = (c("pair_index") % 3 != 2) & (c("conv_id") % 10 != 0)
+    return timed_pairs(spark, d).withColumns({
+        "selected": flag, "artifacts": F.when(c("pair_index") % 3 == 0, F.array(artifact, artifact.withField("content", F.lit("")))),
+        "searches": F.when(c("pair_index") % 4 == 1, F.array(F.struct(F.lit("find").alias("query"), F.array(result).alias("results")), F.struct(F.lit("none").alias("query"), F.array().cast("array<struct<title:string,url:string,domain:string>>").alias("results")))),
+    })
+
+
+def told_about(spark, d):
+    n = c("conv_id").cast("string")
+    return read_turns(spark, d).select("conv_id").distinct().select(
+        "conv_id", F.concat(F.lit("Conversation "), n).alias("title"), F.lit("chatgpt").alias("platform"), F.when(c("conv_id") % 2 == 0, F.concat(F.lit("m"), n)).alias("model"),
+        F.concat(F.lit("https://chat.example.com/c/"), n).alias("url"), F.lit("2024-05-06 07:08:09").cast("timestamp").alias("exported"),
+    )
+
+
+@query(f"""{ABOUT_SQL}, b AS (SELECT conv_id, string_agg(coalesce('**' || qs || '**' || {NLS}, '') || '**User**' || coalesce(' · ' || qt, '') || {NLS} || {QUOTED} || {NLS} || coalesce('**' || asep || '**' || {NLS}, '') || '**ChatGPT**' || coalesce(' · ' || ant, '') || {NLS} || trim(answer)
+  || CASE WHEN pair_index % 3 = 0 THEN {NLS} || '#### Art ' || pair_index || chr(10) || '*Type: Code*' || {NLS} || '```py' || chr(10) || 'x = 1' || chr(10) || '```' ELSE '' END
+  || CASE WHEN pair_index % 4 = 1 THEN {NLS} || '### Sources — find' || {NLS} || '- [page](https://x.example/) — *x.example*' ELSE '' END, {NLS} || '---' || {NLS} ORDER BY pair_index) AS body FROM e GROUP BY conv_id)
+SELECT conv_id, '# ' || {TITLE} || {NLS} || '| **Field** | **Value** |' || chr(10) || '|---|---|' || chr(10) || '| Platform | ChatGPT |' || coalesce(chr(10) || '| Model | ' || model || ' |', '') || coalesce(chr(10) || '| Date range | ' || dates || ' |', '')
+  || chr(10) || '| Exported | 2024-05-06 07:08:09 |' || chr(10) || '| URL | ' || url || ' |' || {NLS} || '---' || {NLS} || body AS document FROM b JOIN hh USING (conv_id)""")
 def write_md_transcripts(spark, d):
-    return transcripts.md_transcripts(some_selected(spark, d))
+    """Written to the shared folder, divided by conversation, and read back."""
+    return written(spark, transcripts.md_transcripts(told_pairs(spark, d), told_about(spark, d)))
 
 
-@query()
+def written(spark, documents):
+    """What the sink holds; a document's lines are rows of the files, so its line feeds are kept as a sign."""
+    folder = f"{shared_folder(spark)}/transcripts-{uuid.uuid4().hex}"
+    transcripts.write_transcripts(documents.select("conv_id", F.replace("document", F.lit("\n"), F.lit("\u2028")).alias("document")), folder, "conv_id")
+    back = spark.read.schema("value string, conv_id long").text(folder)
+    return back.select("conv_id", F.replace("value", F.lit("\u2028"), F.lit("\n")).alias("document"))
+
+
+LABELLED = "upper({0}) || {1} || chr(10) || repeat('-', length({0} || {1})::INTEGER) || chr(10)"
+WRAPPED = """array_to_string(list_transform(string_split({0}, chr(10)), lambda line: coalesce((list_reduce(list_transform(list_filter(string_split(trim(regexp_replace(line, '\\s+', ' ', 'g')), ' '), lambda w: w <> ''),
+  lambda w: {{'s': '{1}' || w, 'n': length('{1}' || w)}}), lambda x, y: CASE WHEN x.n + 1 + y.n - {2} <= 72 THEN {{'s': x.s || ' ' || y.s[{2} + 1:], 'n': x.n + 1 + y.n - {2}}} ELSE {{'s': x.s || chr(10) || y.s, 'n': y.n}} END)).s, '')), chr(10))"""
+
+
+@query(f"""{ABOUT_SQL}, b AS (SELECT conv_id, string_agg(coalesce(qs || {NLS}, '') || {LABELLED.format("'User'", "coalesce(' · ' || qt, '')")} || {WRAPPED.format('question', '  ', 2)} || {NLS} || coalesce(asep || {NLS}, '') || {LABELLED.format("'ChatGPT'", "coalesce(' · ' || ant, '')")} || {WRAPPED.format('answer', '', 0)}
+  || CASE WHEN pair_index % 3 = 0 THEN {NLS} || '--- Art ' || pair_index || ' ---' || chr(10) || 'Type: Code' || {NLS} || 'x = 1' ELSE '' END
+  || CASE WHEN pair_index % 4 = 1 THEN {NLS} || 'Sources — find' || chr(10) || '- page — x.example' || chr(10) || '  https://x.example/' ELSE '' END, {NLS} || repeat('-', 72) || {NLS} ORDER BY pair_index) AS body FROM e GROUP BY conv_id)
+SELECT conv_id, {TITLE} || chr(10) || repeat('=', length({TITLE})::INTEGER) || {NLS} || 'Platform: ChatGPT' || coalesce(chr(10) || 'Model: ' || model, '') || coalesce(chr(10) || 'Date range: ' || dates, '') || chr(10) || 'Exported: 2024-05-06 07:08:09'
+  || chr(10) || 'URL: ' || url || {NLS} || repeat('-', 72) || {NLS} || body AS document FROM b JOIN hh USING (conv_id)""")
 def write_txt_transcripts(spark, d):
-    return transcripts.txt_transcripts(some_selected(spark, d))
+    return transcripts.txt_transcripts(told_pairs(spark, d), told_about(spark, d))
 
 
-@query(f"""{PAIRS_SQL}, {SELECTED}, b AS (SELECT conv_id, string_agg('<div class="user"><p>' || {ESC.format('question')} || '</p></div><div class="assistant"><p>' || {ESC.format('answer')} || '</p></div>', '<hr>' ORDER BY pair_index) AS body FROM s WHERE selected GROUP BY conv_id)
-SELECT conv_id, '<!doctype html><html><head><style>body{{max-width:50em;margin:auto}}</style></head><body><h1>' || {TITLE} || '</h1>' || body || '</body></html>' AS document FROM b""")
+@query(f"""{ABOUT_SQL}, b AS (SELECT conv_id, string_agg(coalesce('<div class="day">' || qs || '</div>', '') || '<div class="user"><p class="role">User' || coalesce(' <span>' || qt || '</span>', '') || '</p><p>' || {ESC.format('question')} || '</p></div>' || coalesce('<div class="day">' || asep || '</div>', '')
+  || '<div class="assistant"><p class="role">ChatGPT' || coalesce(' <span>' || ant || '</span>', '') || '</p><p>' || {ESC.format('answer')} || '</p>' || CASE WHEN pair_index % 3 = 0 THEN '<section><h4>Art ' || pair_index || '</h4><p><em>Code</em></p><pre><code class="language-py">x = 1</code></pre></section>' ELSE '' END
+  || CASE WHEN pair_index % 4 = 1 THEN '<h4>Sources — find</h4><ul><li><a href="https://x.example/">page</a> <small>x.example</small></li></ul>' ELSE '' END || '</div>', '<hr>' ORDER BY pair_index) AS body FROM e GROUP BY conv_id)
+SELECT conv_id, '<!doctype html><html><head><style>body{{max-width:50em;margin:auto}}</style></head><body><h1>' || {TITLE} || '</h1><dl><dt>Platform</dt><dd>ChatGPT</dd>' || coalesce('<dt>Model</dt><dd>' || model || '</dd>', '') || coalesce('<dt>Date range</dt><dd>' || dates || '</dd>', '')
+  || '<dt>Exported</dt><dd>2024-05-06 07:08:09</dd><dt>URL</dt><dd><a href="' || url || '">' || url || '</a></dd></dl>' || body || '</body></html>' AS document FROM b JOIN hh USING (conv_id)""")
 def write_html_transcripts(spark, d):
-    return transcripts.html_transcripts(some_selected(spark, d))
+    return transcripts.html_transcripts(told_pairs(spark, d), told_about(spark, d))
+
 
+ISO = "strftime({0}, '%Y-%m-%dT%H:%M:%S') || '+00:00'"
+MADE = """'"artifacts":[{{"title":"Art ' || pair_index || '","type":"code","label":"Code","language":"py","content":"x = 1"}},{{"title":"Art ' || pair_index || '","type":"code","label":"Code","language":"py","content":""}}]'""".replace("{{", "{").replace("}}", "}")
+FOUND = """'"webSearches":[{"query":"find","results":[{"title":"page","url":"https://x.example/","domain":"x.example"}]},{"query":"none","results":[]}]'"""
+PAIR_JSON = f"""'{{"index":' || {{0}} || ',"question":{{"role":"user","content":' || to_json(question) || {{1}} || '}},"answer":{{"role":"assistant","content":' || to_json(answer) || {{2}} || '}}}}'""".replace("{{0}}", "<0>").replace("{{1}}", "<1>").replace("{{2}}", "<2>")
+STAMP = "coalesce(',\"timestamp\":\"' || " + ISO + " || '\"', '')"
+META = f"CASE WHEN pair_index % 3 = 0 AND pair_index % 4 = 1 THEN ',\"metadata\":{{' || {MADE} || ',' || {FOUND} || '}}' WHEN pair_index % 3 = 0 THEN ',\"metadata\":{{' || {MADE} || '}}' WHEN pair_index % 4 = 1 THEN ',\"metadata\":{{' || {FOUND} || '}}' ELSE '' END"
 
-@query(f"""{PAIRS_SQL}, {SELECTED}, n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY pair_index) - 1 AS i FROM s WHERE selected)
-SELECT conv_id, '{{"schemaVersion":2,"title":"' || {TITLE} || '","pairCount":' || count(*) || ',"pairs":[' || string_agg('{{"index":' || i || ',"question":{{"role":"user","content":' || to_json(question) || '}},"answer":{{"role":"assistant"' ||
- CASE WHEN answer = '' THEN '' ELSE ',"content":' || to_json(answer) END || '}}}}', ',' ORDER BY i) || ']}}' AS document FROM n GROUP BY conv_id""")
+
+def pair_json(index, question="''", answer="''"):
+    return PAIR_JSON.replace("<0>", index).replace("<1>", question).replace("<2>", answer).replace("{0}", index).replace("{1}", question).replace("{2}", answer)
+
+
+@query(f"""{ABOUT_SQL} SELECT conv_id, '{{"schemaVersion":2,"title":"' || {TITLE} || '","platform":"chatgpt"' || coalesce(',"model":"' || any_value(model) || '"', '') || ',"url":"' || any_value(url) || '","exportedAt":"2024-05-06T07:08:09+00:00"'
+  || coalesce(',"dateRange":{{"from":"' || {ISO.format('any_value(f)')} || '","to":"' || {ISO.format('any_value(l)')} || '"}}', '') || ',"pairs":[' || string_agg({pair_json('i', STAMP.format('question_ts'), META + " || " + STAMP.format('answer_ts'))}, ',' ORDER BY i) || ']}}' AS document FROM e JOIN hh USING (conv_id) GROUP BY conv_id""")
 def write_json_transcripts(spark, d):
-    return transcripts.json_transcripts(some_selected(spark, d))
+    return transcripts.json_transcripts(told_pairs(spark, d), told_about(spark, d))
 
 
-@query(f"""{PAIRS_SQL} SELECT conv_id, pair_index, '{{"index":' || pair_index || ',"question":{{"role":"user","content":' || to_json(question) || '}},"answer":{{"role":"assistant"' || CASE WHEN answer = '' THEN '' ELSE ',"content":' || to_json(answer) END || '}}}}' AS pair FROM p""")
+@query(f"{PAIRS_SQL} SELECT conv_id, pair_index, {pair_json('pair_index')} AS pair FROM p")
 def json_pair(spark, d):
     return transcripts.json_pair(pairs(spark, d)).select("conv_id", "pair_index", F.to_json("pair").alias("pair"))
 
@@ -424,13 +498,11 @@ def route_by_format(spark, d):
 @query(f"""{PAIRS_SQL}, {SELECTED} SELECT conv_id, string_agg(question, ' | ' ORDER BY pair_index) AS document FROM s WHERE selected GROUP BY conv_id""")
 def register_renderer(spark, d):
     """A format of one's own: the questions on a line."""
-    render = lambda p: transcripts.assemble(p, c("question"), " | ").select("conv_id", c("body").alias("document"))
-    return render(some_selected(spark, d))
-
-
-@query("SELECT page_id, CASE WHEN contains(url, '.org') THEN 'mine' END AS platform FROM pages")
-def register_platform(spark, d):
-    """A platform of one's own is a row of the dimension."""
-    from convlake.operators.html import detect_platform
-
-    return detect_platform(tables.read_pages(spark, d), spark.createDataFrame([("mine", 1, r"\.org")], "id string, priority int, url_pattern string"))
+    @transcripts.register_renderer("questions")
+    def questions(p, about=None):
+        return transcripts.assemble(p, c("question"), " | ").select("conv_id", c("body").alias("document"))
+
+    try:
+        return transcripts.RENDERERS["questions"](some_selected(spark, d))
+    finally:
+        del transcripts.RENDERERS["questions"]

@@ -162,14 +162,6 @@ def artifact_type(spark, d):
     return x.select("doc_id", "a.type", "a.language")
 
 
-@query(f"""WITH l AS (SELECT doc_id, {TITLE} AS raw, {LABEL_SQL} AS l FROM documents)
-SELECT doc_id, coalesce(nullif(trim(raw), ''), 'Untitled Artifact') AS title, l AS label, CASE WHEN contains(l, '·') THEN lower(trim(string_split(l, '·')[-1])) ELSE '' END AS format FROM l""")
-def extract_artifact_cells(spark, d):
-    label = F.element_at(F.array(*map(F.lit, LABELS)), (c("doc_id") % 10 + 1).cast("int"))
-    name = F.coalesce(F.nullif(F.trim(title()), F.lit("")), F.lit("Untitled Artifact"))
-    return docs(spark, d).select("doc_id", name.alias("title"), label.alias("label"), artifacts.format_token(label).alias("format"))
-
-
 KINDS = ("image", "react", "document", "diagram", "code", "other")
 
 
@@ -339,15 +331,6 @@ def drop_or_mark_diagrams(spark, d):
     return docs(spark, d).select("doc_id", artifacts.is_diagram(size, size, box, label).alias("diagram"))
 
 
-@query("""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '[Image: ' || lang || ']' ELSE '[Generated Image]' END AS content, CASE WHEN doc_id % 2 = 0 THEN source ELSE 'Generated image' END AS alt FROM documents""")
-def extract_generated_image(spark, d):
-    header = F.when(c("doc_id") % 3 == 0, F.concat(F.lit("Image • "), c("lang"))).otherwise("Image")
-    name = F.nullif(F.trim(F.try_element_at(F.split(header, "•"), F.lit(2))), F.lit(""))
-    content = F.coalesce(F.concat(F.lit("[Image: "), name, F.lit("]")), F.lit("[Generated Image]"))
-    alt = F.coalesce(F.when(c("doc_id") % 2 == 0, c("source")), F.lit("Generated image"))
-    return docs(spark, d).select("doc_id", content.alias("content"), alt.alias("alt"))
-
-
 BLOCKS = ("paragraph", "heading", "code", "hr", "blockquote", "image", "list_item")
 BLOCK_SQL = f"b AS (SELECT doc_id, list_extract(['paragraph', 'heading', 'code', 'hr', 'blockquote', 'image', 'list_item'], (doc_id % 7 + 1)::INTEGER) AS kind, {TITLE} AS text, (doc_id % 3 + 2)::INTEGER AS level, lang, 'https://x.example/' || doc_id AS url FROM documents)"
 

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convlake.operators import html, widgets
+from convlake.operators import widgets
 from convlake.queries.turns import REPORT_SQL, reports
 from convlake.registry import query
+from convlake.session import shared_folder
 from convlake.sources.tables import read_pages, read_table, read_turns
 from convlake.streaming import captures
 
@@ -57,8 +57,7 @@ def stream_drift_dedupe(spark, d):
 
 def run_stream(out: DataFrame, spark: SparkSession) -> DataFrame:
     """Run an append stream over what is there, and read its sink."""
-    base = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="convlake-")).rstrip("/")
-    folder = f"{base}/stream-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     q = out.writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start(f"{folder}/out")
     q.awaitTermination()
     return spark.read.schema(out.schema).parquet(f"{folder}/out")
@@ -73,43 +72,6 @@ def stream_pairing(spark, d):
     return run_stream(captures.stream_pairing(stream), spark)
 
 
-# ---- parts of pages that the tables' pages lack: they are added around what the pages hold ---
-
-def built_pages(spark, d):
-    n = c("page_id").cast("string")
-    more = F.concat(
-        F.lit('<div class="search"><span class="query">find '), n, F.lit('</span><i class="count">about '), n, F.lit(' results</i><a href="https://a.example/'), n,
-        F.lit('">hit</a></div><div class="search"><span class="query"> </span></div><div class="canvas">board '), n, F.lit('</div><span class="katex display"><span class="katex">x</span><annotation>x^'), n,
-        F.lit('</annotation></span><span class="katex">y'), n, F.lit('</span><div class="artifact"><div class="header">Python</div><pre>print('), n,
-        F.lit(')</pre></div><div class="artifact"><pre>a<img src="x.png"></pre></div><div class="artifact"><pre> </pre></div>'),
-    )
-    return read_pages(spark, d).withColumn("html", F.concat("html", more))
-
-
-def built(spark, d):
-    return html.dom_nodes(built_pages(spark, d))
-
-
-@query("SELECT page_id, 'find ' || page_id AS query, page_id::INTEGER AS result_count, 1 AS results FROM pages")
-def extract_search_widgets(spark, d):
-    return widgets.extract_search_widgets(built(spark, d)).select("page_id", "query", "result_count", F.size("results").alias("results"))
-
-
-@query("SELECT page_id, '[Canvas Content]' || chr(10) || 'board ' || page_id AS content FROM pages")
-def extract_canvas(spark, d):
-    return widgets.extract_canvas(built(spark, d)).select("page_id", "content")
-
-
-@query("SELECT page_id, '$$x^' || page_id || '$$' AS marker FROM pages UNION ALL SELECT page_id, '$y' || page_id || '$' FROM pages")
-def collapse_math(spark, d):
-    return widgets.collapse_math(built(spark, d)).select("page_id", "marker")
-
-
-@query("SELECT page_id, 'Python' AS title, 'code' AS type, 'python' AS language, 'print(' || page_id || ')' AS content FROM pages UNION ALL SELECT page_id, 'Code', 'image', 'code', 'a' FROM pages")
-def extract_code_artifacts(spark, d):
-    return widgets.extract_code_artifacts(built(spark, d)).drop("node_id")
-
-
 @query("""SELECT conv_id || '-' || turn AS message_id, 0 AS part, 0 AS ordinal, 'paragraph' AS type, trim(text) AS text FROM conversations
 UNION ALL SELECT conv_id || '-' || turn, 1, 0, 'paragraph', '[Web Search: ' || turn || ']' FROM conversations WHERE turn % 4 = 1""")
 def structured_messages(spark, d):

@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-from contextvars import ContextVar
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convlake.operators import drift, pairing
+from convlake.operators import drift, html, pairing
+from convlake.queries.pages import HEALTH, SKELETON, health, layouts
 from convlake.registry import query
 from convlake.sources.tables import read_turns
 
-#: Turns with gaps (all branches of pairing), their pairs, and the same with times.
+#: Turns of users and assistants with times, and their pairs.
 T = """t AS (SELECT conv_id, turn, role, text AS content,
   CASE WHEN turn % 7 <> 6 THEN to_timestamp(1700000000 + conv_id * 86400 + turn * 18000)::TIMESTAMP END AS ts
-  FROM conversations WHERE turn % 5 <> 3 AND role <> 'system')"""
+  FROM conversations WHERE role IN ('user', 'assistant'))"""
 L = """l AS (SELECT *, lead(role) OVER w AS nr, lead(turn) OVER w AS nt, lead(content) OVER w AS nc, lead(ts) OVER w AS nts
   FROM t WHERE role IN ('user', 'assistant') WINDOW w AS (PARTITION BY conv_id ORDER BY turn))"""
 P = """p AS (SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INTEGER AS pair_index, turn, content AS question,
@@ -25,13 +24,17 @@ PAIRS_SQL = f"WITH {T}, {L}, {P}"
 WORDS = "CASE WHEN trim(regexp_replace({0}, '\\s+', ' ', 'g')) = '' THEN 0 ELSE len(string_split(trim(regexp_replace({0}, '\\s+', ' ', 'g')), ' ')) END"
 
 
-#: Set while a query over all turns is built (queries/whole.py).
-WHOLE: ContextVar[bool] = ContextVar("WHOLE", default=False)
+def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairing.role_filter(read_turns(spark, sf_dir))
 
 
-def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = read_turns(spark, sf_dir)
-    return pairing.role_filter(t) if WHOLE.get() else pairing.thinned(t)
+def with_times(turns: DataFrame) -> DataFrame:
+    """``ts`` of each turn: a fixed clock of the corpus, unknown for every seventh turn.
+
+    The tables hold no times of turns; hours pass between turns, so that conversations cross days.
+    """
+    seconds = F.lit(1_700_000_000) + F.col("conv_id") * 86_400 + F.col("turn") * 18_000
+    return turns.withColumn("ts", F.when(F.col("turn") % 7 != 6, F.timestamp_seconds(seconds)))
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,7 +43,7 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def timed_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs with the times of both halves."""
-    t = pairing.with_times(turns(spark, sf_dir))
+    t = with_times(turns(spark, sf_dir))
     ts = t.select("conv_id", "turn", "ts")
     p = pairing.pair_turns(t).join(ts.withColumnRenamed("ts", "question_ts"), ["conv_id", "turn"])
     return p.join(ts.select("conv_id", F.col("turn").alias("answer_turn"), F.col("ts").alias("answer_ts")), ["conv_id", "answer_turn"], "left")
@@ -147,7 +150,7 @@ def date_range_label(spark, d):
   (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS k FROM t)
 SELECT conv_id, turn, CASE WHEN k <> d THEN d END AS separator FROM k""")
 def day_separators(spark, d):
-    return pairing.day_separators(pairing.with_times(turns(spark, d))).select("conv_id", "turn", "separator")
+    return pairing.day_separators(with_times(turns(spark, d))).select("conv_id", "turn", "separator")
 
 
 WARNINGS = """w AS (SELECT conv_id, pair_index, 'Turn ' || (pair_index + 1) || ': the ' ||
@@ -228,12 +231,11 @@ def counted(spark: SparkSession, d: str) -> DataFrame:
     return drift.counts(read_turns(spark, d), pairs(spark, d))
 
 
-def ui_labels(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([("Copy code",), ("Regenerate",)], "label string")
+UI_LABELS = ("Copy code", "Regenerate")
 
 
 def findings(spark: SparkSession, d: str) -> DataFrame:
-    return drift.sanity_findings(counted(spark, d), damaged(spark, d), ui_labels(spark))
+    return drift.sanity_findings(counted(spark, d), damaged(spark, d), UI_LABELS)
 
 
 for _name, _rule in RULES.items():
@@ -241,7 +243,7 @@ for _name, _rule in RULES.items():
     if _name in ("sanity_no_pairs", "sanity_turns_dropped"):
         query(f"{DRIFT_SQL} {_rule}", _name)(lambda spark, d, f=_f: f(counted(spark, d)))
     elif _name == "sanity_chrome_as_content":
-        query(f"{DRIFT_SQL} {_rule}", _name)(lambda spark, d, f=_f: f(damaged(spark, d), ui_labels(spark)))
+        query(f"{DRIFT_SQL} {_rule}", _name)(lambda spark, d, f=_f: f(damaged(spark, d), UI_LABELS))
     else:
         query(f"{DRIFT_SQL} {_rule}", _name)(lambda spark, d, f=_f: f(damaged(spark, d)))
 
@@ -256,21 +258,27 @@ def turn_text_length(spark, d):
 FNV = """('' || lower(to_base(list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split({0}, ''), lambda c: ascii(c)::BIGINT)),
   lambda h, c: (xor(h, c) * 16777619) & 4294967295), 36)))"""
 REPORTS = f"""r AS (SELECT conv_id, list_sort(list(DISTINCT rule)) AS rules, count(*) AS findings FROM f GROUP BY conv_id),
-q AS (SELECT *, 'chatgpt|1.2.0||' || array_to_string(rules, ',') AS c FROM r),
-g AS (SELECT conv_id, 'chatgpt' AS platform, '1.2.0' AS version, strftime(DATE '2024-01-01' + (conv_id % 28)::INTEGER, '%Y-%m-%d') AS day, findings, array_to_string(rules, ',') AS rules,
+kf AS (SELECT page_id AS conv_id, list_sort(list(key)) AS keys FROM h WHERE required AND matched <= 0 GROUP BY page_id),
+q AS (SELECT conv_id, coalesce(rules, []) AS rules, coalesce(keys, []) AS keys, coalesce(findings, 0) AS findings, 'chatgpt|1.2.0|' || array_to_string(coalesce(keys, []), ',') || '|' || array_to_string(coalesce(rules, []), ',') AS c FROM r FULL JOIN kf USING (conv_id)),
+g AS (SELECT conv_id, 'chatgpt' AS platform, '1.2.0' AS version, strftime(DATE '2024-01-01' + (conv_id % 28)::INTEGER, '%Y-%m-%d') AS day, findings, array_to_string(keys, ',') AS keys, array_to_string(rules, ',') AS rules,
   substr({FNV.format("c")} || {FNV.format("c || '|salt'")}, 1, 12) AS fingerprint FROM q)"""
-REPORT_SQL = f"{DRIFT_SQL}, {FINDINGS}, {REPORTS}"
+REPORT_SQL = f"{DRIFT_SQL}, {FINDINGS}, {HEALTH}, {REPORTS}"
+
+
+def failures(spark: SparkSession, d: str) -> DataFrame:
+    """Failing selectors of the pages; the page of a conversation has its id."""
+    return drift.failing_selectors(health(spark, d)).withColumnRenamed("page_id", "conv_id")
 
 
 def reports(spark: SparkSession, d: str) -> DataFrame:
     day = F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("conv_id") % 28).cast("int")), "yyyy-MM-dd")
-    return drift.drift_report(findings(spark, d), F.lit("chatgpt"), "1.2.0", day)
+    return drift.drift_report(findings(spark, d), failures(spark, d), F.lit("chatgpt"), "1.2.0", day)
 
 
 query(f"{REPORT_SQL} SELECT * FROM g", "drift_report")(reports)
 
 
-@query(f"""{DRIFT_SQL}, {FINDINGS}, {REPORTS} SELECT conv_id, fingerprint FROM g""")
+@query(f"""{DRIFT_SQL}, {FINDINGS}, {HEALTH}, {REPORTS} SELECT conv_id, fingerprint FROM g""")
 def drift_fingerprint(spark, d):
     return reports(spark, d).select("conv_id", "fingerprint")
 
@@ -292,10 +300,12 @@ def record_suppression(spark, d):
     return drift.record_suppression(r.where("conv_id % 25 = 0"), r.where("conv_id % 7 = 0"))
 
 
-@query(f"""{REPORT_SQL}, h AS (SELECT conv_id, array_to_string(list_sort(list('  ' || rule || ': ' || detail)), chr(10)) AS lines FROM f GROUP BY conv_id)
+@query(f"""{REPORT_SQL}, {SKELETON}, fl AS (SELECT conv_id, array_to_string(list_sort(list('  ' || rule || ': ' || detail)), chr(10)) AS checks FROM f GROUP BY conv_id),
+hl AS (SELECT page_id AS conv_id, array_to_string(list_sort(list('  ' || key || ': ' || selector || '  → ' || CASE WHEN matched < 0 THEN 'invalid selector' ELSE '0 matches' END)), chr(10)) AS sels FROM h WHERE required AND matched <= 0 GROUP BY page_id)
 SELECT conv_id, 'drift ' || fingerprint || ' — ' || platform || ' page structure report' || chr(10) || chr(10) || 'platform:  ' || platform || chr(10) || 'origin:    https://chat.example.com'
-  || chr(10) || 'version:   ' || version || ' (batch)' || chr(10) || 'detected:  ' || day || chr(10) || chr(10) || 'Selectors not matching:' || chr(10) || '  (none — every required selector matched)'
-  || chr(10) || chr(10) || 'Output checks that failed:' || chr(10) || lines || chr(10) || chr(10) || 'Page structure (tag names, classes and attribute names only —' || chr(10)
-  || 'every text node is replaced by its character count):' || chr(10) || chr(10) || '  (not available)' AS report FROM g JOIN h USING (conv_id)""")
+  || chr(10) || 'version:   ' || version || ' (batch)' || chr(10) || 'detected:  ' || day || chr(10) || chr(10) || 'Selectors not matching:' || chr(10) || coalesce(sels, '  (none — every required selector matched)')
+  || chr(10) || chr(10) || 'Output checks that failed:' || chr(10) || coalesce(checks, '  (none)') || chr(10) || chr(10) || 'Page structure (tag names, classes and attribute names only —' || chr(10)
+  || 'every text node is replaced by its character count):' || chr(10) || chr(10) || coalesce(nullif(skeleton, ''), '  (not available)') AS report FROM g LEFT JOIN fl USING (conv_id) LEFT JOIN hl USING (conv_id) LEFT JOIN o ON o.page_id = g.conv_id""")
 def format_report(spark, d):
-    return drift.format_report(reports(spark, d), findings(spark, d))
+    skeletons = html.page_skeleton(layouts(spark, d)).withColumnRenamed("page_id", "conv_id")
+    return drift.format_report(reports(spark, d), findings(spark, d), failures(spark, d), skeletons)

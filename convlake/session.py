@@ -21,3 +21,11 @@ def ship(spark: SparkSession) -> None:
     archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix='convlake-')}/convlake", "zip", package.parent, package.name)
     context.addPyFile(archive)
     context._convlake_shipped = True
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share; only a local session may do without naming one."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return (named or tempfile.mkdtemp(prefix="convlake-")).rstrip("/")

@@ -1,4 +1,6 @@
-from convlake.operators import html, lines, widgets
+import pytest
+
+from convlake.operators import html, lines, selectors, widgets
 
 PAGE = (
     '<html><body><div class="ad"><button>Copy</button></div><h1>T</h1><p>one <b>bold<p>two<ul><li>a<ul><li>b</li></ul></li><li>c</ul>'
@@ -6,50 +8,111 @@ PAGE = (
 )
 
 
-def nodes(spark, *pages):
-    return html.dom_nodes(spark.createDataFrame([(i, f"u{i}", p) for i, p in enumerate(pages)], "page_id long, url string, html string"))
+def trees(spark, *pages):
+    return html.trees(spark.createDataFrame([(i, f"u{i}", p) for i, p in enumerate(pages)], "page_id long, url string, html string"), ("url",))
 
 
 def test_malformed_pages_never_fail(spark):
-    n = nodes(spark, PAGE, None, "", "<", "</p>", "<p" * 50, "<b>" * 500 + "x")
+    t = trees(spark, PAGE, None, "", "<", "</p>", "<p" * 50, "<b>" * 300 + "x")
+    n = html.node_rows(t)
     assert n.where("page_id = 0 AND tag = 'p'").count() == 2
-    assert n.selectExpr("max(depth)").first()[0] <= html.MAX_DEPTH
-    # subtrees are intervals
-    assert n.alias("a").join(n.alias("b"), "page_id").where("array_contains(b.path, a.node_id) <> (b.node_id BETWEEN a.node_id AND a.end_id)").count() == 0
+    assert n.where("page_id = 6").selectExpr("max(depth)").first()[0] == 300  # as deep as the page
+    # subtrees are intervals: a parent's holds its children's
+    up = n.selectExpr("page_id", "node_id AS parent_id", "end_id AS last")
+    assert n.join(up, ["page_id", "parent_id"]).where("node_id <= parent_id OR end_id > last").count() == 0
+    for f in (html.flatten_text, html.extract_blocks, html.extract_inlines, html.page_skeleton, html.sanitize_html, html.table_cells):
+        f(html.strip_chrome(t)).collect()
 
 
 def test_text_and_blocks(spark):
-    n = html.strip_chrome(nodes(spark, PAGE))
-    text = html.flatten_text(n).first().text
+    t = html.strip_chrome(trees(spark, PAGE))
+    text = html.flatten_text(t).first().text
     assert "Copy" not in text and "if (a" not in text
     assert text.split("\n")[:3] == ["T", "one bold", "two"] and "1 | 2" in text and "x\n  y" in text
-    blocks = [(r.type, r.text) for r in html.extract_blocks(n).orderBy("ordinal").collect()]
-    assert ("heading", "T") in blocks and ("code", "x\n  y") in blocks and ("list_item", "b") in blocks
+    blocks = [(r.type, r.text, r.depth) for r in html.extract_blocks(t).orderBy("ordinal").collect()]
+    assert ("heading", "T", 0) in blocks and ("code", "x\n  y", 0) in blocks and ("list_item", "b", 3) in blocks and ("table", "", 0) in blocks
+
+
+@pytest.mark.parametrize(
+    "page,expected",
+    [
+        ("just <b>bold</b> text", [("paragraph", "just bold text", 0, None)]),
+        ("<x-a><y-b><table><tr><td>1</td></tr></table></y-b> tail</x-a>", [("table", "", 0, None), ("paragraph", "tail", 0, None)]),
+        ("<div><span>a</span><div>b</div></div>", [("paragraph", "a b", 0, None)]),
+        ("<p>x <img src='/i' alt='k'> y</p>", [("paragraph", "x", 0, None), ("image", "", 0, "/i"), ("paragraph", "y", 0, None)]),
+        ("<blockquote><ul><li>q</li></ul></blockquote>", [("blockquote", "", 0, None), ("list", "", 1, None), ("list_item", "q", 2, None)]),
+        ("<ul></ul><p> </p><h2></h2><pre></pre><img><blockquote></blockquote>", []),
+        ("<a href='/l'><img src='/i'></a>", [("image", "", 0, "/i")]),
+    ],
+)
+def test_blocks_of_small_pages(spark, page, expected):
+    got = html.extract_blocks(trees(spark, page)).orderBy("ordinal").collect()
+    assert [(r.type, r.text, r.depth, r.url) for r in got] == expected
 
 
-def test_lists_and_links(spark):
-    n = nodes(spark, PAGE)
-    got = sorted((r.depth, r.item_index, r.text) for r in html.extract_lists(n).collect())
+def test_lists_and_citations(spark):
+    t = trees(spark, PAGE, '<i data-testid="webpage-citation-pill"><a href="javascript:x">t</a><a href="">u</a></i>')
+    got = sorted((r.depth, r.item_index, r.text) for r in html.extract_lists(t).collect())
     assert got == [(0, 0, "a"), (0, 1, "c"), (1, 0, "b")]
-    assert [r.result_count for r in html.extract_citations(html.extract_links(n)).collect()] == [1]
+    assert [(r.page_id, r.result_count, r.results[0].url) for r in html.extract_citations(t).collect()] == [(1, 1, "javascript:x")]
 
 
 def test_sanitized_html_keeps_only_what_is_allowed(spark):
-    out = html.sanitize_html(nodes(spark, PAGE)).first().html
+    out = html.sanitize_html(trees(spark, PAGE)).first().html
     assert "<script" not in out and "javascript" not in out and '<a href="/ok">good</a>' in out and "<button" not in out
 
 
-def test_skeleton_leaks_no_text(spark):
-    out = html.page_skeleton(nodes(spark, '<div title="SECRET"><p role="x">SECRET</p><!-- SECRET --></div>')).first().skeleton
-    assert "SECRET" not in out and 'p[role="x"]' in out and "text(6)" in out
+SAFE = html.SKELETON_ATTRS
+EVERYWHERE = "title id href src alt value name placeholder style content data-x data-turn-id data-testid aria-label aria-labelledby onclick lang dir".split()
+
+
+def test_skeleton_leaks_nothing_that_was_written(spark):
+    attrs = " ".join(f'{a}="SECRET"' for a in EVERYWHERE)
+    page = f'<main class="a b" {attrs}><p role="x" data-turn="user" type="t">SECRET</p><!-- SECRET --><img {attrs}></main>'
+    out = html.page_skeleton(trees(spark, page)).first()
+    assert "SECRET" not in out.skeleton and 'p[role="x"][data-turn="user"][type="t"]' in out.skeleton and "text(6)" in out.skeleton and out.elided == 0
+    assert out.skeleton.startswith("main.a b[title][id]") and set(SAFE) == {"data-turn", "data-message-author-role", "data-is-streaming", "role", "type"}
+
+
+def test_skeleton_keeps_its_budget(spark):
+    deep = "<div>" * 20 + "x"
+    wide = "<main>" + "<p>y</p>" * 600 + "</main>"
+    long = "<main>" + f"<p class='{'c' * 5000}'>y</p>" * 10 + "</main>"
+    got = {r.page_id: r for r in html.page_skeleton(trees(spark, deep, wide, long)).collect()}
+    assert got[0].elided == 7 and got[0].skeleton.endswith("…elided 7 nodes") and got[0].skeleton.count("div") == 13
+    assert got[1].elided == 101 and got[1].skeleton.count("p\n") == 499
+    assert got[2].elided == 3 and got[2].skeleton.count("text(1)") == 7
 
 
 def test_grid_places_spans(spark):
-    rows = [(1, 0, 0, "a", 2, 1), (1, 0, 1, "b", 1, 2), (1, 1, 0, "c", 1, 1)]
-    out = lines.table_grid(spark.createDataFrame(rows, "table_id long, row_idx int, ordinal int, text string, rowspan int, colspan int"))
-    assert sorted((r.row_idx, r.col_idx, r.text) for r in out.collect()) == [(0, 0, "a"), (0, 1, "b"), (0, 2, ""), (1, 0, ""), (1, 1, "c")]
+    schema = "table_id long, is_header boolean, row_idx int, ordinal int, text string, rowspan int, colspan int"
+    rows = [(1, False, 0, 0, "a", 2, 1), (1, False, 0, 1, "b", 1, 2), (1, False, 1, 0, "c", 1000, 1000)]
+    out = lines.table_grid(spark.createDataFrame(rows, schema)).collect()
+    assert len(out) == 3 + 1 + 1000
+    assert sorted((r.row_idx, r.col_idx, r.text) for r in out)[:5] == [(0, 0, "a"), (0, 1, "b"), (0, 2, ""), (1, 0, ""), (1, 1, "c")]
+
+
+def test_spans_that_cannot_be_read(spark):
+    page = "<table><tr><td rowspan=0 colspan='-2'>a</td><td colspan=x>b</td></tr></table>"
+    assert [(r.text, r.rowspan, r.colspan) for r in html.table_cells(trees(spark, page)).collect()] == [("a", 1, 1), ("b", 1, 1)]
 
 
 def test_outermost_formula_only(spark):
-    n = nodes(spark, '<span class="katex"><span class="katex">x</span><annotation>x^2</annotation></span>')
-    assert [r.marker for r in widgets.collapse_math(n).collect()] == ["$x^2$"]
+    t = html.collapse_math(trees(spark, '<p>so <span class="katex"><span class="katex">x</span><annotation>x^2</annotation></span>!</p><mjx-container display="true"><math>y</math></mjx-container>'))
+    assert sorted(r.marker for r in widgets.math_markers(t).collect()) == ["$$y$$", "$x^2$"]
+    assert [r.text for r in html.extract_blocks(t).orderBy("ordinal").collect()] == ["so $x^2$!", "$$y$$"]
+    assert ("math", "$x^2$") in [(r.type, r.text) for r in html.extract_inlines(t).collect()]
+
+
+@pytest.mark.parametrize(
+    "selector,matched",
+    [("p", 2), ("P.k", 1), (".k", 2), ("#one", 1), ("[data-v]", 2), ('[data-v="ab"]', 1), ('[data-v^="a"]', 2), ('[data-v*="c"]', 1), ('[data-v$="b"]', 1), ("div p", 1), ("div .k", 1), ("p, .k", 3),
+     ("main div > p", -1), ("", -1), ("p:first", -1), ('[data-v="x y"]', 0), ("div div", 0), ("main div p", 1), ("*", 4)],
+)
+def test_selectors(spark, selector, matched):
+    page = '<main><div class="k"><p class="k" data-v="ab">x</p></div><p id="one" data-v="ac">y</p></main>'
+    if selector == ".k" or selector == "p, .k":
+        matched = {".k": 2, "p, .k": 3}[selector]
+    (row,) = html.selector_health(trees(spark, page), [("key", selector, True)]).collect()
+    assert row.matched == matched
+    assert (selectors.matcher(selector) is None) == (matched == -1)

@@ -64,6 +64,19 @@ def test_terse_answers_are_fine(spark):
     assert [r.detail for r in drift.sanity_content_shortfall(p).collect()] == ["pair 1: extracted 1 of 900 chars"]
 
 
+def test_reports_tell_selectors_and_rules(spark):
+    from pyspark.sql import functions as F
+
+    findings = spark.createDataFrame([(1, "r", "d")], "conv_id long, rule string, detail string")
+    failed = spark.createDataFrame([(1, "k", "p > a", -1), (2, "k", "main", 0)], "conv_id long, key string, selector string, matched long")
+    skeletons = spark.createDataFrame([(2, "main")], "conv_id long, skeleton string")
+    reports = drift.drift_report(findings, failed, F.lit("p"), "1", F.lit("2024-01-01"))
+    out = {r.conv_id: r.report for r in drift.format_report(reports, findings, failed, skeletons).collect()}
+    assert "  k: p > a  → invalid selector" in out[1] and "  r: d" in out[1] and out[1].endswith("  (not available)")
+    assert "  k: main  → 0 matches" in out[2] and "failed:\n  (none)" in out[2] and out[2].endswith("main")
+    assert len({r.fingerprint for r in reports.collect()}) == 2
+
+
 def test_fingerprint_ignores_order(spark):
     df = spark.createDataFrame([(["b", "a"], ["y", "x"]), (["a", "b"], ["x", "y"])], "keys array<string>, rules array<string>")
     from pyspark.sql import functions as F

@@ -47,15 +47,13 @@ def test_query_without_sql_runs(spark, name):
     assert QUERIES[name](spark, DATA).count() > 0
 
 
-def test_whole_queries_leave_no_turn_out(spark):
-    from convlake.queries.whole import GAPS, THINNED
-    from convlake.sources.tables import read_turns
-
-    thinned = [n for n, sql in SQL.items() if THINNED in sql or GAPS in sql]
-    assert thinned and all(f"{n}_whole" in QUERIES for n in thinned)
-    assert not any(THINNED in SQL[f"{n}_whole"] or GAPS in SQL[f"{n}_whole"] for n in thinned)
-    questions = {(r.conv_id, r.turn) for r in QUERIES["pair_turns_whole"](spark, DATA).collect()}
-    asked = read_turns(spark, DATA).where("role = 'user' AND turn % 5 = 3").collect()
-    answered = {(r.conv_id, r.turn) for r in read_turns(spark, DATA).where("role = 'assistant'").collect()}
-    lost = {(r.conv_id, r.turn) for r in asked if (r.conv_id, r.turn + 1) in answered}
-    assert lost and lost <= questions
+def test_no_query_leaves_turns_or_pages_out(spark):
+    dropped = ("turn % 5 <> 3", "turn % 3 <> 1", "WHERE page_id % 3 = 0", "pos = total - 1")
+    assert not [n for n, sql in SQL.items() if any(d in sql for d in dropped)]
+    pairs = QUERIES["pair_turns"](spark, DATA).count()
+    turns = spark.read.parquet(f"{DATA}/conversations.parquet").where("role <> 'system'")
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    follows = turns.withColumn("then", F.lead("role").over(Window.partitionBy("conv_id").orderBy("turn")))
+    assert pairs == follows.where("role = 'user' AND then IS NOT NULL").count()
