@@ -219,15 +219,19 @@ def exact_text(x: Column, of: Items | None = None) -> Column:
 def prose(x: Column, of: Items | None = None) -> Column:
     """The text of a subtree as one line; what stands in different blocks is a space apart."""
     texts = F.filter(subtree(x), lambda n: (n["kind"] == "text") & (of(n) if of else F.lit(True)))
-    spaced = F.transform(texts, lambda n, i: F.concat(F.when(i == 0, "").when(~n["block_id"].eqNullSafe(F.get(texts, i - 1)["block_id"]), " ").otherwise(""), n["text"]))
-    return squeezed(F.array_join(spaced, ""))
+    start = F.struct(F.lit(None).cast("int").alias("block"), F.lit("").alias("said"))
+    step = lambda acc, n: F.struct(
+        n["block_id"].alias("block"), F.concat(acc["said"], F.when(acc["block"].eqNullSafe(n["block_id"]), "").otherwise(" "), n["text"]).alias("said")
+    )
+    return squeezed(F.aggregate(texts, start, step)["said"])
 
 
 def drop_nodes(trees: DataFrame, dropped: Items) -> DataFrame:
     """Subtrees of the nodes for which ``dropped`` holds get the kind ``dropped``."""
     gone = trees.withColumn("__gone", outermost(filtered(dropped)))
     left = F.transform("nodes", lambda x: F.when(within(x, F.col("__gone")), x.withField("kind", F.lit("dropped"))).otherwise(x))
-    return gone.withColumn("nodes", left).drop("__gone")
+    # named twice, ``__gone`` is computed once for a page and not inside the loop
+    return gone.withColumn("nodes", F.when(F.size("__gone") == 0, F.col("nodes")).otherwise(left)).drop("__gone")
 
 
 def strip_chrome(trees: DataFrame, also: tuple[str, ...] = ("script", "style", "template", "head")) -> DataFrame:
@@ -364,7 +368,7 @@ def extract_images(trees: DataFrame) -> DataFrame:
         filtered(lambda x: element(x, "img") & (attr(x, "src") != "")),
         lambda x: F.struct(
             x["node_id"].alias("node_id"), attr(x, "src").alias("src"), attr(x, "alt").alias("alt"), attr(x, "title").alias("title"),
-            number_of(x, "width"), number_of(x, "height"), attr(at(x["link_id"]), "href").alias("link_url"), within(x, F.col("__chrome")).alias("chrome"),
+            number_of(x, "width"), number_of(x, "height"), attr(at(x["link_id"]), "href").alias("link_url"), ((F.size("__chrome") > 0) & within(x, F.col("__chrome"))).alias("chrome"),
         ),
     )
     return rows(marked, found)
