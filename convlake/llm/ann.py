@@ -18,7 +18,8 @@ spread over many tasks.
 
 Edge cases: vectors that are null, zero, of another length than most, or that hold null or
 non-finite components take no part; equal scores go by the smaller id; repeated rows are
-candidates each (a row isn't its own candidate: rows with the query's id are left out);
+candidates each (a row isn't its own candidate: rows with the query's id are left out) and one
+query for each id, with the first of its vectors in order if they differ;
 fewer candidates than ``k`` give fewer rows; an empty table gives an empty table; columns
 other than those named by the parameters aren't looked at.
 """
@@ -184,7 +185,8 @@ def search(
     if widths is None:
         return spark.createDataFrame([], schema)
     width, n_rows = widths["n"], widths["count"]
-    rows, asked = rows.where(F.size("v") == width), asked.where(F.size("v") == width)
+    rows = rows.where(F.size("v") == width)
+    asked = asked.where(F.size("v") == width).groupBy("vec_id").agg(F.min("v").alias("v"))
     some = sample_by_hash(rows, "vec_id", sample + held_out).withColumn("h", unit(F.col("vec_id"))).toPandas().sort_values(["h", "vec_id"])
     x, ids = np.stack(some["v"].to_numpy()), some["vec_id"].to_numpy()
     measured = len(x) // 9 if len(x) >= 18 else 0
