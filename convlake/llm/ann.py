@@ -12,9 +12,10 @@ fewer than ``k`` candidates in its parts is asked in all parts.
 
 Fitted on ``sample`` rows and measured on ``held_out`` more at most (those of the smallest
 hashes of their ids); every row is indexed and every query answered.  The number of parts grows
-with the square root of the number of rows, up to a 32nd of the sample.  Parts are worked in blocks
-of about ``block`` rows by ``block`` queries, so that a part that holds a third of all rows is
-spread over many tasks.
+with the square root of the number of rows, up to a 32nd of the sample.  Parts of successive numbers
+are worked together in zones, of which a query asks about ``zones_asked`` however many parts there are.
+A task holds about ``block`` queries, lets at most ``stretch`` rows of a zone pass by and tells the
+``k`` best for each query; a zone with far more rows than the mean is spread over several tasks.
 
 Edge cases: vectors that are null, zero, of another length than most, or that hold null or
 non-finite components take no part; equal scores go by the smaller id; repeated rows are
@@ -175,6 +176,7 @@ def neighbour_parts(placed: DataFrame, held_ids: np.ndarray, held: np.ndarray, k
 def search(
     vectors: DataFrame, queries: DataFrame, k: int = 20, id_column: str = "vec_id", vector: str = "embedding",
     parts: int | None = None, recall: float = 0.95, sample: int = 4096, held_out: int = 512, block: int = 2048,
+    stretch: int = 262_144, zones_asked: int = 8,
 ) -> DataFrame:
     """Rows (query_id, rank, vec_id, score): for each query its ``k`` best of the probed parts."""
     spark = vectors.sparkSession
@@ -209,8 +211,8 @@ def search(
     probes = fitted.probes_for(recall, held, neighbour_parts(placed, held_ids, held, k)) if parts > 1 and len(held) else parts
     # how many blocks each part has: a table of ``parts`` rows
     counts = {r["part"]: r["n"] for r in placed.groupBy("part").agg(F.count("*").alias("n")).collect()}
-    ask = lambda wanted: ranked(placed, wanted, counts, parts, k, block)
-    found = ask(cut(routed(asked, probes)))
+    ask = lambda wanted, n: ranked(placed, cut(routed(wanted, n)), counts, parts, n, k, block, stretch, zones_asked)
+    found = ask(asked, probes)
     if probes == parts:
         return found
     found = cut(found)
@@ -218,35 +220,97 @@ def search(
     short = cut(asked.join(enough.hint("merge"), "vec_id", "left_anti"))
     if short.isEmpty():
         return found
-    again = ask(cut(routed(short, parts)))
+    again = ask(short, parts)
     return found.join(short.select(F.col("vec_id").alias("query_id")).distinct().hint("merge"), "query_id", "left_anti").unionByName(again)
 
 
-def ranked(placed: DataFrame, wanted: DataFrame, counts: dict[int, int], parts: int, k: int, block: int) -> DataFrame:
-    """The ``k`` best rows of the parts that each row of ``wanted`` (vec_id, v, parts) asks."""
-    asks = {r["part"]: r["n"] for r in wanted.select(F.explode("parts").alias("part")).groupBy("part").agg(F.count("*").alias("n")).collect()}
-    blocks = lambda n: F.element_at(F.array(*(F.lit(max(1, -(-n.get(p, 0) // block))) for p in range(parts))), F.col("part") + 1)
+class Best:
+    """The ``k`` best candidates so far of each of some queries; scores, ids and the order are those of ``best_of``."""
+
+    def __init__(self, ids: np.ndarray, q: np.ndarray, parts: pa.ListArray, k: int) -> None:
+        self.ids, self.q, self.k = ids, q, k
+        of = np.repeat(np.arange(len(ids)), np.diff(parts.offsets.to_numpy()))
+        part = parts.flatten().to_numpy()
+        self.asking = {p: of[part == p] for p in np.unique(part)}
+        self.i, self.candidate, self.score = np.empty(0, int), np.empty(0, np.int64), np.empty(0)
+        self.new: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def meet(self, part: int, candidates: np.ndarray, c: np.ndarray) -> None:
+        asking = self.asking.get(part, np.empty(0, int))
+        for a in range(0, len(asking), 256):
+            some = asking[a : a + 256]
+            i, j, score = best_of(self.ids[some], self.q[some], candidates, c, self.k)
+            self.new.append((some[i], candidates[j], score))
+        if sum(len(x[0]) for x in self.new) > 4 * self.k * len(self.ids):
+            self.reduce()
+
+    def reduce(self) -> None:
+        i, candidate, score = (np.concatenate(x) for x in zip((self.i, self.candidate, self.score), *self.new))
+        order = np.lexsort((candidate, -score, i))
+        i, candidate, score = i[order], candidate[order], score[order]
+        kept = np.arange(len(i)) - np.searchsorted(i, i) < self.k
+        self.i, self.candidate, self.score, self.new = i[kept], candidate[kept], score[kept], []
+
+    def batch(self) -> pa.RecordBatch:
+        self.reduce()
+        return pa.RecordBatch.from_arrays([pa.array(self.ids[self.i], pa.int64()), pa.array(self.candidate), pa.array(self.score)], ["query_id", "vec_id", "score"])
+
+
+def ranked(placed: DataFrame, wanted: DataFrame, counts: dict[int, int], parts: int, probes: int, k: int, block: int, stretch: int, zones_asked: int) -> DataFrame:
+    """The ``k`` best rows of the parts that each row of ``wanted`` (vec_id, v, parts) asks.
+
+    So that what is told for a query doesn't grow with the number of parts, tasks work on zones of several
+    parts, of which a query asks about ``zones_asked``; queries stay in memory and rows pass by.
+    """
+    bundle = max(1, -(-probes // zones_asked))
+    zone = lambda part: F.floor(part / bundle).cast("int")
+    zones = -(-parts // bundle)
+    rows_of, asks_of = [0] * zones, [0] * zones
+    for p, n in counts.items():
+        rows_of[p // bundle] += n
+    one = wanted.select("vec_id", "v", "parts", F.explode(F.array_distinct(F.transform("parts", zone))).alias("zone"))
+    for r in one.groupBy("zone").agg(F.count("*").alias("n")).collect():  # at most ``parts`` rows
+        asks_of[r["zone"]] = r["n"]
+    width = min(stretch, max(block, -(-5 * sum(rows_of) // (4 * zones))))  # a zone with far more rows than others is dealt out
+    slices = lambda sizes, size: F.element_at(F.array(*(F.lit(max(1, -(-n // size))) for n in sizes)), F.col("zone") + 1)
     dealt = lambda salt, n: F.pmod(F.xxhash64("vec_id", F.lit(salt)), n).cast("int")
-    # each row goes to all blocks of queries of its part, and the other way round
+    # each row goes to all slices of queries of its zone, and the other way round
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    sent_rows = placed.select("part", dealt(1, blocks(counts)).alias("i"), every(blocks(asks)).alias("j"), F.lit(False).alias("asks"), "vec_id", "v")
-    one = wanted.select("vec_id", "v", F.explode("parts").alias("part"))
-    sent_asks = one.select("part", every(blocks(counts)).alias("i"), dealt(2, blocks(asks)).alias("j"), F.lit(True).alias("asks"), "vec_id", "v")
-
-    def rank(frame: pd.DataFrame) -> pd.DataFrame:
-        is_query, ids = frame["asks"].to_numpy(bool), frame["vec_id"].to_numpy()
-        found = [pd.DataFrame({"query_id": [], "vec_id": [], "score": []})]
-        if is_query.any() and not is_query.all():
-            v = np.stack(frame["v"].to_numpy())
-            q, c, query_ids, candidates = v[is_query], v[~is_query], ids[is_query], ids[~is_query]
-            for a in range(0, len(q), 256):
-                i, j, score = best_of(query_ids[a : a + 256], q[a : a + 256], candidates, c, k)
-                found.append(pd.DataFrame({"query_id": query_ids[a : a + 256][i], "vec_id": candidates[j], "score": score}))
-        return pd.concat(found)
-
-    best = sent_rows.union(sent_asks).groupBy("part", "i", "j").applyInPandas(rank, "query_id long, vec_id long, score double")
+    i, j = slices(rows_of, width), slices(asks_of, block)
+    sent_rows = placed.withColumn("zone", zone(F.col("part"))).select("zone", dealt(1, i).alias("i"), every(j).alias("j"), "part", F.lit(None).cast("array<int>").alias("parts"), "vec_id", "v")
+    own = F.filter("parts", lambda p: zone(p) == F.col("zone"))
+    sent_asks = one.select("zone", every(i).alias("i"), dealt(2, j).alias("j"), F.lit(-1).alias("part"), own.alias("parts"), "vec_id", "v")
+
+    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows sorted by zone and slices, in each queries first and then the rows of one part after the other."""
+        key, asking, best = None, [], None
+        for batch in batches:
+            keys = np.stack([batch.column(x).to_numpy() for x in range(4)], axis=1)
+            starts = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(1)])) if len(keys) else []
+            for a, b in zip(starts, [*starts[1:], len(keys)]):
+                *own_key, part = keys[a].tolist()
+                if own_key != key:
+                    if best:
+                        yield best.batch()
+                    key, asking, best = own_key, [], None
+                segment = batch.slice(a, b - a)
+                if part < 0:
+                    asking.append(segment)
+                    continue
+                if asking:
+                    together = pa.Table.from_batches(asking).combine_chunks()
+                    first, v = (together.column(c).chunk(0) for c in ("parts", "v"))
+                    best = Best(together.column("vec_id").to_numpy(), matrix(v, len(v[0])), first, k)
+                    asking = []
+                if best:
+                    best.meet(part, segment.column("vec_id").to_numpy(), matrix(segment.column("v"), best.q.shape[1]))
+        if best:
+            yield best.batch()
+
+    sent = sent_rows.union(sent_asks).repartition("zone", "i", "j").sortWithinPartitions("zone", "i", "j", "part")
+    found = sent.mapInArrow(rank, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op9_neighbours(embeddings: DataFrame) -> DataFrame:

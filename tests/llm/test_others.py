@@ -121,6 +121,37 @@ def test_neighbours(spark):
     assert ann.op9_neighbours(few).count() == 6
 
 
+def test_zones_of_parts_give_what_their_parts_hold(spark):
+    r = np.random.default_rng(8)
+    x, hot = r.normal(size=(700, 5)), r.random(700) < 0.4
+    part = np.where(hot, 3, r.integers(0, 12, 700))
+    placed = spark.createDataFrame([(i, x[i].tolist(), int(part[i])) for i in range(700)], "vec_id long, v array<double>, part int")
+    asked = {q: [int(p) for p in r.permutation(12)[:5]] for q in range(0, 700, 7)}
+    wanted = spark.createDataFrame([(q, x[q].tolist(), p) for q, p in asked.items()], "vec_id long, v array<double>, parts array<int>")
+    counts = {p: int((part == p).sum()) for p in range(12)}
+    expected = set()
+    for q, parts in asked.items():
+        s = x @ x[q]
+        s[q] = -np.inf
+        s[~np.isin(part, parts)] = -np.inf
+        expected |= {(q, n + 1, int(i)) for n, i in enumerate(np.lexsort((np.arange(700), -s))[:9])}
+    for block, stretch, zones_asked in ((1000, 1000, 8), (16, 40, 2), (16, 1000, 1)):
+        out = ann.ranked(placed, wanted, counts, 12, 5, 9, block, stretch, zones_asked).collect()
+        assert len(out) == len(expected) and {(o.query_id, o["rank"], o.vec_id) for o in out} == expected
+
+
+def test_neighbours_of_repeated_rows_and_wide_vectors(spark):
+    r = np.random.default_rng(9)
+    rows = [(i, r.normal(size=3000).tolist()) for i in range(60)]
+    frame = spark.createDataFrame([*rows, rows[20], rows[20], rows[7], (90, [1.0, 2.0])], "vec_id long, embedding array<double>")
+    out = ann.op9_neighbours(frame).collect()
+    m, ids = np.array([v for _, v in [*rows, rows[20], rows[20], rows[7]]]), np.array([*range(60), 20, 20, 7])
+    for q in (0, 20, 40):
+        s = np.where(ids == q, -np.inf, m @ m[q])
+        mine = sorted((o["rank"], o.vec_id) for o in out if o.query_id == q)
+        assert mine == [(n + 1, int(ids[i])) for n, i in enumerate(np.lexsort((ids, -s))[:20])]
+
+
 def test_restored_words():
     words = ["idiot", "stupid", "trash", "loser", "hello", "world", "letter", "mother"]
     model = np.full((toxicity.SIZE,) * 3, np.log(1e-4))
