@@ -12,6 +12,7 @@ from convlake.functions.artifacts import api_artifact_type as mime_type
 from convlake.functions.artifacts import is_artifact_block as artifact_block
 from convlake.operators import lines, pairing, reconcile
 from convlake.plans import transcripts
+from convlake.queries.scalars import WRAP
 from convlake.queries.turns import PAIRS_SQL, SELECTED, pairs, some_selected, timed_pairs
 from convlake.registry import query
 from convlake.session import shared_folder
@@ -277,7 +278,13 @@ def column_widths(spark, d):
     return lines.column_widths(cells(spark, d))
 
 
-@query()
+@query(f"""WITH {CELLS}, g AS (SELECT DISTINCT table_id, row_idx FROM cells WHERE NOT is_header),
+p AS (SELECT g.table_id, false AS h, g.row_idx, i.i AS col_idx, coalesce(text, '') AS text FROM g CROSS JOIN range(3) i(i) LEFT JOIN cells c ON NOT c.is_header AND c.table_id = g.table_id AND c.row_idx = g.row_idx AND c.col_idx = i.i
+  UNION ALL SELECT table_id, true, row_idx, col_idx, text FROM cells WHERE is_header AND row_idx = 0),
+w AS (SELECT table_id, col_idx, greatest(max(length(text)), 3)::INTEGER AS width FROM p GROUP BY ALL),
+r AS (SELECT table_id, h, row_idx, '| ' || string_agg(rpad(text, width, ' '), ' | ' ORDER BY col_idx) || ' |' AS line,
+  '+' || string_agg(repeat('-', width + 2), '+' ORDER BY col_idx) || '+' AS thin, '+' || string_agg(repeat('=', width + 2), '+' ORDER BY col_idx) || '+' AS thick FROM p JOIN w USING (table_id, col_idx) GROUP BY ALL)
+SELECT table_id, string_agg(CASE WHEN h THEN thin || chr(10) || line || chr(10) || thick ELSE line || chr(10) || thin END, chr(10) ORDER BY NOT h, row_idx) AS text FROM r GROUP BY table_id""")
 def txt_table(spark, d):
     padded = lines.pad_ragged_rows(cells(spark, d)).withColumn("is_header", F.lit(False))
     return lines.txt_table(padded.unionByName(cells(spark, d).where("is_header AND row_idx = 0").select(*padded.columns)))
@@ -368,7 +375,11 @@ def items(spark, d):
     return read_turns(spark, d).select("conv_id", c("turn").alias("pos"), (c("turn") % 3).cast("int").alias("depth"), (c("turn") % 3 != 1).alias("ordered"), c("content").alias("text"))
 
 
-@query()
+@query(f"""WITH b AS (SELECT conv_id, turn, (turn % 3)::INTEGER AS depth, lag(turn % 3) OVER w AS before, {WRAP.replace('72', '70').format('text')} AS body FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+l AS (SELECT *, count(*) FILTER (before IS NULL OR before < depth) OVER (PARTITION BY conv_id, depth ORDER BY turn) AS list FROM b),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id, depth, list ORDER BY turn) AS number FROM l),
+m AS (SELECT *, repeat('  ', depth) AS indent, CASE WHEN depth <> 1 THEN number || '. ' ELSE '- ' END AS mark FROM n)
+SELECT conv_id, string_agg(indent || mark || replace(body, chr(10), chr(10) || indent || repeat(' ', length(mark))), chr(10) ORDER BY turn) AS text FROM m GROUP BY conv_id""")
 def txt_list(spark, d):
     return lines.txt_list(items(spark, d), "conv_id")
 

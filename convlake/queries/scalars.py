@@ -192,7 +192,7 @@ def wrap_text(spark, d):
     return docs(spark, d).select("doc_id", F.array_join(text.wrap_text(c("text")), "\n").alias("wrapped"))
 
 
-@query()
+@query(f"""SELECT doc_id, '```' || chr(10) || text || chr(10) || '```' || chr(10) || '    kept   as it is' || chr(10) || '| a | b |' || chr(10) || {WRAP.format('text')} AS wrapped FROM documents""")
 def wrap_prose_artifact(spark, d):
     fenced = F.concat(F.lit("```\n"), c("text"), F.lit("\n```\n    kept   as it is\n| a | b |\n"), c("text"))
     return docs(spark, d).select("doc_id", F.array_join(text.wrap_prose(fenced), "\n").alias("wrapped"))

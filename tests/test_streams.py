@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from convlake.operators import pairing
 from convlake.queries.streams import run_stream
@@ -30,3 +31,29 @@ def test_alerts_once(spark):
     df = spark.createDataFrame([("a", 2, "2024-01-02"), ("a", 1, "2024-01-01"), ("b", 3, "2024-01-01")], "fingerprint string, conv_id long, d string").selectExpr("*", "cast(d as timestamp) ts")
     out = captures.stream_drift_dedupe(df, df.where("fingerprint = 'b'").select("fingerprint"))
     assert [r.conv_id for r in out.collect()] == [1]
+
+
+def arriving(spark, tmp_path, files, schema):
+    """A stream of rows, one file a batch, the time given as text."""
+    plain = schema.replace("ts timestamp", "ts string")
+    for k, rows in enumerate(files):
+        spark.createDataFrame(rows, plain).withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.parquet(str(tmp_path / "in" / f"k={k}"))
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "k=*"))
+
+
+def test_bursts_of_a_stream_equal_those_of_the_batch(spark, tmp_path):
+    first = [(1, "2024-01-01 00:00:00.0", 1), (1, "2024-01-01 00:00:00.3", 2), (2, "2024-01-01 00:00:00.1", 7)]
+    second = [(1, "2024-01-01 00:00:00.6", 3), (1, "2024-01-01 00:00:31", 4), (2, "2024-01-01 00:00:09", 8)]
+    files = [first, second, [(9, "2024-01-02 00:00:00", 0)]]  # the last one only moves the watermark on
+    got = run_stream(captures.settled_snapshots(arriving(spark, tmp_path, files, "k int, ts timestamp, value int"), "k"), spark)
+    batch = spark.createDataFrame(first + second, "k int, ts string, value int").withColumn("ts", F.col("ts").cast("timestamp"))
+    expected = captures.settled_snapshots(batch, "k").select(*got.columns)
+    assert expected.count() == 4 and sorted(map(tuple, got.collect())) == sorted(map(tuple, expected.collect()))
+
+
+def test_alerts_of_a_stream_come_once(spark, tmp_path):
+    files = [[("a", 1, "2024-01-01 01:00:00"), ("b", 2, "2024-01-01 02:00:00")], [("a", 3, "2024-01-01 03:00:00"), ("c", 4, "2024-01-01 03:00:00")], [("b", 5, "2024-01-01 04:00:00")]]
+    reports = arriving(spark, tmp_path, files, "fingerprint string, conv_id long, ts timestamp")
+    handled = spark.createDataFrame([("c",)], "fingerprint string")
+    got = run_stream(captures.stream_drift_dedupe(reports, handled).select("fingerprint", "conv_id"), spark)
+    assert sorted(r.fingerprint for r in got.collect()) == ["a", "b"]
