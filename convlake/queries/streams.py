@@ -1,4 +1,4 @@
-"""Queries of the streaming operators, on ``events`` and ``conversations``; two run as streams."""
+"""Queries of the streaming operators, on ``events`` and ``conversations``; ``stream_pairing`` runs as a stream."""
 
 from __future__ import annotations
 
