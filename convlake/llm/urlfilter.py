@@ -8,8 +8,10 @@ over the corpus's complete set of keys.  A key of the corpus is a rule if and on
 first level that it doesn't pass has an even number (counting from 1), so membership is exact
 and asking takes no join: the filters are constants of the expression.
 
-Sizes are checked: the filters together may take ``max_bytes``; for longer lists of rules,
-:func:`judge` looks the keys up with a shuffled join instead.
+Sizes are bounded: the first filter is sharpened until it has no more false positives than
+rules (down to 2 ** -30), so a cascade takes at most seven bytes for a rule.  Lists that would take
+more than ``max_bytes`` are dealt into slices by a hash of the key, each with a cascade of its
+own over the keys of that slice; one cascade is held at a time.
 
 Edge cases: a null url, or one without ``://``, has an empty host and path and fits no rule;
 repeated urls get the same answer; an empty table gives an empty table; other columns are
@@ -19,17 +21,20 @@ kept, unless they have the name of an output column, which then replaces them.
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convlake.llm.common import cut
+from convlake.llm.common import cut, shared_folder
 
 #: (host, path, verdict) of the query's rules.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 ABC, ABC_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BITS = 7  # of a byte: so that the byte, read as text, is one ASCII character
+SHARPEST = 2.0**-30
+BYTES_A_RULE = 7  # a first level of SHARPEST and the levels after it, which halve
 
 
 def url_parts(url: Column) -> tuple[Column, Column]:
@@ -89,22 +94,24 @@ class Level:
 class Cascade:
     """Exact membership in ``listed`` for every key of ``universe`` (frames with one column, key)."""
 
-    def __init__(self, listed: DataFrame, universe: DataFrame, first_fpp: float = 1 / 4096, max_bytes: int = 1 << 21) -> None:
-        self.levels: list[Level] = []
+    def __init__(self, listed: DataFrame, universe: DataFrame, first_fpp: float = 1 / 4096) -> None:
         listed = cut(listed.select("key").distinct())
-        inside, outside = listed, universe
-        count, fpp = listed.count(), first_fpp
-        self.count = count
+        self.count, fpp = listed.count(), first_fpp
+        self.levels: list[Level] = []
+        inside, outside, count = listed, universe, self.count
         while count:
-            if -count * math.log(fpp) / math.log(2) ** 2 / BITS > max_bytes - sum(len(x.packed) for x in self.levels):
-                raise OverflowError("the filters would be larger than max_bytes")
             level = Level(len(self.levels), inside, count, fpp)
-            self.levels.append(level)
             wrong = outside.select("key").where(level.passes(F.col("key"))).distinct()
-            if len(self.levels) == 1:  # the only pass over the whole universe
+            if not self.levels:  # a pass over the whole universe
                 wrong = wrong.join(listed.hint("shuffle_hash"), "key", "left_anti")
-            inside, outside = cut(wrong), inside
-            count, fpp = inside.count(), 0.5
+            wrong = cut(wrong)
+            found = wrong.count()
+            if not self.levels and found > self.count and fpp > SHARPEST:
+                fpp = max(SHARPEST, fpp * self.count / found / 2)
+                continue
+            self.levels.append(level)
+            inside, outside = wrong, inside
+            count, fpp = found, 0.5
 
     def contains(self, key: Column) -> Column:
         """One even level not passed: listed; one odd level not passed: not listed."""
@@ -115,37 +122,66 @@ class Cascade:
 
 
 def rules_frame(spark: SparkSession, rules: Sequence[tuple[str, str, str]]) -> DataFrame:
-    return spark.createDataFrame([tuple(r) for r in rules], "host string, path string, verdict string")
+    rows = F.array(*(F.struct(F.lit(h).alias("host"), F.lit(p).alias("path"), F.lit(v).alias("verdict")) for h, p, v in rules))
+    return spark.range(1).select(F.inline(rows.cast("array<struct<host:string,path:string,verdict:string>>")))
+
+
+def longest(keys: Column) -> Column:
+    """The longest of the keys as a struct; null if there is none."""
+    return F.array_max(F.transform(keys, lambda k: F.struct(F.length(k).alias("n"), k.alias("k"))))
+
+
+def by_slices(base: DataFrame, said: DataFrame, slices: int) -> DataFrame:
+    """``base`` with __best and __verdict, by one cascade for each slice of the keys and each verdict.
+
+    The keys are written once, by slice, so a cascade reads its own slice only; of a slice, only the
+    keys that are rules go on to the rows.
+    """
+    spark = base.sparkSession
+    rows = cut(base.withColumn("__row", F.monotonically_increasing_id()))
+    part = F.pmod(F.xxhash64("key", F.lit(-1)), F.lit(slices)).cast("int")
+    path = f"{shared_folder(spark).rstrip('/')}/keys-{uuid.uuid4().hex}"
+    rows.select("__row", F.explode("__keys").alias("key")).withColumn("part", part).write.partitionBy("part").parquet(path)
+    keys, said = spark.read.schema("__row long, key string, part int").parquet(path), cut(said.withColumn("part", part))
+    hits = rows.limit(0).select("__row", F.lit("").alias("key"), F.lit("").alias("verdict"))
+    for i in range(slices):
+        own = keys.where(F.col("part") == i)
+        for v in ("allow", "block"):
+            cascade = Cascade(said.where((F.col("part") == i) & (F.col("verdict") == v)), own)
+            if cascade.count:
+                hits = hits.unionByName(cut(own.where(cascade.contains(F.col("key"))).select("__row", "key", F.lit(v).alias("verdict"))))
+    # a rule listed with both verdicts allows, as in one cascade
+    best = F.max(F.struct(F.length("key").alias("n"), F.col("key").alias("k"), (F.col("verdict") == "allow").alias("a")))
+    found = hits.groupBy("__row").agg(best.alias("__best"))
+    return rows.join(found.hint("merge"), "__row", "left").drop("__row").withColumn(
+        "__verdict", F.when(F.col("__best.a"), "allow").when(~F.col("__best.a"), "block")
+    )
 
 
 def judge(
-    pages: DataFrame, rules: Sequence[tuple[str, str, str]], default: str = "allow", max_bytes: int = 1 << 21
+    pages: DataFrame, rules: Sequence[tuple[str, str, str]] | DataFrame, default: str = "allow", max_bytes: int = 1 << 21
 ) -> DataFrame:
     """Add host, path, rule and verdict to ``pages`` (which has a column url).
 
-    The longest listed key of a url is its rule; a url without one gets ``default``.  One
-    cascade for each verdict tells what the rule says.
+    ``rules``: (host, path, verdict), as tuples or, if there are many, as a table.  The longest listed
+    key of a url is its rule; a url without one gets ``default``.  One cascade for each verdict
+    tells what the rule says.
     """
-    spark = pages.sparkSession
-    lengths = sorted({len(p) for _, p, _ in rules}) or [0]
+    if not isinstance(rules, DataFrame):
+        rules = rules_frame(pages.sparkSession, rules)
+    said = cut(rules.select(F.concat("host", F.lit("\n"), "path").alias("key"), F.length("path").alias("n"), "verdict").distinct())
+    lengths = sorted(r["n"] for r in said.where("key IS NOT NULL").select("n").distinct().collect()) or [0]
     host, path = url_parts(F.col("url"))
     base = pages.drop("host", "path", "rule", "verdict").withColumn("host", host).withColumn("path", path)
     base = base.withColumn("__keys", url_keys(F.col("host"), F.col("path"), lengths))
-    universe = base.select(F.explode("__keys").alias("key"))
-    said = rules_frame(spark, rules).select(F.concat("host", F.lit("\n"), "path").alias("key"), "verdict")
-    length = lambda k: F.struct(F.length(k).alias("n"), k.alias("k"))
-    try:
-        cascade = {v: Cascade(said.where(F.col("verdict") == v), universe, max_bytes=max_bytes) for v in ("allow", "block")}
-    except OverflowError:
-        rows = base.withColumn("__row", F.monotonically_increasing_id())
-        rows = cut(rows)
-        found = (
-            rows.select("__row", F.explode("__keys").alias("key")).join(said.hint("shuffle_hash"), "key")
-            .groupBy("__row").agg(F.max(F.struct(F.length("key").alias("n"), F.col("key").alias("k"), F.col("verdict").alias("v"))).alias("__best"))
-        )
-        out = rows.join(found.hint("merge"), "__row", "left").drop("__row").withColumn("__verdict", F.col("__best.v"))
+    n = said.count()
+    slices = min(n, -(-n * BYTES_A_RULE // max(max_bytes, 1)))
+    if slices > 1:
+        out = by_slices(base, said, slices)
     else:
-        best = lambda v: F.array_max(F.transform(F.filter("__keys", cascade[v].contains), length))
+        universe = base.select(F.explode("__keys").alias("key"))
+        cascade = {v: Cascade(said.where(F.col("verdict") == v), universe) for v in ("allow", "block")}
+        best = lambda v: longest(F.filter("__keys", cascade[v].contains))
         out = base.withColumn("__a", best("allow")).withColumn("__b", best("block")).withColumn(
             "__best", F.greatest("__a", "__b")
         ).withColumn("__verdict", F.when(F.col("__a") == F.col("__best"), "allow").when(F.col("__b") == F.col("__best"), "block"))

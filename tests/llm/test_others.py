@@ -90,6 +90,30 @@ def test_cascade_is_exact_over_its_universe(spark):
     assert keys.where(cascade.contains(F.col("key")) != F.col("key").endswith("7")).count() == 0
 
 
+def test_first_filter_is_sharpened(spark):
+    keys = spark.range(20000).select(F.concat(F.lit("k"), "id").alias("key"))
+    cascade = urlfilter.Cascade(keys.where("key = 'k77'"), keys, first_fpp=0.5)
+    assert sum(len(x.packed) for x in cascade.levels) <= 64
+    assert [r.key for r in keys.where(cascade.contains(F.col("key"))).collect()] == ["k77"]
+
+
+def test_long_lists_are_cut_into_slices(spark):
+    hosts = [(f"h{i}.example", "/" if i % 2 else "/a/", "allow" if i % 3 else "block") for i in range(400)] + [(None, "/", "block")]
+    rules = spark.createDataFrame(hosts, "host string, path string, verdict string")
+    urls = [(i, f"https://www.h{i % 600}.example/{'a/' * (i % 3)}" if i % 7 else None, "k") for i in range(3000)]
+    urls += [(9000 + i, "https://h1.example/" + "a/" * 5000, "k") for i in range(3)]
+    pages = spark.createDataFrame(urls, "page_id long, url string, rule string")
+    say = lambda most: sorted(tuple(r) for r in urlfilter.judge(pages, rules, max_bytes=most).select("page_id", "rule", "verdict").fillna("", "rule").collect())
+    listed = {(h, p): v for h, p, v in hosts if h}
+
+    def rule(i, u):
+        host = f"h{i % 600}.example" if i < 9000 else "h1.example"
+        fits = [(p, v) for p in ("/a/", "/") if (v := listed.get((host, p))) and u and u.split(".example", 1)[1].startswith(p)]
+        return (i, host + fits[0][0], fits[0][1]) if fits else (i, "", "allow")
+
+    assert say(1 << 21) == say(1000) == sorted(rule(i, u) for i, u, _ in urls)
+
+
 def vectors(spark):
     r = np.random.default_rng(5)
     centre = r.normal(size=(12, 16))
