@@ -46,7 +46,7 @@ def normalize_headings(blocks: DataFrame, key: str) -> DataFrame:
     """``doc_level``: source levels of a conversation ranked from 2, gaps closed, 6 at most."""
     w = Window.partitionBy(key).orderBy("level")
     ranks = heading_levels(blocks, key).withColumn("doc_level", F.least(F.dense_rank().over(w) + 1, F.lit(6)))
-    return blocks.join(ranks, [key, "level"], "left")
+    return blocks.join(ranks.hint("merge"), [key, "level"], "left")
 
 
 def merge_header_rows(cells: DataFrame, keys: list[str] = ["table_id"]) -> DataFrame:  # noqa: B006
@@ -83,7 +83,7 @@ def column_widths(cells: DataFrame, least: int = 3) -> DataFrame:
 
 def txt_table(cells: DataFrame) -> DataFrame:
     """(table_id, text): a boxed table, a double rule below the header."""
-    padded = cells.join(column_widths(cells), ["table_id", "col_idx"]).withColumn("cell", F.rpad("text", F.col("width"), F.lit(" ")))
+    padded = cells.join(column_widths(cells).hint("merge"), ["table_id", "col_idx"]).withColumn("cell", F.rpad("text", F.col("width"), F.lit(" ")))
     rows = padded.groupBy("table_id", "is_header", "row_idx").agg(
         F.array_sort(F.collect_list(F.struct("col_idx", "cell", "width"))).alias("c")
     )
@@ -170,7 +170,7 @@ def message_from_parts(parts: DataFrame, keys: list[str]) -> DataFrame:
     ).otherwise(F.trim("text"))
     kept = parts.where("trim(text) <> ''").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(rank.alias("r"), "ordinal", shown.alias("t")))).alias("p"))
     joined = kept.select(*keys, F.array_join(F.transform("p", lambda x: x["t"]), "\n\n").alias("content"))
-    return parts.select(*keys).distinct().join(joined, keys, "left")
+    return parts.select(*keys).distinct().join(joined.hint("merge"), keys, "left")
 
 
 def list_marks(items: DataFrame, key: str) -> DataFrame:

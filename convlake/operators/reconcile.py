@@ -28,7 +28,7 @@ def numbered(messages: DataFrame, sender: str) -> DataFrame:
 def api_pairs(messages: DataFrame) -> DataFrame:
     """Pairs from the dump alone: n-th human with n-th assistant message, named by the latter."""
     q, a = numbered(messages, "human"), numbered(messages, "assistant")
-    return q.alias("q").join(a.alias("a"), ["conv_id", "n"]).select(
+    return q.alias("q").join(a.alias("a").hint("merge"), ["conv_id", "n"]).select(
         "conv_id", F.col("n").alias("pair_index"), F.col("a.uuid").alias("pair_id"), F.col("q.body").alias("question"), F.col("a.body").alias("answer")
     )
 
@@ -39,7 +39,7 @@ def sides(messages: DataFrame, pairs: DataFrame) -> DataFrame:
         F.count_if(F.col("message.sender") == "human").alias("humans"), F.count_if(F.col("message.sender") == "assistant").alias("assistants")
     )
     p = pairs.groupBy("conv_id").agg(F.count("*").alias("pairs"))
-    return m.join(p, "conv_id", "left").withColumn("pairs", F.coalesce("pairs", F.lit(0)))
+    return m.join(p.hint("merge"), "conv_id", "left").withColumn("pairs", F.coalesce("pairs", F.lit(0)))
 
 
 def positional_match(pairs: DataFrame, messages: DataFrame) -> DataFrame:
@@ -47,7 +47,8 @@ def positional_match(pairs: DataFrame, messages: DataFrame) -> DataFrame:
     equal = sides(messages, pairs).where("humans = pairs AND assistants = pairs").select("conv_id")
     q, a = numbered(messages, "human"), numbered(messages, "assistant")
     on = lambda side, prefix: side.select("conv_id", F.col("n").alias("pair_index"), F.col("uuid").alias(f"{prefix}_uuid"), F.col("created_at").alias(f"{prefix}_time"))
-    return pairs.join(equal, "conv_id", "left_semi").join(on(q, "question"), ["conv_id", "pair_index"]).join(on(a, "answer"), ["conv_id", "pair_index"])
+    kept = pairs.join(equal.hint("merge"), "conv_id", "left_semi")
+    return kept.join(on(q, "question").hint("merge"), ["conv_id", "pair_index"]).join(on(a, "answer").hint("merge"), ["conv_id", "pair_index"])
 
 
 def match_warnings(pairs: DataFrame, messages: DataFrame) -> DataFrame:
@@ -71,7 +72,7 @@ def api_artifacts(blocks: DataFrame) -> DataFrame:
 def attach_artifacts(matched: DataFrame, artifacts: DataFrame) -> DataFrame:
     """Answers with their artifacts, by message uuid and never by title."""
     mine = artifacts.groupBy("uuid").agg(F.array_sort(F.collect_list(F.struct("position", "title", "type", "language"))).alias("artifacts"))
-    return matched.join(mine.withColumnRenamed("uuid", "answer_uuid"), "answer_uuid", "left")
+    return matched.join(mine.withColumnRenamed("uuid", "answer_uuid").hint("merge"), "answer_uuid", "left")
 
 
 def stamp_api_times(matched: DataFrame) -> DataFrame:
@@ -79,22 +80,49 @@ def stamp_api_times(matched: DataFrame) -> DataFrame:
     return matched.withColumn("question_ts", parse_api_time(F.col("question_time"))).withColumn("answer_ts", parse_api_time(F.col("answer_time")))
 
 
+def both_sides(pairs: DataFrame, messages: DataFrame) -> DataFrame:
+    """Pairs and messages of a conversation side by side, in one shuffle by conversation.
+
+    Rows (conv_id, side, n, ..., humans, assistants, pairs): side is human, assistant or pair, n the place
+    on that side, the counts those of the conversation.
+    """
+    at = {"human": "humans", "assistant": "assistants", "pair": "pairs"}
+    m = messages.where(F.col("message.sender").isin("human", "assistant")).select(
+        "conv_id", F.col("message.sender").alias("side"), F.col("message_pos").cast("long").alias("place"), api_message_text(F.col("message")).alias("body"),
+        F.col("message.uuid").alias("uuid"), F.col("message.created_at").alias("created_at"),
+    )
+    p = pairs.select("conv_id", F.lit("pair").alias("side"), F.col("pair_index").cast("long").alias("place"), "pair_index", "question", "answer")
+    all_of, own = Window.partitionBy("conv_id"), Window.partitionBy("conv_id", "side").orderBy("place")
+    out = m.unionByName(p, allowMissingColumns=True)
+    out = out.withColumns({name: F.count_if(F.col("side") == side).over(all_of) for side, name in at.items()})
+    return out.withColumn("n", F.row_number().over(own) - 1)
+
+
 def reconcile_sources(pairs: DataFrame, messages: DataFrame) -> DataFrame:
     """(conv_id, pair_index, question, answer, source): the dump where it has more whole pairs
-    than the capture, the enriched capture where the counts agree, and the capture elsewhere."""
-    counted = sides(messages, pairs)
-    choice = F.when((F.col("humans") == F.col("assistants")) & (F.col("humans") > F.col("pairs")), "api").when(
-        (F.col("humans") == F.col("pairs")) & (F.col("assistants") == F.col("pairs")), "enriched"
+    than the capture, the enriched capture where the counts agree, and the capture elsewhere.
+
+    Pairs without a conv_id are captured ones.  Windows and groups all lie within the one shuffle.
+    """
+    source = F.when(F.expr("conv_id IS NULL"), "captured").when(F.expr("humans = assistants AND humans > pairs"), "api").when(
+        F.expr("humans = pairs AND assistants = pairs"), "enriched"
     ).otherwise("captured")
-    chosen = counted.select("conv_id", choice.alias("source"))
-    from_api = api_pairs(messages).join(chosen.where("source = 'api'"), "conv_id").select("conv_id", "pair_index", "question", "answer", "source")
-    captured = pairs.join(chosen, "conv_id", "left").withColumn("source", F.coalesce("source", F.lit("captured"))).where("source <> 'api'")
-    return from_api.unionByName(captured.select("conv_id", "pair_index", "question", "answer", "source"))
+    rows = both_sides(pairs, messages).withColumn("source", source)
+    is_pair = F.col("side") == "pair"
+    said = lambda side: F.when(F.col("side") == side, F.col("body"))
+    kept = rows.where(is_pair == (F.col("source") != "api")).select(
+        "conv_id", "n", "source", "pair_index", F.when(is_pair, F.col("question")).otherwise(said("human")).alias("question"),
+        F.when(is_pair, F.col("answer")).otherwise(said("assistant")).alias("answer"),
+    )
+    # a captured pair is alone in its group; from the dump, the n-th messages of both sides meet
+    return kept.groupBy("conv_id", "n", "source").agg(
+        F.max("pair_index").alias("pair_index"), F.max("question").alias("question"), F.max("answer").alias("answer")
+    ).select("conv_id", F.coalesce("pair_index", "n").alias("pair_index"), "question", "answer", "source")
 
 
 def attach_panel_body(artifacts: DataFrame, panels: DataFrame) -> DataFrame:
     """Artifact bodies by equal title on the same page; others keep null content."""
-    return artifacts.join(panels.select("page_id", "title", F.col("body").alias("content")), ["page_id", "title"], "left")
+    return artifacts.join(panels.select("page_id", "title", F.col("body").alias("content")).hint("merge"), ["page_id", "title"], "left")
 
 
 def attach_report(pairs: DataFrame, chips: DataFrame, reports: DataFrame) -> DataFrame:
@@ -104,7 +132,7 @@ def attach_report(pairs: DataFrame, chips: DataFrame, reports: DataFrame) -> Dat
     """
     last = pairs.groupBy("conv_id").agg(F.max("pair_index").alias("last"))
     marked = chips.groupBy("conv_id").agg(F.min("pair_index").alias("chip"))
-    at = reports.where("trim(report) <> ''").join(last, "conv_id").join(marked, "conv_id", "left").select(
+    at = reports.where("trim(report) <> ''").join(last.hint("merge"), "conv_id").join(marked.hint("merge"), "conv_id", "left").select(
         "conv_id", F.coalesce("chip", "last").alias("pair_index"), "report"
     )
-    return pairs.join(at, ["conv_id", "pair_index"], "left").withColumn("answer", F.concat_ws("\n\n", F.nullif("answer", F.lit("")), "report")).drop("report")
+    return pairs.join(at.hint("merge"), ["conv_id", "pair_index"], "left").withColumn("answer", F.concat_ws("\n\n", F.nullif("answer", F.lit("")), "report")).drop("report")

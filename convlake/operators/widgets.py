@@ -110,7 +110,7 @@ def structured_messages(messages: DataFrame, blocks: DataFrame, markers: DataFra
     ``messages``: (message_id, content); ``blocks``: (message_id, ordinal, type, text) of those
     with html; ``markers``: (message_id, ordinal, text).
     """
-    plain = messages.join(blocks.select("message_id").distinct(), "message_id", "left_anti").where("trim(content) <> ''").select(
+    plain = messages.join(blocks.select("message_id").distinct().hint("merge"), "message_id", "left_anti").where("trim(content) <> ''").select(
         "message_id", F.lit(0).alias("part"), F.lit(0).alias("ordinal"), F.lit("paragraph").alias("type"), F.trim("content").alias("text")
     )
     own = blocks.select("message_id", F.lit(0).alias("part"), "ordinal", "type", "text")

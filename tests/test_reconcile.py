@@ -31,6 +31,19 @@ def test_longer_dumps_win_and_equal_ones_enrich(spark):
     ]
 
 
+def test_both_sides_meet_in_one_shuffle(spark):
+    m = messages(spark, dump("human", "assistant", "human", "assistant"), "{}")
+    pairs = spark.createDataFrame([(0, 3, "q", None), (1, 0, None, "a"), (1, 0, None, "a"), (None, 0, "q", "a"), (None, 5, "q", "b")], PAIRS)
+    out = reconcile.reconcile_sources(pairs, m)
+    plan = out._jdf.queryExecution().executedPlan().toString()  # before it runs
+    got = sorted((tuple(r) for r in out.collect()), key=str)
+    dumped = [(0, 0, "human0", "assistant1", "api"), (0, 1, "human2", "assistant3", "api")]
+    kept = [(1, 0, None, "a", "captured")] * 2 + [(None, 0, "q", "a", "captured"), (None, 5, "q", "b", "captured")]
+    assert got == sorted(dumped + kept, key=str)
+    assert reconcile.reconcile_sources(pairs.limit(0), m.limit(0)).count() == 0
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+
+
 def test_report_goes_to_the_chip_or_the_end(spark):
     pairs = spark.createDataFrame([(1, 0, "q", "a"), (1, 1, "q", ""), (2, 0, "q", "x"), (2, 1, "q", "y")], PAIRS)
     chips = spark.createDataFrame([(2, 0)], "conv_id long, pair_index int")
