@@ -25,12 +25,44 @@ def settled_snapshots(updates: DataFrame, key: str, gap: str = "500 milliseconds
     ).drop("burst")
 
 
-def observe_deadline(updates: DataFrame, key: str, seconds: int = 30) -> DataFrame:
-    """Updates no later than ``seconds`` after the key was first seen."""
+def observe_deadline(updates: DataFrame, key: str, seconds: int = 30, expire_ms: int | None = None) -> DataFrame:
+    """Updates no later than ``seconds`` after the key was first seen.  Batch or stream.
+
+    A stream keeps the first time of each key in its state, and equals the batch if no update comes in
+    a later micro-batch than one with a later time.  With ``expire_ms``, a key that was silent for so long is
+    forgotten and starts anew.  Updates without a time are left out.
+    """
+    if updates.isStreaming:
+        return stream_deadline(updates, key, seconds, expire_ms)
     first = F.min("ts").over(Window.partitionBy(key))
     return updates.withColumn("__first", first).where(F.col("ts") <= F.col("__first") + F.expr(f"INTERVAL {seconds} SECONDS")).drop("__first")
 
 
+def stream_deadline(updates: DataFrame, key: str, seconds: int, expire_ms: int | None) -> DataFrame:
+    ship(updates.sparkSession)
+
+    def step(_: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        first = state.get[0] if state.exists else None
+        batch = [f[f["ts"].notna()] for f in frames]  # a key's first time is known only after all its frames
+        micros = [f["ts"].to_numpy("datetime64[us]").astype("int64") for f in batch]
+        for m in micros:
+            if len(m):
+                first = int(m.min()) if first is None else min(first, int(m.min()))
+        if first is not None:
+            state.update((first,))
+            if expire_ms:
+                state.setTimeoutDuration(expire_ms)
+        for f, m in zip(batch, micros, strict=True):
+            if len(m):
+                yield f[m <= first + seconds * 1_000_000]
+
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if expire_ms else GroupStateTimeout.NoTimeout
+    return updates.groupBy(key).applyInPandasWithState(step, updates.schema, "first long", "append", timeout)
+
+
 def choose_capture_tier(html: Column, html_text: Column, text: Column) -> Column:
     """``html``, ``text`` or null, from the lengths of html, of its text, and of the plain text."""
     kept = (html > 0) & (html <= MOST_HTML) & ~((text > 0) & (html_text < text * LEAST_SHARE))

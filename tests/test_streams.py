@@ -57,3 +57,14 @@ def test_alerts_of_a_stream_come_once(spark, tmp_path):
     handled = spark.createDataFrame([("c",)], "fingerprint string")
     got = run_stream(captures.stream_drift_dedupe(reports, handled).select("fingerprint", "conv_id"), spark)
     assert sorted(r.fingerprint for r in got.collect()) == ["a", "b"]
+
+
+def test_deadlines_of_a_stream_equal_those_of_the_batch(spark, tmp_path):
+    first = [(1, "2024-01-01 00:00:10", 1), (1, "2024-01-01 00:00:00", 2), (2, "2024-01-01 00:00:05", 3), (3, None, 4)]
+    second = [(1, "2024-01-01 00:00:30", 5), (1, "2024-01-01 00:00:30.000001", 6), (2, "2024-01-01 00:01:00", 7), (3, "2024-01-01 00:00:01", 8)]
+    stream = arriving(spark, tmp_path, [first, second], "k int, ts timestamp, value int")
+    got = run_stream(captures.observe_deadline(stream, "k"), spark)
+    batch = spark.createDataFrame(first + second, "k int, ts string, value int").withColumn("ts", F.col("ts").cast("timestamp"))
+    expected = captures.observe_deadline(batch, "k")
+    assert sorted(r.value for r in got.collect()) == sorted(r.value for r in expected.collect()) == [1, 2, 3, 5, 8]
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, expected.select(*got.columns).collect()))
