@@ -336,5 +336,7 @@ def test_values_in_many_repositories_of_one_owner_are_examples(spark):
     value = "Zx81_kQ27-mmPP04bHt9"
     docs = spark.createDataFrame([(i, f"see {value} here", "one") for i in range(60)], "doc_id long, text string, source string")
     assert {(r.spans, r.n_live, r.n_example) for r in secret_scan.op7_secret_scan(docs).collect()} == {("", 0, 1)}
+    shown = lambda df: {r.text for r in secret_scan.redact(df).collect()}
+    assert shown(docs) == {f"see {value} here"} and shown(docs.where("doc_id < 50")) == {"see [SECRET] here"}
     few = secret_scan.op7_secret_scan(docs.limit(50)).collect()
     assert {(r.n_live, r.n_example) for r in few} == {(1, 0)}
