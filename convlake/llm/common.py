@@ -114,7 +114,7 @@ def sample_by_hash(df: DataFrame, key: str, most: int) -> DataFrame:
     return df.where(place < bound) if held else df.where(place < bins).limit(most)
 
 
-def byte_slices(batches: Iterator[pa.RecordBatch], rows: int = 2000, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def byte_slices(batches: Iterator[pa.RecordBatch], rows: int = 1000, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batches in slices of ``rows`` rows and about ``size`` bytes at most; a single longer row is a slice."""
     for batch in batches:
         at = 0
@@ -124,3 +124,4 @@ def byte_slices(batches: Iterator[pa.RecordBatch], rows: int = 2000, size: int =
                 n = (n + 1) // 2
             yield batch.slice(at, n)
             at += n
+    pa.default_memory_pool().release_unused()  # the worker waits for its next task with what it holds

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from convlake.llm.common import cut, ship
+from convlake.llm.common import byte_slices, cut, ship
 
 CAPACITY = 2048
 _LOADED: dict = {}
@@ -108,28 +108,26 @@ def cut_pieces(path: str, capacity: int) -> Callable[[Iterator[pa.RecordBatch]],
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                some = batch.slice(at, 1000)
-                rows, piece, start, length, crc, rank = [], [], [], [], [], []
-                for i, ids in enumerate(tokenized(some.column(1), path)):
-                    raw, total = ids.astype("<u4").tobytes() + b"\0\0\0\0", len(ids) + 1
-                    for k, a in enumerate(range(0, total, capacity)):
-                        n = min(capacity, total - a)
-                        rows.append(i)
-                        piece.append(k)
-                        start.append(a)
-                        length.append(n)
-                        crc.append(zlib.crc32(raw[4 * a : 4 * (a + n)]))
-                        rank.append(seen[n])
-                        seen[n] += 1
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        some.column(0).take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()),
-                        pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array([part] * len(rows), pa.int32()), pa.array(rank, pa.int64()),
-                    ],
-                    ["doc_id", "piece", "start", "length", "ids_crc32", "part", "in_part"],
-                )
+        for some in byte_slices(batches):
+            rows, piece, start, length, crc, rank = [], [], [], [], [], []
+            for i, ids in enumerate(tokenized(some.column(1), path)):
+                raw, total = ids.astype("<u4").tobytes() + b"\0\0\0\0", len(ids) + 1
+                for k, a in enumerate(range(0, total, capacity)):
+                    n = min(capacity, total - a)
+                    rows.append(i)
+                    piece.append(k)
+                    start.append(a)
+                    length.append(n)
+                    crc.append(zlib.crc32(raw[4 * a : 4 * (a + n)]))
+                    rank.append(seen[n])
+                    seen[n] += 1
+            yield pa.RecordBatch.from_arrays(
+                [
+                    some.column(0).take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()),
+                    pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array([part] * len(rows), pa.int32()), pa.array(rank, pa.int64()),
+                ],
+                ["doc_id", "piece", "start", "length", "ids_crc32", "part", "in_part"],
+            )
 
     return run
 
