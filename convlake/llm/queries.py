@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from convlake.llm import ann, mixing, neardup, packing, quality, secret_scan, sharding, toxicity, urlfilter, warc
+from convlake.llm import ann, importance, mixing, neardup, packing, periodic, personal, quality, secret_scan, sharding, toxicity, urlfilter, warc
 from convlake.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,9 @@ QUERIES: dict[str, Query] = {
     "op8_toxicity": lambda spark, sf_dir: toxicity.op8_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
     "op9_neighbours": _on("embeddings", ann.op9_neighbours),
     "op10_url_filter": _on("pages", urlfilter.op10_url_filter),
+    "op11_importance": lambda spark, sf_dir: importance.op11_importance(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
+    "op12_personal_data": _on("documents", personal.op12_personal_data),
+    "op13_periodic_runs": _on("documents", periodic.op13_periodic_runs),
 }
 
 SQL: dict[str, str] = {
@@ -34,4 +37,5 @@ SQL: dict[str, str] = {
     "op4_warc": warc.OP4_SQL,
     "op5_mixing": mixing.OP5_SQL,
     "op10_url_filter": urlfilter.OP10_SQL,
+    "op11_importance": importance.OP11_SQL,
 }
