@@ -118,22 +118,23 @@ def mix(documents: DataFrame, weights: Sequence[float] = WEIGHTS, cap: float = 3
     """
     keys = ["doc_id", "source", "size"]
     counts = systematic_copies(documents.select("doc_id", "source", word_count(F.col("text")).alias("size")), weights, cap, seed)
-    pooled = counts.groupBy(*keys).agg(F.sum("copies").alias("__c"), F.count("*").alias("__k"))
+    pooled = counts.groupBy(*keys).agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"))
+    # the caller's columns travel in one struct, so that no name can meet one of those here
+    named = documents.select(F.struct("*").alias("doc"), "doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("hash"))
     found = (
-        documents.withColumn("__size", word_count(F.col("text"))).alias("d")
+        named.alias("d")
         .join(
             pooled.hint("shuffle_hash").alias("c"),
-            F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")) & F.col("d.source").eqNullSafe(F.col("c.source")) & (F.col("d.__size") == F.col("c.size")),
+            F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")) & F.col("d.source").eqNullSafe(F.col("c.source")) & (F.col("d.size") == F.col("c.size")),
         )
-        .select("d.*", "c.__c", "c.__k")
-        .where("__c > 0")
+        .select("d.*", F.col("c.copies").alias("copies"), F.col("c.rows").alias("rows"))
+        .where("copies > 0")
     )
-    alone = found.where("__k = 1").withColumn("__times", F.col("__c"))
-    place = F.row_number().over(Window.partitionBy("doc_id", "source", "__size").orderBy(F.xxhash64("text")))
-    alike = found.where("__k > 1").withColumn("__place", place).withColumn(
-        "__times", F.expr("__c div __k") + (F.col("__place") <= F.col("__c") % F.col("__k")).cast("long")
-    ).drop("__place").where("__times > 0")
-    return alone.unionByName(alike).withColumn("__i", F.explode(F.sequence(F.lit(1).cast("long"), "__times"))).select(*documents.columns)
+    alone = found.where("rows = 1").select("doc", F.col("copies").alias("times"))
+    place = F.row_number().over(Window.partitionBy("doc_id", "source", "size").orderBy("hash"))
+    times = F.expr("copies div rows") + (F.col("place") <= F.col("copies") % F.col("rows")).cast("long")
+    alike = found.where("rows > 1").withColumn("place", place).select("doc", times.alias("times")).where("times > 0")
+    return alone.unionByName(alike).select("doc", F.explode(F.sequence(F.lit(1).cast("long"), "times"))).select("doc.*")
 
 
 OP5_SQL = """

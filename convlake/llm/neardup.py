@@ -355,13 +355,12 @@ def keep_one(docs: DataFrame, at_least: float = 0.8) -> DataFrame:
 
     Rows are told by id and text.  A row that stays and is repeated is found among its equals.
     """
-    columns = docs.columns
     unknown = lambda df: df.withColumn("doc_id", F.coalesce("doc_id", F.lit(-1).cast("long")))
     told = cut(unknown(near_classes(docs, at_least)).groupBy("doc_id", "key").agg(F.count("*").alias("n"), F.count_if("first").alias("stay")))
-    named = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1).cast("long"))).withColumn("__key", text_key())
-    called = lambda df: df.select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"))
-    whole = near(named, called(told.where("stay < n")), ["__id", "__key"], "left_anti")
-    some = near(named, told.where("0 < stay AND stay < n").select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), "stay"), ["__id", "__key"], "inner")
+    # the caller's columns travel in one struct, so that no name can meet one of those here
+    id_ = F.coalesce(F.col("doc_id").cast("long"), F.lit(-1).cast("long"))
+    named = docs.select(F.struct("*").alias("doc"), id_.alias("doc_id"), text_key().alias("key"))
+    whole = near(named, told.where("stay < n").select("doc_id", "key"), ["doc_id", "key"], "left_anti")
+    some = near(named, told.where("0 < stay AND stay < n").select("doc_id", "key"), ["doc_id", "key"], "inner")
     # blank texts are classes of their own: all of them stay, so here stay is 1
-    some = some.dropDuplicates(["__id", "__key"])
-    return whole.select(*columns).unionByName(some.select(*columns))
+    return whole.select("doc.*").unionByName(some.dropDuplicates(["doc_id", "key"]).select("doc.*"))

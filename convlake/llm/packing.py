@@ -62,45 +62,55 @@ def encode_words(words: list[str], path: str, together: int = 512) -> tuple[np.n
 
 
 class WordIds:
-    """The ids of words met so far; forgets all when there are more than ``most`` words."""
+    """The ids of words met so far, in columns of ``most`` bytes and what one call adds; then it starts afresh.
 
-    def __init__(self, path: str, most: int = 800_000) -> None:
-        self.path, self.most = path, most
+    Words of more than ``longest`` letters are forgotten after use.
+    """
+
+    def __init__(self, path: str, most: int = 32 << 20, longest: int = 40) -> None:
+        self.path, self.most, self.longest = path, most, longest
         self.clear()
 
     def clear(self) -> None:
-        self.place: dict[str, int] = {}
-        self.ids = np.zeros(0, np.uint32)
-        self.first = self.count = np.zeros(0, np.int64)
+        self.words = pa.array([], pa.large_string())
+        self.ids, self.first, self.count = np.zeros(0, np.uint32), np.zeros(0, np.int32), np.zeros(0, np.int32)
+
+    def size(self) -> int:
+        return self.words.nbytes + self.ids.nbytes + self.first.nbytes + self.count.nbytes
 
-    def look_up(self, words: list[str]) -> np.ndarray:
-        """The number of each word; ``first`` and ``count`` tell where its ids are."""
-        if len(self.place) > self.most:
+    def look_up(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, and the first place in them and number of ids of each of ``words``, which differ."""
+        if self.size() > self.most:
             self.clear()
-        new = [w for w in words if w not in self.place]
-        if new:
-            ids, first, count = encode_words(new, self.path)
-            self.place.update(zip(new, range(len(self.place), len(self.place) + len(new)), strict=True))
-            self.first = np.concatenate([self.first, first + len(self.ids)])
-            self.count = np.concatenate([self.count, count])
-            self.ids = np.concatenate([self.ids, ids])
-        return np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
+        place = pc.index_in(words, value_set=self.words)
+        missing = pc.is_null(place)
+        new = words.filter(missing)
+        ids, first, count = encode_words(new.to_pylist(), self.path)
+        place, missing = pc.fill_null(place, 0).to_numpy().astype(np.int64), missing.to_numpy(zero_copy_only=False)
+        place[missing] = len(self.words) + np.arange(len(new))
+        every = np.concatenate([self.ids, ids])
+        starts, counts = np.concatenate([self.first, first + len(self.ids)]), np.concatenate([self.count, count])
+        short = pc.less_equal(pc.utf8_length(new), self.longest)
+        kept = short.to_numpy(zero_copy_only=False)
+        self.ids = every if kept.all() else np.concatenate([self.ids, ids[np.repeat(kept, count)]])
+        self.words, self.count = pa.concat_arrays([self.words, new.filter(short)]), np.concatenate([self.count, count[kept]]).astype(np.int32)
+        self.first = (np.cumsum(self.count) - self.count).astype(np.int32)
+        return every, starts[place], counts[place]
 
 
 def tokenized(texts: pa.Array, path: str) -> Iterator[np.ndarray]:
     """The ids of each text (null: none), in order."""
     if ("words", path) not in _LOADED:
         _LOADED["words", path] = WordIds(path)
-    known = _LOADED["words", path]
     words = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
     ends = words.offsets.to_numpy()
     coded = words.values.slice(ends[0], ends[-1] - ends[0]).dictionary_encode()
-    ends = ends - ends[0]
-    numbers = known.look_up(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
-    ids, first, count = known.ids, known.first[numbers], known.count[numbers]
+    ends, number = ends - ends[0], coded.indices.to_numpy()
+    ids, first, count = _LOADED["words", path].look_up(coded.dictionary)
     for a, b in zip(ends[:-1], ends[1:], strict=True):
-        n = count[a:b]
-        yield ids[np.repeat(first[a:b] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        own = number[a:b]
+        n = count[own]
+        yield ids[np.repeat(first[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
 
 
 def cut_pieces(path: str, capacity: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

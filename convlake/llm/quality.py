@@ -162,7 +162,7 @@ def count_all(docs: DataFrame) -> DataFrame:
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for some in byte_slices(batches):
+        for some in byte_slices(batches, size=1 << 20):
             counts = text_counts(some.column(1))
             yield pa.RecordBatch.from_arrays([some.column(0), *(pa.array(counts[c]) for c in COUNTS)], ["doc_id", *COUNTS])
 
@@ -231,7 +231,7 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     threshold, schema = judge.threshold, docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for some in byte_slices(batches):
+        for some in byte_slices(batches, size=1 << 20):
             c = text_counts(some.column("text"))
             keep = (c["n_words"] >= 50) & (100 * c["n_repeat_words"] <= 50 * c["n_words"])
             if forest.value is not None:

@@ -181,28 +181,25 @@ def redact(docs: DataFrame, mask: str = "[SECRET]", max_owners: int = 2, max_rep
 
     Only documents with candidates beyond the base kinds wait for the counts of the corpus.
     """
-    columns = docs.columns
+    # the caller's columns travel in one struct, so that no name can meet one of those here
     text = F.coalesce("text", F.lit(""))
-    rows = docs.withColumn("__base", base_spans(text))
-    rows = rows.withColumn("__more", more_spans(text, F.col("__base")))
-    plain = rows.where(F.size("__more") == 0).withColumn("__found", F.col("__base"))
-    waiting = cut(rows.where(F.size("__more") > 0).withColumn("__row", F.monotonically_increasing_id()))
-    hits = waiting.select("__row", F.explode("__more").alias("s")).select("__row", "s", F.sha2("s.value", 256).alias("hash"))
+    rows = docs.select(F.struct("*").alias("doc"), base_spans(text).alias("base"), F.col("doc_id").cast("string").alias("repo"), F.col("source").cast("string").alias("owner"))
+    rows = rows.withColumn("more", more_spans(F.coalesce("doc.text", F.lit("")), F.col("base")))
+    plain = rows.where(F.size("more") == 0).select("doc", F.col("base").alias("found"))
+    waiting = cut(rows.where(F.size("more") > 0).select("doc", "base", "more", F.monotonically_increasing_id().alias("row")))
+    hits = waiting.select("row", F.explode("more").alias("s")).select("row", "s", F.sha2("s.value", 256).alias("hash"))
     # the counts are those of the whole corpus: base spans of other documents count too
-    everything = rows.select(
-        F.col("doc_id").cast("string").alias("repo"), F.col("source").cast("string").alias("owner"),
-        F.explode(F.concat("__base", "__more")).alias("s"),
-    ).select("repo", "owner", F.sha2("s.value", 256).alias("hash"))
+    everything = rows.select("repo", "owner", F.explode(F.concat("base", "more")).alias("s")).select("repo", "owner", F.sha2("s.value", 256).alias("hash"))
     few = (F.col("n_owners") <= max_owners) & (F.col("n_repos") <= max_repos)
     counts = ownership(everything).where(few).withColumn("salt", F.explode(F.array(*map(F.lit, range(salts)))))
     live = (
         hits.where(looks_random(F.col("s.value")))
-        .withColumn("salt", F.pmod("__row", F.lit(salts)).cast("int"))
+        .withColumn("salt", F.pmod("row", F.lit(salts)).cast("int"))
         .join(counts.hint("merge"), ["hash", "salt"])
-        .groupBy("__row").agg(F.collect_list("s").alias("__live"))
+        .groupBy("row").agg(F.collect_list("s").alias("live"))
     )
-    judged = waiting.join(live.hint("merge"), "__row", "left").withColumn(
-        "__found", F.array_sort(F.concat("__base", F.coalesce("__live", F.array().cast(SPAN))))
+    judged = waiting.join(live.hint("merge"), "row", "left").select(
+        "doc", F.array_sort(F.concat("base", F.coalesce("live", F.array().cast(SPAN)))).alias("found")
     )
-    masked = lambda df: df.withColumn("text", without_spans(F.col("text"), F.col("__found"), mask)).select(*columns)
-    return masked(plain).unionByName(masked(judged))
+    hidden = F.col("doc").withField("text", without_spans(F.col("doc.text"), F.col("found"), mask))
+    return plain.unionByName(judged).select(hidden.alias("doc")).select("doc.*")
