@@ -12,8 +12,10 @@ page; malformed markup never fails, and null pages have no nodes.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -21,19 +23,21 @@ from pyspark.sql import functions as F
 
 from convlake.functions.naming import domain, escape_html, safe_url
 from convlake.functions.text import parse_span
-from convlake.operators.selectors import attr, matcher
+from convlake.operators.selectors import Automaton, attr, matcher, parse
 from convlake.session import ship
 
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 BLOCK = {
-    "p", "div", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "li", "blockquote", "pre", "table", "thead", "tbody", "tr", "td", "th",
-    "article", "section", "nav", "header", "footer", "main", "aside", "figure", "dl", "dt", "dd", "hr", "body", "html",
+    "p", "div", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "li", "blockquote", "pre", "table", "thead", "tbody", "tfoot", "tr", "td", "th",
+    "article", "section", "nav", "header", "footer", "main", "aside", "figure", "figcaption", "dl", "dt", "dd", "hr", "body", "html",
+    "address", "details", "fieldset", "form",
 }
-CLOSES_P = BLOCK - {"li", "td", "th", "tr", "thead", "tbody", "dt", "dd", "body", "html"}
+CLOSES_P = BLOCK - {"li", "td", "th", "tr", "thead", "tbody", "tfoot", "dt", "dd", "body", "html"}
 #: What a start tag closes, up to the named container.
 SIBLINGS = {
     "li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}),
-    "td": ({"td", "th"}, {"tr"}), "th": ({"td", "th"}, {"tr"}), "tbody": ({"thead", "tbody", "tr", "td", "th"}, {"table"}),
+    "td": ({"td", "th"}, {"tr"}), "th": ({"td", "th"}, {"tr"}), "tbody": ({"thead", "tbody", "tfoot", "tr", "td", "th"}, {"table"}),
+    "tfoot": ({"thead", "tbody", "tfoot", "tr", "td", "th"}, {"table"}),
 }
 INLINE = {"b": "bold", "strong": "bold", "i": "italic", "em": "italic", "code": "code", "a": "link", "s": "strikethrough", "del": "strikethrough"}
 #: Of each node, the nearest element of these tags, itself included.
@@ -47,44 +51,70 @@ NODE = (
     ("tag", pa.string(), "string"), ("classes", TEXTS, "array<string>"), ("attrs", pa.map_(pa.string(), pa.string()), "map<string,string>"),
     ("text", pa.string(), "string"), ("end_id", INTS, "int"), *((k, INTS, "int") for k in NEAREST), ("list_depth", INTS, "int"),
     ("item_index", INTS, "int"), ("verbatim", pa.bool_(), "boolean"), ("marks", TEXTS, "array<string>"), ("mark_id", INTS, "int"),
+    # of the selectors that the parse was given: those that fit, and the nearest element that fits ``turn`` and ``message``
+    ("hits", TEXTS, "array<string>"), ("turn_id", INTS, "int"), ("message_id", INTS, "int"),
 )
 
 
+#: What a tag makes a node itself the nearest of.
+MAKES = {tag: tuple(k for k, tags in NEAREST.items() if tag in tags) for tag in set().union(*NEAREST.values())}
+FROM_ABOVE = (*NEAREST, "turn_id", "message_id")
+
+
 class Tree(HTMLParser):
-    """Nodes of one page; open elements close at the end."""
+    """The nodes of one page as columns; open elements close at the end."""
 
-    def __init__(self) -> None:
+    def __init__(self, selectors: Automaton | None = None) -> None:
         super().__init__(convert_charrefs=True)
-        self.nodes: list[dict] = []
+        self.selectors, self.states = selectors, [0]
+        self.nodes: dict[str, list] = {name: [] for name, _, _ in NODE}
+        self.size = 0
         self.open: list[int] = []
         self.children: dict[int | None, int] = {}
         self.items: dict[int | None, int] = {}
 
     def add(self, kind: str, tag: str | None, attrs: list, text: str | None) -> int:
-        me, up = len(self.nodes), self.open[-1] if self.open else None
-        above = self.nodes[up] if up is not None else {}
-        self.children[up] = self.children.get(up, -1) + 1
-        node = {k: me if tag in tags else above.get(k) for k, tags in NEAREST.items()}
-        marks, kept = above.get("marks", []), dict(attrs)
-        mark = "math" if "data-math-display" in kept else INLINE.get(tag)
-        if tag == "li":
-            self.items[node["list_id"]] = self.items.get(node["list_id"], -1) + 1
-        self.nodes.append(node | {
-            "node_id": me, "parent_id": up, "depth": len(self.open), "ordinal": self.children[up], "kind": kind, "tag": tag,
-            "classes": (kept.get("class") or "").split(), "attrs": [(k, v or "") for k, v in kept.items()], "text": text, "end_id": me,
-            "list_depth": above.get("list_depth", -1) + (tag in ("ul", "ol")), "item_index": self.items.get(node["list_id"]) if tag == "li" else None,
-            "verbatim": tag in ("pre", "code") or above.get("verbatim", False),
-            "marks": [*marks, mark] if mark and mark not in marks else marks, "mark_id": me if mark and not marks else above.get("mark_id"),
-        })
+        me, n, depth = self.size, self.nodes, len(self.open)
+        up = self.open[-1] if depth else None
+        self.size += 1
+        self.children[up] = ordinal = self.children.get(up, -1) + 1
+        for k in FROM_ABOVE:
+            n[k].append(None if up is None else n[k][up])
+        deep, verbatim, marks, mark_id = (-1, False, [], None) if up is None else (n["list_depth"][up], n["verbatim"][up], n["marks"][up], n["mark_id"][up])
+        classes, kept, hits, item_index = [], {}, [], None
+        if kind == "element":
+            for k in MAKES.get(tag, ()):
+                n[k][me] = me
+            kept = {k: v or "" for k, v in attrs}
+            classes = kept["class"].split() if "class" in kept else classes
+            if self.selectors:
+                state, hits = self.selectors.step(self.states[depth], tag, classes, kept)
+                self.states[depth + 1 :] = [state]
+                for name in hits:
+                    if name in ("turn", "message"):
+                        n[f"{name}_id"][me] = me
+            mark = "math" if "data-math-display" in kept else INLINE.get(tag)
+            if mark:
+                marks, mark_id = marks if mark in marks else [*marks, mark], mark_id if marks else me
+            if tag == "li":
+                item_index = self.items[n["list_id"][me]] = self.items.get(n["list_id"][me], -1) + 1
+            deep += tag in ("ul", "ol")
+            verbatim = verbatim or tag in ("pre", "code")
+        own = {
+            "node_id": me, "parent_id": up, "depth": depth, "ordinal": ordinal, "kind": kind, "tag": tag, "classes": classes, "attrs": list(kept.items()), "text": text,
+            "end_id": me, "list_depth": deep, "item_index": item_index, "verbatim": verbatim, "marks": marks, "mark_id": mark_id, "hits": hits,
+        }
+        for k, v in own.items():
+            n[k].append(v)
         return me
 
     def close_to(self, depth: int) -> None:
         while len(self.open) > depth:
-            self.nodes[self.open.pop()]["end_id"] = len(self.nodes) - 1
+            self.nodes["end_id"][self.open.pop()] = self.size - 1
 
     def close_open(self, tags: set, until: set) -> None:
         for i in range(len(self.open) - 1, -1, -1):
-            tag = self.nodes[self.open[i]]["tag"]
+            tag = self.nodes["tag"][self.open[i]]
             if tag in until:
                 return
             if tag in tags:
@@ -104,7 +134,7 @@ class Tree(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         for i in range(len(self.open) - 1, -1, -1):
-            if self.nodes[self.open[i]]["tag"] == tag:
+            if self.nodes["tag"][self.open[i]] == tag:
                 return self.close_to(i)
 
     def handle_data(self, data: str) -> None:
@@ -114,8 +144,9 @@ class Tree(HTMLParser):
         self.add("comment", None, [], data)
 
 
-def tree(html: str | None) -> list[dict]:
-    t = Tree()
+def tree(html: str | None, selectors: Automaton | None = None) -> dict[str, list]:
+    """The nodes of a page, a list for each of their fields."""
+    t = Tree(selectors)
     t.feed(html or "")
     t.close()
     t.close_to(0)
@@ -128,18 +159,27 @@ def html_tokens(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", F.posexplode(tokens).alias("pos", "token"))
 
 
-def trees(pages: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(page_id, ``keep``, nodes): every page parsed once, some pages of a batch at a time."""
+def trees(pages: DataFrame, keep: tuple[str, ...] = (), selectors: dict | None = None, by: str | None = None) -> DataFrame:
+    """(page_id, ``keep``, nodes): every page parsed once, some pages of a batch at a time.
+
+    ``hits`` of a node are the names of the ``selectors`` that it matches.  With ``by``, one of ``keep``, there is a
+    dictionary of selectors for each value of that column.
+    """
     ship(pages.sparkSession)
+    automata = {k: Automaton(v) for k, v in (selectors if by else {None: selectors}).items() if v}
     narrow = pages.select(F.col("page_id").cast("long").alias("page_id"), *keep, F.col("html").cast("string").alias("html"))
-    kept, kind = narrow.columns[:-1], pa.list_(pa.struct([(name, t) for name, t, _ in NODE]))
+    kept = narrow.columns[:-1]
     types = ", ".join(f"`{n}` {t}" for n, t in narrow.dtypes[:-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 50):
                 some = batch.slice(at, 50)
-                nodes = pa.array([tree(h) for h in some.column(len(kept)).to_pylist()], kind)
+                which = some.column(kept.index(by)).to_pylist() if by else [None] * some.num_rows
+                pages = [tree(h, automata.get(k)) for h, k in zip(some.column(len(kept)).to_pylist(), which, strict=True)]
+                flat = [pa.array([v for p in pages for v in p[name]], t) for name, t, _ in NODE]
+                ends = pa.array([0, *accumulate(len(p["kind"]) for p in pages)], pa.int32())
+                nodes = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays(flat, [name for name, _, _ in NODE]))
                 yield pa.RecordBatch.from_arrays([*some.columns[: len(kept)], nodes], [*kept, "nodes"])
 
     return narrow.mapInArrow(run, f"{types}, nodes array<struct<{', '.join(f'{n}:{t}' for n, _, t in NODE)}>>")
@@ -173,7 +213,12 @@ def element(x: Column, *tags: str) -> Column:
 
 
 def is_text(x: Column) -> Column:
-    return (x["kind"] == "text") & (F.trim(x["text"]) != "")
+    return (x["kind"] == "text") & x["text"].rlike(r"(?U)\S")
+
+
+def hit(x: Column, *names: str) -> Column:
+    """Whether a node matches one of the selectors of these names, which the parse was given."""
+    return F.arrays_overlap(x["hits"], F.array(*map(F.lit, names)))
 
 
 def subtree(x: Column) -> Column:
@@ -271,17 +316,22 @@ def collapse_math(trees: DataFrame) -> DataFrame:
     ).drop("__math")
 
 
-def flatten_text(trees: DataFrame) -> DataFrame:
-    """(page_id, text): cells apart by `` | ``, blocks by a line feed, white space collapsed outside ``pre``; pages without text are left out."""
-    texts = trees.select("page_id", filtered(is_text).alias("t")).where(F.size("t") > 0)
+def flat_text(texts: str) -> Column:
+    """The column ``texts`` of text nodes put together: cells apart by `` | ``, blocks by a line feed, white space collapsed outside ``pre``."""
 
-    def part(x: Column, i: Column) -> Column:
-        before = F.get("t", i - 1)
+    def piece(x: Column, i: Column) -> Column:
+        before = F.get(texts, i - 1)
         cells = x["cell_id"].isNotNull() & before["cell_id"].isNotNull() & (x["cell_id"] != before["cell_id"]) & x["row_id"].eqNullSafe(before["row_id"])
         sep = F.when(i == 0, "").when(cells, " | ").when(~before["block_id"].eqNullSafe(x["block_id"]), "\n").otherwise("")
         return F.concat(sep, F.when(x["verbatim"], x["text"]).otherwise(F.regexp_replace(x["text"], r"\s+", " ")))
 
-    return texts.select("page_id", F.trim(F.array_join(F.transform("t", part), "")).alias("text"))
+    return F.trim(F.array_join(F.transform(texts, piece), ""))
+
+
+def flatten_text(trees: DataFrame) -> DataFrame:
+    """(page_id, text) of whole pages; pages without text are left out."""
+    texts = trees.select("page_id", filtered(is_text).alias("t")).where(F.size("t") > 0)
+    return texts.select("page_id", flat_text("t").alias("text"))
 
 
 # ---- elements ----------------------------------------------------------------------------
@@ -357,7 +407,7 @@ def number_of(x: Column, name: str) -> Column:
 
 
 #: Pictures below these aren't content.
-PICTURE_CHROME = ("button", '[data-testid="webpage-citation-pill"]', ".code-artifact")
+PICTURE_CHROME = ("button", '[data-testid="webpage-citation-pill"]', "pre.overflow-visible\\!")
 
 
 def extract_images(trees: DataFrame) -> DataFrame:
@@ -431,7 +481,105 @@ def extract_inlines(trees: DataFrame) -> DataFrame:
 HELD = ("table", "pre", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "blockquote", "hr", "img")
 #: Elements that are blocks of their own, whatever they hold.
 WHOLE = ("pre", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "hr", "img", "table", "a")
-BLOCKS = ("page_id", "block_id", "parent_block_id", "ordinal", "depth", "type", "level", "language", "ordered", "item_index", "url", "alt", "link_url", "text")
+
+
+SPACES = re.compile("[ \\t\\n\\x0b\\f\\r]+")
+#: What the walk over a page's nodes looks at, as columns of values.
+WALKED = ("kind", "tag", "text", "parent_id", "end_id", "block_id", "list_id", "item_id", "item_index", "quote_id", "link_id")
+BLOCK_ROWS = (
+    ("block_id", INTS, "int"), ("parent_block_id", INTS, "int"), ("ordinal", INTS, "int"), ("depth", INTS, "int"), ("type", pa.string(), "string"),
+    ("level", INTS, "int"), ("language", pa.string(), "string"), ("ordered", pa.bool_(), "boolean"), ("item_index", INTS, "int"), ("url", pa.string(), "string"),
+    ("alt", pa.string(), "string"), ("link_url", pa.string(), "string"), ("text", pa.string(), "string"),
+)
+
+
+class Walk:
+    """One walk over a page's nodes in order that settles its blocks; each node is looked at a fixed number of times."""
+
+    def __init__(self, nodes: dict[str, list]) -> None:
+        self.n, self.size = nodes, len(nodes["kind"])
+        self.element = [k == "element" for k in nodes["kind"]]
+        tags = nodes["tag"]
+        # how many elements that hold others apart, and how many things that show, stand before each node
+        self.held = self.sums(e and t in HELD for e, t in zip(self.element, tags, strict=True))
+        self.shown = self.sums(
+            e and t in ("img", "hr", "li") or k == "text" and bool(x.strip()) for e, t, k, x in zip(self.element, tags, nodes["kind"], nodes["text"], strict=True)
+        )
+
+    @staticmethod
+    def sums(values: Iterator[bool]) -> list[int]:
+        return [0, *accumulate(map(int, values))]
+
+    def said(self, a: int, b: int, of: int | None = None) -> str:
+        """The texts from ``a`` to ``b`` as one line, a space between blocks; those of the item ``of`` alone."""
+        out, before = [], None
+        for i in range(a, b + 1):
+            if self.n["kind"][i] == "text" and (of is None or self.n["item_id"][i] == of):
+                block = self.n["block_id"][i]
+                out.append(self.n["text"][i] if block == before else f" {self.n['text'][i]}")
+                before = block
+        return SPACES.sub(" ", "".join(out)).strip(" ")
+
+    def picture(self, a: int, b: int) -> int | None:
+        return next((i for i in range(a, b + 1) if self.element[i] and self.n["tag"][i] == "img" and self.n["src"][i]), None)
+
+    def block(self, i: int) -> dict | None:
+        """What node ``i`` is as a block; none if it shows nothing."""
+        n, tag = self.n, self.n["tag"][i]
+        last, up = n["end_id"][i], n["parent_id"][i]
+        parent = n["list_id"][i] if tag == "li" else n["item_id"][up] if tag in ("ul", "ol") and up is not None and n["item_id"][up] is not None else n["quote_id"][up] if up is not None else None
+        out = {"block_id": i, "parent_block_id": parent, "type": "paragraph", "text": ""}
+        filled = self.shown[last + 1] > self.shown[i]
+        if n["kind"][i] == "text":
+            out["text"] = self.said(i, i)
+        elif tag in ("img", "a") and (at := self.picture(i, last)) is not None:
+            link = n["link_id"][at]
+            return out | {"type": "image", "url": n["src"][at], "alt": n["alt"][at] or "", "link_url": None if link is None else n["href"][link]}
+        elif tag == "hr":
+            return out | {"type": "hr"}
+        elif tag == "li":
+            return out | {"type": "list_item", "item_index": n["item_index"][i], "text": self.said(i, last, i)}
+        elif tag in ("ul", "ol", "blockquote", "table"):
+            kind = "list" if tag in ("ul", "ol") else tag
+            return out | {"type": kind, "ordered": tag == "ol" if kind == "list" else None} if filled else None
+        elif tag == "pre":
+            code = next((j for j in range(i + 1, last + 1) if self.element[j] and n["tag"][j] == "code"), i)
+            named = re.search(r"language-(\w+)", n["class"][code] or "")
+            text = "".join(n["text"][j] for j in range(i, last + 1) if n["kind"][j] == "text").strip(" ")
+            out |= {"type": "code", "language": named[1] if named else "code", "text": text}
+        else:
+            out["text"] = self.said(i, last)
+            if len(tag) == 2 and tag[0] == "h" and tag[1] in "123456":
+                out |= {"type": "heading", "level": int(tag[1])}
+        return out if out["text"] else None
+
+    def blocks(self) -> list[dict]:
+        n, out = self.n, []
+        if not any(e and (t in BLOCK or t == "img") for e, t in zip(self.element, n["tag"], strict=True)):
+            text = self.said(0, self.size - 1)
+            return [{"block_id": 0, "ordinal": 0, "depth": 0, "type": "paragraph", "text": text}] if text else []
+        until, in_list, around = -1, False, []  # the end of the last whole element, and the open quotes, lists and items
+        for i in range(self.size):
+            tag, text = n["tag"][i], n["kind"][i] == "text"
+            if not text and not self.element[i]:
+                continue
+            if i > until:
+                held = self.held[n["end_id"][i] + 1] > self.held[i + 1]
+                apart = not text and (tag == "blockquote" or tag not in WHOLE and held)
+                if not apart:
+                    until, in_list = n["end_id"][i], tag in ("ul", "ol")
+                elif tag != "blockquote":
+                    continue
+            elif not (in_list and not text and tag in ("ul", "ol", "li") and n["list_id"][i] is not None):
+                continue
+            found = self.block(i)
+            if found:
+                while around and around[-1] < i:
+                    around.pop()
+                out.append(found | {"ordinal": len(out), "depth": len(around)})
+                if found["type"] in ("blockquote", "list", "list_item"):
+                    around.append(n["end_id"][i])
+        return out
 
 
 def extract_blocks(trees: DataFrame) -> DataFrame:
@@ -442,53 +590,22 @@ def extract_blocks(trees: DataFrame) -> DataFrame:
     paragraph.  A quote holds its blocks, a list its items, an item the lists in it
     (``parent_block_id``); ``depth`` counts these.  The cells of tables are in ``table_cells``.
     """
-    holds = lambda x: F.exists(inner(x), lambda n: element(n, *HELD))
-    apart = lambda x: (x["kind"] == "element") & ((x["tag"] == "blockquote") | (~x["tag"].isin(*WHOLE) & holds(x)))
-    solid = filtered(lambda x: (element(x, "hr", "img") | is_text(x) | (x["kind"] == "element")) & ~apart(x))
-    blockless = ~F.exists("nodes", lambda x: element(x, *BLOCK, "img"))
-    t = trees.withColumn("__solid", outermost(solid)).withColumn("__blockless", blockless)
-    is_top = lambda x: F.exists("__solid", lambda g: g["a"] == x["node_id"])
-    lists = lambda x: element(x, "ul", "ol", "li") & x["list_id"].isNotNull()
-    # lists of a solid list, but not those in a cell or a code block
-    taken = lambda x: F.exists("__solid", lambda g: (g["a"] <= x["node_id"]) & (x["node_id"] <= g["b"]) & element(at(g["a"]), "ul", "ol"))
-    tops = F.filter("nodes", lambda x: F.coalesce(is_top(x) | element(x, "blockquote") & ~within(x, F.col("__solid")) | lists(x) & taken(x), F.lit(False)))
-
-    def block(x: Column) -> Column:
-        picture = F.get(F.filter(subtree(x), lambda n: element(n, "img") & (attr(n, "src") != "")), F.lit(0))
-        has_picture = (x["kind"] == "element") & x["tag"].isin("img", "a") & picture.isNotNull()
-        kind = (
-            F.when(x["kind"] == "text", "paragraph").when(has_picture, "image").when(x["tag"].rlike("^h[1-6]$"), "heading").when(x["tag"] == "pre", "code")
-            .when(x["tag"].isin("ul", "ol"), "list").when(x["tag"] == "li", "list_item").when(x["tag"].isin("blockquote", "hr", "table"), x["tag"])
-            .when(x["tag"] == "img", "nothing").otherwise("paragraph")
-        )
-        text = (
-            F.when(kind == "code", F.trim(exact_text(x))).when(kind == "list_item", own_item_text(x))
-            .when(kind.isin("list", "blockquote", "hr", "table"), "").when(kind == "image", "").otherwise(prose(x))
-        )
-        above = at(x["parent_id"])
-        parent = F.when(x["tag"] == "li", x["list_id"]).when(x["tag"].isin("ul", "ol") & above["item_id"].isNotNull(), above["item_id"]).otherwise(above["quote_id"])
-        return F.struct(
-            x["node_id"].alias("block_id"), parent.alias("parent_block_id"), kind.alias("type"),
-            F.when(kind == "heading", F.substring(x["tag"], 2, 1).cast("int")).alias("level"), F.when(kind == "code", code_language(x)).alias("language"),
-            F.when(kind == "list", x["tag"] == "ol").alias("ordered"), F.when(kind == "list_item", x["item_index"]).alias("item_index"),
-            F.when(kind == "image", attr(picture, "src")).alias("url"), F.when(kind == "image", F.coalesce(attr(picture, "alt"), F.lit(""))).alias("alt"),
-            F.when(kind == "image", attr(at(picture["link_id"]), "href")).alias("link_url"), text.alias("text"),
-            F.exists(subtree(x), lambda n: is_text(n) | element(n, "img", "hr", "li")).alias("filled"),
-        )
+    ship(trees.sparkSession)
+    attrs = {"class": ("pre", "code"), "src": ("img",), "alt": ("img",), "href": ("a",)}
+    of = lambda name, tags: F.transform("nodes", lambda x: F.when(x["tag"].isin(*tags), attr(x, name))).alias(name)
+    walked = trees.select("page_id", *(F.col("nodes")[k].alias(k) for k in WALKED), *(of(*a) for a in attrs.items()))
+    kind, names = pa.list_(pa.struct([(name, t) for name, t, _ in BLOCK_ROWS])), [*WALKED, *attrs]
 
-    every = F.filter(F.transform(tops, block), lambda b: (b["text"] != "") | b["type"].isin("image", "hr", "list_item") | (b["type"].isin("list", "blockquote", "table") & b["filled"]))
-    t = t.where("NOT __blockless").withColumn("__b", every)
-    # how many of the page's blocks are around each: quotes, lists and items are few on a path
-    around = lambda b: F.size(F.filter("__b", lambda o: o["type"].isin("blockquote", "list", "list_item") & (o["block_id"] < b["block_id"]) & (b["block_id"] <= at(o["block_id"])["end_id"])))
-    numbered = F.transform("__b", lambda b, i: b.withField("ordinal", i).withField("depth", around(b)))
-    whole = F.struct(F.lit(0).alias("node_id"), (F.size("nodes") - 1).alias("end_id"))
-    alone = trees.withColumn("__blockless", blockless).where("__blockless").select("page_id", prose(whole).alias("text")).where("text <> ''")
-    none = {"parent_block_id": "int", "level": "int", "language": "string", "ordered": "boolean", "item_index": "int", "url": "string", "alt": "string", "link_url": "string"}
-    alone = alone.select(
-        "page_id", F.lit(0).alias("block_id"), F.lit(0).alias("ordinal"), F.lit(0).alias("depth"), F.lit("paragraph").alias("type"), "text",
-        *(F.lit(None).cast(k).alias(n) for n, k in none.items()),
-    )
-    return rows(t, numbered).select(*BLOCKS).unionByName(alone.select(*BLOCKS))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 50):
+                some = batch.slice(at, 50)
+                pages = zip(*(some.column(k).to_pylist() for k in names), strict=True)
+                found = [Walk(dict(zip(names, page, strict=True))).blocks() for page in pages]
+                yield pa.RecordBatch.from_arrays([some.column("page_id"), pa.array(found, kind)], ["page_id", "blocks"])
+
+    found = walked.mapInArrow(run, f"page_id long, blocks array<struct<{', '.join(f'{n}:{t}' for n, _, t in BLOCK_ROWS)}>>")
+    return rows(found, F.col("blocks")).select("page_id", *(n for n, _, _ in BLOCK_ROWS))
 
 
 def table_cells(trees: DataFrame) -> DataFrame:
@@ -564,14 +681,26 @@ def structure_signature(skeletons: DataFrame) -> DataFrame:
 Selectors = list[tuple[str, str, bool]]
 
 
-def selector_health(trees: DataFrame, selectors: Selectors) -> DataFrame:
-    """(page_id, key, selector, required, matched) of a short list of (key, selector, required); invalid selectors have -1."""
-    def one(key: str, selector: str, required: bool) -> Column:
-        test = matcher(selector)
-        n = F.lit(-1) if test is None else F.size(filtered(test))
+def readable(selector: str) -> bool:
+    try:
+        return bool(parse(selector))
+    except ValueError:
+        return False
+
+
+def selector_health(pages: DataFrame, selectors: Selectors) -> DataFrame:
+    """(page_id, key, selector, required, matched) of a list of (key, selector, required); invalid selectors have -1.
+
+    All selectors are asked for while the pages are parsed.
+    """
+    read = {f"{k}": selector for k, (_, selector, _) in enumerate(selectors) if readable(selector)}
+    found = trees(pages, selectors=read).withColumn("hits", F.flatten(F.col("nodes")["hits"]))
+
+    def one(k: int, key: str, selector: str, required: bool) -> Column:
+        n = F.size(F.filter("hits", lambda h: h == str(k))) if str(k) in read else F.lit(-1)
         return F.struct(F.lit(key).alias("key"), F.lit(selector).alias("selector"), F.lit(required).alias("required"), n.cast("long").alias("matched"))
 
-    return rows(trees, F.array(*(one(*s) for s in selectors)))
+    return rows(found, F.array(*(one(k, *s) for k, s in enumerate(selectors))))
 
 
 def detect_platform(trees: DataFrame, platforms: list[tuple[str, str, str | None]]) -> DataFrame:

@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from convlake.functions.artifacts import artifact_type, format_token
-from convlake.functions.naming import domain
 from convlake.functions.text import initcap_first
-from convlake.operators.html import element, exact_text, filtered, first_below, inner, is_text, links, prose, rows
+from convlake.operators.capture import RULES
+from convlake.operators.html import element, exact_text, filtered, first_below, inner, is_text, prose, rows
 from convlake.operators.selectors import attr, matcher
 
 
@@ -17,22 +17,34 @@ def said(x: Column, selector: str) -> Column:
     return F.nullif(prose(first_below(x, selector)), F.lit(""))
 
 
-def extract_search_widgets(trees: DataFrame, widget: str = ".search", query: str = ".query", count: str = ".count") -> DataFrame:
-    """(page_id, widget, query, result_count, results): widgets with a query; the selectors are the capture's own."""
-    result = lambda x: F.struct(x["node_id"].alias("node_id"), x["href"].alias("href"), x["text"].alias("title"), domain(x["href"]).alias("domain"))
-    anchors = lambda x: F.filter(F.transform(F.filter(inner(x), lambda n: element(n, "a")), links), lambda a: a["href"] != "")
-    found = F.transform(
-        filtered(matcher(widget)),
-        lambda x: F.struct(
-            x["node_id"].alias("widget"), said(x, query).alias("query"),
-            F.nullif(F.regexp_extract(said(x, count), r"(\d+)", 1), F.lit("")).cast("int").alias("result_count"), F.transform(anchors(x), result).alias("results"),
-        ),
-    )
-    return rows(trees, found).where("query IS NOT NULL")
+CLAUDE, CHATGPT = RULES["claude"], RULES["chatgpt"]
+#: What holds the results of a search, and a result's title and domain.
+RESULTS, RESULT_TITLE, RESULT_DOMAIN = "div.flex.flex-nowrap.p-2.pt-0.flex-col", "p.relative.text-\\[0\\.875rem\\]", "p.relative.bottom-\\[1px\\].text-\\[0\\.75rem\\].text-text-500"
+
+
+def extract_search_widgets(
+    trees: DataFrame, widget: str = CLAUDE["search"], button: str = CLAUDE["search_button"], query: str = CLAUDE["search_query"], count: str = CLAUDE["search_count"],
+    results: str = RESULTS, title: str = RESULT_TITLE, domain_of: str = RESULT_DOMAIN,
+) -> DataFrame:
+    """(page_id, widget, query, result_count, results): widgets with a button and a query; a result's title and domain are those of its own nodes."""
+    def result(x: Column) -> Column:
+        return F.struct(
+            x["node_id"].alias("node_id"), attr(x, "href").alias("href"), F.coalesce(said(x, title), F.lit("")).alias("title"), said(x, domain_of).alias("domain")
+        )
+
+    def found(x: Column) -> Column:
+        anchors = F.filter(inner(first_below(x, results)), lambda n: element(n, "a") & (attr(n, "href") != ""))
+        return F.struct(
+            x["node_id"].alias("widget"), F.when(first_below(x, button).isNotNull(), said(x, query)).alias("query"),
+            F.nullif(F.regexp_extract(said(x, count), r"(\d+)", 1), F.lit("")).cast("int").alias("result_count"),
+            F.coalesce(F.transform(anchors, result), F.array()).alias("results"),
+        )
+
+    return rows(trees, F.transform(filtered(matcher(widget)), found)).where("query IS NOT NULL")
 
 
 #: Where a canvas stands, and its text.
-CANVAS, CANVAS_TEXT = '[id^="textdoc-message-"]', ".ProseMirror, .prose"
+CANVAS, CANVAS_TEXT = CHATGPT["canvas"], CHATGPT["canvas_text"]
 
 
 def extract_canvas(trees: DataFrame) -> DataFrame:
@@ -47,23 +59,28 @@ def math_markers(trees: DataFrame) -> DataFrame:
     return rows(trees, F.transform(found, lambda x: F.struct(x["node_id"].alias("node_id"), x["text"].alias("marker"))))
 
 
-def extract_code_artifacts(trees: DataFrame, box: str = ".code-artifact", header: str = ".header", sticky: str = ".sticky") -> DataFrame:
+#: A box of code, the two places of its language, and those of its text.
+BOX, BOX_LABEL, BOX_STICKY = "pre.overflow-visible\\!", "div.h-9", ".sticky"
+BOX_CODE, BOX_VIEWER = 'code.whitespace-pre\\!, code[class*="language-"]', ".cm-content, #code-block-viewer"
+
+
+def extract_code_artifacts(trees: DataFrame, box: str = BOX, label: str = BOX_LABEL, sticky: str = BOX_STICKY, code: str = BOX_CODE, viewer: str = BOX_VIEWER) -> DataFrame:
     """(page_id, node_id, title, type, language, content): boxes of code that isn't blank.
 
-    The language is that of the box's header, else of its sticky header without buttons, else ``code``; a
-    picture makes it an image.
+    The language is that of the box's label, else of its sticky header without buttons, else ``code``; a
+    picture with a source makes it an image.
     """
-    def label(x: Column) -> Column:
+    def language_of(x: Column) -> Column:
         bar = first_below(x, sticky)
         buttons = F.filter(inner(bar), lambda n: element(n, "button"))
         clear = prose(bar, lambda n: ~F.exists(buttons, lambda b: (b["node_id"] <= n["node_id"]) & (n["node_id"] <= b["end_id"])))
-        return F.lower(F.coalesce(said(x, header), F.nullif(clear, F.lit("")), F.lit("code")))
+        return F.lower(F.coalesce(said(x, label), F.nullif(clear, F.lit("")), F.lit("code")))
 
     def artifact(x: Column) -> Column:
-        body, language = first_below(x, "pre"), label(x)
-        picture = F.exists(inner(x), lambda n: element(n, "img"))
+        body, language = F.coalesce(first_below(x, code), first_below(first_below(x, viewer), "code")), language_of(x)
+        picture = F.exists(inner(body), lambda n: element(n, "img") & (attr(n, "src") != ""))
         return F.struct(
-            x["node_id"].alias("node_id"), initcap_first(language).alias("title"), F.when((language == "svg") | picture, "image").otherwise("code").alias("type"),
+            x["node_id"].alias("node_id"), initcap_first(language).alias("title"), F.when((language == "svg") | F.coalesce(picture, F.lit(False)), "image").otherwise("code").alias("type"),
             language.alias("language"), F.trim(exact_text(body)).alias("content"),
         )
 
@@ -71,7 +88,7 @@ def extract_code_artifacts(trees: DataFrame, box: str = ".code-artifact", header
 
 
 #: An artifact's cell, its title and its label.
-CELL, CELL_TITLE, CELL_LABEL = "div.artifact-block-cell", "div.leading-tight.text-sm.line-clamp-1", "div.text-xs.line-clamp-1.text-text-400"
+CELL, CELL_TITLE, CELL_LABEL = CLAUDE["artifact"], CLAUDE["artifact_title"], CLAUDE["artifact_label"]
 
 
 def extract_artifact_cells(trees: DataFrame) -> DataFrame:
@@ -88,7 +105,7 @@ def extract_artifact_cells(trees: DataFrame) -> DataFrame:
 
 
 #: A generated picture, and the header that names it.
-GENERATED, GENERATED_HEADER = '[class*="imagegen"]', '.message-role, [class*="font-medium"]'
+GENERATED, GENERATED_HEADER = CHATGPT["picture"], CHATGPT["picture_title"]
 
 
 def extract_generated_image(trees: DataFrame) -> DataFrame:

@@ -37,7 +37,7 @@ def rich(spark, d):
     n = number()
     return with_more(spark, d, pieces(
         '<pre><code class="language-py">x = ', n, '</code></pre><pre class="language-sql">select ', n, "</pre><pre> </pre>", '<a href="', c("url"), '"><img src="/i/', n,
-        '.png" alt="pic" width="12"></a><img src="/sprites-core/a.svg"><img src="/i/', n, '.png" title="t"><button><img src="/b/', n, '.png"></button><div class="code-artifact"><img src="/c.png"></div>',
+        '.png" alt="pic" width="12"></a><img src="/sprites-core/a.svg"><img src="/i/', n, '.png" title="t"><button><img src="/b/', n, '.png"></button><pre class="overflow-visible!"><img src="/c.png"></pre>',
         '<video title="clip"><source src="/v/', n, '.mp4" type="video/mp4"></video><audio src="/a/', n, '.ogg" aria-label="sound"></audio><video></video>',
     ))
 
@@ -272,7 +272,7 @@ FROM pages, (VALUES ('article', 'article', true), ('ad', 'div.ad', true), ('miss
 
 
 def health(spark, d):
-    return html.selector_health(trees(spark, d), SELECTORS)
+    return html.selector_health(scan_pages(spark, d), SELECTORS)
 
 
 query(f"WITH {HEALTH} SELECT page_id, key, required, matched FROM h", "selector_health")(lambda spark, d: health(spark, d).drop("selector"))
@@ -335,21 +335,27 @@ def used_sources_only(spark, d):
 # ---- widgets ---------------------------------------------------------------------------------
 
 
+SEARCH = "ease-out transition-all flex flex-col font-ui leading-normal"
+
+
 def built(spark, d):
     n = number()
     label = F.when(c("page_id") % 3 == 0, "Code · JSX").when(c("page_id") % 3 == 1, "Imagen").otherwise("")
     return with_more(spark, d, pieces(
-        '<div class="search"><span class="query">find ', n, '</span><i class="count">about ', n, ' results</i><a href="https://www.a.example/', n, '">hit</a></div><div class="search"><span class="query"> </span></div>',
+        '<div class="', SEARCH, '"><button class="group/row"><div class="flex gap-2 relative font-base text-left">find ', n, '</div><p class="relative bottom-[0.5px] pl-1 text-text-500">about ', n,
+        ' results</p></button><div class="flex flex-nowrap p-2 pt-0 flex-col"><a href="https://www.a.example/', n, '"><p class="relative text-[0.875rem]">Hit</p><p class="relative bottom-[1px] text-[0.75rem] text-text-500">a.example</p></a><a>none</a></div></div>',
+        '<div class="', SEARCH, '"><button class="group/row"><div class="flex gap-2 relative font-base text-left"> </div></button></div><div class="', SEARCH, '"><div class="flex gap-2 relative font-base text-left">no button</div></div>',
         '<div id="textdoc-message-', n, '"><div class="prose">board ', n, '</div></div><p>so <span class="katex-display"><span class="katex"><span class="katex">x</span><annotation>x^', n, '</annotation></span></span> and <span class="katex">y', n, "</span></p>",
-        '<div class="code-artifact"><div class="header">Python</div><pre>print(', n, ')</pre></div><div class="code-artifact"><div class="sticky">SQL<button>Copy</button></div><pre>a<img src="x.png"></pre></div><div class="code-artifact"><pre> </pre></div>',
+        '<pre class="overflow-visible!"><div class="h-9">Python</div><code class="whitespace-pre!">print(', n, ')</code></pre><pre class="a overflow-visible!"><div class="sticky">SQL<button>Copy</button></div><div class="cm-content"><code>a<img src="x.png"></code></div></pre>',
+        '<pre class="overflow-visible!"><code class="language-x"> </code></pre>',
         '<div class="artifact-block-cell"><div class="leading-tight text-sm line-clamp-1">', F.when(c("page_id") % 2 == 0, pieces("Art ", n)).otherwise(" "), '</div><div class="text-xs line-clamp-1 text-text-400">', label, "</div></div>",
         '<div class="x-imagegen"><span class="font-medium">', F.when(c("page_id") % 3 == 0, pieces("Image • Cat ", n)).otherwise("Image"), '</span><img src="/g/', n, '.png"></div>',
     ))
 
 
-@query("SELECT page_id, 'find ' || page_id AS query, page_id::INTEGER AS result_count, 1 AS results, 'a.example' AS domain FROM pages")
+@query("SELECT page_id, 'find ' || page_id AS query, page_id::INTEGER AS result_count, 1 AS results, 'a.example' AS domain, 'Hit' AS title FROM pages")
 def extract_search_widgets(spark, d):
-    return widgets.extract_search_widgets(built(spark, d)).select("page_id", "query", "result_count", F.size("results").alias("results"), F.get("results", F.lit(0))["domain"].alias("domain"))
+    return widgets.extract_search_widgets(built(spark, d)).select("page_id", "query", "result_count", F.size("results").alias("results"), F.get("results", F.lit(0))["domain"].alias("domain"), F.get("results", F.lit(0))["title"].alias("title"))
 
 
 @query("SELECT page_id, '[Canvas Content]' || chr(10) || 'board ' || page_id AS content FROM pages")

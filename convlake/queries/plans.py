@@ -343,7 +343,7 @@ def marker_blocks(spark, d):
 
 @query("""WITH k AS (SELECT conv_id, turn, CASE WHEN role = 'system' THEN 0 WHEN turn % 5 = 4 THEN 2 ELSE 1 END AS r, CASE WHEN role = 'system' THEN '[Web Search: ' || text || ']' WHEN turn % 5 = 4 THEN '[Artifact: ' || text || ']' ELSE trim(text) END AS t FROM conversations)
 SELECT conv_id, string_agg(t, chr(10) || chr(10) ORDER BY r, turn) AS content FROM k GROUP BY conv_id""")
-def message_from_nodes(spark, d):
+def message_from_parts(spark, d):
     kind = F.when(c("role") == "system", "search").when(c("turn") % 5 == 4, "artifact").otherwise("text")
     return lines.message_from_parts(read_turns(spark, d).select("conv_id", c("turn").alias("ordinal"), kind.alias("kind"), c("content").alias("text")), ["conv_id"])
 

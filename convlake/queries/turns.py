@@ -191,7 +191,7 @@ def prune_payload(spark, d):
   count(*) FILTER (role = 'system') AS media FROM conversations GROUP BY ALL)
 SELECT conv_id AS page_id, (row_number() OVER (PARTITION BY conv_id ORDER BY container) - 1)::INTEGER AS pair_index, coalesce(q, '') AS question, coalesce(a, '') AS answer, media
 FROM c WHERE coalesce(q, '') <> '' OR coalesce(a, '') <> '' OR media > 0""")
-def pair_containers(spark, d):
+def pair_container_turns(spark, d):
     kind = F.when(F.col("role") == "user", "question").when(F.col("role") == "assistant", "answer").otherwise("media")
     parts = read_turns(spark, d).select(
         F.col("conv_id").alias("page_id"), F.expr("turn div 2").alias("container"), kind.alias("kind"), F.col("content").alias("text")

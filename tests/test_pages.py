@@ -1,4 +1,7 @@
+import time
+
 import pytest
+from pyspark.sql import functions as F
 
 from convlake.operators import html, lines, selectors, widgets
 
@@ -113,6 +116,47 @@ def test_selectors(spark, selector, matched):
     page = '<main><div class="k"><p class="k" data-v="ab">x</p></div><p id="one" data-v="ac">y</p></main>'
     if selector == ".k" or selector == "p, .k":
         matched = {".k": 2, "p, .k": 3}[selector]
-    (row,) = html.selector_health(trees(spark, page), [("key", selector, True)]).collect()
+    pages = spark.createDataFrame([(0, page)], "page_id long, html string")
+    (row,) = html.selector_health(pages, [("key", selector, True)]).collect()
     assert row.matched == matched
-    assert (selectors.matcher(selector) is None) == (matched == -1)
+    if matched == -1:
+        with pytest.raises(ValueError, match="can't be read"):
+            selectors.matcher(selector)
+    else:
+        n = trees(spark, page).select(F.size(html.filtered(selectors.matcher(selector)))).first()[0]
+        assert n == matched
+
+
+#: Selectors with escapes, and an element that fits each.
+ESCAPED = {
+    "pre.overflow-visible\\!": '<pre class="a overflow-visible!">', ".group\\/imagegen-image, [class*=\"imagegen\"]": '<p class="group/imagegen-image">',
+    "p.relative.bottom-\\[0\\.5px\\].pl-1": '<p class="pl-1 relative bottom-[0.5px]">', 'code.whitespace-pre\\!, code[class*="language-"]': '<code class="language-py">',
+    'iframe[title^="internal://"]': '<iframe title="internal://x">', "div.relative.group\\/thumbnail img": '<div class="relative group/thumbnail"><b><img></b></div>',
+}
+
+
+def test_escapes_and_lists_in_one_pass():
+    automaton = selectors.Automaton({s: s for s in ESCAPED})
+    for selector, page in ESCAPED.items():
+        assert [h for h in html.tree(page, automaton)["hits"] if h] == [[selector]]
+
+
+def test_descendants_and_blocks_cost_a_node_once():
+    automaton = selectors.Automaton({"deep": "main .k a", "turn": ".k"})
+    times = []
+    for n in (5_000, 50_000):
+        began = time.perf_counter()
+        nodes = html.tree("<main>" + '<h3 class="k"><a href="/">x</a></h3>' * n + "</main>", automaton)
+        assert sum("deep" in h for h in nodes["hits"]) == n and nodes["turn_id"][-3:] == [3 * n - 2] * 3
+        assert len(html.Walk(nodes | {k: [None] * len(nodes["kind"]) for k in ("class", "src", "alt", "href")}).blocks()) == n
+        times.append(time.perf_counter() - began)
+    assert times[1] < 40 * times[0]
+
+
+@pytest.mark.parametrize("tag", "address article aside blockquote dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header li main nav ol p section ul".split())
+def test_every_block_tag_is_a_line(spark, tag):
+    assert html.flatten_text(trees(spark, f"<{tag}>a</{tag}><{tag}>b</{tag}>c")).first().text == "a\nb\nc"
+
+
+def test_white_space_between_blocks_is_no_text(spark):
+    assert html.flatten_text(trees(spark, "<p>a</p>\n\u00a0<p>b</p>\n<table>\n<tr>\n<td>1</td>\n<td>2</td></tr></table>")).first().text == "a\nb\n1 | 2"
