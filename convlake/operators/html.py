@@ -490,6 +490,9 @@ BLOCK_ROWS = (
     ("block_id", INTS, "int"), ("parent_block_id", INTS, "int"), ("ordinal", INTS, "int"), ("depth", INTS, "int"), ("type", pa.string(), "string"),
     ("level", INTS, "int"), ("language", pa.string(), "string"), ("ordered", pa.bool_(), "boolean"), ("item_index", INTS, "int"), ("url", pa.string(), "string"),
     ("alt", pa.string(), "string"), ("link_url", pa.string(), "string"), ("text", pa.string(), "string"),
+    # what it stands in, from the outside (``quote``, ``list`` or the mark of an item), its last block inside, its number among those of its
+    # parent, and the mark of an item itself
+    ("path", TEXTS, "array<string>"), ("last", INTS, "int"), ("nth", INTS, "int"), ("mark", pa.string(), "string"),
 )
 
 
@@ -557,8 +560,9 @@ class Walk:
         n, out = self.n, []
         if not any(e and (t in BLOCK or t == "img") for e, t in zip(self.element, n["tag"], strict=True)):
             text = self.said(0, self.size - 1)
-            return [{"block_id": 0, "ordinal": 0, "depth": 0, "type": "paragraph", "text": text}] if text else []
-        until, in_list, around = -1, False, []  # the end of the last whole element, and the open quotes, lists and items
+            return [{"block_id": 0, "ordinal": 0, "depth": 0, "type": "paragraph", "text": text, "path": [], "last": 0, "nth": 0}] if text else []
+        until, in_list, around = -1, False, []  # the end of the last whole element; of open quotes, lists and items the end, the mark and the block
+        siblings: dict[int | None, int] = {}
         for i in range(self.size):
             tag, text = n["tag"][i], n["kind"][i] == "text"
             if not text and not self.element[i]:
@@ -574,16 +578,28 @@ class Walk:
                 continue
             found = self.block(i)
             if found:
-                while around and around[-1] < i:
-                    around.pop()
-                out.append(found | {"ordinal": len(out), "depth": len(around)})
+                while around and around[-1][0] < i:
+                    around.pop()[2]["last"] = len(out) - 1
+                up = around[-1][2]["block_id"] if around else None
+                siblings[up] = siblings.get(up, -1) + 1
+                found |= {"ordinal": len(out), "depth": len(around), "path": [mark for _, mark, _ in around], "last": len(out), "nth": siblings[up]}
+                out.append(found)
                 if found["type"] in ("blockquote", "list", "list_item"):
-                    around.append(n["end_id"][i])
+                    mark = {"blockquote": "quote", "list": "list"}.get(found["type"]) or (f"{found['item_index'] + 1}." if n["tag"][n["list_id"][i]] == "ol" else "-")
+                    found["mark"] = mark if found["type"] == "list_item" else None
+                    around.append((n["end_id"][i], mark, found))
+        for _, _, block in around:
+            block["last"] = len(out) - 1
         return out
 
 
 def extract_blocks(trees: DataFrame) -> DataFrame:
-    """(page_id, block_id, parent_block_id, ordinal, depth, type, level, language, ordered, item_index, url, alt, link_url, text).
+    """The blocks of :func:`page_blocks`, a row each."""
+    return rows(page_blocks(trees), F.col("blocks")).select("page_id", *(n for n, _, _ in BLOCK_ROWS))
+
+
+def page_blocks(trees: DataFrame) -> DataFrame:
+    """(page_id, blocks) with structs (block_id, parent_block_id, ordinal, depth, type, level, language, ordered, item_index, url, alt, link_url, text, path, last, nth, mark).
 
     Types: paragraph, heading, code, list and list_item, blockquote, hr, image, table.  An element that
     holds a block is taken apart, any other is one paragraph; a page without any block is one
@@ -604,8 +620,7 @@ def extract_blocks(trees: DataFrame) -> DataFrame:
                 found = [Walk(dict(zip(names, page, strict=True))).blocks() for page in pages]
                 yield pa.RecordBatch.from_arrays([some.column("page_id"), pa.array(found, kind)], ["page_id", "blocks"])
 
-    found = walked.mapInArrow(run, f"page_id long, blocks array<struct<{', '.join(f'{n}:{t}' for n, _, t in BLOCK_ROWS)}>>")
-    return rows(found, F.col("blocks")).select("page_id", *(n for n, _, _ in BLOCK_ROWS))
+    return walked.mapInArrow(run, f"page_id long, blocks array<struct<{', '.join(f'{n}:{t}' for n, _, t in BLOCK_ROWS)}>>")
 
 
 def table_cells(trees: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from convlake.operators import drift, html, lines, widgets
+from convlake.plans import blocks
 from convlake.registry import query
 from convlake.sources.tables import read_pages as scan_pages
 
@@ -388,3 +389,146 @@ def extract_artifact_cells(spark, d):
 @query("""SELECT page_id, CASE WHEN page_id % 3 = 0 THEN '[Image: Cat ' || page_id || ']' ELSE '[Generated Image]' END AS content, '/g/' || page_id || '.png' AS src, 'Generated image' AS alt FROM pages""")
 def extract_generated_image(spark, d):
     return widgets.extract_generated_image(built(spark, d)).drop("node_id")
+
+
+# ---- blocks in three formats -------------------------------------------------------------------
+
+
+def nested(spark, d):
+    """Pages with quotes in quotes, lists in lists and in quotes, code and a table behind what they hold."""
+    n = number()
+    return html.strip_chrome(with_more(spark, d, pieces(
+        "<p>Marker ", n, ":</p><h1>Part</h1><p># sign ", n, "</p><blockquote><p>q ", n, "</p><ol><li>one<ul><li>in ", n, "</li><li>in2</li></ul></li><li>two</li></ol><blockquote>deep</blockquote><pre>x\n\ny</pre></blockquote>",
+        "<ul><li>a<ol><li>b ", n, '</li></ol></li><li>c</li></ul><hr><a href="/l"><img src="https://e.example/', n, '.png" alt="k"></a>',
+        "<table><thead><tr><th>h1</th><th>h2</th></tr></thead><tbody><tr><td>1</td></tr><tr><td>a|b</td><td>22</td></tr></tbody></table><pre><code class=\"language-py\">p ", n, "</code></pre>end",
+    )))
+
+
+MD = """
+
+## Part
+
+\\# sign §
+
+> q §
+>
+> 1. one
+>    - in §
+>    - in2
+> 2. two
+>
+> > deep
+> >
+>
+> ```code
+> x
+>
+> y
+> ```
+>
+
+- a
+  1. b §
+- c
+
+---
+
+![k](https://e.example/§.png)
+
+| h1 | h2 |
+| --- | --- |
+| 1 |   |
+| a\\|b | 22 |
+
+```py
+p §
+```
+
+end"""
+TXT = f"""
+
+
+Part
+~~~~
+
+# sign §
+
+
+> q §
+>
+> 1. one
+>   - in §
+>   - in2
+> 2. two
+>
+>
+> > deep
+> >
+>
+>
+> ```code
+> x
+>
+> y
+> ```
+>
+
+- a
+  1. b §
+- c
+
+
+{"-" * 72}
+
+
+[Image: k] https://e.example/§.png
+
+
++-----+-----+
+| h1  | h2  |
++=====+=====+
+| 1   |     |
+| a|b | 22  |
++-----+-----+
+
+
+```py
+p §
+```
+
+end"""
+HTML = """</p>
+<h2>Part</h2>
+<p># sign §</p>
+<blockquote><p>q §</p>
+<ol><li>one<ul><li>in §</li>
+<li>in2</li></ul></li>
+<li>two</li></ol>
+<blockquote><p>deep</p></blockquote>
+<pre tabindex="0"><code class="language-code">x
+
+y</code></pre></blockquote>
+<ul><li>a<ol><li>b §</li></ol></li>
+<li>c</li></ul>
+<hr>
+<a href="/l" target="_blank" rel="noopener noreferrer"><img src="https://e.example/§.png" alt="k"></a>
+<table><thead><tr><th>h1</th><th>h2</th></tr></thead><tbody><tr><td>1</td><td></td></tr><tr><td>a|b</td><td>22</td></tr></tbody></table>
+<pre tabindex="0"><code class="language-py">p §</code></pre>
+<p>end</p>"""
+
+
+def rendered(kind):
+    """The whole pages in one format; what stands behind the marker is told."""
+    def run(spark, d):
+        return blocks.render_pages(nested(spark, d), kind).select("page_id", F.expr("substring_index(text, 'Marker ' || page_id || ':', -1)").alias("text"))
+
+    return run
+
+
+for kind, text in (("md", MD), ("txt", TXT), ("html", HTML)):
+    query(f"SELECT page_id, replace('{text}', '§', page_id::VARCHAR) AS text FROM pages", f"{kind}_of_pages")(rendered(kind))
+
+
+@query()
+def md_of_pages_as_they_are(spark, d):
+    return blocks.render_pages(html.strip_chrome(trees(spark, d)), "md")
