@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from convlake.functions import markdown
@@ -229,8 +229,39 @@ def route_by_format(pairs: DataFrame, requests: DataFrame) -> tuple[DataFrame, D
     return done, rejects
 
 
-def write_transcripts(documents: DataFrame, path: str, partition: str | None = None) -> None:
-    """Documents as text files, one line feed after each; ``partition`` names a column to divide by."""
-    columns = ["document", *([partition] if partition else [])]
-    writer = documents.select(*columns).write.mode("overwrite")
-    (writer.partitionBy(partition) if partition else writer).text(path)
+def transcript_places(documents: DataFrame, size: int = 8 << 20, buckets: int = 64, by: tuple[str, ...] = ()) -> DataFrame:
+    """Add (bucket, file, start, length): where a document stands in files of about ``size`` bytes.
+
+    A document is as long as its bytes and the line feed behind it.  Files are numbered within ``buckets`` of conversations
+    (and the columns ``by``), so that places are counted in parts; a longer document has a file of its own.
+    """
+    own = (*by, "bucket")
+    sized = documents.withColumn("bucket", F.pmod("conv_id", F.lit(buckets)).cast("int")).withColumn("length", (F.octet_length("document") + 1).cast("long"))
+    w = Window.partitionBy(*own).orderBy("conv_id").rowsBetween(Window.unboundedPreceding, -1)
+    placed = sized.withColumn("before", F.coalesce(F.sum("length").over(w), F.lit(0)))
+    placed = placed.withColumn("part", F.expr(f"before div {size}"))
+    first = F.min("before").over(Window.partitionBy(*own, "part"))
+    return placed.withColumn("start", F.col("before") - first).withColumn("file", F.concat_ws("-", "bucket", "part")).drop("before", "part")
+
+
+def write_transcripts(documents: DataFrame, path: str, size: int = 8 << 20, by: tuple[str, ...] = ()) -> None:
+    """Documents packed into text files of about ``size`` bytes, and a manifest (conv_id, ``by``, file, start, length) beside them.
+
+    Documents keep all their characters; ``read_transcripts`` finds each by its place.  Equal conversations in ``by`` groups are
+    told apart by these columns.
+    """
+    total = documents.agg(F.sum(F.octet_length("document").cast("long"))).first()[0] or 0
+    buckets = max(1, -(-total // (size * 16)))  # some files to a bucket
+    placed = transcript_places(documents, size, buckets, by).select("conv_id", *by, "file", "start", "length", "document")
+    dealt = placed.repartition(*by, "file").sortWithinPartitions(*by, "file", "start")
+    dealt.select("document", *by, "file").write.mode("overwrite").partitionBy(*by, "file").option("lineSep", "\n").text(f"{path}/documents")
+    placed.drop("document").write.mode("overwrite").parquet(f"{path}/manifest")
+
+
+def read_transcripts(spark: SparkSession, path: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """(conv_id, ``by``, document) of what ``write_transcripts`` wrote, each cut from its file by the manifest."""
+    manifest = spark.read.parquet(f"{path}/manifest")
+    held = lambda name: F.url_decode(F.regexp_extract("path", f"/{name}=([^/]*)/", 1)).alias(name)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").option("recursiveFileLookup", "true").load(f"{path}/documents").select(*map(held, (*by, "file")), "content")
+    text = F.decode(F.expr("substring(content, cast(start + 1 AS int), cast(length - 1 AS int))"), "UTF-8")
+    return manifest.join(files.hint("shuffle_hash"), [*by, "file"]).select("conv_id", *by, text.alias("document"))

@@ -14,7 +14,7 @@ from convlake.operators import lines, pairing, reconcile
 from convlake.plans import transcripts
 from convlake.queries.scalars import WRAP
 from convlake.queries.turns import PAIRS_SQL, SELECTED, pairs, some_selected, timed_pairs
-from convlake.registry import query
+from convlake.registry import SQL, query
 from convlake.session import shared_folder
 from convlake.sources import tables
 from convlake.sources.tables import read_table, read_turns
@@ -436,16 +436,16 @@ def told_about(spark, d):
 SELECT conv_id, '# ' || {TITLE} || {NLS} || '| **Field** | **Value** |' || chr(10) || '|---|---|' || chr(10) || '| Platform | ChatGPT |' || coalesce(chr(10) || '| Model | ' || model || ' |', '') || coalesce(chr(10) || '| Date range | ' || dates || ' |', '')
   || chr(10) || '| Exported | 2024-05-06 07:08:09 |' || chr(10) || '| URL | ' || url || ' |' || {NLS} || '---' || {NLS} || body AS document FROM b JOIN hh USING (conv_id)""")
 def write_md_transcripts(spark, d):
-    """Written to the shared folder, divided by conversation, and read back."""
-    return written(spark, transcripts.md_transcripts(told_pairs(spark, d), told_about(spark, d)))
+    return transcripts.md_transcripts(told_pairs(spark, d), told_about(spark, d))
 
 
-def written(spark, documents):
-    """What the sink holds; a document's lines are rows of the files, so its line feeds are kept as a sign."""
-    folder = f"{shared_folder(spark)}/transcripts-{uuid.uuid4().hex}"
-    transcripts.write_transcripts(documents.select("conv_id", F.replace("document", F.lit("\n"), F.lit("\u2028")).alias("document")), folder, "conv_id")
-    back = spark.read.schema("value string, conv_id long").text(folder)
-    return back.select("conv_id", F.replace("value", F.lit("\u2028"), F.lit("\n")).alias("document"))
+@query(f"""WITH d AS ({SQL['write_md_transcripts']}), s AS (SELECT conv_id, conv_id % 8 AS bucket, octet_length(encode(document)) + 1 AS length FROM d),
+b AS (SELECT *, coalesce(sum(length) OVER (PARTITION BY bucket ORDER BY conv_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM s)
+SELECT conv_id, bucket || '-' || (before // 20000) AS file, before - min(before) OVER (PARTITION BY bucket, before // 20000) AS start, length FROM b""")
+def transcript_places(spark, d):
+    """Where the sink puts each document, in files of about 20 kB."""
+    documents = transcripts.md_transcripts(told_pairs(spark, d), told_about(spark, d))
+    return transcripts.transcript_places(documents, 20_000, 8).select("conv_id", "file", "start", "length")
 
 
 LABELLED = "upper({0}) || {1} || chr(10) || repeat('-', length({0} || {1})::INTEGER) || chr(10)"
