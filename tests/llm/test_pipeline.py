@@ -4,6 +4,7 @@ import collections
 import random
 
 import pytest
+
 import corpus_pipeline
 from convlake.llm import mixing, neardup, secret_scan
 
