@@ -136,7 +136,7 @@ def drift_report(findings: DataFrame, failures: DataFrame, platform: Column, ver
     found = findings.groupBy("conv_id").agg(F.array_sort(F.collect_set("rule")).alias("rules"), F.count("*").alias("findings"))
     failed = failures.groupBy("conv_id").agg(F.array_sort(F.collect_set("key")).alias("keys"))
     none = F.array().cast("array<string>")
-    out = found.join(failed, "conv_id", "full").withColumns({
+    out = found.join(failed.hint("merge"), "conv_id", "full").withColumns({
         "rules": F.coalesce("rules", none), "keys": F.coalesce("keys", none), "findings": F.coalesce("findings", F.lit(0)),
     })
     return out.select(
@@ -153,7 +153,7 @@ def drift_summary(reports: DataFrame) -> DataFrame:
 
 def suppress_known(reports: DataFrame, handled: DataFrame) -> DataFrame:
     """Reports whose fingerprint isn't handled yet."""
-    return reports.join(handled.select("fingerprint"), "fingerprint", "left_anti")
+    return reports.join(handled.select("fingerprint").hint("merge"), "fingerprint", "left_anti")
 
 
 def record_suppression(handled: DataFrame, more: DataFrame) -> DataFrame:
@@ -171,7 +171,7 @@ def format_report(
     rules = listed(findings, F.concat(F.lit("  "), "rule", F.lit(": "), "detail")).withColumnRenamed("lines", "checks")
     why = F.when(F.col("matched") < 0, "invalid selector").otherwise("0 matches")
     keys = listed(failures, F.concat(F.lit("  "), "key", F.lit(": "), "selector", F.lit("  → "), why)).withColumnRenamed("lines", "selectors")
-    told = reports.join(rules, "conv_id", "left").join(keys, "conv_id", "left").join(skeletons.select("conv_id", "skeleton"), "conv_id", "left")
+    told = reports.join(rules.hint("merge"), "conv_id", "left").join(keys.hint("merge"), "conv_id", "left").join(skeletons.select("conv_id", "skeleton").hint("merge"), "conv_id", "left")
     text = F.concat(
         F.lit("drift "), "fingerprint", F.lit(" — "), "platform", F.lit(" page structure report\n\nplatform:  "), "platform",
         F.lit(f"\norigin:    {origin}\nversion:   "), "version", F.lit(f" ({target})\ndetected:  "), "day", F.lit("\n\nSelectors not matching:\n"),
