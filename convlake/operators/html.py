@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from convlake.functions.naming import domain, escape_html, safe_url
 from convlake.functions.text import parse_span
+from convlake.operators.grid import contents
 from convlake.operators.selectors import Automaton, attr, matcher, parse
 from convlake.session import ship
 
@@ -598,18 +599,34 @@ def extract_blocks(trees: DataFrame) -> DataFrame:
     return rows(page_blocks(trees), F.col("blocks")).select("page_id", *(n for n, _, _ in BLOCK_ROWS))
 
 
-def page_blocks(trees: DataFrame) -> DataFrame:
+#: Texts of a page's tables, by the block that each table is.
+TABLE_TEXTS = (
+    pa.map_(INTS, pa.struct([("header", TEXTS), ("body", pa.list_(TEXTS))])), "map<int,struct<header:array<string>,body:array<array<string>>>>"
+)
+
+
+def table_texts(cells: list[dict]) -> list[tuple[int, dict]]:
+    """What ``grid.contents`` makes of each table of a page, by the table's id."""
+    halves: dict[int, tuple[list, list]] = {}
+    for c in cells:
+        halves.setdefault(c["table_id"], ([], []))[not c["is_header"]].append((c["row_idx"], c["ordinal"], c["text"], c["rowspan"], c["colspan"]))
+    return [(table, contents(*both)) for table, both in halves.items()]
+
+
+def page_blocks(trees: DataFrame, with_tables: bool = False) -> DataFrame:
     """(page_id, blocks) with structs (block_id, parent_block_id, ordinal, depth, type, level, language, ordered, item_index, url, alt, link_url, text, path, last, nth, mark).
 
     Types: paragraph, heading, code, list and list_item, blockquote, hr, image, table.  An element that
     holds a block is taken apart, any other is one paragraph; a page without any block is one
     paragraph.  A quote holds its blocks, a list its items, an item the lists in it
-    (``parent_block_id``); ``depth`` counts these.  The cells of tables are in ``table_cells``.
+    (``parent_block_id``); ``depth`` counts these.  The cells of tables are in ``table_cells``;
+    ``with_tables`` adds ``tables``, a map from a table's block to its header and body rows as texts.
     """
     ship(trees.sparkSession)
     attrs = {"class": ("pre", "code"), "src": ("img",), "alt": ("img",), "href": ("a",)}
     of = lambda name, tags: F.transform("nodes", lambda x: F.when(x["tag"].isin(*tags), attr(x, name))).alias(name)
-    walked = trees.select("page_id", *(F.col("nodes")[k].alias(k) for k in WALKED), *(of(*a) for a in attrs.items()))
+    cells = [cells_of_page().alias("cells")] if with_tables else []
+    walked = trees.select("page_id", *(F.col("nodes")[k].alias(k) for k in WALKED), *(of(*a) for a in attrs.items()), *cells)
     kind, names = pa.list_(pa.struct([(name, t) for name, t, _ in BLOCK_ROWS])), [*WALKED, *attrs]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -618,9 +635,13 @@ def page_blocks(trees: DataFrame) -> DataFrame:
                 some = batch.slice(at, 50)
                 pages = zip(*(some.column(k).to_pylist() for k in names), strict=True)
                 found = [Walk(dict(zip(names, page, strict=True))).blocks() for page in pages]
-                yield pa.RecordBatch.from_arrays([some.column("page_id"), pa.array(found, kind)], ["page_id", "blocks"])
+                out = {"page_id": some.column("page_id"), "blocks": pa.array(found, kind)}
+                if with_tables:
+                    out["tables"] = pa.array([table_texts(c or []) for c in some.column("cells").to_pylist()], TABLE_TEXTS[0])
+                yield pa.RecordBatch.from_pydict(out)
 
-    return walked.mapInArrow(run, f"page_id long, blocks array<struct<{', '.join(f'{n}:{t}' for n, _, t in BLOCK_ROWS)}>>")
+    schema = f"page_id long, blocks array<struct<{', '.join(f'{n}:{t}' for n, _, t in BLOCK_ROWS)}>>"
+    return walked.mapInArrow(run, f"{schema}, tables {TABLE_TEXTS[1]}" if with_tables else schema)
 
 
 def table_cells(trees: DataFrame) -> DataFrame:
@@ -628,6 +649,11 @@ def table_cells(trees: DataFrame) -> DataFrame:
 
     Header rows are those of ``thead``; they and the others are numbered on their own.
     """
+    return rows(trees, cells_of_page())
+
+
+def cells_of_page() -> Column:
+    """The cells of all tables of a page, as an array."""
     tables = filtered(lambda x: element(x, "table"))
 
     def cells(table: Column, header: bool) -> Column:
@@ -642,7 +668,7 @@ def table_cells(trees: DataFrame) -> DataFrame:
             ),
         )))
 
-    return rows(trees, F.flatten(F.transform(tables, lambda t: F.concat(cells(t, True), cells(t, False)))))
+    return F.flatten(F.transform(tables, lambda t: F.concat(cells(t, True), cells(t, False))))
 
 
 # ---- structure ---------------------------------------------------------------------------

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from convlake.functions.naming import escape_html
 from convlake.functions.text import wrap_text
+from convlake.operators.grid import placed
 from convlake.operators.html import coalesce_runs  # noqa: F401  runs of pages and of code alike
+from convlake.session import ship
+
+GRID_CELL = ("row_idx", "ordinal", "text", "rowspan", "colspan")
 
 NUMBER = r"^-?[\d,]+(\.\d+)?%?$"
 STATS_LINE = r"^\s*(?i:research completed in .*|\d+\s*(citations|sources|searches)(\s*·.*)?)\s*$"
@@ -99,32 +106,25 @@ def txt_table(cells: DataFrame) -> DataFrame:
 def table_grid(cells: DataFrame, keys: list[str] = ["table_id"]) -> DataFrame:  # noqa: B006
     """Cells (keys, is_header, row_idx, ordinal, text, rowspan, colspan) at their real places.
 
-    Header and body are laid out on their own.  Placement depends on what the rows above still
-    occupy, so each table is walked in order; a table is one group, and a cell covers no more rows
-    than there are.  Spans come from ``parse_span``, 1 to 1000.
+    Header and body are laid out on their own; each is one row of the exchange, many of which are laid out in one batch.
+    Spans come from ``parse_span``, 1 to 1000.
     """
-    import pandas as pd
-
-    columns = [*keys, "is_header", "row_idx", "col_idx", "text"]
-
-    def place(frame: pd.DataFrame) -> pd.DataFrame:
-        own, out = [frame[k].iloc[0] for k in (*keys, "is_header")], []
-        taken: dict[int, set[int]] = {}
-        last = frame["row_idx"].max()
-        for r in frame.sort_values(["row_idx", "ordinal"]).itertuples():
-            row, col = taken.setdefault(r.row_idx, set()), 0
-            while col in row:
-                col += 1
-            for j in range(r.colspan):
-                while col in row:
-                    col += 1
-                for i in range(r.row_idx, min(r.row_idx + r.rowspan - 1, last) + 1):
-                    taken.setdefault(i, set()).add(col)
-                    out.append((*own, i, col, r.text if (i, j) == (r.row_idx, 0) else ""))
-        return pd.DataFrame(out, columns=columns)
-
-    schema = ", ".join([*(f"{k} {dict(cells.dtypes)[k]}" for k in keys), "is_header boolean", "row_idx int", "col_idx int", "text string"])
-    return cells.groupBy(*keys, "is_header").applyInPandas(place, schema)
+    ship(cells.sparkSession)
+    own = [*keys, "is_header"]
+    halves = cells.groupBy(*own).agg(F.collect_list(F.struct(*GRID_CELL)).alias("c"))
+    types = ", ".join([*(f"`{k}` {t}" for k, t in halves.dtypes if k in own), "places array<struct<row_idx:int,col_idx:int,text:string>>"])
+    kind = pa.list_(pa.struct([("row_idx", pa.int32()), ("col_idx", pa.int32()), ("text", pa.string())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 50):
+                some = batch.slice(at, 50)
+                found = [placed(tuple(x[k] for k in GRID_CELL) for x in c) for c in some.column("c").to_pylist()]
+                places = pa.array([[dict(zip(("row_idx", "col_idx", "text"), p, strict=True)) for p in f] for f in found], kind)
+                yield pa.RecordBatch.from_arrays([*(some.column(k) for k in own), places], [*own, "places"])
+
+    laid = halves.mapInArrow(run, types)
+    return laid.select(*own, F.explode("places").alias("x")).select(*own, "x.row_idx", "x.col_idx", "x.text")
 
 
 def sources_section(results: DataFrame) -> DataFrame:
@@ -203,16 +203,23 @@ def html_list(items: DataFrame, key: str) -> DataFrame:
 
     All lists of a depth in one ``key`` are of the kind that ``ordered`` says for their items; depths rise by one.
     """
-    w = Window.partitionBy(key).orderBy("pos")
-    rows = items.withColumn("tag", F.when(F.col("ordered"), "ol").otherwise("ul"))
-    rows = rows.withColumns({"before": F.coalesce(F.lag("depth").over(w), F.lit(-1)), "after": F.coalesce(F.lead("depth").over(w), F.lit(-1))})
-    # the lists that are open around an item: the tag of the last item of each smaller depth
-    most = F.col("depth")
-    opened = F.collect_list(F.struct("depth", "tag")).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    rows = rows.withColumn("opened", opened)
-    tag_of = lambda k: F.element_at(F.filter("opened", lambda o: o["depth"] == k), -1)["tag"]
-    closing = lambda top, low: F.array_join(F.transform(F.when(top >= low, F.reverse(F.sequence(low, top))), lambda k: F.concat(F.lit("</li></"), tag_of(k), F.lit(">"))), "")
-    start = F.when(F.col("depth") > F.col("before"), F.concat(F.lit("<"), "tag", F.lit(">"))).otherwise("")
-    end = F.when(F.col("after") > most, "").when(F.col("after") < most, F.concat(F.coalesce(closing(most, F.col("after") + 1), F.lit("")), F.when(F.col("after") >= 0, "</li>").otherwise(""))).otherwise("</li>")
-    part = F.concat(start, F.lit("<li>"), escape_html(F.col("text")), end)
-    return rows.withColumn("s", part).groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "s"))), lambda x: x["s"]), "").alias("html"))
+    gathered = items.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "depth", "ordered", "text"))).alias("l"))
+    deepest = F.array_max(F.transform("l", lambda x: x["depth"])).cast("int")
+    none = F.transform(F.sequence(F.lit(0), deepest), lambda _: F.lit("ul"))
+    start = F.struct(none.alias("tags"), F.lit(-1).alias("before"), F.array().cast("array<string>").alias("out"))
+    # ``tags``: of each depth, the kind of its last list; so an item costs no more than the lists that it ends
+    closing = lambda tags, top, low: F.array_join(
+        F.transform(F.when(top >= low, F.reverse(F.sequence(low, top))), lambda k: F.concat(F.lit("</li></"), F.get(tags, k), F.lit(">"))), ""
+    )
+
+    def step(acc: Column, x: Column) -> Column:
+        depth, before, tag = x["depth"].cast("int"), acc["before"], F.when(x["ordered"], "ol").otherwise("ul")
+        ended = (
+            F.when(depth > before, F.concat(F.lit("<"), tag, F.lit(">"))).when(depth == before, "</li>")
+            .otherwise(F.concat(closing(acc["tags"], before, depth + 1), F.lit("</li>")))
+        )
+        tags = F.transform(acc["tags"], lambda t, k: F.when(k == depth, tag).otherwise(t))
+        return F.struct(tags.alias("tags"), depth.alias("before"), F.array_append(acc["out"], F.concat(ended, F.lit("<li>"), escape_html(x["text"]))).alias("out"))
+
+    end = lambda acc: F.concat(F.array_join(acc["out"], ""), closing(acc["tags"], acc["before"], F.lit(0)))
+    return gathered.select(key, F.aggregate("l", start, step, end).alias("html"))

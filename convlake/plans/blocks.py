@@ -15,23 +15,9 @@ from pyspark.sql import functions as F
 from convlake.functions.markdown import md_code_block, md_escape_leading, md_table_row, md_table_separator
 from convlake.functions.naming import escape_html, safe_url
 from convlake.functions.text import wrap_text
-from convlake.operators.html import page_blocks, table_cells
-from convlake.operators.lines import merge_header_rows, pad_ragged_rows, table_grid
+from convlake.operators.html import page_blocks
 
 WIDTH = 72
-KEYS = ["page_id", "table_id"]
-
-
-def table_contents(trees: DataFrame) -> DataFrame:
-    """(page_id, tables): a map from a table's block to its header and its body rows, as texts."""
-    grid = table_grid(table_cells(trees), KEYS)
-    texts = lambda: F.transform(F.array_sort(F.collect_list(F.struct("col_idx", "text"))), lambda x: x["text"])
-    headers = merge_header_rows(grid, KEYS).groupBy(*KEYS).agg(texts().alias("line")).withColumn("row_idx", F.lit(-1))
-    body = pad_ragged_rows(grid, KEYS).groupBy(*KEYS, "row_idx").agg(texts().alias("line"))
-    whole = headers.unionByName(body).groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("row_idx", "line"))).alias("r"))
-    of = lambda where: F.transform(F.filter("r", where), lambda x: x["line"])
-    table = F.struct("table_id", F.struct(F.get(of(lambda x: x["row_idx"] < 0), F.lit(0)).alias("header"), of(lambda x: x["row_idx"] >= 0).alias("body")).alias("t"))
-    return whole.groupBy("page_id").agg(F.map_from_entries(F.collect_list(table)).alias("tables"))
 
 
 def lines_of(header: Column, body: Column, head: Callable, line: Callable) -> Column:
@@ -139,9 +125,12 @@ FORMATS = {"md": (md, blank_end, "\n"), "txt": (txt, blank_end, "\n"), "html": (
 
 
 def render_pages(trees: DataFrame, kind: str) -> DataFrame:
-    """(page_id, text): the blocks of each page in one of ``FORMATS``; pages without blocks are left out."""
+    """(page_id, text): the blocks of each page in one of ``FORMATS``; pages without blocks are left out.
+
+    Nothing leaves its page, so there is one parse of each and no shuffle.
+    """
     start, end, between = FORMATS[kind]
-    pages = page_blocks(trees).where(F.size("blocks") > 0).join(table_contents(trees).hint("merge"), "page_id", "left")
+    pages = page_blocks(trees, with_tables=True).where(F.size("blocks") > 0)
     levels = F.array_sort(F.array_distinct(F.filter(F.col("blocks")["level"], lambda x: x.isNotNull())))
     pages = pages.withColumn("levels", levels)
     at = lambda place, late, inner, s: F.struct(place.alias("at"), F.lit(late).alias("late"), inner.alias("inner"), s.alias("s"))
