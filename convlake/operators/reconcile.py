@@ -43,12 +43,25 @@ def sides(messages: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def positional_match(pairs: DataFrame, messages: DataFrame) -> DataFrame:
-    """Pairs with the uuids and times of the messages at their place, where all three counts agree."""
-    equal = sides(messages, pairs).where("humans = pairs AND assistants = pairs").select("conv_id")
-    q, a = numbered(messages, "human"), numbered(messages, "assistant")
-    on = lambda side, prefix: side.select("conv_id", F.col("n").alias("pair_index"), F.col("uuid").alias(f"{prefix}_uuid"), F.col("created_at").alias(f"{prefix}_time"))
-    kept = pairs.join(equal.hint("merge"), "conv_id", "left_semi")
-    return kept.join(on(q, "question").hint("merge"), ["conv_id", "pair_index"]).join(on(a, "answer").hint("merge"), ["conv_id", "pair_index"])
+    """Pairs with the uuids and times of the messages at their place, where all three counts agree.
+
+    Pairs and messages meet in one shuffle by conversation; pairs without a conv_id match nothing.
+    """
+    m = messages.where(F.col("message.sender").isin("human", "assistant")).select(
+        "conv_id", F.col("message.sender").alias("side"), F.col("message_pos").cast("long").alias("place"),
+        F.struct(F.col("message.uuid").alias("uuid"), F.col("message.created_at").alias("time")).alias("m"),
+    )
+    p = pairs.where("conv_id IS NOT NULL").select("conv_id", F.lit("pair").alias("side"), F.col("pair_index").cast("long").alias("place"), F.struct("*").alias("pair"))
+    all_of, own = Window.partitionBy("conv_id"), Window.partitionBy("conv_id", "side").orderBy("place")
+    rows = m.unionByName(p, allowMissingColumns=True)
+    rows = rows.withColumns({f"{side}s": F.count_if(F.col("side") == side).over(all_of) for side in ("human", "assistant", "pair")})
+    at = F.when(F.col("side") == "pair", F.col("place")).otherwise(F.row_number().over(own) - 1)
+    beside = Window.partitionBy("conv_id", "at")
+    rows = rows.where("humans = pairs AND assistants = pairs").withColumn("at", at)
+    rows = rows.withColumns({name: F.max(F.when(F.col("side") == side, F.col("m"))).over(beside) for side, name in (("human", "q"), ("assistant", "a"))})
+    others = [F.col("pair")[k].alias(k) for k in pairs.columns if k not in ("conv_id", "pair_index")]
+    told = [F.col(half)[k].alias(f"{name}_{k}") for half, name in (("q", "question"), ("a", "answer")) for k in ("uuid", "time")]
+    return rows.where("side = 'pair' AND q IS NOT NULL AND a IS NOT NULL").select("conv_id", F.col("pair.pair_index").alias("pair_index"), *others, *told)
 
 
 def match_warnings(pairs: DataFrame, messages: DataFrame) -> DataFrame:

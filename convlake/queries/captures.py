@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from convlake.operators import capture, pairing
 from convlake.queries.pages import number, pieces
 from convlake.registry import query
-from convlake.sources.tables import read_pages
+from convlake.sources.tables import read_pages, spread
 
 c = F.col
 SITES = ("https://chatgpt.com/c/", "https://claude.ai/chat/", "https://gemini.google.com/app/")
@@ -56,7 +56,7 @@ def captured(spark, d):
     more, url = F.lit(""), F.lit("")
     for k, parts in enumerate(shapes(number())):
         more, url = F.when(shape == k, pieces(*parts)).otherwise(more), F.when(shape == k, pieces(SITES[k % 3], number())).otherwise(url)
-    return read_pages(spark, d).select("page_id", url.alias("url"), F.concat(F.coalesce("html", F.lit("")), more).alias("html"))
+    return spread(read_pages(spark, d)).select("page_id", url.alias("url"), F.concat(F.coalesce("html", F.lit("")), more).alias("html"))
 
 
 EXPECTED = """e AS (SELECT page_id, turn, role, replace(replace(said, '#', page_id::VARCHAR), '/', chr(10)) AS content, images, media FROM pages, (VALUES

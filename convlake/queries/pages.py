@@ -11,12 +11,13 @@ from convlake.operators import drift, html, lines, widgets
 from convlake.plans import blocks
 from convlake.registry import query
 from convlake.sources.tables import read_pages as scan_pages
+from convlake.sources.tables import spread
 
 c = F.col
 
 
 def trees(spark, d):
-    return html.trees(scan_pages(spark, d), ("url",))
+    return html.trees(spread(scan_pages(spark, d)), ("url",))
 
 
 def pieces(*parts):
@@ -26,7 +27,7 @@ def pieces(*parts):
 
 def with_more(spark, d, more, alone=False):
     """The pages with ``more`` behind what they hold, or with ``more`` alone."""
-    return html.trees(scan_pages(spark, d).withColumn("html", more if alone else F.concat(F.coalesce("html", F.lit("")), more)), ("url",))
+    return html.trees(spread(scan_pages(spark, d)).withColumn("html", more if alone else F.concat(F.coalesce("html", F.lit("")), more)), ("url",))
 
 
 def number():
@@ -57,7 +58,7 @@ def html_tokens(spark, d):
 @query(r"""WITH t AS (SELECT page_id, unnest(regexp_extract_all(html, '<([a-z][a-z0-9]*)', 1)) AS tag FROM pages) SELECT page_id, tag, count(*) AS n FROM t GROUP BY ALL""")
 def dom_nodes(spark, d):
     """The nodes, counted by tag: the parser sees each start tag once."""
-    return html.dom_nodes(scan_pages(spark, d)).where("kind = 'element'").groupBy("page_id", "tag").agg(F.count("*").alias("n"))
+    return html.dom_nodes(spread(scan_pages(spark, d))).where("kind = 'element'").groupBy("page_id", "tag").agg(F.count("*").alias("n"))
 
 
 # ---- pages of a known shape ------------------------------------------------------------------
@@ -273,7 +274,7 @@ FROM pages, (VALUES ('article', 'article', true), ('ad', 'div.ad', true), ('miss
 
 
 def health(spark, d):
-    return html.selector_health(scan_pages(spark, d), SELECTORS)
+    return html.selector_health(spread(scan_pages(spark, d)), SELECTORS)
 
 
 query(f"WITH {HEALTH} SELECT page_id, key, required, matched FROM h", "selector_health")(lambda spark, d: health(spark, d).drop("selector"))

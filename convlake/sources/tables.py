@@ -23,6 +23,15 @@ def read_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "pages").select("page_id", "url", "html")
 
 
+def spread(pages: DataFrame) -> DataFrame:
+    """Scanned pages over all cores, where their files make fewer partitions than that.
+
+    To parse a page takes far more than to move it.  Only for scans: counting partitions runs nothing there.
+    """
+    cores = pages.sparkSession.sparkContext.defaultParallelism
+    return pages.repartition(cores) if not pages.isStreaming and pages.rdd.getNumPartitions() < cores else pages
+
+
 def read_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw turns as messages (conv_id, turn, role, content)."""
     return read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.col("text").alias("content"))

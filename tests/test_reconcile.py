@@ -44,6 +44,18 @@ def test_both_sides_meet_in_one_shuffle(spark):
     assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
 
 
+def test_places_are_matched_in_one_shuffle(spark):
+    m = messages(spark, dump("human", "assistant", "human", "assistant"), dump("human", "assistant"), dump("human", "human", "assistant"))
+    pairs = spark.createDataFrame([(0, 0, "q", "a"), (0, 1, None, "a"), (1, 7, "q", "a"), (2, 0, "q", "a"), (9, 0, "q", "a"), (None, 0, "q", "a")], PAIRS).withColumn("side", F.lit("more"))
+    out = reconcile.positional_match(pairs, m)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    got = [(r.conv_id, r.pair_index, r.question, r.side, r.question_uuid, r.answer_uuid, r.answer_time[:10]) for r in out.collect()]
+    # no place for the pair 7, counts that differ, no dump, no conversation
+    assert sorted(got, key=str) == [(0, 0, "q", "more", "u0", "u1", "2024-01-02"), (0, 1, None, "more", "u2", "u3", "2024-01-04")]
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+    assert reconcile.positional_match(pairs.limit(0), m.limit(0)).count() == 0
+
+
 def test_report_goes_to_the_chip_or_the_end(spark):
     pairs = spark.createDataFrame([(1, 0, "q", "a"), (1, 1, "q", ""), (2, 0, "q", "x"), (2, 1, "q", "y")], PAIRS)
     chips = spark.createDataFrame([(2, 0)], "conv_id long, pair_index int")
