@@ -15,7 +15,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from convlake.functions.artifacts import widget_fallback
 from convlake.operators.html import collapse_math, element, filtered, flat_text, hit, inner, is_text, prose, strip_chrome, subtree, trees
+from convlake.operators.reports import tidy_text
 from convlake.operators.selectors import attr
 
 #: The urls of the platforms, and where they keep turns and what is in them.
@@ -29,6 +31,7 @@ RULES = {
         "question": ".user-message-bubble-color .whitespace-pre-wrap", "answer": ".markdown.prose",
         "canvas": '[id^="textdoc-message-"]', "canvas_text": ".ProseMirror, .prose",
         "picture": ".group\\/imagegen-image, [class*=\"imagegen\"]", "picture_title": '.message-role, [class*="font-medium"]',
+        "frame": 'iframe[title^="internal://"]',
         "hidden_image": 'pre.overflow-visible\\! img, [data-testid="webpage-citation-pill"] img, button img', "image": "img",
     },
     "claude": {
@@ -75,15 +78,19 @@ def texts_of(x: Column) -> Column:
     return F.transform(F.filter(subtree(x), is_text), lambda n: F.struct(*(n[k].alias(k) for k in ("cell_id", "row_id", "block_id", "verbatim", "text"))))
 
 
-def page_parts(pages: DataFrame) -> DataFrame:
+#: Where a frame holds the html and the text of the document that it shows; named by whoever captures pages.
+RELAYED = ("data-report-html", "data-report-text")
+
+
+def page_parts(pages: DataFrame, relayed: tuple[str, str] = RELAYED) -> DataFrame:
     """(page_id, platform, node_id, turn_id, message_id, kind, text, src): what stands in the turns of pages, a row each.
 
     Pages of no known platform give no rows.  Each turn has a part of the kind ``turn`` itself; its text is only told where nothing
-    else in it has one.
+    else in it has one.  A widget's frame says its relayed report, else its relayed text, else the widget's name.
     """
     here = lambda where: filtered(lambda x: x["turn_id"].isNotNull() & where(x))
     known = pages.withColumn("platform", platform_of(F.col("url"))).where("platform IS NOT NULL")
-    raw = trees(known, ("platform",), RULES, by="platform")
+    raw = trees(known, ("platform",), RULES, by="platform", graft=relayed[0])
 
     def search(x: Column) -> Column:
         count = F.nullif(F.regexp_extract(said_in(x, "search_count"), r"(\d+)", 1), F.lit(""))
@@ -124,15 +131,17 @@ def page_parts(pages: DataFrame) -> DataFrame:
     clean = strip_chrome(collapse_math(raw.withColumn("early", early)))
     name = lambda x: F.coalesce(*(F.when(hit(x, n), F.lit(n)) for n in TEXTS))
     late = F.transform(here(lambda x: (x["kind"] == "element") & hit(x, *TEXTS)), lambda x: part(x, name(x), texts=texts_of(x)))
+    unread = lambda x: widget_fallback(F.lit(None).cast("string"), tidy_text(attr(x, relayed[1])), attr(x, "title"))
+    frames = F.transform(here(lambda x: hit(x, "frame")), lambda x: part(x, "frame", F.when(~F.exists(inner(x), is_text), unread(x)), texts=texts_of(x)))
     bare = lambda x: ~F.exists(subtree(x), lambda n: hit(n, *TEXTS))
     turns = F.transform(filtered(lambda x: (x["turn_id"] == x["node_id"]) & hit(x, "turn")), lambda x: part(x, "turn", texts=F.when(bare(x), texts_of(x))))
-    rows = clean.select("page_id", "platform", F.explode(F.concat("early", late, turns)).alias("x")).select("page_id", "platform", "x.*")
+    rows = clean.select("page_id", "platform", F.explode(F.concat("early", late, frames, turns)).alias("x")).select("page_id", "platform", "x.*")
     return rows.withColumn("text", F.coalesce("text", F.nullif(flat_text("texts"), F.lit("")))).drop("texts")
 
 
-def page_turns(pages: DataFrame) -> DataFrame:
+def page_turns(pages: DataFrame, relayed: tuple[str, str] = RELAYED) -> DataFrame:
     """(page_id, platform, turn, turn_id, role, content, images, media), numbered by place."""
-    parts = page_parts(pages).groupBy("page_id", "platform", "turn_id").agg(
+    parts = page_parts(pages, relayed).groupBy("page_id", "platform", "turn_id").agg(
         F.array_sort(F.collect_list(F.struct("node_id", "kind", "message_id", "text", "src", "alt"))).alias("p")
     )
     of = lambda *kinds: F.filter("p", lambda x: x["kind"].isin(*kinds))
@@ -152,7 +161,7 @@ def page_turns(pages: DataFrame) -> DataFrame:
     ).otherwise(first("question"))
     answered = (
         F.when((F.col("platform") == "chatgpt") & F.exists("p", lambda x: (x["kind"] == "answer") & x["message_id"].isNotNull()), joined(canvas, texts(firsts)))
-        .when(F.col("platform") == "chatgpt", F.coalesce(joined(canvas), first("picture"), first("answer"), whole))
+        .when(F.col("platform") == "chatgpt", F.coalesce(joined(canvas), first("picture"), first("answer"), first("frame"), whole))
         .when(F.col("platform") == "claude", joined(texts(of("search")), texts(answers), texts(of("artifact"))))
         .otherwise(joined(texts(answers)))
     )

@@ -24,9 +24,12 @@ from pyspark.sql import functions as F
 from convlake.functions.naming import domain, escape_html, safe_url
 from convlake.functions.text import parse_span
 from convlake.operators.grid import contents
+from convlake.operators.reports import Report
 from convlake.operators.selectors import Automaton, attr, matcher, parse
 from convlake.session import ship
 
+#: Fixed value: how titles of widgets' frames begin.
+WIDGET = "internal://"
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 BLOCK = {
     "p", "div", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "li", "blockquote", "pre", "table", "thead", "tbody", "tfoot", "tr", "td", "th",
@@ -65,9 +68,10 @@ FROM_ABOVE = (*NEAREST, "turn_id", "message_id")
 class Tree(HTMLParser):
     """The nodes of one page as columns; open elements close at the end."""
 
-    def __init__(self, selectors: Automaton | None = None) -> None:
+    def __init__(self, selectors: Automaton | None = None, graft: str | None = None) -> None:
         super().__init__(convert_charrefs=True)
         self.selectors, self.states = selectors, [0]
+        self.graft, self.floor = graft, 0  # of open elements, those below ``floor`` aren't closed
         self.nodes: dict[str, list] = {name: [] for name, _, _ in NODE}
         self.size = 0
         self.open: list[int] = []
@@ -114,7 +118,7 @@ class Tree(HTMLParser):
             self.nodes["end_id"][self.open.pop()] = self.size - 1
 
     def close_open(self, tags: set, until: set) -> None:
-        for i in range(len(self.open) - 1, -1, -1):
+        for i in range(len(self.open) - 1, self.floor - 1, -1):
             tag = self.nodes["tag"][self.open[i]]
             if tag in until:
                 return
@@ -129,12 +133,26 @@ class Tree(HTMLParser):
         me = self.add("element", tag, attrs, None)
         if tag not in VOID:
             self.open.append(me)
+        if tag == "iframe" and self.graft and not self.floor:
+            self.relayed(me, dict(attrs))
+
+    def relayed(self, frame: int, attrs: dict) -> None:
+        """The html that an attribute of a widget's frame holds, as the frame's content; no selector fits in it."""
+        if not (attrs.get("title") or "").startswith(WIDGET) or not (attrs.get(self.graft) or "").strip():
+            return
+        selectors, self.selectors, self.floor = self.selectors, None, len(self.open)
+        inside = Relayed(self)
+        inside.feed(attrs[self.graft])
+        inside.close()
+        self.close_to(self.floor)
+        self.selectors, self.floor = selectors, 0
+        Report(self.nodes, frame + 1, self.size).tidy({*ALLOWED, "html", "body"})
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag: str) -> None:
-        for i in range(len(self.open) - 1, -1, -1):
+        for i in range(len(self.open) - 1, self.floor - 1, -1):
             if self.nodes["tag"][self.open[i]] == tag:
                 return self.close_to(i)
 
@@ -145,9 +163,18 @@ class Tree(HTMLParser):
         self.add("comment", None, [], data)
 
 
-def tree(html: str | None, selectors: Automaton | None = None) -> dict[str, list]:
+class Relayed(HTMLParser):
+    """Reads html of its own into a tree that is being built."""
+
+    def __init__(self, into: Tree) -> None:
+        super().__init__(convert_charrefs=True)
+        self.handle_starttag = self.handle_startendtag = into.handle_starttag
+        self.handle_endtag, self.handle_data, self.handle_comment = into.handle_endtag, into.handle_data, into.handle_comment
+
+
+def tree(html: str | None, selectors: Automaton | None = None, graft: str | None = None) -> dict[str, list]:
     """The nodes of a page, a list for each of their fields."""
-    t = Tree(selectors)
+    t = Tree(selectors, graft)
     t.feed(html or "")
     t.close()
     t.close_to(0)
@@ -160,11 +187,12 @@ def html_tokens(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", F.posexplode(tokens).alias("pos", "token"))
 
 
-def trees(pages: DataFrame, keep: tuple[str, ...] = (), selectors: dict | None = None, by: str | None = None) -> DataFrame:
+def trees(pages: DataFrame, keep: tuple[str, ...] = (), selectors: dict | None = None, by: str | None = None, graft: str | None = None) -> DataFrame:
     """(page_id, ``keep``, nodes): every page parsed once, some pages of a batch at a time.
 
     ``hits`` of a node are the names of the ``selectors`` that it matches.  With ``by``, one of ``keep``, there is a
-    dictionary of selectors for each value of that column.
+    dictionary of selectors for each value of that column.  ``graft`` is the attribute of widgets' frames whose html
+    becomes the frame's content, tidied (``reports``).
     """
     ship(pages.sparkSession)
     automata = {k: Automaton(v) for k, v in (selectors if by else {None: selectors}).items() if v}
@@ -177,7 +205,7 @@ def trees(pages: DataFrame, keep: tuple[str, ...] = (), selectors: dict | None =
             for at in range(0, batch.num_rows, 50):
                 some = batch.slice(at, 50)
                 which = some.column(kept.index(by)).to_pylist() if by else [None] * some.num_rows
-                pages = [tree(h, automata.get(k)) for h, k in zip(some.column(len(kept)).to_pylist(), which, strict=True)]
+                pages = [tree(h, automata.get(k), graft) for h, k in zip(some.column(len(kept)).to_pylist(), which, strict=True)]
                 flat = [pa.array([v for p in pages for v in p[name]], t) for name, t, _ in NODE]
                 ends = pa.array([0, *accumulate(len(p["kind"]) for p in pages)], pa.int32())
                 nodes = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays(flat, [name for name, _, _ in NODE]))

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from convlake.operators import capture, pairing
+from convlake.operators.reports import DIAGRAM
 from convlake.queries.pages import number, pieces
 from convlake.registry import query
 from convlake.sources.tables import read_pages, spread
@@ -88,3 +89,32 @@ def pairs_of_pages(spark, d):
 def pair_containers(spark, d):
     """Containers of pages that hold both halves."""
     return pairing.pair_containers(capture.container_parts(capture.page_turns(captured(spark, d))))
+
+
+def framed(attrs, behind=()):
+    return ('<section data-turn="assistant"><h6 class="sr-only">It said:</h6><iframe ', *attrs, "></iframe>", *behind, "</section>")
+
+
+def widgets(n):
+    """Four pages that answer in frames: with a relayed report, a relayed text, neither, and in a frame that is no widget."""
+    digits, name = range(10), 'title="internal://deep-research"'
+    column = "".join(f"&lt;i>{k}&lt;/i>" for k in digits)
+    report = (
+        "&lt;div>Title ", n, "&lt;/div>&lt;h1>Title ", n, f"&lt;/h1>&lt;p>{column}&lt;/p>&lt;p>Research completed in 5m&lt;/p>&lt;ul>&lt;li>body ", n,
+        '&lt;/li>&lt;/ul>&lt;svg width=&quot;300&quot; height=&quot;90&quot;>&lt;text>2020&lt;/text>&lt;/svg>&lt;script>x()&lt;/script>',
+    )
+    return (
+        framed((name, ' data-report-html="', *report, '"')), framed((name, ' data-report-text="3 citations\n', "\n".join(map(str, digits)), "\nbody ", n, '\n7"')),
+        framed((name,)), framed(('title="map" data-report-text="no"',), ("plain ", n)),
+    )
+
+
+@query(f"""SELECT page_id, 0 AS turn, 'assistant' AS role, CASE page_id % 4 WHEN 0 THEN 'Title ' || page_id || chr(10) || 'body ' || page_id || chr(10) || '{DIAGRAM}' WHEN 1 THEN 'body ' || page_id
+WHEN 2 THEN '[Deep Research: rendered in an embedded viewer that the page does not expose]' ELSE 'plain ' || page_id END AS content FROM pages""")
+def reports_of_pages(spark, d):
+    """Turns of pages that answer in frames."""
+    more = F.lit("")
+    for k, parts in enumerate(widgets(number())):
+        more = F.when(c("page_id") % 4 == k, pieces(*parts)).otherwise(more)
+    pages = spread(read_pages(spark, d)).select("page_id", F.lit(SITES[0]).alias("url"), F.concat(F.coalesce("html", F.lit("")), more).alias("html"))
+    return capture.page_turns(pages).select("page_id", "turn", "role", "content")
