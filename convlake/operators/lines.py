@@ -12,12 +12,12 @@ from convlake.functions.naming import escape_html
 from convlake.functions.text import wrap_text
 from convlake.operators.grid import placed
 from convlake.operators.html import coalesce_runs  # noqa: F401  runs of pages and of code alike
+from convlake.operators.reports import is_stats
 from convlake.session import ship
 
 GRID_CELL = ("row_idx", "ordinal", "text", "rowspan", "colspan")
 
 NUMBER = r"^-?[\d,]+(\.\d+)?%?$"
-STATS_LINE = r"^\s*(?i:research completed in .*|\d+\s*(citations|sources|searches)(\s*·.*)?)\s*$"
 
 
 def to_lines(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -35,7 +35,8 @@ def drop_digit_runs(lines: DataFrame, key: str, least: int = 10) -> DataFrame:
 
 
 def drop_stats_lines(lines: DataFrame) -> DataFrame:
-    return lines.where(~F.col("text").rlike(STATS_LINE))
+    """Without lines of nothing but a search's figures; bare numbers count as such. Blank lines stay."""
+    return lines.where(~is_stats(F.col("text")))
 
 
 def dedupe_adjacent_titles(blocks: DataFrame, key: str) -> DataFrame:

@@ -110,8 +110,12 @@ class Report:
         self.drop_doubled_titles()
 
 
+def is_stats(line: Column) -> Column:
+    return F.regexp_replace(line, r"^\s+|\s+$", "").rlike(f"(?iu){STATS}")
+
+
 def tidy_text(text: Column) -> Column:
     """A report's plain text without rolled counters and lines of figures, trimmed; null if nothing is left."""
     digits = F.regexp_replace(text, r"(?:(?<=\n)|\A)(?:[ \t\r]*[0-9][ \t\r]*(?:\n|\z)){%d,}" % LEAST_DIGITS, "")
-    kept = F.filter(F.split(digits, "\n", -1), lambda x: ~F.trim(x).rlike(f"(?iu){STATS}"))
+    kept = F.filter(F.split(digits, "\n", -1), lambda x: ~is_stats(x))
     return F.nullif(F.regexp_replace(F.array_join(kept, "\n"), r"^\s+|\s+$", ""), F.lit(""))

@@ -177,7 +177,7 @@ def attach_report(spark, d):
 
 # ---- lines, cells, labels -------------------------------------------------------------
 
-NUMBERED = "text || chr(10) || array_to_string(list_transform(range(doc_id % 14), lambda i: (i % 10)::VARCHAR), chr(10)) || chr(10) || '12 sources · done' || chr(10) || 'end'"
+NUMBERED = "text || chr(10) || array_to_string(list_transform(range(doc_id % 14), lambda i: (i % 10)::VARCHAR), chr(10)) || chr(10) || '12 sources · 3 búsquedas' || chr(10) || 'end'"
 LINES = f"ln AS (SELECT doc_id, generate_subscripts(string_split({NUMBERED}, chr(10)), 1) - 1 AS line, unnest(string_split({NUMBERED}, chr(10))) AS text FROM documents)"
 
 
@@ -185,7 +185,7 @@ def doc_lines(spark, d):
     """The documents' lines, with a run of digit lines and a line of figures behind them."""
     n = (c("doc_id") % 14).cast("int")
     digits = F.array_join(F.transform(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")), lambda i: (i % 10).cast("string")), "\n")
-    whole = F.concat("text", F.lit("\n"), digits, F.lit("\n12 sources · done\nend"))
+    whole = F.concat("text", F.lit("\n"), digits, F.lit("\n12 sources · 3 búsquedas\nend"))
     return lines.to_lines(read_table(spark, d, "documents").withColumn("text", whole), "doc_id", "text")
 
 
@@ -195,7 +195,10 @@ def drop_digit_runs(spark, d):
     return lines.drop_digit_runs(doc_lines(spark, d), "doc_id")
 
 
-@query(f"WITH {LINES} SELECT doc_id, line::INTEGER AS line, text FROM ln WHERE text <> '12 sources · done'")
+STATS = r"'(?i)research completed in\b.*|([\d\s·.,]|citations?|searches?|sources?|fuentes?|búsquedas?)+'"
+
+
+@query(f"WITH {LINES} SELECT doc_id, line::INTEGER AS line, text FROM ln WHERE NOT regexp_full_match(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), {STATS})")
 def drop_stats_lines(spark, d):
     return lines.drop_stats_lines(doc_lines(spark, d))
 
