@@ -791,14 +791,26 @@ def text_at(selector: str) -> Column:
     return F.nullif(prose(first_match(selector)), F.lit(""))
 
 
-def extract_title(trees: DataFrame, selectors: tuple[str, ...], generic: tuple[str, ...], default: str, contained: str | None = None) -> DataFrame:
-    """(page_id, title): the first text of the selectors, in their order, that isn't a generic name."""
+def sidebar_title(path: str, inside: str) -> Column:
+    """What the first link to the page's own conversation says in ``inside``; ``path`` is the url's part that names it."""
+    own = F.nullif(F.regexp_extract("url", path, 0), F.lit(""))
+    link = F.get(filtered(lambda x: element(x, "a") & attr(x, "href").contains(own)), F.lit(0))
+    return F.nullif(prose(first_below(link, inside)), F.lit(""))
+
+
+def extract_title(
+    trees: DataFrame, selectors: tuple[str, ...], generic: tuple[str, ...], default: str, contained: str | None = None, sidebar: tuple[str, str] | None = None
+) -> DataFrame:
+    """(page_id, title): the first text of the selectors, in their order, that isn't a generic name.
+
+    With ``sidebar``, the arguments of ``sidebar_title``, the conversation's entry there comes before the default; ``trees`` then keep the url.
+    """
     def fine(selector: str) -> Column:
         said = text_at(selector)
         odd = said.isin(*generic) | (said.contains(contained) if contained else F.lit(False))
         return F.when(~odd, said)
 
-    return trees.select("page_id", F.coalesce(*map(fine, selectors), F.lit(default)).alias("title"))
+    return trees.select("page_id", F.coalesce(*map(fine, selectors), *([sidebar_title(*sidebar)] if sidebar else []), F.lit(default)).alias("title"))
 
 
 #: Where each platform names its model.

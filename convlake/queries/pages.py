@@ -310,6 +310,17 @@ def extract_title(spark, d):
     return html.extract_title(t, ('button[data-testid="chat-title-button"] div.truncate', "title"), ("Claude", "ChatGPT"), "Claude Conversation", "OpenAI")
 
 
+@query("""SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'Mine ' || page_id WHEN 1 THEN 'Head ' || page_id ELSE 'Untitled' END AS title FROM pages""")
+def titles_in_sidebars(spark, d):
+    """Pages with links to conversations: their own, their own and a title, their own without a text, and others alone."""
+    n, kind = number(), c("page_id") % 4
+    own = F.when(kind < 3, pieces('<a href="https://x.example/c/0a-', n, '?m=1"><i>icon</i>', F.when(kind < 2, pieces('<div class="truncate"> Mine <b>', n, "</b></div>")).otherwise('<div class="truncate"> </div>'), "</a>")).otherwise("")
+    head = F.when(kind == 1, pieces('<button data-testid="chat-title-button"><div class="truncate">Head ', n, "</div></button>")).otherwise("")
+    more = pieces('<nav><a href="/c/0a"><div class="truncate">Other</div></a>', own, "</nav>", head)
+    pages = spread(scan_pages(spark, d)).select("page_id", pieces("https://x.example/c/0a-", n).alias("url"), F.concat(F.coalesce("html", F.lit("")), more).alias("html"))
+    return html.extract_title(html.trees(pages, ("url",)), ('button[data-testid="chat-title-button"] div.truncate',), (), "Untitled", sidebar=("/c/[a-f0-9-]+", "div.truncate"))
+
+
 @query("""SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'slug-' || page_id WHEN 1 THEN 'Claude M' || page_id WHEN 2 THEN 'Gemini (fast mode)' END AS model FROM pages""")
 def extract_model(spark, d):
     n, kind = number(), c("page_id") % 4
