@@ -161,7 +161,18 @@ def extract_code(spark, d):
     return html.extract_code(rich(spark, d)).select("page_id", "language", "code")
 
 
-@query(r"""SELECT page_id, 1 AS level, replace(replace(replace(trim(regexp_replace(regexp_extract(html, '<h1[^>]*>([^<]*)', 1), '\s+', ' ', 'g')), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS text FROM pages WHERE regexp_matches(html, '<h1')""")
+def decoded_sql(text):
+    """The references that escaping writes, decoded once; as in HTML, one may lack its semicolon where a text was cut."""
+    for reference, sign in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("#(39|x27)", "''"), ("amp", "&")):
+        text = f"regexp_replace({text}, '&{reference};?', '{sign}', 'g')"
+    return text
+
+
+HEADING_TEXT = decoded_sql(r"trim(regexp_replace(regexp_extract(h, '>([^<]*)', 1), '\s+', ' ', 'g'))")
+
+
+@query(f"""WITH a AS (SELECT page_id, unnest(regexp_extract_all(html, '<h[1-6][^>]*>[^<]*')) AS h FROM pages),
+t AS (SELECT page_id, substr(h, 3, 1)::INTEGER AS level, {HEADING_TEXT} AS text FROM a) SELECT * FROM t WHERE text <> ''""")
 def extract_headings(spark, d):
     return html.extract_headings(trees(spark, d)).select("page_id", "level", "text")
 

@@ -1,9 +1,11 @@
 import time
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from convlake.operators import html, lines, selectors, widgets
+from convlake.queries import QUERIES, SQL
 
 PAGE = (
     '<html><body><div class="ad"><button>Copy</button></div><h1>T</h1><p>one <b>bold<p>two<ul><li>a<ul><li>b</li></ul></li><li>c</ul>'
@@ -160,3 +162,14 @@ def test_every_block_tag_is_a_line(spark, tag):
 
 def test_white_space_between_blocks_is_no_text(spark):
     assert html.flatten_text(trees(spark, "<p>a</p>\n\u00a0<p>b</p>\n<table>\n<tr>\n<td>1</td>\n<td>2</td></tr></table>")).first().text == "a\nb\n1 | 2"
+
+
+def test_headings_equal_their_sql_for_escaped_cut_and_blank_ones(spark, tmp_path):
+    heads = ["&quot;q&quot; &#x27;s&#39;", "cut&amp;&amp", "cut &am", "&amp;lt; &lt;b&gt;", " ", "plain"]
+    pages = [(i, f"u{i}", f"<h1>{h}</h1><p>x</p><h3>sub &quot{h}</h3>") for i, h in enumerate(heads)]
+    spark.createDataFrame([*pages, (9, "u", None)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = sorted((r.page_id, r.level, r.text) for r in QUERIES["extract_headings"](spark, str(tmp_path)).collect())
+    with duckdb.connect() as duck:
+        duck.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+        assert got == sorted(duck.execute(SQL["extract_headings"]).fetchall())
+    assert (0, 1, "\"q\" 's'") in got and (1, 1, "cut&&") in got and (3, 1, "&lt; <b>") in got and len(got) == 11
