@@ -229,8 +229,12 @@ Items = Callable[[Column], Column]
 
 
 def rows(trees: DataFrame, items: Column) -> DataFrame:
-    """A row for each struct in ``items``."""
-    return trees.select("page_id", F.explode(items).alias("x")).select("page_id", "x.*")
+    """A row for each struct in ``items``.
+
+    Not by ``explode``: Spark infers a filter on the array's size from it, pushes that below the columns that made the array, and puts
+    them in the filter's place of each, so what a page needs once is done again for each of its nodes.
+    """
+    return trees.select("page_id", F.explode_outer(items).alias("x")).where("x IS NOT NULL").select("page_id", "x.*")
 
 
 def filtered(where: Items) -> Column:
@@ -359,8 +363,9 @@ def flat_text(texts: str) -> Column:
 
 def flatten_text(trees: DataFrame) -> DataFrame:
     """(page_id, text) of whole pages; pages without text are left out."""
-    texts = trees.select("page_id", filtered(is_text).alias("t")).where(F.size("t") > 0)
-    return texts.select("page_id", flat_text("t").alias("text"))
+    texts = trees.select("page_id", filtered(is_text).alias("t"))
+    # a filter on the texts would be pushed like that of ``explode`` (``rows``)
+    return rows(texts, F.when(F.size("t") > 0, F.array(F.struct(flat_text("t").alias("text")))))
 
 
 # ---- elements ----------------------------------------------------------------------------

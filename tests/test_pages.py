@@ -173,3 +173,12 @@ def test_headings_equal_their_sql_for_escaped_cut_and_blank_ones(spark, tmp_path
         duck.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
         assert got == sorted(duck.execute(SQL["extract_headings"]).fetchall())
     assert (0, 1, "\"q\" 's'") in got and (1, 1, "cut&&") in got and (3, 1, "&lt; <b>") in got and len(got) == 11
+
+
+def test_no_filter_repeats_what_a_page_needs_once(spark):
+    left = html.strip_chrome(trees(spark, PAGE))
+    for made in (html.flatten_text(left), html.node_rows(left), html.extract_headings(left)):
+        plan = made._jdf.queryExecution().optimizedPlan().toString()
+        assert not [line for line in plan.split("\n") if "Filter" in line and "lambda" in line]
+        assert plan.count("aggregate(filter(") <= 3  # the intervals of two droppings, and a heading's prose
+    assert html.flatten_text(trees(spark, "", None, " ", "x")).collect() == [(3, "x")]
