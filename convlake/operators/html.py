@@ -13,7 +13,7 @@ page; malformed markup never fails, and null pages have no nodes.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from html.parser import HTMLParser
 from itertools import accumulate
 
@@ -58,61 +58,85 @@ NODE = (
     # of the selectors that the parse was given: those that fit, and the nearest element that fits ``turn`` and ``message``
     ("hits", TEXTS, "array<string>"), ("turn_id", INTS, "int"), ("message_id", INTS, "int"),
 )
+FIELDS = tuple(name for name, _, _ in NODE)
 
 
 #: What a tag makes a node itself the nearest of.
 MAKES = {tag: tuple(k for k, tags in NEAREST.items() if tag in tags) for tag in set().union(*NEAREST.values())}
-FROM_ABOVE = (*NEAREST, "turn_id", "message_id")
+#: What a node has from the element around it unless it is one itself, and where that stands in its tuple.
+FROM_ABOVE = {k: i for i, k in enumerate((*NEAREST, "turn_id", "message_id", "list_depth", "verbatim", "marks", "mark_id"))}
+NONE: list = []  # shared, never changed
+NOT_P = BLOCK - {"p"}
 
 
 class Tree(HTMLParser):
     """The nodes of one page as columns; open elements close at the end."""
 
-    def __init__(self, selectors: Automaton | None = None, graft: str | None = None) -> None:
+    def __init__(self, selectors: Automaton | None = None, graft: str | None = None, fields: Iterable[str] = FIELDS) -> None:
         super().__init__(convert_charrefs=True)
+        self.inherits = bool(graft) or not {*FROM_ABOVE, "item_index"}.isdisjoint(fields)  # else what is around a node isn't kept
         self.selectors, self.states = selectors, [0]
         self.graft, self.floor = graft, 0  # of open elements, those below ``floor`` aren't closed
-        self.nodes: dict[str, list] = {name: [] for name, _, _ in NODE}
+        self.nodes: dict[str, list] = {name: [] for name, _, _ in NODE if name not in FROM_ABOVE or name == "block_id"}
         self.size = 0
         self.open: list[int] = []
         self.children: dict[int | None, int] = {}
         self.items: dict[int | None, int] = {}
+        # of each node, and of what is around a node of each depth, the values of FROM_ABOVE
+        self.inherited: list[tuple] = []
+        self.above: list[tuple] = [tuple({"list_depth": -1, "verbatim": False, "marks": NONE}.get(k) for k in FROM_ABOVE)]
 
     def add(self, kind: str, tag: str | None, attrs: list, text: str | None) -> int:
         me, n, depth = self.size, self.nodes, len(self.open)
         up = self.open[-1] if depth else None
         self.size += 1
         self.children[up] = ordinal = self.children.get(up, -1) + 1
-        for k in FROM_ABOVE:
-            n[k].append(None if up is None else n[k][up])
-        deep, verbatim, marks, mark_id = (-1, False, [], None) if up is None else (n["list_depth"][up], n["verbatim"][up], n["marks"][up], n["mark_id"][up])
-        classes, kept, hits, item_index = [], {}, [], None
+        has, classes, pairs, hits, item_index = self.above[depth], NONE, NONE, NONE, None
         if kind == "element":
-            for k in MAKES.get(tag, ()):
-                n[k][me] = me
-            kept = {k: v or "" for k, v in attrs}
-            classes = kept["class"].split() if "class" in kept else classes
+            kept = {k: v or "" for k, v in attrs} if attrs else {}
+            pairs = list(kept.items()) if kept else NONE
+            classes = kept["class"].split() if "class" in kept else NONE
             if self.selectors:
                 state, hits = self.selectors.step(self.states[depth], tag, classes, kept)
                 self.states[depth + 1 :] = [state]
-                for name in hits:
-                    if name in ("turn", "message"):
-                        n[f"{name}_id"][me] = me
             mark = "math" if "data-math-display" in kept else INLINE.get(tag)
-            if mark:
-                marks, mark_id = marks if mark in marks else [*marks, mark], mark_id if marks else me
+            if self.inherits and (mark or hits or tag in MAKES):
+                has = self.made(me, has, tag, mark, hits)
+            self.above[depth + 1 :] = [has]
             if tag == "li":
-                item_index = self.items[n["list_id"][me]] = self.items.get(n["list_id"][me], -1) + 1
-            deep += tag in ("ul", "ol")
-            verbatim = verbatim or tag in ("pre", "code")
-        own = {
-            "node_id": me, "parent_id": up, "depth": depth, "ordinal": ordinal, "kind": kind, "tag": tag, "classes": classes, "attrs": list(kept.items()), "text": text,
-            "end_id": me, "list_depth": deep, "item_index": item_index, "verbatim": verbatim, "marks": marks, "mark_id": mark_id, "hits": hits,
-        }
-        for k, v in own.items():
-            n[k].append(v)
+                around = has[FROM_ABOVE["list_id"]]
+                item_index = self.items[around] = self.items.get(around, -1) + 1
+        self.inherited.append(has)
+        n["parent_id"].append(up)
+        n["depth"].append(depth)
+        n["ordinal"].append(ordinal)
+        n["kind"].append(kind)
+        n["tag"].append(tag)
+        n["classes"].append(classes)
+        n["attrs"].append(pairs)
+        n["text"].append(text)
+        n["end_id"].append(me)
+        n["block_id"].append(has[0])
+        n["item_index"].append(item_index)
+        n["hits"].append(hits)
         return me
 
+    def made(self, me: int, above: tuple, tag: str, mark: str | None, hits: list) -> tuple:
+        """The values of FROM_ABOVE of an element that changes some of them."""
+        has = dict(zip(FROM_ABOVE, above, strict=True))
+        for k in (*MAKES.get(tag, ()), *(f"{name}_id" for name in hits if name in ("turn", "message"))):
+            has[k] = me
+        if mark:
+            marks = has["marks"]
+            has["marks"], has["mark_id"] = marks if mark in marks else [*marks, mark], has["mark_id"] if marks else me
+        has["list_depth"] += tag in ("ul", "ol")
+        has["verbatim"] = has["verbatim"] or tag in ("pre", "code")
+        return tuple(has.values())
+
+    def columns(self, names: Iterable[str]) -> dict[str, list]:
+        self.nodes["node_id"] = list(range(self.size))
+        return {k: self.nodes[k] if k in self.nodes else [has[FROM_ABOVE[k]] for has in self.inherited] for k in names}
+
     def close_to(self, depth: int) -> None:
         while len(self.open) > depth:
             self.nodes["end_id"][self.open.pop()] = self.size - 1
@@ -127,7 +151,7 @@ class Tree(HTMLParser):
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in CLOSES_P:
-            self.close_open({"p"}, BLOCK - {"p"})  # through inline elements, which end with it
+            self.close_open({"p"}, NOT_P)  # through inline elements, which end with it
         if tag in SIBLINGS:
             self.close_open(*SIBLINGS[tag])
         me = self.add("element", tag, attrs, None)
@@ -172,13 +196,13 @@ class Relayed(HTMLParser):
         self.handle_endtag, self.handle_data, self.handle_comment = into.handle_endtag, into.handle_data, into.handle_comment
 
 
-def tree(html: str | None, selectors: Automaton | None = None, graft: str | None = None) -> dict[str, list]:
+def tree(html: str | None, selectors: Automaton | None = None, graft: str | None = None, fields: Iterable[str] = FIELDS) -> dict[str, list]:
     """The nodes of a page, a list for each of their fields."""
-    t = Tree(selectors, graft)
+    t = Tree(selectors, graft, fields)
     t.feed(html or "")
     t.close()
     t.close_to(0)
-    return t.nodes
+    return t.columns(fields)
 
 
 def html_tokens(pages: DataFrame) -> DataFrame:
@@ -187,17 +211,18 @@ def html_tokens(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", F.posexplode(tokens).alias("pos", "token"))
 
 
-def trees(pages: DataFrame, keep: tuple[str, ...] = (), selectors: dict | None = None, by: str | None = None, graft: str | None = None) -> DataFrame:
+def trees(pages: DataFrame, keep: tuple[str, ...] = (), selectors: dict | None = None, by: str | None = None, graft: str | None = None, fields: tuple[str, ...] = FIELDS) -> DataFrame:
     """(page_id, ``keep``, nodes): every page parsed once, some pages of a batch at a time.
 
     ``hits`` of a node are the names of the ``selectors`` that it matches.  With ``by``, one of ``keep``, there is a
     dictionary of selectors for each value of that column.  ``graft`` is the attribute of widgets' frames whose html
-    becomes the frame's content, tidied (``reports``).
+    becomes the frame's content, tidied (``reports``).  Nodes have the ``fields`` that are asked for.
     """
     ship(pages.sparkSession)
     automata = {k: Automaton(v) for k, v in (selectors if by else {None: selectors}).items() if v}
     narrow = pages.select(F.col("page_id").cast("long").alias("page_id"), *keep, F.col("html").cast("string").alias("html"))
     kept = narrow.columns[:-1]
+    of = [x for x in NODE if x[0] in fields]
     types = ", ".join(f"`{n}` {t}" for n, t in narrow.dtypes[:-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,13 +230,13 @@ def trees(pages: DataFrame, keep: tuple[str, ...] = (), selectors: dict | None =
             for at in range(0, batch.num_rows, 50):
                 some = batch.slice(at, 50)
                 which = some.column(kept.index(by)).to_pylist() if by else [None] * some.num_rows
-                pages = [tree(h, automata.get(k), graft) for h, k in zip(some.column(len(kept)).to_pylist(), which, strict=True)]
-                flat = [pa.array([v for p in pages for v in p[name]], t) for name, t, _ in NODE]
-                ends = pa.array([0, *accumulate(len(p["kind"]) for p in pages)], pa.int32())
-                nodes = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays(flat, [name for name, _, _ in NODE]))
+                pages = [tree(h, automata.get(k), graft, fields) for h, k in zip(some.column(len(kept)).to_pylist(), which, strict=True)]
+                flat = [pa.array([v for p in pages for v in p[name]], t) for name, t, _ in of]
+                ends = pa.array([0, *accumulate(len(p[fields[0]]) for p in pages)], pa.int32())
+                nodes = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays(flat, [name for name, _, _ in of]))
                 yield pa.RecordBatch.from_arrays([*some.columns[: len(kept)], nodes], [*kept, "nodes"])
 
-    return narrow.mapInArrow(run, f"{types}, nodes array<struct<{', '.join(f'{n}:{t}' for n, _, t in NODE)}>>")
+    return narrow.mapInArrow(run, f"{types}, nodes array<struct<{', '.join(f'{n}:{t}' for n, _, t in of)}>>")
 
 
 def node_rows(trees: DataFrame) -> DataFrame:
@@ -709,6 +734,8 @@ def cells_of_page() -> Column:
 #: Attributes whose values come from small vocabularies and never hold what somebody wrote.
 SKELETON_ATTRS = ("data-turn", "data-message-author-role", "data-is-streaming", "role", "type")
 BUDGET = {"nodes": 500, "bytes": 32_768, "depth": 12}
+#: Fields of nodes that a skeleton is made of.
+SKELETON_FIELDS = ("node_id", "parent_id", "depth", "kind", "tag", "attrs", "text")
 
 
 def page_skeleton(trees: DataFrame, budget: dict[str, int] = BUDGET) -> DataFrame:
@@ -725,24 +752,25 @@ def page_skeleton(trees: DataFrame, budget: dict[str, int] = BUDGET) -> DataFram
     label = lambda x: F.when(x["kind"] == "text", F.concat(F.lit("text("), F.length(F.trim(x["text"])).cast("string"), F.lit(")"))).otherwise(
         F.concat(x["tag"], classes(x), F.coalesce(F.concat(F.lit("["), F.nullif(shown(x), F.lit("")), F.lit("]")), F.lit("")))
     )
-    lines = rows(trees, F.transform(
-        filtered(lambda x: (x["kind"] == "element") | is_text(x)),
-        lambda x: F.struct(
-            x["node_id"].alias("node_id"), x["parent_id"].alias("parent_id"), x["depth"].alias("depth"), (x["kind"] == "element").alias("e"),
-            F.concat(F.repeat(F.lit("  "), x["depth"]), label(x)).alias("line"),
-        ),
-    ))
-    before = Window.partitionBy("page_id").orderBy("node_id").rowsBetween(Window.unboundedPreceding, -1)
     # what is a line, as long as there is budget: elements, and the texts right below them
-    counts = F.col("depth") <= F.when(F.col("e"), budget["depth"]).otherwise(budget["depth"] + 1)
-    lines = lines.withColumn("n", F.coalesce(F.count_if(F.col("e") & counts).over(before), F.lit(0)))
-    lines = lines.withColumn("size", F.coalesce(F.sum(F.when(counts, F.length("line") + 1)).over(before), F.lit(0)))
-    spent = F.col("e") & counts & ((F.col("n") >= budget["nodes"]) | (F.col("size") >= budget["bytes"]))
-    lines = lines.withColumn("cut", F.min(F.when(spent, F.col("node_id"))).over(Window.partitionBy("page_id")))
+    counts = lambda x: x["depth"] <= F.when(x["kind"] == "element", budget["depth"]).otherwise(budget["depth"] + 1)
+    shows = lambda x: (x["kind"] == "element") | is_text(x)
+    lines = trees.where(F.exists("nodes", lambda x: F.coalesce(shows(x), F.lit(False)))).select("page_id", F.transform(filtered(shows), lambda x: F.struct(
+        x["node_id"].alias("node_id"), x["parent_id"].alias("parent_id"), (x["kind"] == "element").alias("e"), counts(x).alias("counts"),
+        F.concat(F.repeat(F.lit("  "), x["depth"]), label(x)).alias("line"),
+    )).alias("lines"))
+    # one fold over a page's lines: elements and characters so far, and the first element for which the budget is spent
+    start = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("size"), F.lit(None).cast("int").alias("cut"))
+    spent = lambda acc, x: x["e"] & x["counts"] & ((acc["n"] >= budget["nodes"]) | (acc["size"] >= budget["bytes"]))
+    step = lambda acc, x: F.struct(
+        (acc["n"] + (x["e"] & x["counts"]).cast("int")).alias("n"),
+        (acc["size"] + F.when(x["counts"], F.length(x["line"]) + 1).otherwise(0)).alias("size"), F.coalesce(acc["cut"], F.when(spent(acc, x), x["node_id"])).alias("cut"),
+    )
+    cut = lines.select("*", F.aggregate("lines", start, step)["cut"].alias("cut"))
     fresh = lambda c: F.coalesce(c < F.col("cut"), F.lit(True))
-    kept = counts & F.when(F.col("e"), fresh(F.col("node_id"))).otherwise(fresh(F.col("parent_id")))
-    gone = F.col("e") & F.when(counts, ~fresh(F.col("node_id")) & fresh(F.col("parent_id"))).otherwise(fresh(F.col("node_id")))
-    out = lines.groupBy("page_id").agg(F.array_sort(F.collect_list(F.when(kept, F.struct("node_id", "line")))).alias("k"), F.count_if(gone).alias("elided"))
+    kept = lambda x: x["counts"] & F.when(x["e"], fresh(x["node_id"])).otherwise(fresh(x["parent_id"]))
+    gone = lambda x: x["e"] & F.when(x["counts"], ~fresh(x["node_id"]) & fresh(x["parent_id"])).otherwise(fresh(x["node_id"]))
+    out = cut.select("page_id", F.filter("lines", kept).alias("k"), F.size(F.filter("lines", gone)).cast("long").alias("elided"))
     more = F.when(F.col("elided") > 0, F.array(F.concat(F.lit("…elided "), F.col("elided").cast("string"), F.lit(" nodes")))).otherwise(F.array().cast("array<string>"))
     return out.select("page_id", F.array_join(F.concat(F.transform("k", lambda x: x["line"]), more), "\n").alias("skeleton"), "elided")
 

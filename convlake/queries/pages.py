@@ -16,8 +16,8 @@ from convlake.sources.tables import spread
 c = F.col
 
 
-def trees(spark, d):
-    return html.trees(spread(scan_pages(spark, d)), ("url",))
+def trees(spark, d, fields=html.FIELDS):
+    return html.trees(spread(scan_pages(spark, d)), ("url",), fields=fields)
 
 
 def pieces(*parts):
@@ -25,9 +25,9 @@ def pieces(*parts):
     return F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
 
 
-def with_more(spark, d, more, alone=False):
+def with_more(spark, d, more, alone=False, fields=html.FIELDS):
     """The pages with ``more`` behind what they hold, or with ``more`` alone."""
-    return html.trees(spread(scan_pages(spark, d)).withColumn("html", more if alone else F.concat(F.coalesce("html", F.lit("")), more)), ("url",))
+    return html.trees(spread(scan_pages(spark, d)).withColumn("html", more if alone else F.concat(F.coalesce("html", F.lit("")), more)), ("url",), fields=fields)
 
 
 def number():
@@ -251,7 +251,7 @@ def layouts(spark, d):
     items = F.repeat(F.lit("<i>y</i>"), (c("page_id") % 3 * 300).cast("int"))
     return with_more(spark, d, pieces(
         '<main class="a b" aria-label="', n, '" data-testid="', n, '"><p data-turn="user" title="', n, '" role="note">xx</p><!-- ', n, " --><div>", items, "</div></main>",
-    ), alone=True)
+    ), alone=True, fields=html.SKELETON_FIELDS)
 
 
 SKELETON = """s AS (SELECT page_id, (page_id % 3 * 300)::INTEGER AS k FROM pages),
@@ -266,7 +266,7 @@ def page_skeleton(spark, d):
 
 @query()
 def page_skeleton_of_pages(spark, d):
-    return html.page_skeleton(trees(spark, d))
+    return html.page_skeleton(trees(spark, d, html.SKELETON_FIELDS))
 
 
 @query("SELECT count(*) AS pages FROM pages GROUP BY page_id % 3")

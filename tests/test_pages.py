@@ -182,3 +182,13 @@ def test_no_filter_repeats_what_a_page_needs_once(spark):
         assert not [line for line in plan.split("\n") if "Filter" in line and "lambda" in line]
         assert plan.count("aggregate(filter(") <= 3  # the intervals of two droppings, and a heading's prose
     assert html.flatten_text(trees(spark, "", None, " ", "x")).collect() == [(3, "x")]
+
+
+def test_skeletons_need_no_shuffle_and_few_fields(spark):
+    pages = spark.createDataFrame([(i, p) for i, p in enumerate([PAGE, None, "", " ", "x", "<div>" * 20 + "y", "<i>y</i>" * 700])], "page_id long, html string")
+    whole, few = (html.page_skeleton(html.trees(pages, fields=f)) for f in (html.FIELDS, html.SKELETON_FIELDS))
+    got = sorted(map(tuple, few.collect()))
+    assert got == sorted(map(tuple, whole.collect())) and [g[0] for g in got] == [0, 4, 5, 6]
+    assert got[1][1:] == ("text(1)", 0) and got[2][2] == 7 and got[3][1].count("text(1)") == 500 and got[3][2] == 200
+    assert "Exchange" not in few._jdf.queryExecution().executedPlan().toString()
+    assert html.tree("<ul><li>a</ul>", fields=("tag", "item_index")) == {"tag": ["ul", "li", None], "item_index": [None, 0, None]}
