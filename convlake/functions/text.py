@@ -97,8 +97,8 @@ def portable_characters(c: Column) -> Column:
 
 def unsupported_script(c: Column) -> tuple[Column, Column]:
     """Characters that the fonts don't cover as ``?``, and whether there were any."""
-    odd = f"[^{COVERED}\\x{{0}}-\\x{{1F}}]"
-    return F.regexp_replace(c, odd, "?"), c.rlike(odd)
+    shown = F.regexp_replace(c, f"[^{COVERED}\\x{{0}}-\\x{{1F}}]", "?")
+    return shown, shown != c  # as fonts cover the ``?`` itself
 
 
 def xml_safe(c: Column) -> Column:

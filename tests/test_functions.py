@@ -51,3 +51,10 @@ def test_characters(spark):
 def test_research_stats(spark):
     got = apply(spark, artifacts.research_stats, ["in 6m· 18 fuentes· 60 búsquedas", "nothing", "3 Sources"])
     assert [tuple(r) if r else None for r in got] == [("6m", 18, 60), None, ("", 3, 0)]
+
+
+def test_unsupported_characters_are_looked_for_once(spark):
+    shown, flag = text.unsupported_script(F.col("t"))
+    df = spark.createDataFrame([("a?é",), ("漢?",), (None,), ("",), ("😀",)], "t string").select(shown.alias("s"), flag.alias("f"))
+    assert [tuple(r) for r in df.collect()] == [("a?é", False), ("??", True), (None, None), ("", False), ("?", True)]
+    assert "RLIKE" not in df._jdf.queryExecution().analyzed().toString()
