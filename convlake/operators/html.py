@@ -796,7 +796,7 @@ def selector_health(pages: DataFrame, selectors: Selectors) -> DataFrame:
     All selectors are asked for while the pages are parsed.
     """
     read = {f"{k}": selector for k, (_, selector, _) in enumerate(selectors) if readable(selector)}
-    found = trees(pages, selectors=read).withColumn("hits", F.flatten(F.col("nodes")["hits"]))
+    found = trees(pages, selectors=read, fields=("hits",)).withColumn("hits", F.flatten(F.col("nodes")["hits"]))
 
     def one(k: int, key: str, selector: str, required: bool) -> Column:
         n = F.size(F.filter("hits", lambda h: h == str(k))) if str(k) in read else F.lit(-1)
