@@ -3,13 +3,11 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterator
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convlake.session import ship  # noqa: F401
+from convlake.session import byte_slices, ship  # noqa: F401
 
 #: Words of every operator here: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -112,16 +110,3 @@ def sample_by_hash(df: DataFrame, key: str, most: int) -> DataFrame:
         held += counts.get(bound, 0)
         bound += 1
     return df.where(place < bound) if held else df.where(place < bins).limit(most)
-
-
-def byte_slices(batches: Iterator[pa.RecordBatch], rows: int = 1000, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """The batches in slices of ``rows`` rows and about ``size`` bytes at most; a single longer row is a slice."""
-    for batch in batches:
-        at = 0
-        while at < batch.num_rows:
-            n = min(rows, batch.num_rows - at)
-            while n > 1 and batch.slice(at, n).nbytes > size:
-                n = (n + 1) // 2
-            yield batch.slice(at, n)
-            at += n
-    pa.default_memory_pool().release_unused()  # the worker waits for its next task with what it holds

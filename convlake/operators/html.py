@@ -26,7 +26,7 @@ from convlake.functions.text import parse_span
 from convlake.operators.grid import contents
 from convlake.operators.reports import Report
 from convlake.operators.selectors import Automaton, attr, matcher, parse
-from convlake.session import ship
+from convlake.session import byte_slices, ship, small_batches
 
 #: Fixed value: how titles of widgets' frames begin.
 WIDGET = "internal://"
@@ -59,6 +59,8 @@ NODE = (
     ("hits", TEXTS, "array<string>"), ("turn_id", INTS, "int"), ("message_id", INTS, "int"),
 )
 FIELDS = tuple(name for name, _, _ in NODE)
+#: Pages, and about as many bytes, that are Python objects at a time.
+SLICE = (50, 1 << 20)
 
 
 #: What a tag makes a node itself the nearest of.
@@ -219,6 +221,7 @@ def trees(pages: DataFrame, keep: tuple[str, ...] = (), selectors: dict | None =
     becomes the frame's content, tidied (``reports``).  Nodes have the ``fields`` that are asked for.
     """
     ship(pages.sparkSession)
+    small_batches(pages.sparkSession)
     automata = {k: Automaton(v) for k, v in (selectors if by else {None: selectors}).items() if v}
     narrow = pages.select(F.col("page_id").cast("long").alias("page_id"), *keep, F.col("html").cast("string").alias("html"))
     kept = narrow.columns[:-1]
@@ -226,15 +229,13 @@ def trees(pages: DataFrame, keep: tuple[str, ...] = (), selectors: dict | None =
     types = ", ".join(f"`{n}` {t}" for n, t in narrow.dtypes[:-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 50):
-                some = batch.slice(at, 50)
-                which = some.column(kept.index(by)).to_pylist() if by else [None] * some.num_rows
-                pages = [tree(h, automata.get(k), graft, fields) for h, k in zip(some.column(len(kept)).to_pylist(), which, strict=True)]
-                flat = [pa.array([v for p in pages for v in p[name]], t) for name, t, _ in of]
-                ends = pa.array([0, *accumulate(len(p[fields[0]]) for p in pages)], pa.int32())
-                nodes = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays(flat, [name for name, _, _ in of]))
-                yield pa.RecordBatch.from_arrays([*some.columns[: len(kept)], nodes], [*kept, "nodes"])
+        for some in byte_slices(batches, *SLICE):
+            which = some.column(kept.index(by)).to_pylist() if by else [None] * some.num_rows
+            pages = [tree(h, automata.get(k), graft, fields) for h, k in zip(some.column(len(kept)).to_pylist(), which, strict=True)]
+            flat = [pa.array([v for p in pages for v in p[name]], t) for name, t, _ in of]
+            ends = pa.array([0, *accumulate(len(p[fields[0]]) for p in pages)], pa.int32())
+            nodes = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays(flat, [name for name, _, _ in of]))
+            yield pa.RecordBatch.from_arrays([*some.columns[: len(kept)], nodes], [*kept, "nodes"])
 
     return narrow.mapInArrow(run, f"{types}, nodes array<struct<{', '.join(f'{n}:{t}' for n, _, t in of)}>>")
 
@@ -681,6 +682,7 @@ def page_blocks(trees: DataFrame, with_tables: bool = False) -> DataFrame:
     ``with_tables`` adds ``tables``, a map from a table's block to its header and body rows as texts.
     """
     ship(trees.sparkSession)
+    small_batches(trees.sparkSession)
     attrs = {"class": ("pre", "code"), "src": ("img",), "alt": ("img",), "href": ("a",)}
     of = lambda name, tags: F.transform("nodes", lambda x: F.when(x["tag"].isin(*tags), attr(x, name))).alias(name)
     cells = [cells_of_page().alias("cells")] if with_tables else []
@@ -688,15 +690,13 @@ def page_blocks(trees: DataFrame, with_tables: bool = False) -> DataFrame:
     kind, names = pa.list_(pa.struct([(name, t) for name, t, _ in BLOCK_ROWS])), [*WALKED, *attrs]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 50):
-                some = batch.slice(at, 50)
-                pages = zip(*(some.column(k).to_pylist() for k in names), strict=True)
-                found = [Walk(dict(zip(names, page, strict=True))).blocks() for page in pages]
-                out = {"page_id": some.column("page_id"), "blocks": pa.array(found, kind)}
-                if with_tables:
-                    out["tables"] = pa.array([table_texts(c or []) for c in some.column("cells").to_pylist()], TABLE_TEXTS[0])
-                yield pa.RecordBatch.from_pydict(out)
+        for some in byte_slices(batches, *SLICE):
+            pages = zip(*(some.column(k).to_pylist() for k in names), strict=True)
+            found = [Walk(dict(zip(names, page, strict=True))).blocks() for page in pages]
+            out = {"page_id": some.column("page_id"), "blocks": pa.array(found, kind)}
+            if with_tables:
+                out["tables"] = pa.array([table_texts(c or []) for c in some.column("cells").to_pylist()], TABLE_TEXTS[0])
+            yield pa.RecordBatch.from_pydict(out)
 
     schema = f"page_id long, blocks array<struct<{', '.join(f'{n}:{t}' for n, _, t in BLOCK_ROWS)}>>"
     return walked.mapInArrow(run, f"{schema}, tables {TABLE_TEXTS[1]}" if with_tables else schema)

@@ -1,6 +1,7 @@
 import time
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -192,3 +193,29 @@ def test_skeletons_need_no_shuffle_and_few_fields(spark):
     assert got[1][1:] == ("text(1)", 0) and got[2][2] == 7 and got[3][1].count("text(1)") == 500 and got[3][2] == 200
     assert "Exchange" not in few._jdf.queryExecution().executedPlan().toString()
     assert html.tree("<ul><li>a</ul>", fields=("tag", "item_index")) == {"tag": ["ul", "li", None], "item_index": [None, 0, None]}
+
+
+def test_tasks_hand_pages_to_python_in_small_batches(spark):
+    from convlake.session import BATCH, byte_slices, small_batches
+
+    spark.conf.unset(BATCH[0])
+    page = "<div><p>one <b>two</b></p><table><tr><td>3</td></tr></table></div>" * 40
+    df = spark.range(0, 800, 1, 1).select(F.col("id").alias("page_id"), F.lit(page).alias("html"))
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": [b.num_rows], "mb": [b.nbytes / 1e6]})
+
+    left = html.strip_chrome(html.trees(df))
+    got = left.mapInArrow(sizes, "n long, mb double").collect()
+    assert sum(r.n for r in got) == 800 and sum(r.mb for r in got) > 20 and max(r.mb for r in got) < 6
+    blocks = html.extract_blocks(left).groupBy("page_id").count()
+    assert blocks.where("count = 80").count() == 800
+    # long pages are parsed and walked one by one, short ones fifty at a time
+    batch = pa.RecordBatch.from_pydict({"html": ["x" * (2 << 20)] * 3 + ["y"] * 60})
+    assert [s.num_rows for s in byte_slices([batch], *html.SLICE)] == [1, 1, 1, 50, 10]
+    # a bound that the session names stays
+    spark.conf.set(BATCH[0], "5m")
+    small_batches(spark)
+    assert spark.conf.get(BATCH[0]) == "5m"
+    spark.conf.unset(BATCH[0])
