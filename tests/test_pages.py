@@ -219,3 +219,21 @@ def test_tasks_hand_pages_to_python_in_small_batches(spark):
     small_batches(spark)
     assert spark.conf.get(BATCH[0]) == "5m"
     spark.conf.unset(BATCH[0])
+
+
+@pytest.mark.parametrize("made", [html.extract_blocks])
+def test_parse_and_walk_get_small_batches(spark, monkeypatch, made):
+    from convlake.session import BATCH, byte_slices
+
+    def checked(batches, rows, size):
+        for b in batches:
+            assert b.nbytes < 6e6
+            yield from byte_slices([b], rows, size)
+
+    spark.conf.unset(BATCH[0])
+    monkeypatch.setattr(html, "byte_slices", checked)
+    page = "<div><p>one <b>two</b></p><ul><li>x</li></ul><table><tr><td>3</td></tr></table></div>" * 100
+    stored = html.trees(spark.range(0, 300, 1, 1).select(F.col("id").alias("page_id"), F.lit(page).alias("html"))).localCheckpoint()
+    spark.conf.unset(BATCH[0])  # nodes may have been stored by another session
+    assert made(stored).select("page_id").distinct().count() == 300
+    spark.conf.unset(BATCH[0])
