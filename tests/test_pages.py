@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from convlake.operators import html, lines, selectors, widgets
+from convlake.plans import blocks
 from convlake.queries import QUERIES, SQL
 
 PAGE = (
@@ -221,7 +222,7 @@ def test_tasks_hand_pages_to_python_in_small_batches(spark):
     spark.conf.unset(BATCH[0])
 
 
-@pytest.mark.parametrize("made", [html.extract_blocks])
+@pytest.mark.parametrize("made", [html.extract_blocks, lambda nodes: blocks.render_pages(nodes, "md"), lambda nodes: blocks.render_pages(nodes, "txt")], ids=["blocks", "md", "txt"])
 def test_parse_and_walk_get_small_batches(spark, monkeypatch, made):
     from convlake.session import BATCH, byte_slices
 
